@@ -41,12 +41,15 @@ def strict_value(text: Column) -> Column:
     )
 
 
+def member_map(value: Column) -> Column:
+    """Members of a VARIANT object, null for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
 def object_fields(value: Column) -> Column:
     """Members of a VARIANT object; JSON null counts as an object without any."""
     nothing = F.create_map().cast("map<string,variant>")
-    return F.when(F.is_variant_null(value), nothing).otherwise(
-        F.try_variant_get(value, "$", "map<string,variant>")
-    )
+    return F.coalesce(member_map(value), F.when(F.is_variant_null(value), nothing))
 
 
 def array_items(value: Column) -> Column:
@@ -58,9 +61,8 @@ def literal_fields(text: Column) -> Column:
     return F.from_json(text, T.MapType(T.StringType(), T.StringType()))
 
 
-def value_kind(value: Column) -> Column:
-    """bool, number, string, array, object or null of one VARIANT."""
-    t = F.schema_of_variant(value)
+def kind_of_type(t: Column) -> Column:
+    """bool, number, string, array, object or null from the text of a VARIANT's type."""
     return (
         F.when(t == "BOOLEAN", "bool")
         .when(t == "STRING", "string")
@@ -71,6 +73,10 @@ def value_kind(value: Column) -> Column:
     )
 
 
+def value_kind(value: Column) -> Column:
+    return kind_of_type(F.schema_of_variant(value))
+
+
 def json_extract(doc: Column, path: Column) -> Column:
     """Value at a path such as ``a.b[0].c``: struct of found, path, value (JSON text)."""
     v = F.try_parse_json(doc)

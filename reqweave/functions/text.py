@@ -101,7 +101,7 @@ def strip_tags(html: Column, drop_code: bool = False) -> Column:
     if drop_code:
         html = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
     flat = F.regexp_replace(html, "<[^>]+>", " ")
-    return trim_space(F.regexp_replace(flat, r"\s+", " "))
+    return trim_space(F.regexp_replace(flat, r"[\t\n\f\r ]+", " "))
 
 
 def html_to_text(html: Column, limit: int = PAGE_CHARS, drop_code: bool = False) -> Column:

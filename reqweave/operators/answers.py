@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reqweave.functions.jsonvals import array_items, framed, framed_value, object_fields, value_kind
+from reqweave.functions.jsonvals import array_items, framed, framed_value, kind_of_type, member_map, object_fields
 from reqweave.functions.salvage import extract_first_json, extract_last_json, escape_control_chars
 from reqweave.functions.text import CLOSE_THINKING, trim_space
 
 # Tags and error texts.
 OPEN_THINKING = "<thinking>"
-FENCE = "```"
 EMPTY = "response is empty"
 NO_CLOSE = "thinking mode requires a closing </thinking> tag"
 NO_ANSWER = "missing final JSON object after </thinking>"
@@ -23,39 +22,56 @@ MAP = "map<string,variant>"
 
 def unwrap_code_fence(text: Column) -> Column:
     """Inside of a fenced block: first line dropped, closing fence required."""
+    inner = F.regexp_extract(trim_space(text), r"(?s)^```[^\n]*\n(.*)```\z", 1)
+    return F.nullif(trim_space(inner), F.lit(""))
+
+
+def without_thinking(text: Column, thinking: Column) -> Column:
+    """The answer part of a text that may start with reasoning."""
     t = trim_space(text)
-    line = F.locate("\n", t)
-    body = trim_space(F.substring(t, line + 1, F.length(t)))
-    inner = trim_space(F.substring(body, F.lit(1), F.length(body) - len(FENCE)))
-    fenced = t.startswith(FENCE) & (line > 0) & body.endswith(FENCE)
-    return F.when(fenced & (inner != ""), inner)
+    return F.when(thinking, trim_space(F.regexp_replace(t, r"(?s)^<thinking>.*?</thinking>", ""))).otherwise(t)
 
 
-def split_thinking(text: Column, thinking: Column) -> Column:
-    """struct(body, error): the answer part of a text that may start with reasoning."""
+def thinking_error(text: Column, thinking: Column) -> Column:
+    """What is wrong with the frame of an answer, before its JSON is looked at."""
     t = trim_space(F.coalesce(text, F.lit("")))
-    close = F.locate(CLOSE_THINKING, t)
-    rest = trim_space(F.substring(t, close + len(CLOSE_THINKING), F.length(t)))
     opened = thinking & t.startswith(OPEN_THINKING)
-    error = (
+    return (
         F.when(t == "", EMPTY)
-        .when(opened & (close == 0), NO_CLOSE)
-        .when(opened & (rest == ""), NO_ANSWER)
+        .when(opened & ~F.contains(t, F.lit(CLOSE_THINKING)), NO_CLOSE)
+        .when(opened & (without_thinking(t, thinking) == ""), NO_ANSWER)
     )
-    return F.struct(F.when(error.isNull(), F.when(opened, rest).otherwise(t)).alias("body"), error.alias("error"))
+
+
+def split_thinking(text: Column, thinking: Column) -> Column:
+    """struct(body, error)."""
+    error = thinking_error(text, thinking)
+    return F.struct(F.when(error.isNull(), without_thinking(text, thinking)).alias("body"), error.alias("error"))
 
 
 def parse_strict(df: DataFrame, response: str = "response", thinking: Column | None = None) -> DataFrame:
-    """Adds ``parsed`` (member map) and ``error``: exactly one JSON object, bare or fenced."""
+    """Adds ``parsed`` (member map) and ``error``: exactly one JSON object, bare or fenced.
+
+    Built in steps so that each text is parsed once, with few uses of each step so
+    that a filter on the result, which Spark merges into one expression, stays small.
+    """
     thinking = F.lit(False) if thinking is None else thinking
+    nothing = F.create_map().cast(MAP)
     return (
-        df.withColumn("_split", split_thinking(F.col(response), thinking))
-        .withColumn("_frame", framed(F.col("_split.body")))
-        .withColumn("parsed", object_fields(framed_value(F.col("_frame"))))
-        .withColumn("_frame", framed(F.when(F.col("parsed").isNull(), unwrap_code_fence(F.col("_split.body")))))
-        .withColumn("parsed", F.coalesce("parsed", object_fields(framed_value(F.col("_frame")))))
-        .withColumn("error", F.coalesce("_split.error", F.when(F.col("parsed").isNull(), BAD_OBJECT)))
-        .drop("_split", "_frame")
+        df.withColumn("_body", without_thinking(F.col(response), thinking))
+        .withColumn("_frame", framed(F.col("_body")))
+        .withColumn("parsed", member_map(framed_value(F.col("_frame"))))
+        .withColumn("_inner", F.when(F.col("parsed").isNull(), unwrap_code_fence(F.col("_body"))))
+        .withColumn("_frame", framed(F.col("_inner")))
+        .withColumn(
+            "parsed",
+            F.coalesce(
+                "parsed", member_map(framed_value(F.col("_frame"))),
+                F.when(F.coalesce("_inner", "_body") == "null", nothing),
+            ),
+        )
+        .withColumn("error", F.when(F.col("parsed").isNull(), F.coalesce(thinking_error(F.col(response), thinking), F.lit(BAD_OBJECT))))
+        .drop("_body", "_frame", "_inner")
     )
 
 
@@ -93,10 +109,6 @@ def salvage_object(df: DataFrame, text: str, out: str = "salvaged") -> DataFrame
     )
 
 
-def _quote(c: Column) -> Column:
-    return F.concat(F.lit('"'), c, F.lit('"'))
-
-
 def key_error(parsed: Column, fields: Column) -> Column:
     """Sorted missing and extra members against the field list, or null."""
     wanted = F.transform(fields, lambda f: f["field"])
@@ -110,18 +122,15 @@ def key_error(parsed: Column, fields: Column) -> Column:
     return F.when((F.size(fields) > 0) & (parts != ""), F.concat(F.lit(BAD_KEYS + " ("), parts, F.lit(")")))
 
 
-def _value_error(field: Column, value: Column) -> Column:
-    kind, allowed = field["kind"], field["allowed"]
-    actual = value_kind(value)
-    number = F.try_variant_get(value, "$", "double")
-    finite = F.coalesce((actual == "number") & (F.abs(number) < float("inf")), F.lit(False))
-    whole = finite & F.coalesce(F.floor(number) == number, F.lit(False))
-    text = F.when(actual == "string", F.try_variant_get(value, "$", "string"))
-    listed = F.array_join(allowed, "|")
-    named = F.concat(F.lit("field "), _quote(field["field"]))
+def _value_error(r: Column) -> Column:
+    """Message for one field; ``r`` holds its constraint and what its value is."""
+    kind, actual = r["kind"], r["actual"]
+    finite = F.coalesce((actual == "number") & (F.abs(r["number"]) < float("inf")), F.lit(False))
+    whole = finite & F.coalesce(F.floor(r["number"]) == r["number"], F.lit(False))
+    listed = F.array_join(r["allowed"], "|")
     problem = (
-        F.when((kind == "enum") & text.isNull(), F.concat(F.lit(" must be a string enum ("), listed, F.lit(")")))
-        .when((kind == "enum") & ~F.array_contains(allowed, text), F.concat(F.lit(" must be one of "), listed))
+        F.when((kind == "enum") & (actual != "string"), F.concat(F.lit(" must be a string enum ("), listed, F.lit(")")))
+        .when((kind == "enum") & ~F.array_contains(r["allowed"], r["text"]), F.concat(F.lit(" must be one of "), listed))
         .when((kind == "bool") & (actual != "bool"), " must be boolean")
         .when((kind == "int") & ~whole, " must be integer")
         .when((kind == "number") & ~finite, " must be number")
@@ -129,12 +138,24 @@ def _value_error(field: Column, value: Column) -> Column:
         .when((kind == "array") & (actual != "array"), " must be array")
         .when((kind == "object") & (actual != "object"), " must be object")
     )
-    return F.concat(named, problem)
+    return F.concat(F.lit('field "'), r["field"], F.lit('"'), problem)
 
 
 def type_error(parsed: Column, fields: Column) -> Column:
     """Message for the first field, in name order, whose value has the wrong kind."""
-    problems = F.transform(fields, lambda f: _value_error(f, F.element_at(parsed, f["field"])))
+    keep = lambda r, **more: F.struct(r["field"].alias("field"), r["kind"].alias("kind"), r["allowed"].alias("allowed"), *[c.alias(n) for n, c in more.items()])
+    # one step per look at the value, so that its type is worked out once
+    found = F.transform(fields, lambda f: keep(f, value=F.element_at(parsed, f["field"])))
+    typed = F.transform(
+        found,
+        lambda r: keep(
+            r, type=F.schema_of_variant(r["value"]),
+            number=F.when(r["kind"].isin("int", "number"), F.try_variant_get(r["value"], "$", "double")),
+            text=F.when(r["kind"] == "enum", F.try_variant_get(r["value"], "$", "string")),
+        ),
+    )
+    known = F.transform(typed, lambda r: keep(r, actual=kind_of_type(r["type"]), number=r["number"], text=r["text"]))
+    problems = F.transform(known, _value_error)
     return F.get(F.filter(problems, lambda p: p.isNotNull()), F.lit(0))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from reqweave.functions.jsonvals import framed, framed_value, object_fields, value_kind
+from reqweave.functions.jsonvals import framed, framed_value, object_fields
 from reqweave.functions.text import trim_space
 from reqweave.operators.answers import BAD_OBJECT, parse_array, schema_error
 from reqweave.operators.ordering import ROW
@@ -43,6 +43,11 @@ def batch_user_text(rows: Column, payload: str, batch_lines: Column, thinking: C
     return F.concat(text, F.lit("\n\n" + post)) if post else text
 
 
+def raw_items(text: Column) -> Column:
+    """Items of an array text as they are spelled; strings without their quotes."""
+    return F.transform(F.from_json(text, T.ArrayType(T.StringType())), lambda s: F.coalesce(s, F.lit("null")))
+
+
 def check_batch(df: DataFrame, response: str = "response") -> DataFrame:
     """Strict batch answers. Adds ``items`` (member maps) and ``error``.
 
@@ -65,7 +70,7 @@ def check_batch(df: DataFrame, response: str = "response") -> DataFrame:
     )
     first = F.get(F.filter(problems, lambda p: p.isNotNull()), F.lit(0))
     return (
-        parsed.withColumn("_raw", F.transform("items", lambda v: F.to_json(v)))
+        parsed.withColumn("_raw", raw_items(trim_space(F.col(response))))
         .withColumn("error", F.coalesce("error", F.when(expected != got, mismatch), first))
         .withColumn("items", F.when(F.col("error").isNull(), objects))
     )
@@ -92,10 +97,7 @@ def split_batch_lenient(df: DataFrame, response: str = "response") -> DataFrame:
         df.withColumn("_cut", cut).withColumn("_frame", framed(F.col("_cut")))
         .withColumn("_items", F.when(F.is_variant_null(value), F.array().cast("array<variant>")).otherwise(F.try_variant_get(value, "$", "array<variant>")))
         .withColumn("items", F.transform("_items", lambda v: object_fields(v)))
-        .withColumn(
-            "item",
-            F.transform("_items", lambda v: F.when(value_kind(v) == "null", F.lit("null")).when(value_kind(v) == "string", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))),
-        )
+        .withColumn("item", F.when(F.col("_items").isNotNull(), raw_items(F.col("_cut"))))
         .withColumn("_whole", F.when(F.col("_items").isNull(), F.col(response)))
         .withColumn("error", F.lit(None).cast("string"))
     )

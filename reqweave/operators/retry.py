@@ -73,6 +73,6 @@ def retry_plan(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFra
 def rate_slots(df: DataFrame, start: Column, per_minute: int, index: str) -> DataFrame:
     """Earliest start of each request; none with ``per_minute`` 0."""
     if per_minute <= 0:
-        return df.withColumn("release_at", start)
-    micros = F.unix_micros(start) + F.floor(F.col(index) * 60_000_000 / per_minute)
+        return df.withColumn("release_at", start.cast("timestamp"))
+    micros = F.unix_micros(start.cast("timestamp")) + F.floor(F.col(index) * 60_000_000 / per_minute)
     return df.withColumn("release_at", F.timestamp_micros(micros))

@@ -47,7 +47,10 @@ def safe_names(df: DataFrame) -> DataFrame:
 
 def sink_xml(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """``<records><record>..``; null fields are left out."""
-    safe_names(df).write.mode(mode).format("xml").options(rootTag="records", rowTag="record").save(path)
+    # no column is an attribute, whatever its name starts with
+    safe_names(df).write.mode(mode).format("xml").options(
+        rootTag="records", rowTag="record", attributePrefix="@", valueTag="#text"
+    ).save(path)
 
 
 def json_documents(df: DataFrame, group: str, order_by: list[str], rows_per_document: int = DOCUMENT_ROWS) -> DataFrame:
