@@ -33,11 +33,11 @@ ONE_OF = "one of"
 
 def word_kind(hint: Column) -> Column:
     """Kind by the words of the hint, ``any`` when none is known."""
-    words = F.split(F.lower(hint), "[^a-z0-9]+")
-    kind = F.lit(None).cast("string")
+    lowered = F.lower(hint)
+    kind = F.lit("any")
     for name, known in reversed(KIND_WORDS):
-        kind = F.when(F.arrays_overlap(words, F.array(*map(F.lit, known))), name).otherwise(kind)
-    return F.coalesce(kind, F.lit("any"))
+        kind = F.when(lowered.rlike(f"(?<![a-z0-9])({'|'.join(known)})(?![a-z0-9])"), name).otherwise(kind)
+    return kind
 
 
 def _after_one_of(hint: Column) -> Column:
@@ -71,9 +71,11 @@ def parse_enum(hint: Column) -> Column:
     return F.coalesce(F.when(F.contains(h, F.lit("|")), _allowed(_split_on(h, "|"))), listed)
 
 
-def infer_kind(hint: Column) -> Column:
+def infer_kind(hint: Column, allowed: Column | None = None) -> Column:
+    """Kind of a hint; ``allowed`` is its parsed enum, if that is at hand."""
     h = trim_space(F.coalesce(hint, F.lit("")))
-    return F.when(h == "", "any").when(parse_enum(h).isNotNull(), "enum").otherwise(word_kind(h))
+    allowed = parse_enum(h) if allowed is None else allowed
+    return F.when(h == "", "any").when(allowed.isNotNull(), "enum").otherwise(word_kind(h))
 
 
 def _spelled(parts: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reqweave.functions.jsonvals import array_items, framed, framed_value, kind_of_type, member_map, object_fields
+from reqweave.functions.jsonvals import array_items, framed, framed_value, member_map, object_fields
 from reqweave.functions.salvage import extract_first_json, extract_last_json, escape_control_chars
 from reqweave.functions.text import CLOSE_THINKING, trim_space
 
@@ -122,40 +122,35 @@ def key_error(parsed: Column, fields: Column) -> Column:
     return F.when((F.size(fields) > 0) & (parts != ""), F.concat(F.lit(BAD_KEYS + " ("), parts, F.lit(")")))
 
 
-def _value_error(r: Column) -> Column:
-    """Message for one field; ``r`` holds its constraint and what its value is."""
-    kind, actual = r["kind"], r["actual"]
-    finite = F.coalesce((actual == "number") & (F.abs(r["number"]) < float("inf")), F.lit(False))
-    whole = finite & F.coalesce(F.floor(r["number"]) == r["number"], F.lit(False))
-    listed = F.array_join(r["allowed"], "|")
+def _value_error(f: Column, value: Column) -> Column:
+    """Message for one field, null if its value has the hinted kind.
+
+    One branch per kind, so that a value's type is only worked out where it counts.
+    """
+    kind, allowed = f["kind"], f["allowed"]
+    t, number, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
+    # numbers too big for a double are no numbers
+    real = (t == "DOUBLE") | t.startswith("DECIMAL")
+    listed = F.array_join(allowed, "|")
     problem = (
-        F.when((kind == "enum") & (actual != "string"), F.concat(F.lit(" must be a string enum ("), listed, F.lit(")")))
-        .when((kind == "enum") & ~F.array_contains(r["allowed"], r["text"]), F.concat(F.lit(" must be one of "), listed))
-        .when((kind == "bool") & (actual != "bool"), " must be boolean")
-        .when((kind == "int") & ~whole, " must be integer")
-        .when((kind == "number") & ~finite, " must be number")
-        .when((kind == "string") & (actual != "string"), " must be string")
-        .when((kind == "array") & (actual != "array"), " must be array")
-        .when((kind == "object") & (actual != "object"), " must be object")
+        F.when(kind == "string", F.when(t != "STRING", " must be string"))
+        .when(
+            kind == "enum",
+            F.when(t != "STRING", F.concat(F.lit(" must be a string enum ("), listed, F.lit(")")))
+            .when(~F.array_contains(allowed, text), F.concat(F.lit(" must be one of "), listed)),
+        )
+        .when(kind == "int", F.when(t == "BIGINT", None).when(real & (F.abs(number) < float("inf")) & (F.floor(number) == number), None).otherwise(" must be integer"))
+        .when(kind == "number", F.when(t == "BIGINT", None).when(real & (F.abs(number) < float("inf")), None).otherwise(" must be number"))
+        .when(kind == "bool", F.when(t != "BOOLEAN", " must be boolean"))
+        .when(kind == "array", F.when(~t.startswith("ARRAY<"), " must be array"))
+        .when(kind == "object", F.when(~t.startswith("OBJECT<"), " must be object"))
     )
-    return F.concat(F.lit('field "'), r["field"], F.lit('"'), problem)
+    return F.concat(F.lit('field "'), f["field"], F.lit('"'), problem)
 
 
 def type_error(parsed: Column, fields: Column) -> Column:
     """Message for the first field, in name order, whose value has the wrong kind."""
-    keep = lambda r, **more: F.struct(r["field"].alias("field"), r["kind"].alias("kind"), r["allowed"].alias("allowed"), *[c.alias(n) for n, c in more.items()])
-    # one step per look at the value, so that its type is worked out once
-    found = F.transform(fields, lambda f: keep(f, value=F.element_at(parsed, f["field"])))
-    typed = F.transform(
-        found,
-        lambda r: keep(
-            r, type=F.schema_of_variant(r["value"]),
-            number=F.when(r["kind"].isin("int", "number"), F.try_variant_get(r["value"], "$", "double")),
-            text=F.when(r["kind"] == "enum", F.try_variant_get(r["value"], "$", "string")),
-        ),
-    )
-    known = F.transform(typed, lambda r: keep(r, actual=kind_of_type(r["type"]), number=r["number"], text=r["text"]))
-    problems = F.transform(known, _value_error)
+    problems = F.transform(fields, lambda f: _value_error(f, F.element_at(parsed, f["field"])))
     return F.get(F.filter(problems, lambda p: p.isNotNull()), F.lit(0))
 
 

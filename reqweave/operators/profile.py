@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from reqweave.functions.jsonvals import cell_text, value_kind
+from reqweave.functions.jsonvals import cell_text, is_nested, value_kind
 from reqweave.functions.text import is_empty_value
 from reqweave.operators.ordering import ROW
 
@@ -52,24 +52,33 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     cells = {n: F.col(f"`{n}`") for n in names}
     kinds = {n: value_type(cells[n], types[n]) for n in names}
     filled = {n: ~is_empty_value(cells[n], types[n]) & kinds[n].isNotNull() for n in names}
-    text = {n: cell_text(cells[n], types[n]) for n in names}
+    # distinct by value; nested values, which cannot be compared, by their JSON text
+    same = {n: cell_text(cells[n], types[n]) if is_nested(types[n]) else cells[n] for n in names}
 
-    def first(n: str, seen: list[str]) -> Column:
-        fresh = filled[n] & ~text[n].isin(seen) if seen else filled[n]
-        return F.min(F.when(fresh, F.struct(F.col(ROW), text[n].alias("v")))).alias(f"first_{n}")
+    def first(n: str, seen: list) -> Column:
+        fresh = filled[n] & ~same[n].isin(seen) if seen else filled[n]
+        return F.min(F.when(fresh, F.struct(F.col(ROW), same[n].alias("v")))).alias(f"first_{n}")
+
+    def shown(n: str) -> Column:
+        dtype = T.StringType() if is_nested(types[n]) else types[n]
+        return cell_text(F.col(f"`first_{n}`.v"), dtype).alias(f"shown_{n}")
 
     counts = [F.count_if(~filled[n]).alias(f"empty_{n}") for n in names]
     counts += [F.count_if(filled[n] & (kinds[n] == t)).alias(f"{t}_{n}") for n in names for t in TYPES]
     types_won = [dominant_type({t: F.col(f"`{t}_{n}`") for t in TYPES}).alias(f"type_{n}") for n in names]
-    totals = df.agg(*counts, *[first(n, []) for n in names]).select("*", *types_won).first()
+    totals = df.agg(*counts, *[first(n, []) for n in names]).select("*", *types_won, *map(shown, names)).first()
 
-    seen = {n: [totals[f"first_{n}"]["v"]] if totals[f"first_{n}"] else [] for n in names}
-    for step in range(1, EXAMPLES):
-        open_names = [n for n in names if len(seen[n]) == step]
-        if open_names:
-            row = df.agg(*[first(n, seen[n]) for n in open_names]).first()
-            for n in open_names:
-                if row[f"first_{n}"]:
-                    seen[n].append(row[f"first_{n}"]["v"])
-    profile = [(n, totals[f"type_{n}"], totals[f"empty_{n}"], seen[n]) for n in names]
+    seen, texts = {n: [] for n in names}, {n: [] for n in names}
+    row, open_names = totals, names
+    for step in range(EXAMPLES):
+        if step:
+            row = df.agg(*[first(n, seen[n]) for n in open_names]).select("*", *map(shown, open_names)).first()
+        for n in open_names:
+            if row[f"first_{n}"]:
+                seen[n].append(row[f"first_{n}"]["v"])
+                texts[n].append(row[f"shown_{n}"])
+        open_names = [n for n in open_names if len(seen[n]) == step + 1]
+        if not open_names:
+            break
+    profile = [(n, totals[f"type_{n}"], totals[f"empty_{n}"], texts[n]) for n in names]
     return df.sparkSession.createDataFrame(profile, "column string, type string, empty long, examples array<string>")

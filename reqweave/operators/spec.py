@@ -83,8 +83,8 @@ def effective_schema(spec: DataFrame, jobs: DataFrame) -> DataFrame:
 def describe_fields(spec: DataFrame) -> DataFrame:
     """Adds kind, allowed, description, example and placeholder to each field."""
     return (
-        spec.withColumns({"kind": infer_kind(F.col("hint")), "allowed": parse_enum(F.col("hint"))})
-        .withColumn("allowed", F.when(F.col("kind") == "enum", F.col("allowed")))
+        spec.withColumn("allowed", parse_enum(F.col("hint")))
+        .withColumn("kind", infer_kind(F.col("hint"), F.col("allowed")))
         .withColumns(
             {
                 "description": describe_hint(F.col("hint")),

@@ -17,7 +17,7 @@ from reqweave.operators.generate import call_generator, dry_run_generate, genera
 from reqweave.operators.merge import carry_input, member_names, output_fields, store_response
 from reqweave.operators.ordering import ROW, exclude_columns, number_files, ordered_emit, row_index
 from reqweave.operators.prompts import record_body, request_id, user_text
-from reqweave.operators.spec import compile_spec, describe_fields, effective_schema, instructions_text, spec_frame, system_text
+from reqweave.operators.spec import compile_spec, effective_schema, instructions_text, spec_frame, system_text
 from reqweave.sinks import files as to_files
 from reqweave.sinks.tables import sink_sql
 from reqweave.sinks.workbooks import sink_xlsx
@@ -146,8 +146,7 @@ def run_records(records: DataFrame, cfg: JobConfig, fn=None, repair_fn=None, pag
     p, spark = cfg.processing, records.sparkSession
     prepare(spark)
     inputs = [c for c in records.columns if c != ROW]
-    spec = job_spec(spark, cfg)
-    compiled = compile_spec(spec)
+    compiled = materialize(compile_spec(job_spec(spark, cfg)), "spec")
     done = checked(_answered(with_requests(records, cfg, compiled, run), cfg, compiled, fn, pages), cfg, compiled)
     fixer = repair_fn or (None if cfg.tools.enabled else fn)
     if p.strict_output and not p.dry_run and fixer is not None:
@@ -155,7 +154,7 @@ def run_records(records: DataFrame, cfg: JobConfig, fn=None, repair_fn=None, pag
     stored, metrics = _counted(done, "answers")
     good, errors = route_errors(stored, ROW)
     _stop_at_first(errors, cfg)
-    return JobResult(_output(good, cfg, spec, inputs), errors, metrics)
+    return JobResult(_output(good, cfg, compiled, inputs), errors, metrics)
 
 
 def _stop_at_first(errors: DataFrame, cfg: JobConfig) -> None:
@@ -165,9 +164,9 @@ def _stop_at_first(errors: DataFrame, cfg: JobConfig) -> None:
             raise RuntimeError(first[0]["report"])
 
 
-def _output(good: DataFrame, cfg: JobConfig, spec: DataFrame, inputs: list[str], carried: list[str] | None = None) -> DataFrame:
+def _output(good: DataFrame, cfg: JobConfig, compiled: DataFrame, inputs: list[str], carried: list[str] | None = None) -> DataFrame:
     p = cfg.processing
-    kinds = {r["field"]: r["kind"] for r in describe_fields(spec).select("field", "kind").collect()}
+    kinds = {r["field"]: r["kind"] for r in compiled.select(F.inline("fields")).collect()}
     if not kinds and p.output_fields:
         kinds = {n: "any" for n in p.output_fields if n not in inputs and n != p.response_field}
     keep = carry_input(inputs, p.include_input_in_output, p.key_column) if carried is None else carried
@@ -185,8 +184,7 @@ def run_batches(records: DataFrame, cfg: JobConfig, fn=None, run: str = "run") -
     p, spark = cfg.processing, records.sparkSession
     prepare(spark)
     inputs = [c for c in records.columns if c != ROW]
-    spec = job_spec(spark, cfg)
-    compiled = compile_spec(spec)
+    compiled = materialize(compile_spec(job_spec(spark, cfg)), "spec")
     batches = make_batches(record_body(records, cfg.prompt.input_template), p.batch_size)
     asked = batches.withColumn("job_id", F.lit(JOB)).join(compiled.select("job_id", "fields", "batch_lines"), "job_id", "left")
     asked = asked.withColumn("system", F.lit(cfg.prompt.system)).withColumn(
@@ -207,7 +205,7 @@ def run_batches(records: DataFrame, cfg: JobConfig, fn=None, run: str = "run") -
     _, errors = route_errors(stored.withColumn("response", F.col("_answer")), ROW)
     _stop_at_first(errors, cfg)
     # failed batches keep their rows, with an empty response
-    return JobResult(_output(stored, cfg, spec, inputs, inputs if p.include_input_in_output else []), errors, metrics)
+    return JobResult(_output(stored, cfg, compiled, inputs, inputs if p.include_input_in_output else []), errors, metrics)
 
 
 def spread_all(main: DataFrame) -> DataFrame:
