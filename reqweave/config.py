@@ -28,6 +28,7 @@ class InputConfig:
     url: str = ""
     delimiter: str = ""
     has_header: bool = True
+    multi_line: bool = True
     root_path: str = ""
     record_path: str = ""
     excluded_columns: list[str] = field(default_factory=list)
@@ -132,13 +133,15 @@ def job_config(data: dict[str, Any]) -> JobConfig:
 
 def load_config(path: str) -> JobConfig:
     """Settings from a JSON file, or a YAML one where a YAML reader is installed."""
+    if path.endswith((".yaml", ".yml")):
+        try:
+            import yaml as reader
+        except ImportError as e:
+            raise ValueError("reading YAML settings needs the yaml module") from e
+        parse = reader.safe_load
+    elif path.endswith(".json"):
+        parse = json.load
+    else:
+        raise ValueError(f"unsupported config extension: {path}")
     with open(path, encoding="utf-8") as f:
-        if path.endswith((".yaml", ".yml")):
-            try:
-                import yaml
-            except ImportError as e:
-                raise ValueError("reading YAML settings needs the yaml module") from e
-            return job_config(yaml.safe_load(f))
-        if path.endswith(".json"):
-            return job_config(json.load(f))
-    raise ValueError(f"unsupported config extension: {path}")
+        return job_config(parse(f))

@@ -151,6 +151,10 @@ def cell_text(c: Column, dtype: T.DataType) -> Column:
     """Text of a cell: null is empty, scalars as text, nested values as JSON."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         text = float_text(c.cast("double"), -4, 6, pad_small=True)
+    elif isinstance(dtype, T.VariantType):
+        t = F.schema_of_variant(c)
+        plain = F.when(t == "STRING", F.try_variant_get(c, "$", "string")).when(t == "VOID", "")
+        text = plain.otherwise(value_json(c, dtype))
     elif is_nested(dtype):
         text = value_json(c, dtype)
     else:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reqweave.functions.jsonvals import array_items, framed, framed_value, member_map, object_fields
 from reqweave.functions.salvage import extract_first_json, extract_last_json, escape_control_chars
 from reqweave.functions.text import CLOSE_THINKING, trim_space
+from reqweave.operators.spec import OneJob
 
 # Tags and error texts.
 OPEN_THINKING = "<thinking>"
@@ -109,9 +110,8 @@ def salvage_object(df: DataFrame, text: str, out: str = "salvaged") -> DataFrame
     )
 
 
-def key_error(parsed: Column, fields: Column) -> Column:
-    """Sorted missing and extra members against the field list, or null."""
-    wanted = F.transform(fields, lambda f: f["field"])
+def key_error(parsed: Column, wanted: Column) -> Column:
+    """Sorted missing and extra members against the wanted names, or null."""
     present = F.map_keys(parsed)
     missing, extra = F.array_except(wanted, present), F.array_sort(F.array_except(present, wanted))
     parts = F.concat_ws(
@@ -119,52 +119,83 @@ def key_error(parsed: Column, fields: Column) -> Column:
         F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))),
         F.when(F.size(extra) > 0, F.concat(F.lit("extra: "), F.array_join(extra, ", "))),
     )
-    return F.when((F.size(fields) > 0) & (parts != ""), F.concat(F.lit(BAD_KEYS + " ("), parts, F.lit(")")))
+    return F.when((F.size(wanted) > 0) & (parts != ""), F.concat(F.lit(BAD_KEYS + " ("), parts, F.lit(")")))
 
 
-def _value_error(f: Column, value: Column) -> Column:
-    """Message for one field, null if its value has the hinted kind.
-
-    One branch per kind, so that a value's type is only worked out where it counts.
-    """
-    kind, allowed = f["kind"], f["allowed"]
-    t, number, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
+def _problem(kind: str, value: Column, allowed: Column) -> Column | None:
+    """What is wrong with a value of a hinted kind; each kind looks at it its own way."""
+    t, number = F.schema_of_variant(value), F.try_variant_get(value, "$", "double")
     # numbers too big for a double are no numbers
-    real = (t == "DOUBLE") | t.startswith("DECIMAL")
-    listed = F.array_join(allowed, "|")
-    problem = (
-        F.when(kind == "string", F.when(t != "STRING", " must be string"))
-        .when(
-            kind == "enum",
-            F.when(t != "STRING", F.concat(F.lit(" must be a string enum ("), listed, F.lit(")")))
-            .when(~F.array_contains(allowed, text), F.concat(F.lit(" must be one of "), listed)),
-        )
-        .when(kind == "int", F.when(t == "BIGINT", None).when(real & (F.abs(number) < float("inf")) & (F.floor(number) == number), None).otherwise(" must be integer"))
-        .when(kind == "number", F.when(t == "BIGINT", None).when(real & (F.abs(number) < float("inf")), None).otherwise(" must be number"))
-        .when(kind == "bool", F.when(t != "BOOLEAN", " must be boolean"))
-        .when(kind == "array", F.when(~t.startswith("ARRAY<"), " must be array"))
-        .when(kind == "object", F.when(~t.startswith("OBJECT<"), " must be object"))
-    )
-    return F.concat(F.lit('field "'), f["field"], F.lit('"'), problem)
+    real = (t.startswith("DECIMAL") | (t == "DOUBLE")) & (F.abs(number) < float("inf"))
+    if kind == "enum":
+        listed = F.array_join(allowed, "|")
+        not_text = F.concat(F.lit(" must be a string enum ("), listed, F.lit(")"))
+        listed_one = F.array_contains(allowed, F.try_variant_get(value, "$", "string"))
+        return F.when(t != "STRING", not_text).when(~listed_one, F.concat(F.lit(" must be one of "), listed))
+    if kind == "int":
+        return F.when(t == "BIGINT", None).when(real & (F.rint(number) == number), None).otherwise(" must be integer")
+    if kind == "number":
+        return F.when(t == "BIGINT", None).when(real, None).otherwise(" must be number")
+    wanted = {"string": t == "STRING", "bool": t == "BOOLEAN", "array": t.startswith("ARRAY<"), "object": t.startswith("OBJECT<")}
+    name = {"bool": "boolean"}.get(kind, kind)
+    return F.when(~wanted[kind], f" must be {name}") if kind in wanted else None
+
+
+# The kinds whose values are checked, frequent ones first.
+CHECKED_KINDS = ["string", "enum", "int", "number", "bool", "array", "object"]
+
+
+def _named(field: Column, problem: Column) -> Column:
+    return F.concat(F.lit('field "'), field, F.lit('"'), problem)
 
 
 def type_error(parsed: Column, fields: Column) -> Column:
     """Message for the first field, in name order, whose value has the wrong kind."""
-    problems = F.transform(fields, lambda f: _value_error(f, F.element_at(parsed, f["field"])))
-    return F.get(F.filter(problems, lambda p: p.isNotNull()), F.lit(0))
+
+    def of_field(f: Column) -> Column:
+        value, problem = F.element_at(parsed, f["field"]), F.lit(None).cast("string")
+        for kind in reversed(CHECKED_KINDS):
+            problem = F.when(f["kind"] == kind, _problem(kind, value, f["allowed"])).otherwise(problem)
+        return _named(f["field"], problem)
+
+    return F.get(F.filter(F.transform(fields, of_field), lambda p: p.isNotNull()), F.lit(0))
 
 
 def schema_error(parsed: Column, fields: Column) -> Column:
-    return F.coalesce(key_error(parsed, fields), type_error(parsed, fields))
+    """Both checks against an array of fields that is data (many jobs)."""
+    names = F.transform(fields, lambda f: f["field"])
+    return F.coalesce(key_error(parsed, names), type_error(parsed, fields))
+
+
+def job_type_error(parsed: Column, job: OneJob) -> Column:
+    """``type_error`` for the fields of one known job, as plain expressions."""
+    found = []
+    for field, kind, allowed in job.fields:
+        listed = F.array(*map(F.lit, allowed or [])).cast("array<string>")
+        problem = _problem(kind, F.element_at(parsed, F.lit(field)), listed)
+        if problem is not None:
+            found.append(_named(F.lit(field), problem))
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+
+def job_error(parsed: Column, job: OneJob) -> Column:
+    """Both checks for one known job; a job without fields accepts everything."""
+    if not job.fields:
+        return F.lit(None).cast("string")
+    names = F.array(*[F.lit(f[0]) for f in job.fields])
+    return F.coalesce(key_error(parsed, names), job_type_error(parsed, job))
 
 
-def check_answers(df: DataFrame, compiled: DataFrame) -> DataFrame:
-    """Hold parsed answers to their job's fields; ``df`` has job_id, parsed, error.
+def check_answers(df: DataFrame, spec: DataFrame | OneJob) -> DataFrame:
+    """Hold parsed answers to their job's fields; ``df`` has parsed and error.
 
-    The fields travel to the answers as one array per job, so an answer is checked
-    inside its row: nothing is exploded and only a join on job_id may shuffle.
+    One known job needs no join. A compiled table of many jobs is joined on job_id:
+    the fields of a job travel as one array, so an answer is checked inside its row
+    and nothing is exploded.
     """
-    with_fields = df.join(compiled.select("job_id", "fields"), "job_id", "left")
+    if isinstance(spec, OneJob):
+        return df.withColumn("error", F.coalesce("error", F.when(F.col("parsed").isNotNull(), job_error(F.col("parsed"), spec))))
+    with_fields = df.join(spec.select("job_id", "fields"), "job_id", "left")
     checked = F.when(F.col("parsed").isNotNull() & F.col("fields").isNotNull(), schema_error(F.col("parsed"), F.col("fields")))
     return with_fields.withColumn("error", F.coalesce("error", checked)).drop("fields")
 

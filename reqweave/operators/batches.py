@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reqweave.functions.jsonvals import framed, framed_value, object_fields
 from reqweave.functions.text import trim_space
-from reqweave.operators.answers import BAD_OBJECT, parse_array, schema_error
+from reqweave.operators.answers import BAD_OBJECT, job_error, parse_array
 from reqweave.operators.ordering import ROW
+from reqweave.operators.spec import OneJob
 
 # Batch prompt texts and errors.
 HEAD = "Process the following {n} records. Return ONLY a valid JSON array containing exactly {n} JSON objects, one per record, in the same order.\n"
@@ -48,11 +49,10 @@ def raw_items(text: Column) -> Column:
     return F.transform(F.from_json(text, T.ArrayType(T.StringType())), lambda s: F.coalesce(s, F.lit("null")))
 
 
-def check_batch(df: DataFrame, response: str = "response") -> DataFrame:
+def check_batch(df: DataFrame, job: OneJob, response: str = "response") -> DataFrame:
     """Strict batch answers. Adds ``items`` (member maps) and ``error``.
 
     One bad item fails its batch; everything is decided inside the batch row.
-    ``fields`` may be null where a job has no field list.
     """
     parsed = parse_array(df, response)
     expected, got = F.size("rows"), F.size("items")
@@ -61,12 +61,9 @@ def check_batch(df: DataFrame, response: str = "response") -> DataFrame:
         F.lit(" objects, got "), got.cast("string"),
     )
     objects = F.transform("items", lambda v: object_fields(v))
+    named = lambda i, problem: F.concat(F.lit("batch response item "), i.cast("string"), F.lit(": "), problem)
     problems = F.transform(
-        objects,
-        lambda o, i: F.when(o.isNull(), F.concat(F.lit("batch response item "), i.cast("string"), F.lit(": " + BAD_OBJECT)))
-        .otherwise(
-            F.concat(F.lit("batch response item "), i.cast("string"), F.lit(": "), F.when(F.col("fields").isNotNull(), schema_error(o, F.col("fields"))))
-        ),
+        objects, lambda o, i: named(i, F.when(o.isNull(), BAD_OBJECT).otherwise(job_error(o, job)))
     )
     first = F.get(F.filter(problems, lambda p: p.isNotNull()), F.lit(0))
     return (
@@ -76,13 +73,14 @@ def check_batch(df: DataFrame, response: str = "response") -> DataFrame:
     )
 
 
-def split_batch_strict(df: DataFrame, response: str = "response") -> DataFrame:
-    """One row per record: its columns, ``parsed``, ``item`` (raw answer) and ``error``."""
-    checked = check_batch(df, response)
-    return _spread(checked.withColumn("item", F.when(F.col("error").isNull(), F.col("_raw"))))
+def split_batch_strict(df: DataFrame, job: OneJob, response: str = "response", keep: list[str] = ()) -> DataFrame:
+    """One row per record: its columns, ``parsed``, ``item`` (raw answer), ``error``
+    and the columns of the batch named in ``keep``."""
+    checked = check_batch(df, job, response)
+    return _spread(checked.withColumn("item", F.when(F.col("error").isNull(), F.col("_raw"))), keep)
 
 
-def split_batch_lenient(df: DataFrame, response: str = "response") -> DataFrame:
+def split_batch_lenient(df: DataFrame, response: str = "response", keep: list[str] = ()) -> DataFrame:
     """Whatever the answer holds between the outer brackets, spread over the records.
 
     No array: every record gets the whole answer. Objects are spread, strings kept
@@ -101,11 +99,11 @@ def split_batch_lenient(df: DataFrame, response: str = "response") -> DataFrame:
         .withColumn("_whole", F.when(F.col("_items").isNull(), F.col(response)))
         .withColumn("error", F.lit(None).cast("string"))
     )
-    out = _spread(got.drop("_cut", "_frame", "_items"), keep=["_whole"])
+    out = _spread(got.drop("_cut", "_frame", "_items"), ["_whole", *keep])
     return out.withColumn("item", F.coalesce("_whole", "item", F.lit(""))).drop("_whole")
 
 
-def _spread(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+def _spread(df: DataFrame, keep: list[str]) -> DataFrame:
     picked = df.select("batch_id", "error", "items", "item", *keep, F.posexplode("rows").alias("_at", "_row"))
     return picked.select(
         "batch_id", "_row.*",

@@ -38,6 +38,17 @@ def first_link(topics: Column) -> Column:
     return F.get(F.filter(topics, lambda t: t["url"].startswith("http")), F.lit(0))["url"]
 
 
+def wanted_pages(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """``(_page, _html)``: one stored page per address in ``links(link)``.
+
+    Pages nobody asked for are dropped by a semi join before any page text is
+    grouped, so what is shuffled grows with the requests, not with the page store.
+    """
+    asked = links.where(F.col("link").isNotNull()).distinct()
+    kept = pages.join(asked, pages["url"] == asked["link"], "left_semi")
+    return kept.groupBy(F.col("url").alias("_page")).agg(F.min("html").alias("_html"))
+
+
 def answer_precedence(answers: DataFrame, pages: DataFrame) -> DataFrame:
     """``answers(query, abstract, answer, topics)`` to ``(query, result)``.
 
@@ -49,6 +60,6 @@ def answer_precedence(answers: DataFrame, pages: DataFrame) -> DataFrame:
     wanted = answers.withColumn("_direct", direct).withColumn(
         "_link", F.when(F.col("_direct").isNull(), first_link(F.col("topics")))
     )
-    texts = pages.groupBy("url").agg(F.min("html").alias("_html"))
-    found = wanted.join(texts, F.col("_link") == F.col("url"), "left")
+    texts = wanted_pages(pages, wanted.select(F.col("_link").alias("link")))
+    found = wanted.join(texts, F.col("_link") == F.col("_page"), "left")
     return found.select("query", F.coalesce("_direct", strip_tags(F.col("_html")), F.lit("")).alias("result"))

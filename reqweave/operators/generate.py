@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reqweave.operators.retry import MAX_ATTEMPTS, MAX_STEP, MIN_LIMITED_WAIT
-from reqweave.operators.spec import DEFAULT_FIELD, REPAIR_SYSTEM, repair_text
+from reqweave.operators.spec import DEFAULT_FIELD, OneJob
 from reqweave.functions.hints import DRY_TEXT
 from reqweave.functions.jsonvals import quoted
 
@@ -86,22 +86,15 @@ def unanswered(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return requests.join(responses.select("request_id"), "request_id", "left_anti")
 
 
-def dry_run_generate(requests: DataFrame, compiled: DataFrame, response_field: str = DEFAULT_FIELD) -> DataFrame:
-    """Placeholder answers that pass each job's checks; ``requests`` has job_id."""
+def dry_run_generate(requests: DataFrame, spec: DataFrame | OneJob, response_field: str = DEFAULT_FIELD) -> DataFrame:
+    """Placeholder answers that pass each job's checks; with a compiled table of
+    many jobs ``requests`` has job_id."""
     key = response_field.strip() or DEFAULT_FIELD
     plain = F.concat(F.lit("{"), quoted(F.lit(key)), F.lit(f':"{DRY_TEXT}"}}'))
-    answers = compiled.select("job_id", F.col("dry_answer").alias("_dry"))
-    joined = requests.join(answers, "job_id", "left")
-    return joined.withColumn("response", F.coalesce("_dry", plain)).drop("_dry")
-
-
-def repair_requests(failed: DataFrame, compiled: DataFrame) -> DataFrame:
-    """Adds repair_system and repair_user to rows whose answer did not pass."""
-    texts = compiled.select("job_id", "field_lines", "example")
-    joined = failed.join(texts, "job_id", "left")
-    return joined.withColumns(
-        {"repair_system": F.lit(REPAIR_SYSTEM), "repair_user": repair_text(F.col("response"), F.col("field_lines"), F.col("example"))}
-    ).drop("field_lines", "example")
+    if isinstance(spec, OneJob):
+        return requests.withColumn("response", F.coalesce(spec.text("dry_answer"), plain))
+    answers = spec.select("job_id", F.col("dry_answer").alias("_dry"))
+    return requests.join(answers, "job_id", "left").withColumn("response", F.coalesce("_dry", plain)).drop("_dry")
 
 
 def audit_log(answered: DataFrame) -> DataFrame:

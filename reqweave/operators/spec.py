@@ -6,6 +6,8 @@ of one job are few; grouping by job keeps each group as small as a prompt.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reqweave.functions.hints import describe_hint, example_value, infer_kind, parse_enum, placeholder_value
@@ -119,6 +121,33 @@ def compile_spec(spec: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class OneJob:
+    """The compiled row of one job on the driver; as small as its prompt."""
+
+    fields: tuple[tuple[str, str, tuple[str, ...] | None], ...] = ()
+    field_lines: str | None = None
+    batch_lines: str | None = None
+    example: str | None = None
+    dry_answer: str | None = None
+
+    @property
+    def kinds(self) -> dict[str, str]:
+        return {name: kind for name, kind, _ in self.fields}
+
+    def text(self, name: str) -> Column:
+        return F.lit(getattr(self, name)).cast("string")
+
+
+def one_job(spec: DataFrame, job_id: str = "job") -> OneJob:
+    """Read one job's compiled row; a job without fields has an empty one."""
+    row = compile_spec(spec.where(F.col("job_id") == job_id)).first()
+    if row is None:
+        return OneJob()
+    fields = tuple((f["field"], f["kind"], tuple(f["allowed"]) if f["allowed"] else None) for f in row["fields"])
+    return OneJob(fields, row["field_lines"], row["batch_lines"], row["example"], row["dry_answer"])
+
+
 def example_json(spec: DataFrame) -> DataFrame:
     return compile_spec(spec).select("job_id", "example")
 

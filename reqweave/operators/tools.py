@@ -12,6 +12,7 @@ from reqweave.functions.jsonvals import escape_markup, framed, framed_value, obj
 from reqweave.functions.links import extract_links
 from reqweave.functions.text import html_to_text, is_blank, match_limit, text_stats
 from reqweave.functions.text import trim_space
+from reqweave.operators.enrich import wanted_pages
 
 # Tool names and messages, and the row limit of the SQL tool.
 TOOLS = ["text_stats", "regex_extract", "json_extract", "web_fetch", "web_extract_links"]
@@ -79,6 +80,12 @@ def _argument(name: str, kind: str, sql_type: str, default) -> tuple[Column, Col
     return F.coalesce(F.try_variant_get(value, "$", sql_type), F.lit(default)), wrong
 
 
+def _asked_links(calls: DataFrame) -> DataFrame:
+    """Addresses the calls of page tools name; whether a call is valid is checked later."""
+    args = F.when(F.col("name").isin(PAGE_TOOLS), F.try_parse_json("args"))
+    return calls.select(F.try_variant_get(args, "$.url", "string").alias("link"))
+
+
 def dispatch_tools(calls: DataFrame, pages: DataFrame | None = None, enabled: list[str] = TOOLS) -> DataFrame:
     """``calls(.., name, args)`` plus ``result``; problems become result text.
 
@@ -140,9 +147,9 @@ def dispatch_tools(calls: DataFrame, pages: DataFrame | None = None, enabled: li
     )
     result = escape_markup(result)
     if pages is not None:
-        stored = pages.groupBy("url").agg(F.min("html").alias("_html")).withColumnRenamed("url", "_page")
-        wanted = F.when(ok & name.isin(PAGE_TOOLS), F.nullif(url, F.lit("")))
-        out = out.withColumn("_url", wanted).join(stored, F.col("_url") == F.col("_page"), "left")
+        out = out.withColumn("_url", F.when(ok & name.isin(PAGE_TOOLS), F.nullif(url, F.lit(""))))
+        stored = wanted_pages(pages, _asked_links(calls))
+        out = out.join(stored, F.col("_url") == F.col("_page"), "left")
         web = name.isin(PAGE_TOOLS)
         problem = F.coalesce(
             problem,

@@ -13,11 +13,11 @@ from reqweave.operators.agent import agent_rounds
 from reqweave.operators.answers import check_answers, parse_lenient, parse_strict, spread_fields
 from reqweave.operators.batches import batch_user_text, keep_failed_rows, make_batches, split_batch_lenient, split_batch_strict
 from reqweave.operators.enrich import enrich_lookup
-from reqweave.operators.generate import call_generator, dry_run_generate, generate, repair_requests, route_errors
+from reqweave.operators.generate import call_generator, dry_run_generate, generate, route_errors
 from reqweave.operators.merge import carry_input, member_names, output_fields, store_response
 from reqweave.operators.ordering import ROW, exclude_columns, number_files, ordered_emit, row_index
 from reqweave.operators.prompts import record_body, request_id, user_text
-from reqweave.operators.spec import compile_spec, effective_schema, instructions_text, spec_frame, system_text
+from reqweave.operators.spec import REPAIR_SYSTEM, OneJob, effective_schema, instructions_text, one_job, repair_text, spec_frame, system_text
 from reqweave.sinks import files as to_files
 from reqweave.sinks.tables import sink_sql
 from reqweave.sinks.workbooks import sink_xlsx
@@ -42,7 +42,7 @@ class JobResult:
 def read_input(spark: SparkSession, cfg: JobConfig) -> DataFrame:
     i, kind = cfg.input, cfg.input.type.lower()
     if kind == "csv":
-        return from_files.scan_csv(spark, i.path, i.delimiter, i.has_header)
+        return from_files.scan_csv(spark, i.path, i.delimiter, i.has_header, i.multi_line)
     if kind == "json":
         return from_files.scan_json(spark, i.path, i.root_path)
     if kind == "jsonl":
@@ -73,33 +73,32 @@ def job_spec(spark: SparkSession, cfg: JobConfig) -> DataFrame:
     return effective_schema(spec_frame(spark, p.response_schema, JOB), jobs)
 
 
-def with_requests(records: DataFrame, cfg: JobConfig, compiled: DataFrame, run: str) -> DataFrame:
-    """Adds job_id, system, user and request_id to numbered records."""
+def with_requests(records: DataFrame, cfg: JobConfig, job: OneJob, run: str) -> DataFrame:
+    """Adds system, user and request_id to numbered records."""
     p, t = cfg.processing, cfg.prompt
     thinking = F.lit(p.thinking)
     structured = F.lit(bool(p.response_format or p.parse_json_response or p.response_schema or p.debug_field))
     body = record_body(records, t.input_template)
-    joined = body.withColumn("job_id", F.lit(JOB)).join(compiled.select("job_id", "field_lines", "example"), "job_id", "left")
-    text = instructions_text(thinking, F.col("field_lines"), F.col("example"))
+    text = instructions_text(thinking, job.text("field_lines"), job.text("example"))
     return (
-        joined.withColumn("system", system_text(F.lit(t.system), structured, thinking))
+        body.withColumn("system", system_text(F.lit(t.system), structured, thinking))
         .withColumn("user", user_text(F.col("_body"), t.pre_prompt, t.post_prompt, text))
         .withColumn("request_id", request_id(run, ROW, "system", "user"))
-        .drop("_body", "field_lines", "example")
+        .drop("_body")
     )
 
 
-def checked(df: DataFrame, cfg: JobConfig, compiled: DataFrame) -> DataFrame:
+def checked(df: DataFrame, cfg: JobConfig, job: OneJob) -> DataFrame:
     """Adds parsed and error to answered requests; ``call_error`` wins."""
     p = cfg.processing
     if p.strict_output:
-        out = check_answers(parse_strict(df, "response", F.lit(p.thinking)), compiled)
+        out = check_answers(parse_strict(df, "response", F.lit(p.thinking)), job)
     else:
         out = parse_lenient(df, "response")
     return out.withColumn("error", F.coalesce("call_error", "error"))
 
 
-def repaired(df: DataFrame, cfg: JobConfig, compiled: DataFrame, fn: Callable) -> DataFrame:
+def repaired(df: DataFrame, cfg: JobConfig, job: OneJob, fn: Callable) -> DataFrame:
     """One more request for answers that did not parse; kept if it passes.
 
     All rows pass through one stage and only the failed ones carry a prompt, so
@@ -107,13 +106,13 @@ def repaired(df: DataFrame, cfg: JobConfig, compiled: DataFrame, fn: Callable) -
     """
     columns = df.columns
     broken = F.col("call_error").isNull() & F.col("error").isNotNull()
-    asked = repair_requests(df, compiled)
-    called = asked.withColumn("_again", call_generator(fn, F.col("repair_system"), F.when(broken, F.col("repair_user")), cfg.processing.max_retries))
+    prompt = repair_text(F.col("response"), job.text("field_lines"), job.text("example"))
+    called = df.withColumn("_again", call_generator(fn, F.lit(REPAIR_SYSTEM), F.when(broken, prompt), cfg.processing.max_retries))
     first = {c: F.col(c).alias("_first_" + c) for c in ("response", "parsed", "error")}
     second = called.select(
         *[c for c in columns if c not in first], *first.values(), F.col("_again.response").alias("response")
     )
-    second = checked(second, cfg, compiled)
+    second = checked(second, cfg, job)
     better = F.col("response").isNotNull() & F.col("error").isNull()
     return second.select(
         *[c for c in columns if c not in first],
@@ -121,10 +120,10 @@ def repaired(df: DataFrame, cfg: JobConfig, compiled: DataFrame, fn: Callable) -
     )
 
 
-def _answered(requests: DataFrame, cfg: JobConfig, compiled: DataFrame, fn, pages) -> DataFrame:
+def _answered(requests: DataFrame, cfg: JobConfig, job: OneJob, fn, pages) -> DataFrame:
     p = cfg.processing
     if p.dry_run:
-        return dry_run_generate(requests, compiled, p.response_field).withColumn("call_error", F.lit(None).cast("string"))
+        return dry_run_generate(requests, job, p.response_field).withColumn("call_error", F.lit(None).cast("string"))
     if cfg.tools.enabled:
         asked = agent_rounds(requests, fn, pages, cfg.tools.names, cfg.tools.max_rounds, p.max_retries)
         return asked.drop("rounds").withColumnRenamed("error", "call_error")
@@ -146,15 +145,15 @@ def run_records(records: DataFrame, cfg: JobConfig, fn=None, repair_fn=None, pag
     p, spark = cfg.processing, records.sparkSession
     prepare(spark)
     inputs = [c for c in records.columns if c != ROW]
-    compiled = materialize(compile_spec(job_spec(spark, cfg)), "spec")
-    done = checked(_answered(with_requests(records, cfg, compiled, run), cfg, compiled, fn, pages), cfg, compiled)
+    job = one_job(job_spec(spark, cfg), JOB)
+    done = checked(_answered(with_requests(records, cfg, job, run), cfg, job, fn, pages), cfg, job)
     fixer = repair_fn or (None if cfg.tools.enabled else fn)
     if p.strict_output and not p.dry_run and fixer is not None:
-        done = repaired(done, cfg, compiled, fixer)
+        done = repaired(done, cfg, job, fixer)
     stored, metrics = _counted(done, "answers")
     good, errors = route_errors(stored, ROW)
     _stop_at_first(errors, cfg)
-    return JobResult(_output(good, cfg, compiled, inputs), errors, metrics)
+    return JobResult(_output(good, cfg, job, inputs), errors, metrics)
 
 
 def _stop_at_first(errors: DataFrame, cfg: JobConfig) -> None:
@@ -164,9 +163,9 @@ def _stop_at_first(errors: DataFrame, cfg: JobConfig) -> None:
             raise RuntimeError(first[0]["report"])
 
 
-def _output(good: DataFrame, cfg: JobConfig, compiled: DataFrame, inputs: list[str], carried: list[str] | None = None) -> DataFrame:
+def _output(good: DataFrame, cfg: JobConfig, job: OneJob, inputs: list[str], carried: list[str] | None = None) -> DataFrame:
     p = cfg.processing
-    kinds = {r["field"]: r["kind"] for r in compiled.select(F.inline("fields")).collect()}
+    kinds = dict(job.kinds)
     if not kinds and p.output_fields:
         kinds = {n: "any" for n in p.output_fields if n not in inputs and n != p.response_field}
     keep = carry_input(inputs, p.include_input_in_output, p.key_column) if carried is None else carried
@@ -184,28 +183,29 @@ def run_batches(records: DataFrame, cfg: JobConfig, fn=None, run: str = "run") -
     p, spark = cfg.processing, records.sparkSession
     prepare(spark)
     inputs = [c for c in records.columns if c != ROW]
-    compiled = materialize(compile_spec(job_spec(spark, cfg)), "spec")
+    job = one_job(job_spec(spark, cfg), JOB)
     batches = make_batches(record_body(records, cfg.prompt.input_template), p.batch_size)
-    asked = batches.withColumn("job_id", F.lit(JOB)).join(compiled.select("job_id", "fields", "batch_lines"), "job_id", "left")
-    asked = asked.withColumn("system", F.lit(cfg.prompt.system)).withColumn(
-        "user", batch_user_text(F.col("rows"), "_body", F.col("batch_lines"), F.lit(p.thinking), cfg.prompt.post_prompt)
+    asked = batches.withColumn("system", F.lit(cfg.prompt.system)).withColumn(
+        "user", batch_user_text(F.col("rows"), "_body", job.text("batch_lines"), F.lit(p.thinking), cfg.prompt.post_prompt)
     )
     if p.dry_run:
-        answers = dry_run_generate(asked, compiled, p.response_field)
+        answers = dry_run_generate(asked, job, p.response_field)
         items = F.array_join(F.transform("rows", lambda r: F.col("response")), ",")
         called = answers.withColumn("response", F.concat(F.lit("["), items, F.lit("]"))).withColumn("error", F.lit(None).cast("string"))
     else:
         called = generate(asked, fn, max_attempts=p.max_retries, partitions=p.workers or None)
     called = materialize(called.withColumnRenamed("error", "call_error"), "batch-answers")
-    split = (split_batch_strict if p.strict_output else split_batch_lenient)(called)
-    texts = called.select("batch_id", "call_error", "system", "user", F.col("response").alias("_answer"))
-    rows = split.join(texts, "batch_id").withColumn("error", F.coalesce("call_error", "error"))
-    rows = keep_failed_rows(rows, "response").drop("_body", "item", "call_error")
-    stored, metrics = _counted(rows, "batch-rows")
-    _, errors = route_errors(stored.withColumn("response", F.col("_answer")), ROW)
+    keep = ["call_error"]
+    split = split_batch_strict(called, job, keep=keep) if p.strict_output else split_batch_lenient(called, keep=keep)
+    rows = keep_failed_rows(split.withColumn("error", F.coalesce("call_error", "error")))
+    stored, metrics = _counted(rows.drop("_body", "item", "call_error"), "batch-rows")
+    # only rows of failed batches are joined with the texts of their batch
+    texts = called.select("batch_id", "system", "user", F.col("response").alias("_answer"))
+    failed = stored.where(F.col("error").isNotNull()).join(texts, "batch_id").withColumn("response", F.col("_answer"))
+    _, errors = route_errors(failed, ROW)
     _stop_at_first(errors, cfg)
     # failed batches keep their rows, with an empty response
-    return JobResult(_output(stored, cfg, compiled, inputs, inputs if p.include_input_in_output else []), errors, metrics)
+    return JobResult(_output(stored, cfg, job, inputs, inputs if p.include_input_in_output else []), errors, metrics)
 
 
 def spread_all(main: DataFrame) -> DataFrame:

@@ -8,21 +8,27 @@ from reqweave.functions.salvage import extract_first_json as first_json
 from reqweave.functions.salvage import extract_last_json as last_json
 from reqweave.operators import answers as ops
 from reqweave.operators.merge import key_conflict as conflicts, store_response as store
-from reqweave.operators.spec import compile_spec, spec_frame
+from reqweave.operators.spec import compile_spec, one_job, spec_frame
 from reqweave.queries.derived import ANSWER, ANSWER_ERROR, ANSWER_SCHEMA, KEYS, VALUE
 from reqweave.queries.registry import Tables, query
+from reqweave.storage import materialize
 
 _GOOD = "event_id % 14 < 3"
 _BARE = "concat('{\"approved\":true,\"classification\":\"A\",\"score\":', cast(user_id as string), '}')"
 
 
 def answers_of(t: Tables):
-    return t("events").select("event_id", "user_id", F.expr(ANSWER).alias("response"), F.lit("job").alias("job_id"))
+    return t("events").select("event_id", "user_id", F.expr(ANSWER).alias("response"))
+
+
+def written_answers(t: Tables):
+    """Checked answers as a job keeps them: written, then read as often as needed."""
+    return materialize(checked_answers(t), "checked")
 
 
 def checked_answers(t: Tables):
-    compiled = compile_spec(spec_frame(t.spark, ANSWER_SCHEMA))
-    return ops.check_answers(ops.parse_strict(answers_of(t), "response", F.lit(True)), compiled)
+    job = one_job(spec_frame(t.spark, ANSWER_SCHEMA))
+    return ops.check_answers(ops.parse_strict(answers_of(t), "response", F.lit(True)), job)
 
 
 @query(
@@ -54,12 +60,12 @@ def split_thinking(t):
     "check_keys",
     f"""SELECT event_id, CASE event_id % 14 WHEN 4 THEN '{KEYS} (missing: classification)' WHEN 5 THEN '{KEYS} (extra: note)'
   WHEN 11 THEN '{KEYS} (missing: approved, classification, score)' END AS error
-FROM events WHERE event_id % 14 IN (0, 1, 2, 4, 5, 6, 7, 11, 13)""",
+FROM events""",
 )
 def check_keys(t):
-    parsed = ops.parse_strict(answers_of(t), "response", F.lit(True)).where(F.col("parsed").isNotNull())
-    fields = compile_spec(spec_frame(t.spark, ANSWER_SCHEMA)).select("job_id", "fields")
-    return parsed.join(fields, "job_id").select("event_id", ops.key_error(F.col("parsed"), F.col("fields")).alias("error"))
+    parsed = ops.parse_strict(answers_of(t), "response", F.lit(True))
+    names = F.array(*map(F.lit, sorted(ANSWER_SCHEMA)))
+    return parsed.select("event_id", ops.key_error(F.col("parsed"), names).alias("error"))
 
 
 @query("check_types", f"SELECT event_id, {ANSWER_ERROR} AS error FROM events")
@@ -103,7 +109,7 @@ def parse_strict_array(t):
     f"""SELECT event_id, true AS approved, 'A' AS classification, user_id AS score FROM events WHERE {_GOOD}""",
 )
 def spread_fields(t):
-    good = checked_answers(t).where(F.col("error").isNull())
+    good = written_answers(t).where(F.col("error").isNull())
     return ops.spread_fields(good, {"approved": "bool", "score": "int", "classification": "enum"}).select(
         "event_id", "approved", "classification", "score"
     )
@@ -116,7 +122,6 @@ UNION ALL SELECT event_id, 'main', NULL, length({ANSWER}) FROM events WHERE {_GO
 )
 def route_errors(t):
     from reqweave.operators.generate import route_errors as route
-    from reqweave.storage import materialize
 
     asked = checked_answers(t).withColumns({"system": F.lit("Check events."), "user": F.concat(F.lit("event "), "event_id")})
     good, bad = route(materialize(asked.drop("parsed"), "checked"), "event_id")
@@ -129,7 +134,7 @@ def route_errors(t):
     f"""SELECT event_id, {ANSWER} AS raw, CASE WHEN event_id % 14 IN (0, 1, 2) THEN {_BARE} END AS shown FROM events WHERE {_GOOD}""",
 )
 def store_response(t):
-    good = checked_answers(t).where(F.col("error").isNull())
+    good = written_answers(t).where(F.col("error").isNull())
     kept = store(store(good, "raw", thinking=True), "shown", thinking=True, show_thinking=False)
     return store(kept, "switched_off", keep_raw=False).select("event_id", "raw", "shown")
 
@@ -145,10 +150,10 @@ def merge_response(t):
     return ops.spread_fields(marked, {"quality": "int", "remark": "string"}).select("doc_id", "quality", "toxic", "remark", "conflict")
 
 
-@query("key_conflict", f"SELECT event_id, event_id % 7 = 5 AS conflict FROM events WHERE event_id % 14 IN (0, 1, 2, 4, 5, 6, 7, 11, 13)")
+@query("key_conflict", "SELECT event_id, CASE WHEN event_id % 14 IN (0, 1, 2, 4, 5, 6, 7, 11, 13) THEN event_id % 14 = 5 END AS conflict FROM events")
 def key_conflict(t):
     # the input of these answers has a column named note, which one of them overwrites
-    parsed = ops.parse_strict(answers_of(t), "response", F.lit(True)).where(F.col("parsed").isNotNull())
+    parsed = ops.parse_strict(answers_of(t), "response", F.lit(True))
     return parsed.select("event_id", conflicts(F.col("parsed"), ["event_id", "note"]).alias("conflict"))
 
 

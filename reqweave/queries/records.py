@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from reqweave.operators import batches as bat
 from reqweave.operators import merge, ordering as ops
 from reqweave.operators.ordering import ROW
-from reqweave.operators.spec import compile_spec, spec_frame
+from reqweave.operators.spec import one_job, spec_frame
 from reqweave.queries.registry import Tables, query
 
 _NUMBERED = "SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx FROM orders"
@@ -105,9 +105,7 @@ def _batches(t: Tables):
     from reqweave.functions.jsonvals import pretty_record
 
     rows = numbered_orders(t).select(ROW, F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))
-    made = bat.make_batches(rows.withColumn("body", pretty_record(rows, ["key", "status"])), SIZE)
-    compiled = compile_spec(spec_frame(t.spark, _SPEC)).select("job_id", "fields", "batch_lines")
-    return made.withColumn("job_id", F.lit("job")).join(compiled, "job_id")
+    return bat.make_batches(rows.withColumn("body", pretty_record(rows, ["key", "status"])), SIZE)
 
 
 @query(
@@ -127,7 +125,8 @@ def make_batches(t):
 FROM ({_NUMBERED}) GROUP BY 1""",
 )
 def batch_prompt(t):
-    text = bat.batch_user_text(F.col("rows"), "body", F.col("batch_lines"), F.lit(False), "Be quick.")
+    job = one_job(spec_frame(t.spark, _SPEC))
+    text = bat.batch_user_text(F.col("rows"), "body", job.text("batch_lines"), F.lit(False), "Be quick.")
     return _batches(t).select("batch_id", text.alias("prompt"))
 
 
@@ -158,7 +157,7 @@ _BATCH_ERROR = """CASE b % 5 WHEN 1 THEN concat('batch response length mismatch:
     f"SELECT o_orderkey AS key, CASE WHEN b % 5 = 0 THEN {_ITEM} END AS item, CASE WHEN b % 5 = 0 THEN o_orderkey END AS level, {_BATCH_ERROR} AS error FROM ({_BATCHED})",
 )
 def split_batch_strict(t):
-    split = bat.split_batch_strict(_answered(t))
+    split = bat.split_batch_strict(_answered(t), one_job(spec_frame(t.spark, _SPEC)))
     return split.select("key", "item", F.try_variant_get(F.element_at("parsed", F.lit("level")), "$", "bigint").alias("level"), "error")
 
 
@@ -176,5 +175,5 @@ def split_batch_lenient(t):
     f"SELECT o_orderkey AS key, CASE WHEN b % 5 = 0 THEN {_ITEM} ELSE '' END AS response, b % 5 <> 0 AS failed FROM ({_BATCHED})",
 )
 def batch_failure_rows(t):
-    kept = bat.keep_failed_rows(bat.split_batch_strict(_answered(t)))
+    kept = bat.keep_failed_rows(bat.split_batch_strict(_answered(t), one_job(spec_frame(t.spark, _SPEC))))
     return kept.select("key", "response", F.col("error").isNotNull().alias("failed"))

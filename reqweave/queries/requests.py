@@ -8,7 +8,7 @@ from reqweave.operators import prompts as ops
 from reqweave.operators.answers import check_answers, parse_strict
 from reqweave.operators.dialects import DIALECTS, build_request_payload as build_payload
 from reqweave.operators.enrich import answer_precedence as precedence, enrich_lookup as lookup
-from reqweave.operators.spec import compile_spec, repair_text, spec_frame
+from reqweave.operators.spec import one_job, repair_text, spec_frame
 from reqweave.queries.derived import ANSWER, ANSWER_SCHEMA, VALUE
 from reqweave.queries.registry import query
 from reqweave.storage import materialize
@@ -83,9 +83,9 @@ _REPAIR = """concat('Convert the text below into a single valid JSON object. Out
 
 @query("repair_prompt", f"SELECT event_id, {_REPAIR} {ANSWER}) AS prompt FROM events")
 def repair_prompt(t):
-    compiled = compile_spec(spec_frame(t.spark, ANSWER_SCHEMA)).select("job_id", "field_lines", "example")
-    asked = t("events").select("event_id", F.expr(ANSWER).alias("response"), F.lit("job").alias("job_id")).join(compiled, "job_id")
-    return asked.select("event_id", repair_text(F.col("response"), F.col("field_lines"), F.col("example")).alias("prompt"))
+    job = one_job(spec_frame(t.spark, ANSWER_SCHEMA))
+    text = repair_text(F.expr(ANSWER), job.text("field_lines"), job.text("example"))
+    return t("events").select("event_id", text.alias("prompt"))
 
 
 def _echo(system: str, user: str) -> str:
@@ -125,12 +125,11 @@ def repair_pass(t):
     from reqweave.plans.job import checked, repaired
 
     cfg = job_config({"prompt": {"input_template": "{{ .record }}"}, "processing": {"response_schema": ANSWER_SCHEMA, "thinking": True}})
-    compiled = compile_spec(spec_frame(t.spark, ANSWER_SCHEMA))
+    job = one_job(spec_frame(t.spark, ANSWER_SCHEMA))
     answers = t("events").select(
-        "event_id", "user_id", "event_type", F.expr(ANSWER).alias("response"), F.lit("job").alias("job_id"),
-        F.lit(None).cast("string").alias("call_error"),
+        "event_id", "user_id", "event_type", F.expr(ANSWER).alias("response"), F.lit(None).cast("string").alias("call_error")
     )
-    fixed = repaired(checked(answers, cfg, compiled), cfg, compiled, _fix)
+    fixed = materialize(repaired(checked(answers, cfg, job), cfg, job, _fix), "repaired")
     score = F.try_variant_get(F.element_at("parsed", F.lit("score")), "$", "bigint")
     passed = fixed.where(F.col("error").isNull())
     return passed.select("event_id", score.alias("score"), (F.col("response") != F.expr(ANSWER)).alias("was_repaired"))
@@ -152,9 +151,8 @@ def audit_log(t):
 def progress_metrics(t):
     from pyspark.sql import Observation
 
-    compiled = compile_spec(spec_frame(t.spark, ANSWER_SCHEMA))
-    answers = t("events").select("event_id", F.expr(ANSWER).alias("response"), F.lit("job").alias("job_id"))
-    done = check_answers(parse_strict(answers, "response", F.lit(True)), compiled)
+    answers = t("events").select("event_id", F.expr(ANSWER).alias("response"))
+    done = check_answers(parse_strict(answers, "response", F.lit(True)), one_job(spec_frame(t.spark, ANSWER_SCHEMA)))
     seen = Observation("progress")
     materialize(done.observe(seen, F.count(F.lit(1)).alias("processed"), F.count_if(F.col("error").isNull()).alias("ok")).select("event_id", "error"), "progress")
     return t.spark.createDataFrame([(seen.get["processed"], seen.get["ok"])], "processed long, ok long")
