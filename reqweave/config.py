@@ -72,6 +72,7 @@ class ProcessingConfig:
     strict_output: bool = True
     continue_on_error: bool = False
     workers: int = 0
+    rate_limit_rpm: int = 0
     max_retries: int = 3
     dry_run: bool = False
     batch_size: int = 0

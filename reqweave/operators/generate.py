@@ -45,9 +45,13 @@ def _call(fn: Generator, system: str, user: str, max_attempts: int, sleep) -> tu
     return None, str(problem), max_attempts, int((time.monotonic() - start) * 1000)
 
 
-def call_generator(fn: Generator, system: Column, user: Column, max_attempts: int = MAX_ATTEMPTS, sleep=time.sleep) -> Column:
+def call_generator(
+    fn: Generator, system: Column, user: Column, max_attempts: int = MAX_ATTEMPTS, sleep=time.sleep, pause: float = 0.0
+) -> Column:
     """Answer struct (response, error, attempts, duration_ms) per row.
 
+    ``pause`` is the least time in seconds between two calls of one task.
+
     Only the two prompt columns travel to Python; the rest of the row waits in the
     JVM. Rows with a null user text are not sent. Write the result before reading
     it twice (``materialize``): calls cost money and do not repeat.
@@ -55,24 +59,36 @@ def call_generator(fn: Generator, system: Column, user: Column, max_attempts: in
 
     @F.pandas_udf(ANSWER)
     def answer(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        names = ["response", "error", "attempts", "duration_ms"]
+        next_start = 0.0
         for systems, users in batches:
-            rows = [
-                (None, None, 0, 0) if u is None else _call(fn, s or "", u, max_attempts, sleep)
-                for s, u in zip(systems, users)
-            ]
-            yield pd.DataFrame(rows, columns=names)
+            rows = []
+            for s, u in zip(systems, users):
+                if u is None:
+                    rows.append((None, None, 0, 0))
+                    continue
+                if pause:
+                    sleep(max(0.0, next_start - time.monotonic()))
+                    next_start = time.monotonic() + pause
+                rows.append(_call(fn, s or "", u, max_attempts, sleep))
+            yield pd.DataFrame(rows, columns=["response", "error", "attempts", "duration_ms"])
 
     return answer.asNondeterministic()(system, user)
 
 
 def generate(
     requests: DataFrame, fn: Generator, system: str = "system", user: str = "user",
-    max_attempts: int = MAX_ATTEMPTS, partitions: int | None = None, sleep=time.sleep,
+    max_attempts: int = MAX_ATTEMPTS, partitions: int | None = None, sleep=time.sleep, per_minute: int = 0,
 ) -> DataFrame:
-    """Adds response, error, attempts and duration_ms; ``partitions`` sets how many calls run at once."""
+    """Adds response, error, attempts and duration_ms.
+
+    ``partitions`` sets how many calls run at once. ``per_minute`` limits the calls
+    of the whole stage; every task gets its share, so it needs ``partitions``.
+    """
+    if per_minute > 0 and not partitions:
+        raise ValueError("per_minute needs partitions, among which the budget is divided")
+    pause = 60.0 * partitions / per_minute if per_minute > 0 else 0.0
     spread = requests.repartition(partitions) if partitions else requests
-    called = spread.withColumn("_answer", call_generator(fn, F.col(system), F.col(user), max_attempts, sleep))
+    called = spread.withColumn("_answer", call_generator(fn, F.col(system), F.col(user), max_attempts, sleep, pause))
     return called.select("*", "_answer.*").drop("_answer")
 
 

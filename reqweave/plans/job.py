@@ -120,6 +120,13 @@ def repaired(df: DataFrame, cfg: JobConfig, job: OneJob, fn: Callable) -> DataFr
     )
 
 
+def _generated(requests: DataFrame, cfg: JobConfig, fn: Callable) -> DataFrame:
+    """Calls by ``workers`` tasks; a rate limit without workers means a single one."""
+    p = cfg.processing
+    tasks = p.workers or (1 if p.rate_limit_rpm else None)
+    return generate(requests, fn, max_attempts=p.max_retries, partitions=tasks, per_minute=p.rate_limit_rpm)
+
+
 def _answered(requests: DataFrame, cfg: JobConfig, job: OneJob, fn, pages) -> DataFrame:
     p = cfg.processing
     if p.dry_run:
@@ -127,7 +134,7 @@ def _answered(requests: DataFrame, cfg: JobConfig, job: OneJob, fn, pages) -> Da
     if cfg.tools.enabled:
         asked = agent_rounds(requests, fn, pages, cfg.tools.names, cfg.tools.max_rounds, p.max_retries)
         return asked.drop("rounds").withColumnRenamed("error", "call_error")
-    called = generate(requests, fn, max_attempts=p.max_retries, partitions=p.workers or None)
+    called = _generated(requests, cfg, fn)
     return called.drop("attempts", "duration_ms").withColumnRenamed("error", "call_error")
 
 
@@ -193,7 +200,7 @@ def run_batches(records: DataFrame, cfg: JobConfig, fn=None, run: str = "run") -
         items = F.array_join(F.transform("rows", lambda r: F.col("response")), ",")
         called = answers.withColumn("response", F.concat(F.lit("["), items, F.lit("]"))).withColumn("error", F.lit(None).cast("string"))
     else:
-        called = generate(asked, fn, max_attempts=p.max_retries, partitions=p.workers or None)
+        called = _generated(asked, cfg, fn)
     called = materialize(called.withColumnRenamed("error", "call_error"), "batch-answers")
     keep = ["call_error"]
     split = split_batch_strict(called, job, keep=keep) if p.strict_output else split_batch_lenient(called, keep=keep)

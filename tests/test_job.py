@@ -196,6 +196,20 @@ def test_retry_waits(spark):
     assert waits == [9, 2.0]
 
 
+def test_rate_limit_spaces_the_calls(spark):
+    import time
+
+    def stamp(system, user):
+        return '{"result":"%.6f"}' % time.time()
+
+    rows = run_job(spark, config(workers=2, rate_limit_rpm=600), stamp, people(spark, 8)).main.collect()
+    times = sorted(float(r["result"]) for r in rows)
+    # ten calls a second over two tasks: eight calls take at least three pauses of 0.2 s
+    assert times[-1] - times[0] > 0.55
+    with pytest.raises(ValueError):
+        generate(people(spark), stamp, per_minute=5)
+
+
 def test_restart_sends_only_what_is_open(spark):
     asked = spark.createDataFrame([("a", "", "x"), ("b", "", "y")], "request_id string, system string, user string")
     stored = materialize(generate(asked.where("request_id = 'a'"), lambda s, u: u.upper()), "answers")
