@@ -94,11 +94,15 @@ def _answer_calls(asked: DataFrame, columns: list[str], pages: DataFrame | None,
     said = _message("assistant", F.col("_step.content"), F.col("_step.calls"))
     rest = [c for c in columns if c != "request_id"]
     record = F.struct(*rest, F.concat("_messages", F.array(said)).alias("_messages"))
-    calls = asked.select("request_id", record.alias("_record"), F.posexplode("_step.calls").alias("_no", "_call"))
-    calls = calls.select("request_id", "_record", "_no", F.col("_call.id").alias("_id"), F.col("_call.name").alias("name"), F.col("_call.args").alias("args"))
+    calls = asked.select("request_id", record.alias("_all"), F.posexplode("_step.calls").alias("_no", "_call"))
+    # the record itself travels with its first call only
+    calls = calls.select(
+        "request_id", F.when(F.col("_no") == 0, F.col("_all")).alias("_record"), "_no",
+        F.col("_call.id").alias("_id"), F.col("_call.name").alias("name"), F.col("_call.args").alias("args"),
+    )
     done = dispatch_tools(calls, pages, tools)
     reply = F.struct("_no", _message("tool", F.col("result"), call_id=F.col("_id"), tool=F.col("name")).alias("m"))
-    back = done.groupBy("request_id").agg(F.any_value("_record").alias("_record"), F.array_sort(F.collect_list(reply)).alias("_replies"))
+    back = done.groupBy("request_id").agg(F.any_value("_record", ignoreNulls=True).alias("_record"), F.array_sort(F.collect_list(reply)).alias("_replies"))
     messages = F.concat("_record._messages", F.transform("_replies", lambda r: r["m"]))
     return back.select(
         "request_id", *[F.col("_record")[c].alias(c) for c in rest], messages.cast(f"array<{MESSAGE}>").alias("_messages")

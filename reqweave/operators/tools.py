@@ -72,12 +72,34 @@ def _regex_calls(text: pd.Series, pattern: pd.Series, group: pd.Series, limit: p
     return pd.DataFrame(rows, columns=["result", "error"])
 
 
-def _argument(name: str, kind: str, sql_type: str, default) -> tuple[Column, Column]:
-    """(value, wrong type) of one member of the arguments."""
-    value = F.element_at("_args", F.lit(name))
-    actual = value_kind(value)
-    wrong = F.coalesce(~actual.isin(kind, "null"), F.lit(False))
-    return F.coalesce(F.try_variant_get(value, "$", sql_type), F.lit(default)), wrong
+# The arguments of each tool, their JSON kind, column type and default.
+ARGUMENTS = {
+    "text_stats": [("text", "string", "string", "")],
+    "regex_extract": [
+        ("text", "string", "string", ""), ("pattern", "string", "string", ""), ("group", "number", "int", 0),
+        ("max_matches", "number", "int", 0), ("case_insensitive", "bool", "boolean", False),
+    ],
+    "json_extract": [("json", "string", "string", ""), ("path", "string", "string", "")],
+    "web_fetch": [("url", "string", "string", "")],
+    "web_extract_links": [("url", "string", "string", ""), ("max_links", "number", "int", 0)],
+}
+
+
+def _with_arguments(calls: DataFrame, active: list[str]) -> DataFrame:
+    """Adds the arguments of the active tools, each read once, and ``_problem``."""
+    wanted = {a[0]: a for tool in active for a in ARGUMENTS[tool]}
+    known = F.col("name").isin(active)
+    out = calls.withColumn("_frame", framed(F.when(known, F.col("args"))))
+    out = out.withColumn("_args", object_fields(framed_value(F.col("_frame"))))
+    member = lambda name: F.element_at("_args", F.lit(name))
+    values = {f"_{n}": F.coalesce(F.try_variant_get(member(n), "$", sql), F.lit(default)) for n, _, sql, default in wanted.values()}
+    kinds = {f"_{n}_kind": value_kind(member(n)) for n in wanted}
+    out = out.withColumns({**values, **kinds})
+    wrong = F.col("_args").isNull()
+    for tool in active:
+        for n, kind, _, _ in ARGUMENTS[tool]:
+            wrong = wrong | ((F.col("name") == tool) & ~F.coalesce(F.col(f"_{n}_kind").isin(kind, "null"), F.lit(True)))
+    return out.withColumn("_problem", F.when(known & wrong, "invalid arguments"))
 
 
 def _asked_links(calls: DataFrame) -> DataFrame:
@@ -93,81 +115,50 @@ def dispatch_tools(calls: DataFrame, pages: DataFrame | None = None, enabled: li
     hand their texts to Python, because each row brings its own pattern.
     """
     active = [t for t in enabled if t in TOOLS and (pages is not None or t not in PAGE_TOOLS)]
-    known = F.col("name").isin(active)
-    text, bad_text = _argument("text", "string", "string", "")
-    pattern, bad_pattern = _argument("pattern", "string", "string", "")
-    group, bad_group = _argument("group", "number", "int", 0)
-    limit, bad_limit = _argument("max_matches", "number", "int", 0)
-    fold, bad_fold = _argument("case_insensitive", "bool", "boolean", False)
-    doc, bad_doc = _argument("json", "string", "string", "")
-    path, bad_path = _argument("path", "string", "string", "")
-    url, bad_url = _argument("url", "string", "string", "")
-    links, bad_links = _argument("max_links", "number", "int", 0)
-
-    name = F.col("name")
-    frame = framed(F.when(known, F.col("args")))
-    out = calls.withColumn("_frame", frame).withColumn("_args", object_fields(framed_value(F.col("_frame"))))
-    wrong = (
-        F.col("_args").isNull()
-        | ((name == "text_stats") & bad_text)
-        | ((name == "regex_extract") & (bad_text | bad_pattern | bad_group | bad_limit | bad_fold))
-        | ((name == "json_extract") & (bad_doc | bad_path))
-        | ((name == "web_fetch") & bad_url)
-        | ((name == "web_extract_links") & (bad_url | bad_links))
-    )
-    out = out.withColumn("_problem", F.when(known & wrong, "invalid arguments"))
-    ok = F.col("_problem").isNull()
-
-    is_regex = ok & (name == "regex_extract") & ~is_blank(text) & ~is_blank(pattern)
-    out = out.withColumns(
-        {
-            "_doc": framed(F.when(ok & (name == "json_extract") & ~is_blank(doc), doc)),
-            "_rx": _regex_calls(F.when(is_regex, text), F.when(is_regex, pattern), group, limit, fold),
-        }
-    )
-    found = F.try_variant_get(
-        framed_value(F.col("_doc")), F.concat(F.when(path.startswith("["), "$").otherwise("$."), path), "variant"
-    )
-    extracted = F.to_json(
-        F.struct(found.isNotNull().alias("found"), path.alias("path"), found.alias("value")), {"ignoreNullFields": "false"}
-    )
-    problem = (
-        F.when((name == "text_stats") & is_blank(text), "text is required")
-        .when((name == "regex_extract") & is_blank(text), "text is required")
-        .when((name == "regex_extract") & is_blank(pattern), "pattern is required")
-        .when(name == "regex_extract", F.col("_rx.error"))
-        .when((name == "json_extract") & is_blank(doc), "json is required")
-        .when((name == "json_extract") & is_blank(path), "path is required")
-        .when((name == "json_extract") & framed_value(F.col("_doc")).isNull(), "parse json")
-    )
-    result = (
-        F.when(name == "text_stats", F.to_json(text_stats(text)))
-        .when(name == "regex_extract", F.col("_rx.result"))
-        .when(name == "json_extract", extracted)
-    )
+    name, known = F.col("name"), F.col("name").isin(active)
+    is_tool = lambda tool: (name == tool) & F.col("_problem").isNull()
+    out, problem, result = _with_arguments(calls, active), F.lit(None).cast("string"), F.lit(None).cast("string")
+    if "text_stats" in active:
+        problem = F.when(is_tool("text_stats") & is_blank(F.col("_text")), "text is required").otherwise(problem)
+        result = F.when(is_tool("text_stats"), F.to_json(text_stats(F.col("_text")))).otherwise(result)
+    if "regex_extract" in active:
+        usable = is_tool("regex_extract") & ~is_blank(F.col("_text")) & ~is_blank(F.col("_pattern"))
+        given = lambda column: F.when(usable, F.col(column))
+        out = out.withColumn("_rx", _regex_calls(given("_text"), given("_pattern"), F.col("_group"), F.col("_max_matches"), F.col("_case_insensitive")))
+        refused = F.when(is_blank(F.col("_text")), "text is required").when(is_blank(F.col("_pattern")), "pattern is required").otherwise(F.col("_rx.error"))
+        problem = F.when(is_tool("regex_extract"), refused).otherwise(problem)
+        result = F.when(is_tool("regex_extract"), F.col("_rx.result")).otherwise(result)
+    if "json_extract" in active:
+        doc, path = F.col("_json"), F.col("_path_arg")
+        out = out.withColumnRenamed("_path", "_path_arg").withColumn("_doc_frame", framed(F.when(is_tool("json_extract") & ~is_blank(doc), doc)))
+        out = out.withColumn("_doc", framed_value(F.col("_doc_frame")))
+        found = F.try_variant_get(F.col("_doc"), F.concat(F.when(path.startswith("["), "$").otherwise("$."), path), "variant")
+        shown = F.struct(found.isNotNull().alias("found"), path.alias("path"), found.alias("value"))
+        refused = F.when(is_blank(doc), "json is required").when(is_blank(path), "path is required").when(F.col("_doc").isNull(), "parse json")
+        problem = F.when(is_tool("json_extract"), refused).otherwise(problem)
+        result = F.when(is_tool("json_extract"), F.to_json(shown, {"ignoreNullFields": "false"})).otherwise(result)
     result = escape_markup(result)
-    if pages is not None:
-        out = out.withColumn("_url", F.when(ok & name.isin(PAGE_TOOLS), F.nullif(url, F.lit(""))))
+    web = [t for t in active if t in PAGE_TOOLS]
+    if web:
+        url, is_web = F.col("_url"), name.isin(web) & F.col("_problem").isNull()
         stored = wanted_pages(pages, _asked_links(calls))
-        out = out.join(stored, F.col("_url") == F.col("_page"), "left")
-        web = name.isin(PAGE_TOOLS)
+        out = out.join(stored, F.when(is_web, F.nullif(url, F.lit(""))) == F.col("_page"), "left")
         problem = F.coalesce(
             problem,
-            F.when(web & (url == ""), "url is required")
-            .when(web & ~(url.startswith("http://") | url.startswith("https://")), "url must start with http:// or https://")
-            .when(web & F.col("_html").isNull(), "page not stored"),
-        )
-        # the link function takes its limit from the driver, so cut again by row
-        every = F.slice(extract_links(F.col("_url"), F.col("_html"), 100), F.lit(1), F.when(links <= 0, 20).otherwise(F.least(links, F.lit(100))))
-        result = F.coalesce(
-            F.when(name == "web_fetch", html_to_text(F.col("_html"))),
-            F.when(name == "web_extract_links", escape_markup(F.to_json(every))),
-            result,
+            F.when(is_web & (url == ""), "url is required")
+            .when(is_web & ~(url.startswith("http://") | url.startswith("https://")), "url must start with http:// or https://")
+            .when(is_web & F.col("_html").isNull(), "page not stored"),
         )
-    out = out.withColumn("_problem", F.coalesce("_problem", F.when(known, problem)))
+        result = F.when(is_tool("web_fetch"), html_to_text(F.col("_html"))).otherwise(result)
+        if "web_extract_links" in web:
+            # the link function takes its limit from the driver, so the row's own limit cuts again
+            most = F.when(F.col("_max_links") <= 0, match_limit(0)).otherwise(F.least(F.col("_max_links"), F.lit(match_limit(1000))))
+            links = F.slice(extract_links(F.col("_page"), F.col("_html"), match_limit(1000)), F.lit(1), most)
+            result = F.when(is_tool("web_extract_links"), escape_markup(F.to_json(links))).otherwise(result)
+    problem = F.coalesce("_problem", F.when(known, problem))
     shown = (
         F.when(~known, F.concat(F.lit("unknown tool: "), name))
-        .when(F.col("_problem").isNotNull(), F.concat(F.lit("tool "), name, F.lit(" error: "), F.col("_problem")))
+        .when(problem.isNotNull(), F.concat(F.lit("tool "), name, F.lit(" error: "), problem))
         .otherwise(result)
     )
     return out.select(*calls.columns, shown.alias("result"))
