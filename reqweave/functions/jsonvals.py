@@ -77,12 +77,26 @@ def value_kind(value: Column) -> Column:
     return kind_of_type(F.schema_of_variant(value))
 
 
+# Fixed value: what counts as one step of a path, a member name or an index.
+PATH_STEP = r"[^\.\[\]]+|\[(\d+)\]"
+MAX_INDEX_DIGITS = 9
+
+
+def value_path(path: Column) -> Column:
+    """``a.b[0].c`` as a path every VARIANT accepts; odd characters belong to names.
+
+    Null, which finds nothing, for an index no array reaches.
+    """
+    steps = F.filter(F.transform(F.regexp_extract_all(path, F.lit(PATH_STEP), F.lit(0)), trim_space), lambda s: s != "")
+    is_index = lambda s: s.rlike(r"^\[\d+\]$")
+    joined = F.array_join(F.transform(steps, lambda s: F.when(is_index(s), s).otherwise(F.concat(F.lit("."), s))), "")
+    too_far = F.exists(steps, lambda s: is_index(s) & (F.length(s) > MAX_INDEX_DIGITS + 2))
+    return F.when(~too_far, F.concat(F.lit("$"), joined))
+
+
 def json_extract(doc: Column, path: Column) -> Column:
     """Value at a path such as ``a.b[0].c``: struct of found, path, value (JSON text)."""
-    v = F.try_parse_json(doc)
-    hit = F.try_variant_get(v, F.concat(F.lit("$."), path), "variant")
-    # a path into the top-level array has no leading dot
-    hit = F.when(path.startswith("["), F.try_variant_get(v, F.concat(F.lit("$"), path), "variant")).otherwise(hit)
+    hit = F.try_variant_get(F.try_parse_json(doc), value_path(path), "variant")
     return F.when(
         ~is_blank(doc) & ~is_blank(path),
         F.struct(hit.isNotNull().alias("found"), path.alias("path"), F.to_json(hit).alias("value")),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
+try:  # knows character classes such as \\p{L}
+    import regex as patterns
+except ImportError:
+    import re as patterns
+
 # The code points with the Unicode White_Space property.
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680"
@@ -73,7 +76,7 @@ def regex_extract(
     source = pattern.strip()
     if not source:
         raise ValueError("pattern is required")
-    checked = re.compile(source)
+    checked = patterns.compile(source)
     if checked.match("") is not None:
         raise ValueError("a pattern that matches empty text needs the per-row regex tool")
     limit, group = match_limit(max_matches), max(group, 0)

@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from reqweave.functions.jsonvals import escape_markup, framed, framed_value, object_fields, value_kind
+from reqweave.functions.jsonvals import escape_markup, framed, framed_value, object_fields, value_kind, value_path
 from reqweave.functions.links import extract_links
-from reqweave.functions.text import html_to_text, is_blank, match_limit, text_stats
-from reqweave.functions.text import trim_space
+from reqweave.functions.text import html_to_text, is_blank, match_limit, patterns, text_stats, trim_space
 from reqweave.operators.enrich import wanted_pages
 
 # Tool names and messages, and the row limit of the SQL tool.
 TOOLS = ["text_stats", "regex_extract", "json_extract", "web_fetch", "web_extract_links"]
 PAGE_TOOLS = ["web_fetch", "web_extract_links"]
 SQL_ROWS = 100
+# a pattern of a call may backtrack without end; the plain re module cannot stop that
+MATCH_LIMITS = {"timeout": 60} if patterns.__name__ == "regex" else {}
 READ_ONLY = "only SELECT or WITH … SELECT queries are allowed"
 
 
@@ -42,20 +42,23 @@ def sql_answer(spark: SparkSession, query: str) -> DataFrame:
 def _one_regex(text, pattern, group, limit, fold):
     source = pattern.strip()
     try:
-        found = re.compile(source, re.IGNORECASE if fold else 0)
-    except re.error as e:
+        found = patterns.compile(source, patterns.IGNORECASE if fold else 0)
+    except patterns.error as e:
         return None, f"compile pattern: {e}"
     group, limit = max(group, 0), match_limit(limit)
     matches, raw, end = [], 0, -1
-    for m in found.finditer(text):
-        # an empty match right after a match does not count
-        if m.end() == m.start() == end:
-            continue
-        end, raw = m.end(), raw + 1
-        if group <= found.groups:
-            matches.append(m.group(group) or "")
-        if raw >= limit:
-            break
+    try:
+        for m in found.finditer(text, **MATCH_LIMITS):
+            # an empty match right after a match does not count
+            if m.end() == m.start() == end:
+                continue
+            end, raw = m.end(), raw + 1
+            if group <= found.groups:
+                matches.append(m.group(group) or "")
+            if raw >= limit:
+                break
+    except TimeoutError:
+        return None, "pattern takes too long on this text"
     out = {
         "count": len(matches), "group": group, "matches": matches, "pattern": pattern,
         "truncated": raw >= limit and len(matches) >= limit,
@@ -132,7 +135,7 @@ def dispatch_tools(calls: DataFrame, pages: DataFrame | None = None, enabled: li
         doc, path = F.col("_json"), F.col("_path_arg")
         out = out.withColumnRenamed("_path", "_path_arg").withColumn("_doc_frame", framed(F.when(is_tool("json_extract") & ~is_blank(doc), doc)))
         out = out.withColumn("_doc", framed_value(F.col("_doc_frame")))
-        found = F.try_variant_get(F.col("_doc"), F.concat(F.when(path.startswith("["), "$").otherwise("$."), path), "variant")
+        found = F.try_variant_get(F.col("_doc"), value_path(path), "variant")
         shown = F.struct(found.isNotNull().alias("found"), path.alias("path"), found.alias("value"))
         refused = F.when(is_blank(doc), "json is required").when(is_blank(path), "path is required").when(F.col("_doc").isNull(), "parse json")
         problem = F.when(is_tool("json_extract"), refused).otherwise(problem)

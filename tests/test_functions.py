@@ -46,15 +46,23 @@ def test_regex_extract_limits(spark):
         text.regex_extract(F.lit("a"), "a*")
 
 
-def test_json_extract(spark):
-    doc = '{"customer":{"address":{"city":"Berlin"}},"items":[{"name":"x"}],"nil":null}'
-    rows = spark.createDataFrame([(p,) for p in ["customer.address.city", "items[0].name", "nil", "items[3]", "a.b"]], "p string")
-    got = {r["p"]: (r["j"]["found"], r["j"]["value"]) for r in rows.select("p", json_extract(F.lit(doc), F.col("p")).alias("j")).collect()}
-    assert got == {
-        "customer.address.city": (True, '"Berlin"') if got["customer.address.city"][1].startswith('"') else (True, "Berlin"),
-        "items[0].name": got["items[0].name"], "nil": (True, "null"), "items[3]": (False, None), "a.b": (False, None),
-    }
-    assert got["items[0].name"][0]
+@pytest.mark.parametrize(
+    "path,found,value",
+    [
+        ("customer.address.city", True, '"Berlin"'), ("items[0].name", True, '"x"'), ("nil", True, "null"), ("items[3]", False, None),
+        ("a.b", False, None), ("items[99999999999999]", False, None), ("$.nil", False, None), ("customer..address", True, '{"city":"Berlin"}'),
+        ("it's?", True, "1"), ("items[x]", False, None), ("nil.deeper", False, None), ("[0]", False, None),
+    ],
+)
+def test_json_extract(spark, path, found, value):
+    doc = '{"customer":{"address":{"city":"Berlin"}},"items":[{"name":"x"}],"nil":null,"it\'s?":1}'
+    df = spark.createDataFrame([(doc, path)], "d string, p string")
+    r = df.select(json_extract(F.col("d"), F.col("p")).alias("j")).first()["j"]
+    assert (r["found"], r["value"]) == (found, value)
+
+
+def test_regex_knows_character_classes(spark):
+    assert one(spark, "Öl und Äpfel", lambda c: text.regex_extract(c, r"\p{Lu}\p{L}+"))["matches"] == ["Öl", "Äpfel"]
 
 
 def test_links_are_absolute_and_distinct(spark):
