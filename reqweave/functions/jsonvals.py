@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from reqweave.functions.binding import let
 from reqweave.functions.text import is_blank, trim_space
 
 # The parser behind VARIANT stops at the end of the first value. Putting the text
@@ -36,9 +37,7 @@ def framed_value(frame: Column) -> Column:
 
 def strict_value(text: Column) -> Column:
     """VARIANT of a text that is exactly one JSON value, else null."""
-    return F.get(
-        F.transform(F.array(framed(text)), framed_value), F.lit(0)
-    )
+    return let(framed(text), framed_value)
 
 
 def member_map(value: Column) -> Column:
@@ -118,33 +117,41 @@ def escape_markup(c: Column) -> Column:
 
 def float_text(c: Column, low: int = -6, high: int = 21, pad_small: bool = False) -> Column:
     """Shortest decimal text of a double; exponent form below 10^low and from 10^high on."""
-    raw = F.abs(c).cast("string")
-    has_exp = F.contains(raw, F.lit("E"))
-    mant = F.when(has_exp, F.substring_index(raw, "E", 1)).otherwise(raw)
-    whole, frac = F.substring_index(mant, ".", 1), F.substring_index(mant, ".", -1)
-    frac = F.rtrim(frac, F.lit("0"))
-    shift = F.when(has_exp, F.substring_index(raw, "E", -1).cast("int")).otherwise(0)
-    digits = F.ltrim(F.concat(whole, frac), F.lit("0"))
-    # position of the decimal point relative to the first significant digit
-    lead_zeros = F.length(frac) - F.length(F.ltrim(frac, F.lit("0")))
-    exp = F.when(whole != "0", F.length(whole) - 1 + shift).otherwise(shift - lead_zeros - 1)
-    digits = F.rtrim(digits, F.lit("0"))
-    n = F.length(digits)
-    plain = (
-        F.when(exp < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits))
-        .when(n <= exp + 1, F.rpad(digits, exp + 1, "0"))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), exp + 1), F.lit("."), F.substring(digits, exp + 2, n)))
-    )
-    tail = F.substring(digits, F.lit(2), n)
-    size = F.abs(exp).cast("string")
-    size = F.when((F.length(size) < 2) & ((exp > 0) | F.lit(pad_small)), F.concat(F.lit("0"), size)).otherwise(size)
-    scientific = F.concat(
-        F.substring(digits, 1, 1), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""),
-        F.when(exp < 0, "e-").otherwise("e+"), size,
-    )
-    body = F.when((exp < low) | (exp >= high), scientific).otherwise(plain)
-    sign = F.when(c < 0, "-").otherwise("")
-    return F.when(c == 0, "0").when(c.isNotNull(), F.concat(sign, body))
+
+    def of_digits(x: Column, raw: Column) -> Column:
+        """``raw`` is the shortest text of |x|, possibly with an exponent of its own."""
+        power = F.when(F.contains(raw, F.lit("E")), F.substring_index(raw, "E", -1).cast("int")).otherwise(0)
+        mantissa = F.substring_index(raw, "E", 1)
+        parts = F.struct(
+            F.substring_index(mantissa, ".", 1).alias("whole"),
+            F.rtrim(F.substring_index(mantissa, ".", -1), F.lit("0")).alias("frac"),
+            power.alias("power"),
+        )
+        return let(parts, lambda p: with_exponent(x, p))
+
+    def with_exponent(x: Column, p: Column) -> Column:
+        # exponent of the first significant digit
+        zeros = F.length(p["frac"]) - F.length(F.ltrim(p["frac"], F.lit("0")))
+        first = F.when(p["whole"] != "0", F.length(p["whole"]) - 1).otherwise(-zeros - 1)
+        digits = F.btrim(F.concat(p["whole"], p["frac"]), F.lit("0"))
+        return let(F.struct(digits.alias("digits"), (first + p["power"]).alias("exp")), lambda d: written(x, d["digits"], d["exp"]))
+
+    def written(x: Column, digits: Column, exp: Column) -> Column:
+        n = F.length(digits)
+        plain = (
+            F.when(exp < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits))
+            .when(n <= exp + 1, F.rpad(digits, exp + 1, "0"))
+            .otherwise(F.concat(F.substring(digits, F.lit(1), exp + 1), F.lit("."), F.substring(digits, exp + 2, n)))
+        )
+        size = F.abs(exp).cast("string")
+        size = F.when((F.length(size) < 2) & ((exp > 0) | F.lit(pad_small)), F.concat(F.lit("0"), size)).otherwise(size)
+        rest = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
+        scientific = F.concat(F.left(digits, F.lit(1)), rest, F.when(exp < 0, "e-").otherwise("e+"), size)
+        body = F.when((exp < low) | (exp >= high), scientific).otherwise(plain)
+        return F.concat(F.when(x < 0, "-").otherwise(""), body)
+
+    bound = let(c, lambda x: let(F.abs(x).cast("string"), lambda raw: of_digits(x, raw)))
+    return F.when(c == 0, "0").when(c.isNotNull(), bound)
 
 
 def value_json(c: Column, dtype: T.DataType) -> Column:

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from reqweave.functions.binding import let
 from reqweave.functions.jsonvals import escape_markup, framed, framed_value, object_fields, value_kind, value_path
 from reqweave.functions.links import extract_links
 from reqweave.functions.text import html_to_text, is_blank, match_limit, patterns, text_stats, trim_space
@@ -123,7 +124,7 @@ def dispatch_tools(calls: DataFrame, pages: DataFrame | None = None, enabled: li
     out, problem, result = _with_arguments(calls, active), F.lit(None).cast("string"), F.lit(None).cast("string")
     if "text_stats" in active:
         problem = F.when(is_tool("text_stats") & is_blank(F.col("_text")), "text is required").otherwise(problem)
-        result = F.when(is_tool("text_stats"), F.to_json(text_stats(F.col("_text")))).otherwise(result)
+        result = F.when(is_tool("text_stats"), let(F.col("_text"), lambda x: F.to_json(text_stats(x)))).otherwise(result)
     if "regex_extract" in active:
         usable = is_tool("regex_extract") & ~is_blank(F.col("_text")) & ~is_blank(F.col("_pattern"))
         given = lambda column: F.when(usable, F.col(column))
@@ -135,8 +136,8 @@ def dispatch_tools(calls: DataFrame, pages: DataFrame | None = None, enabled: li
         doc, path = F.col("_json"), F.col("_path_arg")
         out = out.withColumnRenamed("_path", "_path_arg").withColumn("_doc_frame", framed(F.when(is_tool("json_extract") & ~is_blank(doc), doc)))
         out = out.withColumn("_doc", framed_value(F.col("_doc_frame")))
-        found = F.try_variant_get(F.col("_doc"), value_path(path), "variant")
-        shown = F.struct(found.isNotNull().alias("found"), path.alias("path"), found.alias("value"))
+        found = F.try_variant_get(F.col("_doc"), let(path, value_path), "variant")
+        shown = let(found, lambda v: F.struct(v.isNotNull().alias("found"), path.alias("path"), v.alias("value")))
         refused = F.when(is_blank(doc), "json is required").when(is_blank(path), "path is required").when(F.col("_doc").isNull(), "parse json")
         problem = F.when(is_tool("json_extract"), refused).otherwise(problem)
         result = F.when(is_tool("json_extract"), F.to_json(shown, {"ignoreNullFields": "false"})).otherwise(result)

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from reqweave.functions.binding import let
 from reqweave.functions.jsonvals import object_fields, strict_value
 from reqweave.functions.text import is_blank, trim_space
 
@@ -18,56 +19,66 @@ HEAD_CHARS = 512
 BOM = "\ufeff"
 
 
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
 def sniff_delimiter(text: Column) -> Column:
     """Most likely separator of CSV text: counts in the first line, more if every line agrees."""
     head = F.regexp_replace(F.left(text, F.lit(SNIFF_CHARS)), "^" + BOM, "")
     lines = F.slice(F.filter(F.split(head, "\r?\n"), lambda s: trim_space(s) != ""), 1, SNIFF_LINES)
 
-    def score(delimiter: str) -> Column:
-        counts = F.transform(lines, lambda s: F.length(s) - F.length(F.replace(s, F.lit(delimiter), F.lit(""))))
-        first = F.get(counts, F.lit(0))
-        agreed = F.forall(counts, lambda c: c == first)
-        return F.when(first > 0, first * 10 + F.when(agreed, 100).otherwise(0))
+    def ranked(rows: Column, rank: int, delimiter: str) -> Column:
+        score = let(
+            F.transform(rows, lambda s: _count(s, delimiter)),
+            lambda n: F.when(F.get(n, F.lit(0)) > 0, F.get(n, F.lit(0)) * 10 + F.when(F.size(F.array_distinct(n)) == 1, 100).otherwise(0)),
+        )
+        return F.struct(score.alias("score"), F.lit(-rank).alias("rank"), F.lit(delimiter).alias("delimiter"))
 
-    ranked = [
-        F.struct(score(d).alias("score"), F.lit(-i).alias("rank"), F.lit(d).alias("delimiter"))
-        for i, d in enumerate(DELIMITERS)
-    ]
-    present = F.filter(F.array(*ranked), lambda r: r["score"].isNotNull())
-    return F.coalesce(F.array_max(present)["delimiter"], F.lit(DELIMITERS[0]))
+    def best(rows: Column) -> Column:
+        scores = F.array(*[ranked(rows, i, d) for i, d in enumerate(DELIMITERS)])
+        return F.array_max(F.filter(scores, lambda r: r["score"].isNotNull()))["delimiter"]
+
+    return F.coalesce(let(lines, best), F.lit(DELIMITERS[0]))
 
 
 def frequent_delimiter(text: Column) -> Column:
     """Separator that occurs most often, the preferred one among equals."""
     ranked = [
-        F.struct((F.length(text) - F.length(F.replace(text, F.lit(d), F.lit("")))).alias("n"), F.lit(-i), F.lit(d).alias("delimiter"))
+        F.struct(_count(text, d).alias("n"), F.lit(-i).alias("rank"), F.lit(d).alias("delimiter"))
         for i, d in enumerate(DELIMITERS)
     ]
-    best = F.array_max(F.array(*ranked))
-    return F.when(best["n"] > 0, best["delimiter"]).otherwise(DELIMITERS[0])
+    return let(F.array_max(F.array(*ranked)), lambda b: F.when(b["n"] > 0, b["delimiter"]).otherwise(DELIMITERS[0]))
 
 
 def detect_format(path: Column, content: Column) -> Column:
     """struct(type, delimiter, has_header) by extension, then by the first characters."""
     head = F.left(content, F.lit(HEAD_CHARS))
-    start = F.left(trim_space(head), F.lit(1))
-    ext = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
-    kind = (
-        F.when(ext == ".xlsx", "xlsx")
-        .when((ext == ".json") & (start == "["), "json")
-        .when(ext.isin(".json", ".jsonl"), "jsonl")
-        .when(ext == ".xml", "xml")
-        .when(start == "<", "xml")
-        .when(start == "[", "json")
-        .when(start == "{", "jsonl")
-        .otherwise("csv")
-    )
-    return F.struct(
-        kind.alias("type"),
-        F.when(kind == "csv", frequent_delimiter(head)).alias("delimiter"),
-        kind.isin("csv", "xlsx").alias("has_header"),
+    seen = F.struct(
+        head.alias("head"), F.left(trim_space(head), F.lit(1)).alias("start"),
+        F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1)).alias("ext"),
     )
 
+    def kind_of(s: Column) -> Column:
+        return (
+            F.when(s["ext"] == ".xlsx", "xlsx")
+            .when((s["ext"] == ".json") & (s["start"] == "["), "json")
+            .when(s["ext"].isin(".json", ".jsonl"), "jsonl")
+            .when(s["ext"] == ".xml", "xml")
+            .when(s["start"] == "<", "xml")
+            .when(s["start"] == "[", "json")
+            .when(s["start"] == "{", "jsonl")
+            .otherwise("csv")
+        )
+
+    def described(s: Column, kind: Column) -> Column:
+        return F.struct(
+            kind.alias("type"), F.when(kind == "csv", frequent_delimiter(s["head"])).alias("delimiter"),
+            kind.isin("csv", "xlsx").alias("has_header"),
+        )
+
+    return let(seen, lambda s: let(kind_of(s), lambda kind: described(s, kind)))
+
 
 def file_inventory(spark: SparkSession, folders: list[str]) -> DataFrame:
     """Data files with size and time; contents are never read."""
