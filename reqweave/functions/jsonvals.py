@@ -73,7 +73,7 @@ def kind_of_type(t: Column) -> Column:
 
 
 def value_kind(value: Column) -> Column:
-    return kind_of_type(F.schema_of_variant(value))
+    return let(F.schema_of_variant(value), kind_of_type)
 
 
 # Fixed value: what counts as one step of a path, a member name or an index.
