@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 import pandas as pd
@@ -93,13 +94,23 @@ def value_path(path: Column) -> Column:
     return F.when(~too_far, F.concat(F.lit("$"), joined))
 
 
-def json_extract(doc: Column, path: Column) -> Column:
+def fixed_path(path: str) -> str | None:
+    """``value_path`` of a path known on the driver."""
+    steps = [s for s in (found.group().strip() for found in re.finditer(PATH_STEP, path)) if s]
+    if any(re.fullmatch(r"\[\d+\]", s) and len(s) > MAX_INDEX_DIGITS + 2 for s in steps):
+        return None
+    return "$" + "".join(s if re.fullmatch(r"\[\d+\]", s) else "." + s for s in steps)
+
+
+def json_extract(doc: Column, path: Column | str) -> Column:
     """Value at a path such as ``a.b[0].c``: struct of found, path, value (JSON text)."""
-    hit = F.try_variant_get(F.try_parse_json(doc), value_path(path), "variant")
-    return F.when(
-        ~is_blank(doc) & ~is_blank(path),
-        F.struct(hit.isNotNull().alias("found"), path.alias("path"), F.to_json(hit).alias("value")),
-    )
+    if isinstance(path, str):
+        where, path = F.lit(fixed_path(path)).cast("string"), F.lit(path)
+    else:
+        where = value_path(path)
+    hit = F.try_variant_get(F.try_parse_json(doc), where, "variant")
+    found = let(hit, lambda v: F.struct(v.isNotNull().alias("found"), path.alias("path"), F.to_json(v).alias("value")))
+    return F.when(~is_blank(doc) & ~is_blank(path), found)
 
 
 # --- writing -----------------------------------------------------------------

@@ -49,7 +49,7 @@ def regex_extract_group(t):
 )
 def json_extract(t):
     found = t("events").select(
-        "event_id", extract_path(F.col("props"), F.lit("k")).alias("k"), extract_path(F.col("props"), F.lit("k[0].z")).alias("z")
+        "event_id", extract_path(F.col("props"), "k").alias("k"), extract_path(F.col("props"), F.lit("k[0].z")).alias("z")
     )
     return found.select("event_id", "k.found", "k.value", F.col("z.found").alias("other_found"))
 

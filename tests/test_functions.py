@@ -57,8 +57,8 @@ def test_regex_extract_limits(spark):
 def test_json_extract(spark, path, found, value):
     doc = '{"customer":{"address":{"city":"Berlin"}},"items":[{"name":"x"}],"nil":null,"it\'s?":1}'
     df = spark.createDataFrame([(doc, path)], "d string, p string")
-    r = df.select(json_extract(F.col("d"), F.col("p")).alias("j")).first()["j"]
-    assert (r["found"], r["value"]) == (found, value)
+    r = df.select(json_extract(F.col("d"), F.col("p")).alias("j"), json_extract(F.col("d"), path).alias("fixed")).first()
+    assert (r["j"]["found"], r["j"]["value"]) == (found, value) and r["fixed"] == r["j"]
 
 
 def test_regex_knows_character_classes(spark):
