@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reqweave.llm.common import table
 from reqweave.llm.packing import pack
+from reqweave.llm.secrets import secret_spans
+from reqweave.llm.syncmers import compare_with_edits
 from reqweave.llm.tokens import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +36,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer(), end_id=2)
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(table(spark, sf_dir, "documents"))

@@ -1,0 +1,163 @@
+"""Fingerprints from closed syncmers, and their likeness.
+
+A text's ``K`` code-point substrings are anchors when their least ``S``-substring (by hash)
+stands first or last in them; that depends on the substring alone, so an edit moves
+anchors only where it happens. The second, third, .. occurrence of an anchor is an anchor of
+its own, so that texts of repeated lines compare by how much they repeat. A fingerprint keeps the anchors with the ``ANCHORS`` smallest
+hashes, each with its place in the text, as base64 of 32-bit pairs in order of hash.
+
+Likeness of two fingerprints: of the smallest anchors of both together, the share that is
+in both and lies in the same order in both texts (longest common order), 0 to 1.
+
+Edge cases: a null text is an empty one; an empty text has the empty fingerprint, which is
+like itself (1) and like nothing else (0). A text with no anchor, as one shorter than
+``K``, is one anchor, its own hash. Equal ids follow each other by a hash of the
+text, repeated rows are separate documents, null ids come last, a single document follows
+itself, and an empty table gives an empty table. Extra columns are not read.
+"""
+
+from __future__ import annotations
+
+import base64
+import bisect
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from reqweave.llm.common import arrow_schema, batch_of, texts_of
+
+K = 16
+S = 9
+ANCHORS = 64
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _hashes(points: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every substring of ``size`` code points."""
+    n = len(points) - size + 1
+    out = np.zeros(n, np.uint64)
+    for j in range(size):
+        out *= _BASE
+        out += points[j : j + n]
+    out ^= out >> np.uint64(32)
+    out *= _MIX
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """Hashes told apart by how often the same one came before."""
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    if new.all():
+        return hashes
+    at = np.arange(len(order))
+    rank = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    out = np.empty_like(hashes)
+    mixed = (ordered ^ (rank * _BASE)) * _MIX
+    out[order] = np.where(rank == 0, ordered, mixed ^ (mixed >> np.uint64(31)))
+    return out
+
+
+def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, places)`` of a text's closed syncmers, in order of place."""
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    if len(points) >= K:
+        small, width = _hashes(points, S), K - S + 1
+        low = small[: len(small) - width + 1].copy()
+        for j in range(1, width):
+            np.minimum(low, small[j : j + len(low)], out=low)
+        places = np.nonzero((small[: len(low)] == low) | (small[width - 1 :] == low))[0]
+        if len(places):
+            return (_numbered(_hashes(points, K)[places]) >> np.uint64(32)).astype(np.uint32), places.astype(np.uint32)
+    if not len(points):
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+    whole = int.from_bytes(hashlib.sha256(text.encode()).digest()[:4], "little")
+    return np.array([whole], np.uint32), np.zeros(1, np.uint32)
+
+
+def fingerprint(text: str) -> str:
+    hashes, places = anchors(text)
+    kept, first = np.unique(hashes, return_index=True)
+    pairs = np.stack([kept[:ANCHORS], places[first[:ANCHORS]]], axis=1)
+    return base64.b64encode(pairs.astype("<u4").tobytes()).decode()
+
+
+def likeness(one: str, two: str) -> float:
+    if one == two:
+        return 1.0
+    a, b = (np.frombuffer(base64.b64decode(x), "<u4").reshape(-1, 2) for x in (one, two))
+    if not len(a) or not len(b):
+        return 0.0
+    together = np.union1d(a[:, 0], b[:, 0])[:ANCHORS]
+    shared, in_a, in_b = np.intersect1d(a[:, 0], b[:, 0], assume_unique=True, return_indices=True)
+    inside = shared <= together[-1]
+    places = b[in_b[inside], 1][np.argsort(a[in_a[inside], 1], kind="stable")]
+    order: list[int] = []
+    for place in places.tolist():
+        at = bisect.bisect_right(order, place)
+        order[at : at + 1] = [place]
+    return len(order) / len(together)
+
+
+def with_followers(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows ``part, context, doc_id, text``: each part sorted, its last row being the first row of the part behind it.
+
+    Parts are ranges of falling ``doc_id``. Only their bounds and their first ids (one per
+    part) are gathered; the text of each row is shuffled once, those of first rows twice.
+    """
+    bounds = np.unique(rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts))) if parts > 1 else np.zeros(0)
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series) -> pd.Series:
+        place = len(bounds) - np.searchsorted(bounds, ids.to_numpy(dtype=float, na_value=np.nan), side="left")
+        return pd.Series(np.where(ids.isna(), len(bounds) + 1, place).astype("int32"))
+
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
+    dealt = rows.withColumn("part", part_of(F.col("doc_id").cast("double"))).withColumn("tie", F.xxhash64("text"))
+    tops = dealt.groupBy("part").agg(F.max("doc_id").alias("top"))
+    behind = Window.orderBy("part")
+    # one row per part; the first part's head closes the ring
+    tops = tops.withColumn("before", F.coalesce(F.lag("part").over(behind), F.max("part").over(behind.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    same = (F.col("d.part") == F.col("t.part")) & F.col("d.doc_id").eqNullSafe(F.col("t.top"))
+    heads = dealt.alias("d").join(tops.alias("t"), same).groupBy("t.before").agg(F.max_by("d.doc_id", "d.tie").alias("doc_id"), F.max_by("d.text", "d.tie").alias("text"), F.max("d.tie").alias("tie"))
+    heads = heads.select("doc_id", "text", F.col("before").alias("part"), "tie", F.lit(True).alias("context"))
+    every = dealt.withColumn("context", F.lit(False)).unionByName(heads)
+    return every.repartition(parts, "part").sortWithinPartitions("part", "context", *order).select("part", "context", "doc_id", "text")
+
+
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fingerprints of each text and of its edited form, and the likeness to the edited form and to the next document."""
+    rows = texts_of(docs, id_col, text_col)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = arrow_schema(RESULT)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            out: dict[str, list] = {name: [] for name in schema.names}
+            for context, doc_id, text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                own = fingerprint(text)
+                if last is not None:
+                    before_id, before, its = last
+                    cut = len(before) // 3
+                    edited = before[: len(before) - cut] + text[:cut]
+                    changed = fingerprint(edited) if edited != before else its
+                    digest = hashlib.sha256(edited.encode()).hexdigest()
+                    for name, value in zip(schema.names, (before_id, len(before), digest, its, changed, likeness(its, changed), likeness(its, own)), strict=True):
+                        out[name].append(value)
+                last = None if context else (doc_id, text, own)
+            yield batch_of(schema, out)
+
+    return with_followers(rows, parts).mapInArrow(pairs, RESULT)
