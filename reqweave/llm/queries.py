@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from reqweave.llm.chat import formatted_digests, text_part
 from reqweave.llm.common import table
+from reqweave.llm.crf import fitted, identify
+from reqweave.llm.mixing import report_sql, sampling_report
 from reqweave.llm.packing import pack
 from reqweave.llm.secrets import secret_spans
 from reqweave.llm.syncmers import compare_with_edits
@@ -14,6 +18,8 @@ from reqweave.llm.tokens import token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: What both turns of the conversation added to the given ones say.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -46,3 +52,38 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text_part(F.coalesce("text", F.lit(""))).alias("parts"))
+    own = spark.sql(f"SELECT -7L AS conv_id, turn, role, '{CONTROL_TEXT}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    return formatted_digests(turns.unionByName(own.select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts"))))
+
+
+SQL["op6_chat_format"] = rf"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '{CONTROL_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+sized AS (
+  SELECT *, 2 * (length(role) - length(replace(role, '%', ''))) + length(role) AS role_chars,
+    length(text) + 2 * (length(text) - length(replace(text, '%', ''))) + 2 * len(regexp_extract_all(text, '</?s>|<image>|<audio>|<document>|\[/?INST\]')) AS text_chars
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(role_chars + text_chars + 1 + CASE WHEN role = 'assistant' THEN 7 ELSE 13 END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+
+@query
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling_report(table(spark, sf_dir, "documents"))
+
+
+SQL["op8_source_mix"] = report_sql()
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fitted(docs))
