@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -31,28 +32,49 @@ from reqweave.storage import materialize, new_folder
 
 #: Tokens after which a shard is closed.
 SHARD_TOKENS = 1 << 20
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-MEMORY_WORDS = 400_000
+#: Words whose ids a worker remembers at most, in two halves: when the younger is full it becomes the older.
+MEMORY_WORDS = 1_000_000
 #: Longer words are not remembered.
 MEMORY_CHARS = 48
 #: Characters at which Python splits but the tokenizers' white space pattern does not (fixed values).
 _ODD = "\x1c\x1d\x1e\x1f"
+#: Letters that are their own composed form, and whose lower case is one letter.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
 
 
 class _Words(dict):
     """Ids of a word as little-endian 32-bit integers, encoded at first sight."""
 
     def __init__(self, tokenizer) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model, self.older = tokenizer, tokenizer.model, {}
+        bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_letters = {c: bytes_of.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        # a word of plain letters is one piece of the tokenizer's pattern: worth a short way if this tokenizer does so
+        probe = "Straße"
+        self.short = [t.id for t in self.pieces(probe)] == tokenizer.encode(probe, add_special_tokens=False).ids
+        self.ends = {c: self.encode(c) for c in ("", ".", ",")}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def pieces(self, letters: str) -> list:
+        return self.model.tokenize(letters.lower().translate(self.byte_letters))
+
     def __missing__(self, word: str) -> bytes:
-        found = self.encode(word)
+        found = self.older.get(word)
+        if found is None:
+            plain = _PLAIN.fullmatch(word) if self.short else None
+            if plain:
+                ids = [t.id for t in self.pieces(plain[1])]
+                found = struct.pack(f"<{len(ids)}I", *ids) + self.ends[plain[2]]
+            else:
+                found = self.encode(word)
         if len(word) <= MEMORY_CHARS:
-            if len(self) >= MEMORY_WORDS:
+            if len(self) >= MEMORY_WORDS // 2:
+                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -64,8 +86,9 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
     The word tokenizer normalises, matches and merges within stretches between white
     space only, so a text's ids are those of its stretches one after the other; frequent
-    stretches are encoded once per worker. Texts with one of the separators that Python
-    and the tokenizer see differently are encoded in one piece.
+    stretches are encoded once per worker. Stretches of plain letters go straight to the
+    library's merge model. Texts with one of the separators that Python and the
+    tokenizer see differently are encoded in one piece.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -75,6 +98,11 @@ def encoder(path: str) -> Callable[[str], bytes]:
     def encode(text: str) -> bytes:
         if any(c in text for c in _ODD):
             return words.encode(text)
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # letter by letter in this range, as the tokenizer does; fewer words to remember
+        except UnicodeEncodeError:
+            pass
         return b"".join(map(words.__getitem__, text.split()))
 
     return encode
