@@ -98,11 +98,12 @@ def encoder(path: str) -> Callable[[str], bytes]:
     def encode(text: str) -> bytes:
         if any(c in text for c in _ODD):
             return words.encode(text)
-        try:
-            text.encode("latin-1")
-            text = text.lower()  # letter by letter in this range, as the tokenizer does; fewer words to remember
-        except UnicodeEncodeError:
-            pass
+        if "<|" not in text:  # special tokens are matched before letters are lowered
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # letter by letter in this range, as the tokenizer does; fewer words to remember
+            except UnicodeEncodeError:
+                pass
         return b"".join(map(words.__getitem__, text.split()))
 
     return encode
