@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reqweave.llm.chat import formatted_digests, text_part
 from reqweave.llm.common import table
 from reqweave.llm.crf import fitted, identify
+from reqweave.llm.lpf import without_copies
 from reqweave.llm.mixing import report_sql, sampling_report
 from reqweave.llm.packing import pack
 from reqweave.llm.rabitq import near_duplicate_vectors
@@ -121,3 +122,8 @@ reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN l
 n AS (SELECT x, count(*) AS n FROM links GROUP BY x), m AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
 FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN m ON m.x = vec_id"""
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_copies(table(spark, sf_dir, "documents"))
