@@ -33,12 +33,21 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[:n] = values
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    places = np.arange(BLOCK, dtype=np.int16)
+    classes = np.zeros((blocks, BLOCK + _PAD), np.uint8)  # how many of the widths a value does not fit in
+    narrow = flat.astype(np.uint32) if values.max() < 1 << 32 else flat
+    for bits in BITS[1:]:
+        if values.max() >= 1 << int(bits):
+            classes[:, :BLOCK] += (narrow >= narrow.dtype.type(1 << int(bits))).reshape(blocks, BLOCK)
+    widest = {1: classes}  # most of the class over the next 1, 2, 4, .. values
+    while 2 * max(widest) <= _PAD:
+        half = max(widest)
+        widest[2 * half] = np.maximum(widest[half][:, :-half], widest[half][:, half:])
     choice = np.zeros((blocks, BLOCK), np.int8)
     for selector in range(len(COUNTS) - 1, 0, -1):  # fuller words come last and win
-        bad = np.where(grid[:, :BLOCK] < np.uint64(1 << int(BITS[selector])), np.int16(BLOCK + _PAD), places)
-        next_bad = np.minimum.accumulate(bad[:, ::-1], axis=1)[:, ::-1]
-        choice[next_bad - places >= COUNTS[selector]] = selector
+        count = int(COUNTS[selector])
+        half = 1 << (count.bit_length() - 1)
+        most = np.maximum(widest[half][:, :BLOCK], widest[half][:, count - half : count - half + BLOCK])
+        choice[most < selector] = selector
     ends = np.full(blocks, BLOCK, np.int64)
     ends[-1] = n - (blocks - 1) * BLOCK
     starts = np.zeros((blocks, BLOCK), bool)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqweave.llm.common import arrow_schema, batch_of, texts_of
+from reqweave.storage import materialize
 
 K = 16
 S = 9
@@ -127,6 +128,7 @@ def with_followers(rows: DataFrame, parts: int) -> DataFrame:
     behind = Window.orderBy("part")
     # one row per part; the first part's head closes the ring
     tops = tops.withColumn("before", F.coalesce(F.lag("part").over(behind), F.max("part").over(behind.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    tops = F.broadcast(materialize(tops, "tops"))  # as many rows as parts, whatever the input
     same = (F.col("d.part") == F.col("t.part")) & F.col("d.doc_id").eqNullSafe(F.col("t.top"))
     heads = dealt.alias("d").join(tops.alias("t"), same).groupBy("t.before").agg(F.max_by("d.doc_id", "d.tie").alias("doc_id"), F.max_by("d.text", "d.tie").alias("text"), F.max("d.tie").alias("tie"))
     heads = heads.select("doc_id", "text", F.col("before").alias("part"), "tie", F.lit(True).alias("context"))
