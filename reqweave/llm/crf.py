@@ -329,3 +329,24 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             yield batch_of(schema, {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": [a for a, _ in found], "score": [b for _, b in found]})
 
     return rows.mapInArrow(answer, ANSWER)
+
+
+#: Least mean probability of the best language that a text needs to stay in a corpus.
+LEAST_SCORE = 0.4
+
+
+def recognised(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE, text_col: str = "text", label_col: str = "lang") -> DataFrame:
+    """Rows of ``docs`` in a recognised language, with the predicted language as their label; ``und`` texts go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("label string, score double")
+    def answer(texts):
+        import pandas as pd
+
+        values, fit = [t if isinstance(t, str) else None for t in texts], shared.value
+        found = [x for part in groups_by_size(values) for x in text_answers(fit, values[part])] if fit else [(UNKNOWN, 0.0)] * len(values)
+        return pd.DataFrame(found, columns=["label", "score"])
+
+    judged = docs.withColumn("_crf_answer", answer(text_col))
+    kept = judged.where((F.col("_crf_answer.label") != UNKNOWN) & (F.col("_crf_answer.score") >= least))
+    return kept.withColumn(label_col, F.col("_crf_answer.label")).select(*docs.columns)

@@ -291,3 +291,9 @@ def class_texts(docs: DataFrame, described: DataFrame, wanted: DataFrame, id_col
             yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(out, pa.binary())], schema=schema)
 
     return found.mapInArrow(elements, "row bigint, elements binary").dropDuplicates(["row"])
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that stay: one document of each group of near copies."""
+    kept = materialize(near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
