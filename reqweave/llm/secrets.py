@@ -168,7 +168,7 @@ def infer(words: list[str]) -> Automaton:
     while True:
         fringe = [(s, symbol, t) for s in settled for symbol, (_, t) in a.arcs[s].items() if t not in settled]
         if not fringe:
-            return a
+            return _reachable(a)
         source, symbol, state = max(fringe, key=lambda f: (a.totals[f[2]], -f[2]))
         for other in settled:
             if _compatible(a, other, state):
@@ -179,6 +179,18 @@ def infer(words: list[str]) -> Automaton:
             settled.append(state)
 
 
+def _reachable(a: Automaton) -> Automaton:
+    """The automaton without the merged states."""
+    number, pending = {0: 0}, [0]
+    while pending:
+        for _, target in a.arcs[pending.pop()].values():
+            if target not in number:
+                number[target] = len(number)
+                pending.append(target)
+    arcs = [{symbol: [count, number[target]] for symbol, (count, target) in a.arcs[s].items()} for s in number]
+    return Automaton([a.ends[s] for s in number], [a.totals[s] for s in number], arcs)
+
+
 @dataclass
 class Grammar:
     kinds: list[Automaton]
