@@ -15,8 +15,8 @@ Documents with equal sets form one class; everything after works on classes. Can
    signatures allow it, and verified. So a group of n near copies costs n pairs and not n*n,
    and no link between two components is left out.
 
-At similarity 0.75 a pair shares none of the ``BANDS`` buckets with probability 2e-5; the signature
-test is five standard errors wide. Links are decided on full sets alone (elements cut to 48 bits).
+At similarity 0.75 a pair shares none of the ``BANDS`` buckets with probability 2e-5, and misses the signature
+test, ``SIGMAS`` standard errors of the estimate wide, with 3e-5. Links are decided on full sets alone (elements cut to 48 bits).
 
 Edge cases: a text of fewer words than a shingle has its whole word sequence as its only
 element; null, empty and wordless texts have the empty set, link with nothing and are kept.
@@ -27,6 +27,7 @@ ids has a null id and keeps its rows. An empty table gives an empty table. Extra
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +43,11 @@ from reqweave.storage import materialize
 SHINGLE = 5
 #: Links have 100 * shared >= PERCENT * joint.
 PERCENT = 75
-SLOTS, BANDS, ROWS = 256, 40, 5
-#: Least estimated similarity that is verified.
-ESTIMATE = PERCENT / 100 - 0.15
+SLOTS, BANDS, ROWS = 384, 40, 5
+#: Standard errors by which the estimate of a verified pair may fall short.
+SIGMAS = 4.0
+#: Representatives that are sent to every task instead of shuffling all texts; beyond it texts and ids are both shuffled.
+BROADCAST_ROWS = 500_000
 #: Elements that take their steps together: bounds the permutations held (2 bytes a slot each).
 TOGETHER = 40_000
 
@@ -144,9 +147,9 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def codes(signature: np.ndarray) -> np.ndarray:
-    """Four bits per slot, sixteen slots a word."""
-    small = (mix(signature) & np.uint64(15)).reshape(len(signature), SLOTS // 16, 16)
-    return (small << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).astype(np.int64)
+    """Eight bits per slot, eight slots a word."""
+    small = (mix(signature) & np.uint64(255)).reshape(len(signature), SLOTS // 8, 8)
+    return (small << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(axis=2, dtype=np.uint64).astype(np.int64)
 
 
 SETS = "row bigint, doc_id bigint, n bigint, key1 bigint, key2 bigint, bands array<bigint>, codes array<bigint>"
@@ -190,19 +193,37 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def agreement(one: str, two: str) -> F.Column:
     """Estimated similarity from two arrays of codes."""
-    ones = F.lit(0x1111111111111111)
     differing = F.lit(0)
-    for k in range(SLOTS // 16):
+    for k in range(SLOTS // 8):
         x = F.col(one)[k].bitwiseXOR(F.col(two)[k])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(ones)
-        differing = differing + F.bit_count(x)
-    return ((SLOTS - differing) / F.lit(float(SLOTS)) - 1 / 16) / (15 / 16)
+        for by in (4, 2, 1):  # any bit of a byte to its lowest
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        differing = differing + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return ((SLOTS - differing) / F.lit(float(SLOTS)) - 1 / 256) / (255 / 256)
+
+
+def variance_factor(joint: int, slots: int = SLOTS) -> float:
+    """Variance of the estimate relative to independent hashes, for ``joint`` elements in both sets together."""
+    l = np.arange(1, slots, dtype=float)  # noqa: E741
+    log = lambda x: joint * np.log(np.maximum(x, 1e-300))
+    scale = (joint - 1) * math.log(slots - 1) + joint * math.log(slots) + math.log(joint - 1)
+    terms = np.exp(log(l) + log(l + 1) - scale) + np.where(l > 1, np.exp(log(l) + log(l - 1) - scale), 0) - 2 * np.exp(2 * log(l) - scale)
+    return 1 - float(terms.sum())
+
+
+def least_estimate(n_one: str, n_two: str) -> F.Column:
+    """Estimate from which a pair is verified: the smaller the sets, the better the estimate. Sizes count up to a power of two."""
+    p, joint = PERCENT / 100, F.col(n_one) + F.col(n_two)
+    margin = lambda factor: SIGMAS * math.sqrt(p * (1 - p) / SLOTS * factor)
+    out = F.when(joint <= 16, p - margin(variance_factor(16)))
+    for k in range(5, 14):
+        out = out.when(joint <= 1 << k, p - margin(variance_factor(1 << k)))
+    return out.otherwise(p - margin(1))
 
 
 def likely(one: str = "codes_a", two: str = "codes_b", n_one: str = "n_a", n_two: str = "n_b") -> F.Column:
     small, large = F.least(n_one, n_two), F.greatest(n_one, n_two)
-    return (small * 100 >= large * PERCENT) & (agreement(one, two) >= ESTIMATE)
+    return (small * 100 >= large * PERCENT) & (agreement(one, two) >= least_estimate(n_one, n_two))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -276,6 +297,8 @@ def class_texts(docs: DataFrame, described: DataFrame, wanted: DataFrame, id_col
     """
     ids = described.join(wanted, "row", "left_semi").select("row", "doc_id", F.col("key1").alias("k1"))
     ids = materialize(ids, "wanted")
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
     texts = texts_of(docs, id_col, text_col)
     found = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"])).select("row", "k1", "text")
     schema = pa.schema([("row", pa.int64()), ("elements", pa.binary())])
