@@ -265,12 +265,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = materialize(with_component(shared.select("bucket", "row"), found), "placed")
     counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     mixed = counts.groupBy("bucket").agg(F.max_by("component", "c").alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    inside = placed.join(mixed.select("bucket", "main"), "bucket").join(reps.select("row", "n", "codes"), "row")
-    inside = materialize(inside.select("bucket", "row", "component", "main", "n", "codes"), "mixed")
-    rename = lambda df, s: df.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "component", "n", "codes")])
+    inside = placed.join(mixed.select("bucket", "main"), "bucket").join(reps.select("row", "n", "codes", "bands"), "row")
+    inside = materialize(inside.select("bucket", "row", "component", "main", "n", "codes", "bands"), "mixed")
+    rename = lambda df, s: df.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "component", "main", "n", "codes", "bands")])
     left, right = rename(inside.where("component <> main"), "a"), rename(inside, "b")
-    # two members outside the main component meet once
-    apart = (F.col("component_a") != F.col("component_b")) & likely()
+    # two members outside the main component meet once, and a pair in the first bucket it shares
+    once = (F.col("component_b") == F.col("main_b")) | (F.col("row_a") < F.col("row_b"))
+    first_bucket = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == left["bucket"]
+    apart = (F.col("component_a") != F.col("component_b")) & once & likely() & first_bucket
     cross = left.join(right, (left["bucket"] == right["bucket"]) & apart).select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
     cross = materialize(cross.join(stars, ["a", "b"], "left_anti"), "pairs")
     more = materialize(class_texts(docs, described, cross.select(F.explode(F.array("a", "b")).alias("row")).distinct(), id_col, text_col), "elements")
