@@ -28,7 +28,7 @@ class InputConfig:
     url: str = ""
     delimiter: str = ""
     has_header: bool = True
-    multi_line: bool = True
+    multi_line: bool = False
     root_path: str = ""
     record_path: str = ""
     excluded_columns: list[str] = field(default_factory=list)
@@ -50,7 +50,7 @@ class EnrichConfig:
     enabled: bool = False
     column: str = ""
     output_field: str = ""
-    max_chars: int = 2000
+    max_chars: int = 0
 
 
 @dataclass
@@ -116,20 +116,26 @@ class JobConfig:
         return self
 
 
-def _build(cls, data: dict[str, Any]):
+def _build(cls, data: dict[str, Any], where: str, unknown: list[str]):
     known = {f.name: f for f in fields(cls)}
     values = {}
     for name, value in data.items():
-        if name in known and value is not None:
+        if name not in known:
+            unknown.append(where + name)
+        elif value is not None:
             inner = known[name].default_factory
             nested = isinstance(value, dict) and is_dataclass(inner)
-            values[name] = _build(inner, value) if nested else value
+            values[name] = _build(inner, value, f"{where}{name}.", unknown) if nested else value
     return cls(**values)
 
 
 def job_config(data: dict[str, Any]) -> JobConfig:
-    """Settings from nested dictionaries; names that mean nothing here are ignored."""
-    return _build(JobConfig, data).check()
+    """Settings from nested dictionaries; names that mean nothing here are an error."""
+    unknown: list[str] = []
+    cfg = _build(JobConfig, data, "", unknown)
+    if unknown:
+        raise ValueError("unknown settings: " + ", ".join(sorted(unknown)))
+    return cfg.check()
 
 
 def load_config(path: str) -> JobConfig:

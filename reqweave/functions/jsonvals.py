@@ -108,7 +108,7 @@ def json_extract(doc: Column, path: Column | str) -> Column:
         where, path = F.lit(fixed_path(path)).cast("string"), F.lit(path)
     else:
         where = value_path(path)
-    hit = F.try_variant_get(F.try_parse_json(doc), where, "variant")
+    hit = F.try_variant_get(strict_value(doc), where, "variant")
     found = let(hit, lambda v: F.struct(v.isNotNull().alias("found"), path.alias("path"), F.to_json(v).alias("value")))
     return F.when(~is_blank(doc) & ~is_blank(path), found)
 

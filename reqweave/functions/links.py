@@ -7,7 +7,7 @@ from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from reqweave.functions.text import match_limit, trim_space
+from reqweave.functions.text import first_of, trim_space
 
 # How an href attribute is found, and what a path may hold unescaped.
 HREF = r"""(?i)href\s*=\s*['"]([^'"#]+)['"]"""
@@ -42,6 +42,6 @@ def _resolve(urls: pd.Series, refs: pd.Series) -> pd.Series:
 
 
 def extract_links(url: Column, html: Column, max_links: int = 0) -> Column:
-    """Distinct http(s) links in page order, resolved against the page address."""
+    """Distinct http(s) links in page order, resolved against the page address; all, or the first ``max_links``."""
     refs = F.array_distinct(href_values(html))
-    return F.slice(F.array_distinct(_resolve(url, refs)), 1, match_limit(max_links))
+    return first_of(F.array_distinct(_resolve(url, refs)), max_links)

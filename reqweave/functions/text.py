@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
-try:  # knows character classes such as \\p{L}
-    import regex as patterns
-except ImportError:
-    import re as patterns
+from reqweave.functions.patterns import compiled, translated
 
 # The code points with the Unicode White_Space property.
 WHITE_SPACE = (
@@ -16,13 +13,9 @@ WHITE_SPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# Limits and marks of the text functions.
-PAGE_CHARS = 6000
+# Marks of the text functions.
 PAGE_MARK = "... [truncated]"
-LOOKUP_CHARS = 2000
 LOOKUP_MARK = "…"
-DEFAULT_MATCHES = 20
-MAX_MATCHES = 100
 CLOSE_THINKING = "</thinking>"
 
 
@@ -37,7 +30,9 @@ def is_blank(c: Column) -> Column:
 
 
 def is_empty_value(c: Column, dtype: T.DataType) -> Column:
-    """A cell counts as empty when null, or when blank text."""
+    """A cell counts as empty when null, or when blank text, also as text inside a VARIANT."""
+    if isinstance(dtype, T.VariantType):
+        return c.isNull() | ((F.schema_of_variant(c) == "STRING") & is_blank(F.try_variant_get(c, "$", "string")))
     return is_blank(c) if isinstance(dtype, T.StringType) else c.isNull()
 
 
@@ -60,32 +55,33 @@ def text_stats(c: Column) -> Column:
     )
 
 
-def match_limit(n: int) -> int:
-    return DEFAULT_MATCHES if n <= 0 else min(n, MAX_MATCHES)
+def first_of(found: Column, limit: int = 0) -> Column:
+    """The first ``limit`` items of an array; 0 means all."""
+    return F.slice(found, 1, limit) if limit > 0 else found
 
 
 def regex_extract(
     text: Column, pattern: str, group: int = 0, max_matches: int = 0, case_insensitive: bool = False
 ) -> Column:
-    """All matches of one fixed pattern: struct of pattern, group, count, matches, truncated.
+    """Matches of one fixed pattern: struct of pattern, group, count, matches, truncated.
 
-    The pattern is checked on the driver. A group the pattern does not have gives
-    no matches. Patterns that can match nothing at all are refused here, because
-    Java and RE2 disagree on empty matches; the per-row tool handles those.
+    All matches, or the first ``max_matches``. The pattern is checked and translated on
+    the driver. A group the pattern does not have gives no matches. Patterns that can
+    match nothing at all are refused here, because Java counts empty matches
+    differently; the per-row tool handles those.
     """
     source = pattern.strip()
     if not source:
         raise ValueError("pattern is required")
-    checked = patterns.compile(source)
-    if checked.match("") is not None:
+    if compiled(source).match("") is not None:
         raise ValueError("a pattern that matches empty text needs the per-row regex tool")
-    limit, group = match_limit(max_matches), max(group, 0)
-    if group > checked.groups:
+    java, groups = translated(source, True, case_insensitive)
+    group = max(group, 0)
+    if group > groups:
         found = F.array().cast("array<string>")
     else:
-        flags = "(?iu)" if case_insensitive and not source.startswith("(?i)") else ""
-        every = F.regexp_extract_all(text, F.lit(flags + source), F.lit(group))
-        found = F.slice(every, 1, limit)
+        found = first_of(F.regexp_extract_all(text, F.lit(java), F.lit(group)), max_matches)
+    cut = F.size(found) >= max_matches if max_matches > 0 else F.lit(False)
     return F.when(
         ~is_blank(text),
         F.struct(
@@ -93,7 +89,7 @@ def regex_extract(
             F.lit(group).alias("group"),
             found.alias("matches"),
             F.lit(pattern).alias("pattern"),
-            (F.size(found) >= limit).alias("truncated"),
+            cut.alias("truncated"),
         ),
     )
 
@@ -107,13 +103,14 @@ def strip_tags(html: Column, drop_code: bool = False) -> Column:
     return trim_space(F.regexp_replace(flat, r"[\t\n\f\r ]+", " "))
 
 
-def html_to_text(html: Column, limit: int = PAGE_CHARS, drop_code: bool = False) -> Column:
+def html_to_text(html: Column, limit: int = 0, drop_code: bool = False) -> Column:
     return truncate_text(strip_tags(html, drop_code), limit, PAGE_MARK)
 
 
-def truncate_text(c: Column, limit: int = LOOKUP_CHARS, mark: str = LOOKUP_MARK) -> Column:
-    """Cut after ``limit`` characters and show that something was cut."""
-    limit = limit if limit > 0 else LOOKUP_CHARS
+def truncate_text(c: Column, limit: int = 0, mark: str = LOOKUP_MARK) -> Column:
+    """Cut after ``limit`` characters and show that something was cut; 0 means whole texts."""
+    if limit <= 0:
+        return c
     return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit)), F.lit(mark))).otherwise(c)
 
 
@@ -132,10 +129,10 @@ def sanitize_name(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", F.lit("_")).otherwise(safe)
 
 
-def render_search_result(query: Column, answer: Column, abstract: Column, source: Column, topics: Column) -> Column:
-    """Stored search answer as text; ``topics`` is ARRAY<STRUCT<text, url>>, five are shown."""
+def render_search_result(query: Column, answer: Column, abstract: Column, source: Column, topics: Column, most_topics: int = 0) -> Column:
+    """Stored search answer as text; ``topics`` is ARRAY<STRUCT<text, url>>, shown all or the first ``most_topics``."""
     lines = F.transform(
-        F.filter(F.slice(topics, 1, 5), lambda t: F.coalesce(t["text"], F.lit("")) != ""),
+        F.filter(first_of(topics, most_topics), lambda t: F.coalesce(t["text"], F.lit("")) != ""),
         lambda t: F.concat(
             F.lit("- "), t["text"],
             F.when(F.coalesce(t["url"], F.lit("")) != "", F.concat(F.lit("\n  "), t["url"])).otherwise(""),

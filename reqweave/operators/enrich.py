@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reqweave.functions.text import LOOKUP_CHARS, strip_tags, trim_space, truncate_text
+from reqweave.functions.text import strip_tags, trim_space, truncate_text
+
+
+# Key of rows that must not match: no stored key starts so, for keys are trimmed texts of records and addresses.
+NO_KEY = "\x00no key "
+
+
+def spread_key(key: Column) -> Column:
+    """A join key whose nulls are spread over many values, so that rows without a key do not meet in one task."""
+    return F.coalesce(key, F.concat(F.lit(NO_KEY), F.monotonically_increasing_id().cast("string")))
 
 
 def enrich_lookup(
     df: DataFrame, column: str, lookup: DataFrame, key: str, result: str,
-    output_field: str = "", max_chars: int = LOOKUP_CHARS,
+    output_field: str = "", max_chars: int = 0,
 ) -> DataFrame:
     """Adds the looked-up text of ``column``.
 
     A blank key leaves the field null, a key without a hit gives empty text. The
     lookup side is reduced to one row per key before it is joined; whether it is
-    broadcast is left to Spark, which knows its size. Blank keys never match.
+    broadcast is left to Spark, which knows its size. Blank keys never match and are
+    spread over the tasks of a shuffled join. ``max_chars`` 0 keeps whole texts.
     """
     out = output_field or f"enriched_{column}"
     source = F.col(f"`{column}`")
@@ -24,9 +34,10 @@ def enrich_lookup(
         lookup.select(trim_space(F.col(key).cast("string")).alias("_key"), F.col(result).cast("string").alias("_hit"))
         .groupBy("_key").agg(F.min("_hit").alias("_hit"))
     )
-    found = df.withColumn("_asked", asked).join(answers, F.col("_asked") == F.col("_key"), "left")
+    keyed = df.withColumn("_asked", asked).withColumn("_asked_key", spread_key(F.col("_asked")))
+    found = keyed.join(answers, F.col("_asked_key") == F.col("_key"), "left")
     value = F.when(F.col("_asked").isNotNull(), truncate_text(F.coalesce("_hit", F.lit("")), max_chars))
-    return found.withColumn(out, value).drop("_asked", "_key", "_hit")
+    return found.withColumn(out, value).drop("_asked", "_asked_key", "_key", "_hit")
 
 
 def _filled(c: Column) -> Column:
@@ -61,5 +72,5 @@ def answer_precedence(answers: DataFrame, pages: DataFrame) -> DataFrame:
         "_link", F.when(F.col("_direct").isNull(), first_link(F.col("topics")))
     )
     texts = wanted_pages(pages, wanted.select(F.col("_link").alias("link")))
-    found = wanted.join(texts, F.col("_link") == F.col("_page"), "left")
+    found = wanted.withColumn("_link_key", spread_key(F.col("_link"))).join(texts, F.col("_link_key") == F.col("_page"), "left")
     return found.select("query", F.coalesce("_direct", strip_tags(F.col("_html")), F.lit("")).alias("result"))

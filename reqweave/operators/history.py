@@ -6,15 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from reqweave.functions.text import trim_space
 
-# How many runs a listing shows.
-DEFAULT_RUNS = 500
-MAX_RUNS = 2000
-
 
 def run_history(runs: DataFrame, limit: int = 0, show_archived: bool = False) -> DataFrame:
-    """Newest runs first. The limit counts archived runs too, then hides them."""
-    limit = DEFAULT_RUNS if limit <= 0 else min(limit, MAX_RUNS)
-    newest = runs.orderBy(F.desc("run_id")).limit(limit)
+    """Newest runs first, all or ``limit``. The limit counts archived runs too, then hides them."""
+    newest = runs.orderBy(F.desc("run_id"))
+    newest = newest.limit(limit) if limit > 0 else newest
     return newest if show_archived else newest.where(~F.col("archived"))
 
 

@@ -68,9 +68,8 @@ def ordered_emit(df: DataFrame, name: str = ROW) -> DataFrame:
     return df.orderBy(name)
 
 
-def preview_limit(df: DataFrame, n: int = 0, name: str = ROW) -> DataFrame:
-    """First ``n`` records (10 by default, 100 at most)."""
-    n = 10 if n <= 0 else min(n, 100)
+def preview_limit(df: DataFrame, n: int = 10, name: str = ROW) -> DataFrame:
+    """First ``n`` records."""
     return df.orderBy(name).limit(n)
 
 

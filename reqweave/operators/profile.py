@@ -40,11 +40,11 @@ def dominant_type(counts: dict[str, Column]) -> Column:
     return best
 
 
-def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def column_profile(df: DataFrame, columns: list[str] | None = None, examples: int = EXAMPLES) -> DataFrame:
     """``(column, type, empty, examples)`` of every column; needs a row number.
 
-    Counting all columns and finding the first example is one pass. The second and
-    third distinct value take one pass each, again as a plain minimum, so no column
+    Counting all columns and finding the first example is one pass. Each further
+    distinct value takes one pass, again as a plain minimum, so no column
     is ever shuffled or collected by value however many values it has.
     """
     names = columns or [c for c in df.columns if c != ROW]
@@ -70,7 +70,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
     seen, texts = {n: [] for n in names}, {n: [] for n in names}
     row, open_names = totals, names
-    for step in range(EXAMPLES):
+    for step in range(examples):
         if step:
             row = df.agg(*[first(n, seen[n]) for n in open_names]).select("*", *map(shown, open_names)).first()
         for n in open_names:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -10,59 +11,68 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from reqweave.functions.binding import let
 from reqweave.functions.jsonvals import escape_markup, framed, framed_value, object_fields, value_kind, value_path
 from reqweave.functions.links import extract_links
-from reqweave.functions.text import html_to_text, is_blank, match_limit, patterns, text_stats, trim_space
-from reqweave.operators.enrich import wanted_pages
+from reqweave.functions.patterns import PatternError, compiled
+from reqweave.functions.text import html_to_text, is_blank, text_stats, trim_space
+from reqweave.operators.enrich import spread_key, wanted_pages
 
-# Tool names and messages, and the row limit of the SQL tool.
+# Tool names and messages.
 TOOLS = ["text_stats", "regex_extract", "json_extract", "web_fetch", "web_extract_links"]
 PAGE_TOOLS = ["web_fetch", "web_extract_links"]
-SQL_ROWS = 100
-# a pattern of a call may backtrack without end; the plain re module cannot stop that
-MATCH_LIMITS = {"timeout": 60} if patterns.__name__ == "regex" else {}
 READ_ONLY = "only SELECT or WITH … SELECT queries are allowed"
 
 
+def _writes(spark: SparkSession, text: str) -> bool:
+    """True if the statement holds an insert or any other command, by its parsed plan; nothing is run."""
+    try:
+        plan = spark.sql("EXPLAIN EXTENDED " + text).first()[0]
+    except Exception:  # what cannot be explained cannot run either; its own error is shown unless it tried to write
+        return re.search(r"(?i)\)\s*(INSERT|DELETE|UPDATE|MERGE)\b", text) is not None
+    parsed = plan.partition("== Parsed Logical Plan ==")[2].partition("== Analyzed Logical Plan ==")[0]
+    nodes = re.findall(r"(?m)^[\s:+\-'!]*([A-Z]\w+)", parsed)
+    return any(n.startswith("Insert") or n.endswith(("Statement", "Command", "AsSelect")) for n in nodes)
+
+
 def sql_query(spark: SparkSession, query: str) -> DataFrame:
     """Run one read-only statement over the registered views."""
     text = query.strip()
     if not text:
         raise ValueError("query is required")
-    if not text.upper().startswith(("SELECT", "WITH")):
+    if not text.upper().startswith(("SELECT", "WITH")) or (text.upper().startswith("WITH") and _writes(spark, text)):
         raise ValueError(READ_ONLY)
     return spark.sql(text)
 
 
-def sql_answer(spark: SparkSession, query: str) -> DataFrame:
-    """The tool's answer: the first rows of the result as one JSON array."""
-    rows = sql_query(spark, query).limit(SQL_ROWS)
+def sql_answer(spark: SparkSession, query: str, limit: int = 0) -> DataFrame:
+    """The tool's answer: the rows of the result, or the first ``limit``, as one JSON array.
+
+    An answer is one text value, so statements with big results need a limit.
+    """
+    rows = sql_query(spark, query)
+    rows = rows.limit(limit) if limit > 0 else rows
     cells = F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)])
     listed = F.to_json(F.collect_list(cells), {"ignoreNullFields": "false"})
     return rows.agg(F.when(F.count("*") == 0, "null").otherwise(escape_markup(listed)).alias("answer"))
 
 
 def _one_regex(text, pattern, group, limit, fold):
-    source = pattern.strip()
     try:
-        found = patterns.compile(source, patterns.IGNORECASE if fold else 0)
-    except patterns.error as e:
+        found = compiled(pattern.strip(), fold)
+    except PatternError as e:
         return None, f"compile pattern: {e}"
-    group, limit = max(group, 0), match_limit(limit)
+    group = max(group, 0)
     matches, raw, end = [], 0, -1
-    try:
-        for m in found.finditer(text, **MATCH_LIMITS):
-            # an empty match right after a match does not count
-            if m.end() == m.start() == end:
-                continue
-            end, raw = m.end(), raw + 1
-            if group <= found.groups:
-                matches.append(m.group(group) or "")
-            if raw >= limit:
-                break
-    except TimeoutError:
-        return None, "pattern takes too long on this text"
+    for m in found.finditer(text):
+        # an empty match right after a match does not count
+        if m.end() == m.start() == end:
+            continue
+        end, raw = m.end(), raw + 1
+        if group <= found.groups:
+            matches.append(m.group(group) or "")
+        if raw == limit:
+            break
     out = {
         "count": len(matches), "group": group, "matches": matches, "pattern": pattern,
-        "truncated": raw >= limit and len(matches) >= limit,
+        "truncated": 0 < limit <= len(matches),
     }
     return json.dumps(out, ensure_ascii=False, separators=(",", ":")), None
 
@@ -112,9 +122,11 @@ def _asked_links(calls: DataFrame) -> DataFrame:
     return calls.select(F.try_variant_get(args, "$.url", "string").alias("link"))
 
 
-def dispatch_tools(calls: DataFrame, pages: DataFrame | None = None, enabled: list[str] = TOOLS) -> DataFrame:
+def dispatch_tools(calls: DataFrame, pages: DataFrame | None = None, enabled: list[str] = TOOLS, page_chars: int = 0) -> DataFrame:
     """``calls(.., name, args)`` plus ``result``; problems become result text.
 
+    Page texts are whole, or cut after ``page_chars``.
+
     Page tools read the stored ``pages(url, html)``. Only calls of the regex tool
     hand their texts to Python, because each row brings its own pattern.
     """
@@ -146,18 +158,18 @@ def dispatch_tools(calls: DataFrame, pages: DataFrame | None = None, enabled: li
     if web:
         url, is_web = F.col("_url"), name.isin(web) & F.col("_problem").isNull()
         stored = wanted_pages(pages, _asked_links(calls))
-        out = out.join(stored, F.when(is_web, F.nullif(url, F.lit(""))) == F.col("_page"), "left")
+        out = out.withColumn("_asked_url", spread_key(F.when(is_web, F.nullif(url, F.lit("")))))
+        out = out.join(stored, F.col("_asked_url") == F.col("_page"), "left")
         problem = F.coalesce(
             problem,
             F.when(is_web & (url == ""), "url is required")
             .when(is_web & ~(url.startswith("http://") | url.startswith("https://")), "url must start with http:// or https://")
             .when(is_web & F.col("_html").isNull(), "page not stored"),
         )
-        result = F.when(is_tool("web_fetch"), html_to_text(F.col("_html"))).otherwise(result)
+        result = F.when(is_tool("web_fetch"), html_to_text(F.col("_html"), page_chars)).otherwise(result)
         if "web_extract_links" in web:
-            # the link function takes its limit from the driver, so the row's own limit cuts again
-            most = F.when(F.col("_max_links") <= 0, match_limit(0)).otherwise(F.least(F.col("_max_links"), F.lit(match_limit(1000))))
-            links = F.slice(extract_links(F.col("_page"), F.col("_html"), match_limit(1000)), F.lit(1), most)
+            every = extract_links(F.col("_page"), F.col("_html"))
+            links = let(every, lambda x: F.when(F.col("_max_links") > 0, F.slice(x, F.lit(1), F.greatest("_max_links", F.lit(1)))).otherwise(x))
             result = F.when(is_tool("web_extract_links"), escape_markup(F.to_json(links))).otherwise(result)
     problem = F.coalesce("_problem", F.when(known, problem))
     shown = (

@@ -27,7 +27,6 @@ from reqweave.sources.workbooks import scan_xlsx
 from reqweave.storage import materialize
 
 JOB = "job"
-MAX_SPREAD = 1000
 
 
 @dataclass
@@ -215,11 +214,14 @@ def run_batches(records: DataFrame, cfg: JobConfig, fn=None, run: str = "run") -
     return JobResult(_output(stored, cfg, job, inputs, inputs if p.include_input_in_output else []), errors, metrics)
 
 
-def spread_all(main: DataFrame) -> DataFrame:
-    """Members of free JSON answers as columns: first the names, then the columns."""
-    names = [r["name"] for r in member_names(main).orderBy("name").limit(MAX_SPREAD + 1).collect()]
-    if len(names) > MAX_SPREAD:
-        raise ValueError(f"answers have more than {MAX_SPREAD} different members, name the wanted ones in output_fields")
+def spread_all(main: DataFrame, most: int = 1000) -> DataFrame:
+    """Members of free JSON answers as columns: first the names, then the columns.
+
+    More than ``most`` different names are an error; columns are part of the plan, so their number needs a bound.
+    """
+    names = [r["name"] for r in member_names(main).orderBy("name").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"answers have more than {most} different members, name the wanted ones in output_fields")
     return spread_fields(main, {n: "any" for n in names}).drop("parsed")
 
 
@@ -234,7 +236,9 @@ def run_job(
     if cfg.processing.batch_size > 1:
         result = run_batches(rows, cfg, fn, **extra)
     else:
-        if cfg.enrich.enabled and lookup is not None:
+        if cfg.enrich.enabled:
+            if lookup is None:
+                raise ValueError("enrich is switched on, but there is no lookup table")
             e = cfg.enrich
             rows = enrich_lookup(rows, e.column, lookup, lookup_key, lookup_result, e.output_field, e.max_chars)
         result = run_records(rows, cfg, fn, **extra)

@@ -14,7 +14,7 @@ from reqweave.queries.registry import Tables, query
 from reqweave.storage import materialize
 
 _GOOD = "event_id % 14 < 3"
-_BARE = "concat('{\"approved\":true,\"classification\":\"A\",\"score\":', cast(user_id as string), '}')"
+_BARE = "concat('{\"fits\":true,\"kind\":\"A\",\"points\":', cast(user_id as string), '}')"
 
 
 def answers_of(t: Tables):
@@ -41,7 +41,7 @@ def parse_strict_object(t):
     return parsed.select("event_id", F.col("parsed").isNotNull().alias("parsed_ok"), "error")
 
 
-@query("unwrap_code_fence", f"SELECT event_id, CASE WHEN event_id % 14 = 2 THEN concat('{{\"approved\":true,\"score\":', user_id, ',\"classification\":\"A\"}}') END AS inner_text FROM events")
+@query("unwrap_code_fence", f"SELECT event_id, CASE WHEN event_id % 14 = 2 THEN concat('{{\"fits\":true,\"points\":', user_id, ',\"kind\":\"A\"}}') END AS inner_text FROM events")
 def unwrap_code_fence(t):
     return answers_of(t).select("event_id", ops.unwrap_code_fence(F.col("response")).alias("inner_text"))
 
@@ -58,8 +58,8 @@ def split_thinking(t):
 
 @query(
     "check_keys",
-    f"""SELECT event_id, CASE event_id % 14 WHEN 4 THEN '{KEYS} (missing: classification)' WHEN 5 THEN '{KEYS} (extra: note)'
-  WHEN 11 THEN '{KEYS} (missing: approved, classification, score)' END AS error
+    f"""SELECT event_id, CASE event_id % 14 WHEN 4 THEN '{KEYS} (missing: kind)' WHEN 5 THEN '{KEYS} (extra: note)'
+  WHEN 11 THEN '{KEYS} (missing: fits, kind, points)' END AS error
 FROM events""",
 )
 def check_keys(t):
@@ -106,12 +106,12 @@ def parse_strict_array(t):
 
 @query(
     "spread_fields",
-    f"""SELECT event_id, true AS approved, 'A' AS classification, user_id AS score FROM events WHERE {_GOOD}""",
+    f"""SELECT event_id, true AS fits, 'A' AS kind, user_id AS points FROM events WHERE {_GOOD}""",
 )
 def spread_fields(t):
     good = written_answers(t).where(F.col("error").isNull())
-    return ops.spread_fields(good, {"approved": "bool", "score": "int", "classification": "enum"}).select(
-        "event_id", "approved", "classification", "score"
+    return ops.spread_fields(good, {"fits": "bool", "points": "int", "kind": "enum"}).select(
+        "event_id", "fits", "kind", "points"
     )
 
 
@@ -162,7 +162,7 @@ _MIXED = f"concat('Result for {{', event_type, '}}: ', {ANSWER}, ' done.')"
 
 @query(
     "extract_last_json",
-    f"""SELECT event_id, CASE WHEN event_id % 14 IN (4, 5, 6, 7, 13) THEN a WHEN event_id % 14 IN (0, 1, 2, 3, 8, 12) THEN concat('{{"approved":true,"score":', user_id, ',"classification":"A"}}') END AS json
+    f"""SELECT event_id, CASE WHEN event_id % 14 IN (4, 5, 6, 7, 13) THEN a WHEN event_id % 14 IN (0, 1, 2, 3, 8, 12) THEN concat('{{"fits":true,"points":', user_id, ',"kind":"A"}}') END AS json
 FROM (SELECT event_id, user_id, {ANSWER} AS a FROM events)""",
 )
 def extract_last_json(t):
@@ -172,12 +172,12 @@ def extract_last_json(t):
 @query(
     "parse_lenient",
     f"""SELECT event_id, CASE WHEN event_id % 14 IN (9, 10, 11) THEN NULL WHEN event_id % 14 IN (0, 1, 2, 3, 8, 12) THEN cast(user_id AS string)
-  WHEN event_id % 14 = 5 THEN '1' ELSE cast(user_id AS string) END AS score FROM events""",
+  WHEN event_id % 14 = 5 THEN '1' ELSE cast(user_id AS string) END AS points FROM events""",
 )
 def parse_lenient(t):
     parsed = ops.parse_lenient(t("events").select("event_id", F.expr(_MIXED).alias("response")))
-    score = F.element_at("parsed", F.lit("score"))
-    return parsed.select("event_id", F.try_variant_get(score, "$", "string").alias("score"))
+    points = F.element_at("parsed", F.lit("points"))
+    return parsed.select("event_id", F.try_variant_get(points, "$", "string").alias("points"))
 
 
 _RAW = "concat('Config follows: {\"task\":\"line one', chr(10), 'line {two}', chr(9), '\",\"id\":', cast(event_id as string), ',\"inner\":{\"k\":', cast(user_id as string), '}} and {\"later\":1}')"

@@ -92,7 +92,7 @@ def dominant_type(t):
 
 @query(
     "run_history",
-    "SELECT run_id, status FROM (SELECT o_orderkey AS run_id, o_orderstatus AS status FROM orders ORDER BY 1 DESC LIMIT 2000) WHERE run_id % 3 <> 0",
+    "SELECT run_id, status FROM (SELECT o_orderkey AS run_id, o_orderstatus AS status FROM orders ORDER BY 1 DESC LIMIT 5000) WHERE run_id % 3 <> 0",
 )
 def run_history(t):
     runs = t("orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 3 == 0).alias("archived"))

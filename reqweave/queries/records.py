@@ -37,7 +37,7 @@ def ordered_emit(t):
     return ops.ordered_emit(numbered_orders(t)).select(F.col(ROW).alias("row_idx"), "o_orderkey", "o_custkey")
 
 
-@query("preview_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
+@query("preview_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 500")
 def preview_limit(t):
     return ops.preview_limit(t("orders"), 500, "o_orderkey").select("o_orderkey", "o_totalprice")
 
@@ -138,7 +138,7 @@ def _answered(t: Tables):
     k = F.col("batch_id") % 5
     text = (
         F.when(k == 1, F.concat(F.lit("["), fewer, F.lit("]")))
-        .when(k == 2, F.concat(F.lit('["still text", '), fewer, F.lit("]")))
+        .when(k == 2, F.concat(F.lit('["only words", '), fewer, F.lit("]")))
         .when(k == 3, F.concat(F.lit("Here: ["), items, F.lit("] end")))
         .when(k == 4, "no list at all")
         .otherwise(F.concat(F.lit("["), items, F.lit("]")))
@@ -164,7 +164,7 @@ def split_batch_strict(t):
 @query(
     "split_batch_lenient",
     f"""SELECT o_orderkey AS key, CASE b % 5 WHEN 4 THEN 'no list at all' WHEN 1 THEN CASE WHEN pos = n - 1 THEN '' ELSE {_ITEM} END
-  WHEN 2 THEN CASE WHEN pos = 0 THEN 'still text' ELSE lag({_ITEM}) OVER (PARTITION BY b ORDER BY pos) END ELSE {_ITEM} END AS item FROM ({_BATCHED})""",
+  WHEN 2 THEN CASE WHEN pos = 0 THEN 'only words' ELSE lag({_ITEM}) OVER (PARTITION BY b ORDER BY pos) END ELSE {_ITEM} END AS item FROM ({_BATCHED})""",
 )
 def split_batch_lenient(t):
     return bat.split_batch_lenient(_answered(t)).select("key", "item")

@@ -77,8 +77,8 @@ def build_user_prompt(t):
 
 
 _REPAIR = """concat('Convert the text below into a single valid JSON object. Output ONLY the JSON — no markdown, no code fences, no explanations.', chr(10),
-  chr(10), 'Required fields:', chr(10), '  - "approved": boolean (true or false)', chr(10), '  - "classification": string — exactly one of: "A", "B", "C"', chr(10), '  - "score": integer', chr(10),
-  chr(10), 'Expected format:', chr(10), '{"approved":true,"classification":"A","score":0}', chr(10), chr(10), 'Text to convert:', chr(10), """
+  chr(10), 'Required fields:', chr(10), '  - "fits": boolean (true or false)', chr(10), '  - "kind": string — exactly one of: "A", "B", "C"', chr(10), '  - "points": integer', chr(10),
+  chr(10), 'Expected format:', chr(10), '{"fits":true,"kind":"A","points":0}', chr(10), chr(10), 'Text to convert:', chr(10), """
 
 
 @query("repair_prompt", f"SELECT event_id, {_REPAIR} {ANSWER}) AS prompt FROM events")
@@ -113,12 +113,12 @@ def join_responses(t):
 
 
 def _fix(system: str, user: str) -> str:
-    return '{"approved":false,"score":7,"classification":"B"}'
+    return '{"fits":false,"points":7,"kind":"B"}'
 
 
 @query(
     "repair_pass",
-    """SELECT event_id, CASE WHEN event_id % 14 < 3 THEN user_id ELSE 7 END AS score, event_id % 14 >= 3 AS was_repaired FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 14 < 3 THEN user_id ELSE 7 END AS points, event_id % 14 >= 3 AS was_repaired FROM events""",
 )
 def repair_pass(t):
     from reqweave.config import job_config
@@ -130,9 +130,9 @@ def repair_pass(t):
         "event_id", "user_id", "event_type", F.expr(ANSWER).alias("response"), F.lit(None).cast("string").alias("call_error")
     )
     fixed = materialize(repaired(checked(answers, cfg, job), cfg, job, _fix), "repaired")
-    score = F.try_variant_get(F.element_at("parsed", F.lit("score")), "$", "bigint")
+    points = F.try_variant_get(F.element_at("parsed", F.lit("points")), "$", "bigint")
     passed = fixed.where(F.col("error").isNull())
-    return passed.select("event_id", score.alias("score"), (F.col("response") != F.expr(ANSWER)).alias("was_repaired"))
+    return passed.select("event_id", points.alias("points"), (F.col("response") != F.expr(ANSWER)).alias("was_repaired"))
 
 
 @query(

@@ -44,7 +44,7 @@ def dispatch_tools(t):
 
 @query(
     "dispatch_page_tools",
-    r"""SELECT page_id, md5(CASE page_id % 3 WHEN 0 THEN CASE WHEN length(s) > 6000 THEN concat(left(s, 6000), '... [truncated]') ELSE s END
+    r"""SELECT page_id, md5(CASE page_id % 3 WHEN 0 THEN s
   WHEN 1 THEN 'tool web_fetch error: url must start with http:// or https://' ELSE 'tool web_fetch error: page not stored' END) AS result_md5
 FROM (SELECT page_id, trim(regexp_replace(regexp_replace(min(html) OVER (PARTITION BY url), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS s FROM pages)""",
 )

@@ -11,7 +11,7 @@ from reqweave.functions.binding import let
 from reqweave.functions.jsonvals import object_fields, strict_value
 from reqweave.functions.text import is_blank, trim_space
 
-# Delimiter candidates in order of preference, and what is looked at.
+# Delimiter candidates in order of preference. What sniffing looks at is a parameter; a given separator avoids it.
 DELIMITERS = [",", ";", "\t", "|"]
 SNIFF_CHARS = 8192
 SNIFF_LINES = 10
@@ -23,10 +23,10 @@ def _count(text: Column, mark: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
 
-def sniff_delimiter(text: Column) -> Column:
+def sniff_delimiter(text: Column, chars: int = SNIFF_CHARS, most_lines: int = SNIFF_LINES) -> Column:
     """Most likely separator of CSV text: counts in the first line, more if every line agrees."""
-    head = F.regexp_replace(F.left(text, F.lit(SNIFF_CHARS)), "^" + BOM, "")
-    lines = F.slice(F.filter(F.split(head, "\r?\n"), lambda s: trim_space(s) != ""), 1, SNIFF_LINES)
+    head = F.regexp_replace(F.left(text, F.lit(chars)), "^" + BOM, "")
+    lines = F.slice(F.filter(F.split(head, "\r?\n"), lambda s: trim_space(s) != ""), 1, most_lines)
 
     def ranked(rows: Column, rank: int, delimiter: str) -> Column:
         score = let(
@@ -51,9 +51,9 @@ def frequent_delimiter(text: Column) -> Column:
     return let(F.array_max(F.array(*ranked)), lambda b: F.when(b["n"] > 0, b["delimiter"]).otherwise(DELIMITERS[0]))
 
 
-def detect_format(path: Column, content: Column) -> Column:
+def detect_format(path: Column, content: Column, chars: int = HEAD_CHARS) -> Column:
     """struct(type, delimiter, has_header) by extension, then by the first characters."""
-    head = F.left(content, F.lit(HEAD_CHARS))
+    head = F.left(content, F.lit(chars))
     seen = F.struct(
         head.alias("head"), F.left(trim_space(head), F.lit(1)).alias("start"),
         F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1)).alias("ext"),
@@ -110,12 +110,12 @@ def head_delimiter(spark: SparkSession, path: str) -> str:
 
 def scan_csv(
     spark: SparkSession, path: str, delimiter: str = "", has_header: bool = True,
-    multi_line: bool = True, columns: list[str] | None = None,
+    multi_line: bool = False, columns: list[str] | None = None,
 ) -> DataFrame:
     """CSV with text columns; missing and empty cells are empty text.
 
-    Quoted line breaks need ``multi_line``, which keeps a file in one task. Switch
-    it off for big files without them: those are then split.
+    Quoted line breaks need ``multi_line``, which keeps a file in one task; without
+    it big files are split.
     """
     reader = spark.read.options(
         header=has_header, sep=delimiter or head_delimiter(spark, path), quote='"', escape='"',
@@ -168,9 +168,8 @@ def scan_xml(spark: SparkSession, path: str, record_path: str, schema: T.StructT
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
-def tolerant_preview(spark: SparkSession, path: str, n: int = 0) -> DataFrame:
-    """First records of a JSONL or CSV file for looking at; bad JSON lines are skipped."""
-    n = 50 if n <= 0 else min(n, 200)
+def tolerant_preview(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
+    """First ``n`` records of a JSONL or CSV file for looking at; bad JSON lines are skipped."""
     if path.endswith(".csv"):
         return scan_csv(spark, path, ",", multi_line=False).limit(n)
     return readable_lines(spark.read.text(path)).limit(n)

@@ -6,8 +6,8 @@ from reqweave.operators import answers as ops
 from reqweave.operators.generate import dry_run_generate
 from reqweave.operators.spec import OneJob, compile_spec, one_job, spec_frame
 
-GRADE = {"approved": "boolean", "score": "int", "classification": "A|B|C"}
-OK = {"approved": "boolean"}
+GRADE = {"fits": "boolean", "points": "int", "kind": "A|B|C"}
+OK = {"fits": "boolean"}
 
 
 def check(spark, response, schema, thinking=False):
@@ -20,26 +20,26 @@ def check(spark, response, schema, thinking=False):
 
 
 def test_thinking_then_object(spark):
-    text = '<thinking>check constraints first</thinking>{"approved":true,"score":3,"classification":"B"}'
+    text = '<thinking>weigh both sides</thinking>{"fits":true,"points":3,"kind":"B"}'
     assert check(spark, text, GRADE, thinking=True) is None
 
 
 def test_thinking_may_be_missing_or_fenced(spark):
-    assert check(spark, '{"approved":true}', OK, thinking=True) is None
-    assert check(spark, '```json\n{"approved":true}\n```', OK, thinking=True) is None
-    assert check(spark, '<thinking>x</thinking>\n```\n{"approved":true}\n```', OK, thinking=True) is None
+    assert check(spark, '{"fits":true}', OK, thinking=True) is None
+    assert check(spark, '```json\n{"fits":true}\n```', OK, thinking=True) is None
+    assert check(spark, '<thinking>x</thinking>\n```\n{"fits":true}\n```', OK, thinking=True) is None
 
 
 @pytest.mark.parametrize(
     "text,error",
     [
-        ('Here you go: {"approved":true}', "invalid JSON object"), ('{"approved":true} {"approved":true}', "invalid JSON object"),
-        ('{"approved":true} trailing', "invalid JSON object"), ("{'approved':true}", "invalid JSON object"), ('{"approved":NaN}', "invalid JSON object"),
-        ('{"approved":"a\nb"}', "invalid JSON object"), ("[true]", "invalid JSON object"), ("", "response is empty"), (None, "response is empty"),
-        ('{"approved":true},"x":{"approved":true}', "invalid JSON object"), ("```\n{}```x", "invalid JSON object"), ('{"approved":01}', "invalid JSON object"),
-        ("null", "response JSON keys do not match response_schema (missing: approved)"),
-        ('{"a":1,"b":2}', "response JSON keys do not match response_schema (missing: approved; extra: a, b)"),
-        ('{"approved":"yes"}', 'field "approved" must be boolean'), ('{"approved":null}', 'field "approved" must be boolean'),
+        ('Our verdict: {"fits":true}', "invalid JSON object"), ('{"fits":true} {"fits":true}', "invalid JSON object"),
+        ('{"fits":true} trailing', "invalid JSON object"), ("{'fits':true}", "invalid JSON object"), ('{"fits":NaN}', "invalid JSON object"),
+        ('{"fits":"a\nb"}', "invalid JSON object"), ("[true]", "invalid JSON object"), ("", "response is empty"), (None, "response is empty"),
+        ('{"fits":true},"x":{"fits":true}', "invalid JSON object"), ("```\n{}```x", "invalid JSON object"), ('{"fits":01}', "invalid JSON object"),
+        ("null", "response JSON keys do not match response_schema (missing: fits)"),
+        ('{"a":1,"b":2}', "response JSON keys do not match response_schema (missing: fits; extra: a, b)"),
+        ('{"fits":"yes"}', 'field "fits" must be boolean'), ('{"fits":null}', 'field "fits" must be boolean'),
     ],
 )
 def test_strict_errors(spark, text, error):
@@ -51,7 +51,7 @@ def test_strict_errors(spark, text, error):
     [
         ("<thinking>never closed", "thinking mode requires a closing </thinking> tag"),
         ("<thinking>only this</thinking> ", "missing final JSON object after </thinking>"),
-        ('<thinking>a</thinking>b</thinking>{"approved":true}', "invalid JSON object"),
+        ('<thinking>a</thinking>b</thinking>{"fits":true}', "invalid JSON object"),
     ],
 )
 def test_thinking_errors(spark, text, error):
@@ -59,7 +59,7 @@ def test_thinking_errors(spark, text, error):
 
 
 def test_last_duplicate_wins(spark):
-    assert check(spark, '{"approved":"no","approved":true}', OK) is None
+    assert check(spark, '{"fits":"no","fits":true}', OK) is None
 
 
 @pytest.mark.parametrize(
@@ -76,8 +76,8 @@ def test_kinds(spark, hint, value, good):
 
 
 def test_enum_message(spark):
-    assert check(spark, '{"classification":"D"}', {"classification": "A|B|C"}) == 'field "classification" must be one of A|B|C'
-    assert check(spark, '{"classification":1}', {"classification": "A|B|C"}) == 'field "classification" must be a string enum (A|B|C)'
+    assert check(spark, '{"kind":"D"}', {"kind": "A|B|C"}) == 'field "kind" must be one of A|B|C'
+    assert check(spark, '{"kind":1}', {"kind": "A|B|C"}) == 'field "kind" must be a string enum (A|B|C)'
 
 
 def test_first_field_in_name_order_is_reported(spark):
@@ -85,8 +85,8 @@ def test_first_field_in_name_order_is_reported(spark):
 
 
 def test_lenient_takes_the_last_object_without_checks(spark):
-    df = spark.createDataFrame([('Result: {"approved":"yes"}',), ("nothing",)], "response string")
-    rows = ops.parse_lenient(df).select(F.try_variant_get(F.element_at("parsed", F.lit("approved")), "$", "string").alias("v"), "error").collect()
+    df = spark.createDataFrame([('Result: {"fits":"yes"}',), ("nothing",)], "response string")
+    rows = ops.parse_lenient(df).select(F.try_variant_get(F.element_at("parsed", F.lit("fits")), "$", "string").alias("v"), "error").collect()
     assert [(r["v"], r["error"]) for r in rows] == [("yes", None), (None, None)]
 
 

@@ -139,7 +139,7 @@ def test_batches_keep_order_and_short_tail(spark):
 
 def test_strict_batch_fails_as_a_whole_and_keeps_its_rows(spark):
     def answer(system, user):
-        return '["still text"]' if '"name0"' in user else '[{"result":"ok"}]'
+        return '["only words"]' if '"name0"' in user else '[{"result":"ok"}]'
 
     cfg = config(batch_size=2, continue_on_error=True)
     r = run_job(spark, cfg, answer, people(spark, 3))
@@ -152,8 +152,8 @@ def test_strict_batch_fails_as_a_whole_and_keeps_its_rows(spark):
 
 def test_lenient_batch_falls_back_to_text(spark):
     cfg = config(batch_size=2, strict_output=False)
-    r = run_job(spark, cfg, lambda s, u: 'Sure: ["still text"] bye', people(spark, 2))
-    assert [x["response"] for x in r.main.collect()] == ["still text", ""]
+    r = run_job(spark, cfg, lambda s, u: 'Sure: ["only words"] bye', people(spark, 2))
+    assert [x["response"] for x in r.main.collect()] == ["only words", ""]
     r = run_job(spark, cfg, lambda s, u: "no list", people(spark, 2))
     assert [x["response"] for x in r.main.collect()] == ["no list", "no list"]
 
@@ -243,8 +243,11 @@ def test_config_checks_everything_at_once():
 
 
 def test_config_from_files(tmp_path):
-    data = {"prompt": {"input_template": "x"}, "processing": {"max_retries": 5, "unknown": 1}, "api": {"model": "m"}}
+    data = {"prompt": {"input_template": "x"}, "processing": {"max_retries": 5}}
     path = tmp_path / "job.json"
+    path.write_text(json.dumps(data | {"api": {"model": "m"}, "input": {"separator": ";"}}))
+    with pytest.raises(ValueError, match="unknown settings: api, input.separator"):
+        load_config(str(path))
     path.write_text(json.dumps(data))
     cfg = load_config(str(path))
     assert isinstance(cfg, JobConfig) and cfg.processing.max_retries == 5 and cfg.processing.response_field == "response"
