@@ -6,6 +6,7 @@ import json
 import re
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from reqweave.functions.binding import let
@@ -25,7 +26,9 @@ def _writes(spark: SparkSession, text: str) -> bool:
     """True if the statement holds an insert or any other command, by its parsed plan; nothing is run."""
     try:
         plan = spark.sql("EXPLAIN EXTENDED " + text).first()[0]
-    except Exception:  # what cannot be explained cannot run either; its own error is shown unless it tried to write
+    except AnalysisException:
+        plan = ""
+    if "== Parsed Logical Plan ==" not in plan:  # it cannot run either; its own error is shown unless it tried to write
         return re.search(r"(?i)\)\s*(INSERT|DELETE|UPDATE|MERGE)\b", text) is not None
     parsed = plan.partition("== Parsed Logical Plan ==")[2].partition("== Analyzed Logical Plan ==")[0]
     nodes = re.findall(r"(?m)^[\s:+\-'!]*([A-Z]\w+)", parsed)
