@@ -23,7 +23,7 @@ from reqweave.sinks.tables import sink_sql
 from reqweave.sinks.workbooks import sink_xlsx
 from reqweave.sources import files as from_files
 from reqweave.sources.tables import scan_sql
-from reqweave.sources.workbooks import scan_xlsx
+from reqweave.sources.workbooks import workbook_records
 from reqweave.storage import materialize
 
 JOB = "job"
@@ -49,7 +49,9 @@ def read_input(spark: SparkSession, cfg: JobConfig) -> DataFrame:
     if kind == "xml":
         return from_files.scan_xml(spark, i.path, i.record_path)
     if kind == "xlsx":
-        return scan_xlsx(spark, i.path, i.has_header)
+        rows = workbook_records(spark, i.path, i.has_header)
+        # workbooks in order of their names, rows as they stand
+        return (rows if i.order_by else row_index(rows, ["path", "row_no"])).drop("path", "row_no")
     if kind == "jdbc":
         return scan_sql(spark, i.url, query=i.query)
     return spark.read.parquet(i.path)
@@ -259,7 +261,8 @@ def write_output(main: DataFrame, cfg: JobConfig) -> None:
         numbered = number_files(materialize(main, "output"))
         group = o.group_by or "_all"
         grouped = numbered if o.group_by else numbered.withColumn(group, F.lit("all"))
-        (to_files.sink_json if kind == "json" else sink_xlsx)(grouped, o.path, group, [ROW])
+        # group and order are no part of the records
+        (to_files.sink_json if kind == "json" else sink_xlsx)(grouped, o.path, group, [ROW], columns=main.columns)
     elif kind == "jdbc":
         sink_sql(main, o.url, o.table)
     else:

@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from reqweave.config import job_config
+from reqweave.plans.job import run_job
 from reqweave.sinks import files as sinks
-from reqweave.sinks.workbooks import build_workbooks
+from reqweave.sinks.workbooks import sink_xlsx as sink_books
 from reqweave.sources import files as src
-from reqweave.sources.workbooks import read_workbooks, workbook_columns
+from reqweave.sources.workbooks import workbook_records
 from reqweave.queries.derived import VALUE
 from reqweave.queries.registry import Tables, query
 from reqweave.storage import materialize, new_folder
@@ -75,11 +77,6 @@ def detect_format(t):
     return t("events").select("event_id", src.detect_format(F.expr(_PATH), F.expr(VALUE)).alias("f")).select("event_id", "f.*")
 
 
-@query("file_inventory")
-def file_inventory(t):
-    return src.file_inventory(t.spark, [t.folder]).select("name", "dir", "size")
-
-
 @query("scan_jsonl", "SELECT doc_id, md5(text) AS text_md5, lang, CAST(NULL AS string) AS gap FROM documents")
 def scan_jsonl(t):
     path = new_folder(t.spark, "jsonl")
@@ -152,16 +149,67 @@ def sink_xml(t):
     return src.scan_xml(t.spark, path, "record", "event_id string, props string, _kind string")
 
 
+def _book_folder(t: Tables, rows: int = 50) -> str:
+    """Customers as workbooks, one or more per nation."""
+    folder = new_folder(t.spark, "books")
+    sink_books(customers(t), folder, "c_nationkey", ["c_custkey"], rows)
+    return folder
+
+
 @query("scan_xlsx", _CUSTOMERS)
 def scan_xlsx(t):
-    books = build_workbooks(customers(t), "c_nationkey", ["c_custkey"], 50)
-    rows = read_workbooks(materialize(books, "books").select(F.concat_ws("-", "group", "part").alias("path"), "content"))
-    return workbook_columns(rows, ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]).drop("path", "row_no")
+    return workbook_records(t.spark, _book_folder(t)).drop("path", "row_no")
 
 
-@query("sink_xlsx", "SELECT CAST(c_nationkey AS string) AS grp, i // 50 AS part, count(*) AS n FROM (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer) GROUP BY ALL")
+@query("sink_xlsx", "SELECT CAST(c_nationkey AS string) AS grp, concat(c_nationkey, '-', lpad(CAST(i // 50 AS string), 5, '0'), '.xlsx') AS name, count(*) AS n FROM (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer) GROUP BY ALL")
 def sink_xlsx(t):
-    return build_workbooks(customers(t), "c_nationkey", ["c_custkey"], 50).select(F.col("group").alias("grp"), "part", F.col("rows").alias("n"))
+    rows = workbook_records(t.spark, _book_folder(t))
+    name = F.element_at(F.split("path", "/"), -1)
+    return rows.groupBy(F.col("c_nationkey").alias("grp"), name.alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("file_inventory", "SELECT concat(c_nationkey, '-00000.xlsx') AS name, true AS has_size, count(*) AS n FROM customer GROUP BY c_nationkey")
+def file_inventory(t):
+    folder = _book_folder(t, 1_000_000)
+    counts = workbook_records(t.spark, folder).groupBy("path").agg(F.count("*").alias("n"))
+    found = src.file_inventory(t.spark, [folder]).join(counts, "path")
+    return found.select("name", (F.col("size") > 0).alias("has_size"), "n")
+
+
+def _rating_job(t: Tables, output: dict, source: dict, records=None):
+    """A dry run over customers: every record gets the rating 0."""
+    cfg = {
+        "prompt": {"system": "Rate.", "input_template": "{{ toPrettyJSON .record }}"}, "input": source, "output": output,
+        "processing": {
+            "dry_run": True, "include_input_in_output": True, "response_schema": {"rating": "int"},
+            "output_fields": ["c_custkey", "c_name", "c_nationkey", "rating"],
+        },
+    }
+    return run_job(t.spark, job_config(cfg), records=records).main
+
+
+@query("job_json_output", "SELECT c_custkey, c_name, c_nationkey, 0 AS rating FROM customer")
+def job_json_output(t):
+    # all members of the written records: helper columns would show up here
+    path = new_folder(t.spark, "out")
+    _rating_job(t, {"type": "json", "path": path}, {"order_by": ["c_custkey"]}, customers(t))
+    read = t.spark.read.options(multiLine=True, recursiveFileLookup=True).json(path)
+    return read.select(*[F.col(c).cast("int").alias(c) if c in ("c_nationkey", "rating") else c for c in read.columns])
+
+
+@query("job_xlsx_round_trip", "SELECT CAST(c_custkey AS string) AS c_custkey, c_name, CAST(c_nationkey AS string) AS c_nationkey, 0 AS rating FROM customer")
+def job_xlsx_round_trip(t):
+    # one job writes workbooks, the next one reads them as its records
+    path = new_folder(t.spark, "out")
+    _rating_job(t, {"type": "xlsx", "path": path, "group_by": "c_nationkey"}, {"order_by": ["c_custkey"]}, customers(t))
+    return _rating_job(t, {}, {"type": "xlsx", "path": path}).select("c_custkey", "c_name", "c_nationkey", F.col("rating").cast("int").alias("rating"))
+
+
+@query("sink_xml_equal_names", "SELECT CAST(n_nationkey AS string) AS a_b, n_name AS a_b_2, CAST(n_regionkey AS string) AS a_b_3 FROM nation")
+def sink_xml_equal_names(t):
+    path = new_folder(t.spark, "xml")
+    sinks.sink_xml(t("nation").select(F.col("n_nationkey").alias("a_b"), F.col("n_name").alias("a b"), F.col("n_regionkey").alias("a+b")), path)
+    return src.scan_xml(t.spark, path, "record", "a_b string, a_b_2 string, a_b_3 string")
 
 
 @query("export_convert", "SELECT CAST(event_id AS string) AS event_id, event_type, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS string) ELSE '' END AS user_id FROM events")

@@ -36,13 +36,22 @@ def sink_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def safe_names(df: DataFrame) -> DataFrame:
-    """Columns renamed to valid XML element names."""
+    """Columns renamed to valid XML element names; names that become equal are numbered."""
 
     def safe(name: str) -> str:
         out = re.sub(r"[^A-Za-z0-9_.-]", "_", name) or "_"
         return re.sub(r"^[0-9.-]", "_", out)
 
-    return df.toDF(*[safe(c) for c in df.columns])
+    names: list[str] = []
+    taken = {c.lower() for c in df.columns if safe(c) == c}
+    for column in df.columns:
+        name, k = safe(column), 1
+        while name != column and name.lower() in taken:
+            k += 1
+            name = f"{safe(column)}_{k}"
+        taken.add(name.lower())
+        names.append(name)
+    return df.toDF(*names)
 
 
 def sink_xml(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -53,13 +62,15 @@ def sink_xml(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     ).save(path)
 
 
-def json_documents(df: DataFrame, group: str, order_by: list[str], rows_per_document: int = DOCUMENT_ROWS) -> DataFrame:
-    """Indented JSON arrays ``(group, part, rows, document)``.
+def json_documents(
+    df: DataFrame, group: str, order_by: list[str], rows_per_document: int = DOCUMENT_ROWS, columns: list[str] | None = None
+) -> DataFrame:
+    """Indented JSON arrays ``(group, part, rows, document)`` of the ``columns`` (all by default).
 
     A group becomes as many documents as its size asks for, so a group that holds a
     third of the table is still written by many tasks, whole and in order.
     """
-    columns = df.columns
+    columns = columns or df.columns
     placed = number_in_group(df, group, order_by)
     item = F.concat(F.lit("  "), F.replace(pretty_record(placed, columns), F.lit("\n"), F.lit("\n  ")))
     parts = placed.select(
@@ -72,9 +83,12 @@ def json_documents(df: DataFrame, group: str, order_by: list[str], rows_per_docu
     )
 
 
-def sink_json(df: DataFrame, path: str, group: str, order_by: list[str], rows_per_document: int = DOCUMENT_ROWS, mode: str = "errorifexists") -> None:
+def sink_json(
+    df: DataFrame, path: str, group: str, order_by: list[str], rows_per_document: int = DOCUMENT_ROWS, mode: str = "errorifexists",
+    columns: list[str] | None = None,
+) -> None:
     """One file per document, in folders named after group and part."""
-    documents = json_documents(df, group, order_by, rows_per_document)
+    documents = json_documents(df, group, order_by, rows_per_document, columns)
     documents.select(group, "part", "document").write.mode(mode).partitionBy(group, "part").option("lineSep", "\n").text(path)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import os
+import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
@@ -48,8 +50,16 @@ def _letters(n: int) -> str:
     return out
 
 
+# Fixed value: the most characters a cell may hold.
+CELL_CHARS = 32_767
+# characters XML cannot hold or would change, and text that looks like their escape
+_ESCAPED = re.compile("_(?=x[0-9A-Fa-f]{4}_)|[\x00-\x08\x0b-\x1f\ufffe\uffff]")
+
+
 def _cell(column: int, row: int, text: str) -> str:
-    kept = "".join(ch for ch in text if ch >= " " or ch in "\t\n\r")
+    if len(text) > CELL_CHARS:
+        raise ValueError(f"a workbook cell holds {CELL_CHARS} characters at most, column {column + 1} has {len(text)}")
+    kept = _ESCAPED.sub(lambda m: f"_x{ord(m.group()):04X}_", text)
     return f'<c r="{_letters(column)}{row}" t="inlineStr"><is><t xml:space="preserve">{escape(kept)}</t></is></c>'
 
 
@@ -68,9 +78,11 @@ def workbook_bytes(header: list[str], rows: list[list[str]]) -> bytes:
     return out.getvalue()
 
 
-def build_workbooks(df: DataFrame, group: str, order_by: list[str], rows_per_book: int = BOOK_ROWS) -> DataFrame:
-    """``(group, part, rows, content)``; a big group becomes several bounded workbooks."""
-    names = df.columns
+def build_workbooks(
+    df: DataFrame, group: str, order_by: list[str], rows_per_book: int = BOOK_ROWS, columns: list[str] | None = None
+) -> DataFrame:
+    """``(group, part, rows, content)`` of the ``columns`` (all by default); a big group becomes several bounded workbooks."""
+    names = columns or df.columns
     placed = number_in_group(df, group, order_by)
     cells = stringify(placed.select(*names)).columns
     keyed = placed.select(
@@ -87,21 +99,31 @@ def build_workbooks(df: DataFrame, group: str, order_by: list[str], rows_per_boo
     return texts.groupBy("_g", "_part").applyInPandas(one_book, BOOKS)
 
 
-def sink_xlsx(df: DataFrame, folder: str, group: str, order_by: list[str], rows_per_book: int = BOOK_ROWS) -> None:
-    """Save the workbooks in a folder every executor can reach.
+def file_store(folder: str):
+    """``(file system, path)`` of a folder given as a path or an address; every executor opens it for itself."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder))
+
+
+def sink_xlsx(
+    df: DataFrame, folder: str, group: str, order_by: list[str], rows_per_book: int = BOOK_ROWS, columns: list[str] | None = None
+) -> None:
+    """Save the workbooks in a folder every executor can reach, local or remote.
 
     Names depend on group and part only and files appear by renaming, so a task
     that runs twice replaces its own file by an equal one.
     """
-    os.makedirs(folder, exist_ok=True)
 
     def save(books) -> None:
+        store, top = file_store(folder)
+        store.create_dir(top, recursive=True)
         for b in books:
             safe = "".join(ch if ch.isalnum() or ch in "-_." else "_" for ch in b["group"])
-            target = f"{folder}/{safe}-{b['part']:05d}.xlsx"
-            partial = f"{target}.{os.getpid()}.part"
-            with open(partial, "wb") as out:
+            target = f"{top}/{safe}-{b['part']:05d}.xlsx"
+            partial = f"{top}/.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(partial) as out:
                 out.write(b["content"])
-            os.replace(partial, target)
+            store.move(partial, target)
 
-    build_workbooks(df, group, order_by, rows_per_book).foreachPartition(save)
+    build_workbooks(df, group, order_by, rows_per_book, columns).foreachPartition(save)

@@ -25,7 +25,8 @@ def _column_number(reference: str) -> int:
 
 
 def _all_text(node) -> str:
-    return "".join(t.text or "" for t in node.iter(MAIN + "t"))
+    text = "".join(t.text or "" for t in node.iter(MAIN + "t"))
+    return re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), text)
 
 
 def _active_sheet(book: zipfile.ZipFile) -> str:
@@ -97,3 +98,13 @@ def scan_xlsx(spark: SparkSession, folder: str, has_header: bool = True) -> Data
 def workbook_columns(rows: DataFrame, names: list[str]) -> DataFrame:
     """Cells as columns; a header missing in one workbook reads as empty text."""
     return rows.select("path", "row_no", *[F.coalesce(F.col("cells")[n], F.lit("")).alias(n) for n in names])
+
+
+def workbook_records(spark: SparkSession, folder: str, has_header: bool = True) -> DataFrame:
+    """Records of a folder of workbooks: ``path, row_no`` and one text column per header name.
+
+    The names are the union over all workbooks, by their first place in a sheet, then by name.
+    """
+    rows = scan_xlsx(spark, folder, has_header)
+    places = rows.select(F.posexplode(F.map_keys("cells")).alias("place", "name")).groupBy("name").agg(F.min("place").alias("place"))
+    return workbook_columns(rows, [r["name"] for r in places.orderBy("place", "name").collect()])
