@@ -71,6 +71,7 @@ class ProcessingConfig:
     debug_field_hint: str = "short explanation in one sentence"
     strict_output: bool = True
     continue_on_error: bool = False
+    first_portion: int = 1000
     workers: int = 0
     rate_limit_rpm: int = 0
     max_retries: int = 3

@@ -165,10 +165,14 @@ def float_text(c: Column, low: int = -6, high: int = 21, pad_small: bool = False
     return F.when(c == 0, "0").when(c.isNotNull(), bound)
 
 
+def _finite(c: Column) -> Column:
+    return ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
 def value_json(c: Column, dtype: T.DataType) -> Column:
-    """Compact JSON text of one column, null included."""
+    """Compact JSON text of one column, null included; JSON has no NaN and no infinity, they become null."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        text = float_text(c.cast("double"))
+        text = F.when(_finite(c), float_text(c.cast("double"))).otherwise("null")
     elif isinstance(dtype, (T.IntegralType, T.BooleanType, T.DecimalType)):
         text = c.cast("string")
     elif isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
@@ -182,7 +186,7 @@ def value_json(c: Column, dtype: T.DataType) -> Column:
 def cell_text(c: Column, dtype: T.DataType) -> Column:
     """Text of a cell: null is empty, scalars as text, nested values as JSON."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        text = float_text(c.cast("double"), -4, 6, pad_small=True)
+        text = F.when(_finite(c), float_text(c.cast("double"), -4, 6, pad_small=True)).otherwise(c.cast("string"))
     elif isinstance(dtype, T.VariantType):
         t = F.schema_of_variant(c)
         plain = F.when(t == "STRING", F.try_variant_get(c, "$", "string")).when(t == "VOID", "")

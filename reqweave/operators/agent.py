@@ -50,20 +50,27 @@ def _one_step(fn: Step, messages: str, tools: list[str], max_attempts: int, slee
 
 def agent_rounds(
     requests: DataFrame, step: Step, pages: DataFrame | None = None, tools: list[str] = TOOLS,
-    max_rounds: int = MAX_ROUNDS, max_attempts: int = MAX_ATTEMPTS, sleep=time.sleep,
+    max_rounds: int = MAX_ROUNDS, max_attempts: int = MAX_ATTEMPTS, sleep=time.sleep, pause: float = 0.0,
 ) -> DataFrame:
     """``requests(request_id, system, user, ..)`` plus response, error and rounds.
 
     Each round is written before it is read, so the generator is called once per
-    open record and round, and the plan does not grow with the rounds.
+    open record and round, and the plan does not grow with the rounds. ``pause`` is the
+    time between two calls of one task.
     """
     columns = requests.columns
     max_rounds = max_rounds if max_rounds > 0 else MAX_ROUNDS
 
     @F.pandas_udf(STEP)
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        next_start = 0.0
         for batch in batches:
-            rows = [_one_step(step, m, tools, max_attempts, sleep) for m in batch]
+            rows = []
+            for m in batch:
+                if pause:
+                    sleep(max(0.0, next_start - time.monotonic()))
+                    next_start = time.monotonic() + pause
+                rows.append(_one_step(step, m, tools, max_attempts, sleep))
             yield pd.DataFrame(rows, columns=["content", "calls", "error"])
 
     ask = ask.asNondeterministic()
@@ -92,18 +99,17 @@ def agent_rounds(
 def _answer_calls(asked: DataFrame, columns: list[str], pages: DataFrame | None, tools: list[str]) -> DataFrame:
     """Run the calls of a round; one shuffle brings the results of a record together."""
     said = _message("assistant", F.col("_step.content"), F.col("_step.calls"))
-    rest = [c for c in columns if c != "request_id"]
-    record = F.struct(*rest, F.concat("_messages", F.array(said)).alias("_messages"))
-    calls = asked.select("request_id", record.alias("_all"), F.posexplode("_step.calls").alias("_no", "_call"))
+    # ids of requests may repeat, so the calls of a record meet under a key of their own
+    asked = asked.withColumn("_key", F.monotonically_increasing_id())
+    record = F.struct(*columns, F.concat("_messages", F.array(said)).alias("_messages"))
+    calls = asked.select("_key", record.alias("_all"), F.posexplode("_step.calls").alias("_no", "_call"))
     # the record itself travels with its first call only
     calls = calls.select(
-        "request_id", F.when(F.col("_no") == 0, F.col("_all")).alias("_record"), "_no",
+        "_key", F.when(F.col("_no") == 0, F.col("_all")).alias("_record"), "_no",
         F.col("_call.id").alias("_id"), F.col("_call.name").alias("name"), F.col("_call.args").alias("args"),
     )
     done = dispatch_tools(calls, pages, tools)
     reply = F.struct("_no", _message("tool", F.col("result"), call_id=F.col("_id"), tool=F.col("name")).alias("m"))
-    back = done.groupBy("request_id").agg(F.any_value("_record", ignoreNulls=True).alias("_record"), F.array_sort(F.collect_list(reply)).alias("_replies"))
+    back = done.groupBy("_key").agg(F.any_value("_record", ignoreNulls=True).alias("_record"), F.array_sort(F.collect_list(reply)).alias("_replies"))
     messages = F.concat("_record._messages", F.transform("_replies", lambda r: r["m"]))
-    return back.select(
-        "request_id", *[F.col("_record")[c].alias(c) for c in rest], messages.cast(f"array<{MESSAGE}>").alias("_messages")
-    ).select(*columns, "_messages")
+    return back.select(*[F.col("_record")[c].alias(c) for c in columns], messages.cast(f"array<{MESSAGE}>").alias("_messages"))

@@ -75,6 +75,15 @@ def call_generator(
     return answer.asNondeterministic()(system, user)
 
 
+def call_pause(df: DataFrame, per_minute: int, tasks: int | None = None) -> float:
+    """Seconds between two calls of one task, so that all running tasks keep within ``per_minute``.
+
+    Without a number of tasks that many run at once as the session has slots; rows then
+    stay where they are. A session that grows later needs the number.
+    """
+    return 60.0 * (tasks or df.sparkSession.sparkContext.defaultParallelism) / per_minute if per_minute > 0 else 0.0
+
+
 def generate(
     requests: DataFrame, fn: Generator, system: str = "system", user: str = "user",
     max_attempts: int = MAX_ATTEMPTS, partitions: int | None = None, sleep=time.sleep, per_minute: int = 0,
@@ -82,11 +91,9 @@ def generate(
     """Adds response, error, attempts and duration_ms.
 
     ``partitions`` sets how many calls run at once. ``per_minute`` limits the calls
-    of the whole stage; every task gets its share, so it needs ``partitions``.
+    of the whole stage; every running task gets its share (see ``call_pause``).
     """
-    if per_minute > 0 and not partitions:
-        raise ValueError("per_minute needs partitions, among which the budget is divided")
-    pause = 60.0 * partitions / per_minute if per_minute > 0 else 0.0
+    pause = call_pause(requests, per_minute, partitions)
     spread = requests.repartition(partitions) if partitions else requests
     called = spread.withColumn("_answer", call_generator(fn, F.col(system), F.col(user), max_attempts, sleep, pause))
     return called.select("*", "_answer.*").drop("_answer")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -13,7 +14,7 @@ from reqweave.operators.agent import agent_rounds
 from reqweave.operators.answers import check_answers, parse_lenient, parse_strict, spread_fields
 from reqweave.operators.batches import batch_user_text, keep_failed_rows, make_batches, split_batch_lenient, split_batch_strict
 from reqweave.operators.enrich import enrich_lookup
-from reqweave.operators.generate import call_generator, dry_run_generate, generate, route_errors
+from reqweave.operators.generate import audit_log, call_generator, call_pause, dry_run_generate, generate, route_errors
 from reqweave.operators.merge import carry_input, member_names, output_fields, store_response
 from reqweave.operators.ordering import ROW, exclude_columns, number_files, ordered_emit, row_index
 from reqweave.operators.prompts import record_body, request_id, user_text
@@ -31,11 +32,12 @@ JOB = "job"
 
 @dataclass
 class JobResult:
-    """Output rows in input order, failed rows with their reports, counts."""
+    """Output rows in input order, failed rows with their reports, counts, and the calls with their durations."""
 
     main: DataFrame
     errors: DataFrame
     metrics: dict[str, int]
+    audit: DataFrame | None = None
 
 
 def read_input(spark: SparkSession, cfg: JobConfig) -> DataFrame:
@@ -108,7 +110,9 @@ def repaired(df: DataFrame, cfg: JobConfig, job: OneJob, fn: Callable) -> DataFr
     columns = df.columns
     broken = F.col("call_error").isNull() & F.col("error").isNotNull()
     prompt = repair_text(F.col("response"), job.text("field_lines"), job.text("example"))
-    called = df.withColumn("_again", call_generator(fn, F.lit(REPAIR_SYSTEM), F.when(broken, prompt), cfg.processing.max_retries))
+    p = cfg.processing
+    pause = call_pause(df, p.rate_limit_rpm, p.workers or None)
+    called = df.withColumn("_again", call_generator(fn, F.lit(REPAIR_SYSTEM), F.when(broken, prompt), p.max_retries, pause=pause))
     first = {c: F.col(c).alias("_first_" + c) for c in ("response", "parsed", "error")}
     second = called.select(
         *[c for c in columns if c not in first], *first.values(), F.col("_again.response").alias("response")
@@ -122,10 +126,9 @@ def repaired(df: DataFrame, cfg: JobConfig, job: OneJob, fn: Callable) -> DataFr
 
 
 def _generated(requests: DataFrame, cfg: JobConfig, fn: Callable) -> DataFrame:
-    """Calls by ``workers`` tasks; a rate limit without workers means a single one."""
+    """Calls by ``workers`` tasks, or where the rows are."""
     p = cfg.processing
-    tasks = p.workers or (1 if p.rate_limit_rpm else None)
-    return generate(requests, fn, max_attempts=p.max_retries, partitions=tasks, per_minute=p.rate_limit_rpm)
+    return generate(requests, fn, max_attempts=p.max_retries, partitions=p.workers or None, per_minute=p.rate_limit_rpm)
 
 
 def _answered(requests: DataFrame, cfg: JobConfig, job: OneJob, fn, pages) -> DataFrame:
@@ -133,10 +136,11 @@ def _answered(requests: DataFrame, cfg: JobConfig, job: OneJob, fn, pages) -> Da
     if p.dry_run:
         return dry_run_generate(requests, job, p.response_field).withColumn("call_error", F.lit(None).cast("string"))
     if cfg.tools.enabled:
-        asked = agent_rounds(requests, fn, pages, cfg.tools.names, cfg.tools.max_rounds, p.max_retries)
+        pause = call_pause(requests, p.rate_limit_rpm, p.workers or None)
+        spread = requests.repartition(p.workers) if p.workers else requests
+        asked = agent_rounds(spread, fn, pages, cfg.tools.names, cfg.tools.max_rounds, p.max_retries, pause=pause)
         return asked.drop("rounds").withColumnRenamed("error", "call_error")
-    called = _generated(requests, cfg, fn)
-    return called.drop("attempts", "duration_ms").withColumnRenamed("error", "call_error")
+    return _generated(requests, cfg, fn).withColumnRenamed("error", "call_error")
 
 
 def _counted(df: DataFrame, name: str) -> tuple[DataFrame, dict[str, int]]:
@@ -154,14 +158,33 @@ def run_records(records: DataFrame, cfg: JobConfig, fn=None, repair_fn=None, pag
     prepare(spark)
     inputs = [c for c in records.columns if c != ROW]
     job = one_job(job_spec(spark, cfg), JOB)
-    done = checked(_answered(with_requests(records, cfg, job, run), cfg, job, fn, pages), cfg, job)
     fixer = repair_fn or (None if cfg.tools.enabled else fn)
-    if p.strict_output and not p.dry_run and fixer is not None:
-        done = repaired(done, cfg, job, fixer)
-    stored, metrics = _counted(done, "answers")
+    parts, metrics = [], {"processed": 0, "ok": 0}
+    for portion in _portions(records, cfg):
+        done = checked(_answered(with_requests(portion, cfg, job, run), cfg, job, fn, pages), cfg, job)
+        if p.strict_output and not p.dry_run and fixer is not None:
+            done = repaired(done, cfg, job, fixer)
+        stored, counts = _counted(done, "answers")
+        if counts["ok"] < counts["processed"]:
+            _stop_at_first(route_errors(stored, ROW)[1], cfg)
+        parts.append(stored)
+        metrics = {k: metrics[k] + counts[k] for k in metrics}
+    stored = reduce(DataFrame.unionByName, parts)
     good, errors = route_errors(stored, ROW)
-    _stop_at_first(errors, cfg)
-    return JobResult(_output(good, cfg, job, inputs), errors, metrics)
+    audit = audit_log(stored) if "duration_ms" in stored.columns else None
+    return JobResult(_output(good, cfg, job, inputs), errors, metrics, audit)
+
+
+def _portions(records: DataFrame, cfg: JobConfig) -> Iterator[DataFrame]:
+    """The records, in stop mode in portions of doubling size: after the first failed portion no more calls are made."""
+    p = cfg.processing
+    if p.continue_on_error or p.dry_run:
+        yield records
+        return
+    last, start, size = records.agg(F.max(ROW)).first()[0], 0, max(1, p.first_portion)
+    while start <= (last or 0):
+        yield records.where((F.col(ROW) >= start) & (F.col(ROW) < start + size))
+        start, size = start + size, 2 * size
 
 
 def _stop_at_first(errors: DataFrame, cfg: JobConfig) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reqweave.operators import tools as ops
 from reqweave.operators.agent import agent_rounds as rounds
-from reqweave.queries.registry import query
+from reqweave.queries.registry import SQL, query
 
 
 def _args(**members):
@@ -74,10 +74,20 @@ def _step(messages: list[dict], tools: list[str]) -> dict:
 FROM (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\s+'), lambda s: s <> '')) AS w FROM documents)""",
 )
 def agent_rounds(t):
-    asked = t("documents").select(F.concat(F.lit("r"), "doc_id").alias("request_id"), F.lit("count").alias("system"), F.col("text").alias("user"), "doc_id")
+    return _rounds(t, F.concat(F.lit("r"), "doc_id"))
+
+
+def _rounds(t, request_id):
+    asked = t("documents").select(request_id.alias("request_id"), F.lit("count").alias("system"), F.col("text").alias("user"), "doc_id")
     return rounds(asked, _step, tools=["text_stats", "regex_extract"]).select("doc_id", "response", "error", "rounds")
 
 
+@query("agent_rounds_equal_ids", SQL["agent_rounds"])
+def agent_rounds_equal_ids(t):
+    # requests of one language share their id
+    return _rounds(t, F.col("lang"))
+
+
 _NAME = "concat(CASE p_partkey % 3 WHEN 0 THEN ' ' ELSE '' END, CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN '' ELSE p_name END)"
 
 

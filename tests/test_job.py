@@ -206,8 +206,92 @@ def test_rate_limit_spaces_the_calls(spark):
     times = sorted(float(r["result"]) for r in rows)
     # ten calls a second over two tasks: eight calls take at least three pauses of 0.2 s
     assert times[-1] - times[0] > 0.55
-    with pytest.raises(ValueError):
-        generate(people(spark), stamp, per_minute=5)
+
+
+def test_rate_limit_without_workers_keeps_the_partitions(spark):
+    asked = people(spark, 40).select(F.lit("").alias("system"), F.col("name").alias("user")).repartition(7)
+    slots = spark.sparkContext.defaultParallelism
+    called = generate(asked, lambda s, u: u, per_minute=60_000 * slots)
+    assert called.rdd.getNumPartitions() == 7 and called.count() == 40
+
+
+def test_repairs_keep_the_pace(spark, tmp_path):
+    import time
+
+    def prose(system, user):
+        if "name" not in system and "Required" in user or "rewrite" in user.lower():
+            (tmp_path / f"{time.time():.6f}").write_text("")
+        return "prose"
+
+    run_job(spark, config(workers=1, rate_limit_rpm=600, continue_on_error=True, max_retries=1), prose, people(spark, 5))
+    times = sorted(float(p.name) for p in tmp_path.iterdir())
+    assert len(times) >= 5 and times[-1] - times[0] > 0.35
+
+
+def test_stop_mode_leaves_most_calls_unmade(spark, tmp_path):
+    def down(system, user):
+        import uuid
+
+        (tmp_path / uuid.uuid4().hex).write_text("")
+        raise RuntimeError("down")
+
+    with pytest.raises(RuntimeError, match="record 0"):
+        run_job(spark, config(first_portion=4, max_retries=1), down, people(spark, 200))
+    assert len(list(tmp_path.iterdir())) == 4
+
+
+def test_stop_mode_gives_all_records_in_order(spark):
+    r = run_job(spark, config(first_portion=3), always_ok, people(spark, 40))
+    assert [x["id"] for x in r.main.collect()] == list(range(40)) and r.metrics == {"processed": 40, "ok": 40}
+    assert r.audit.count() == 40 and r.audit.where("duration_ms is null").count() == 0
+
+
+def test_enrichment_needs_its_table(spark):
+    cfg = config()
+    cfg.enrich.enabled, cfg.enrich.column = True, "name"
+    with pytest.raises(ValueError, match="lookup"):
+        run_job(spark, cfg, always_ok, people(spark))
+
+
+def test_records_with_equal_request_ids_stay_apart(spark):
+    from reqweave.operators.agent import agent_rounds
+
+    def step(messages, tools):
+        if len(messages) == 2:
+            return {"tool_calls": [{"id": "a", "name": "text_stats", "args": json.dumps({"text": messages[1]["content"]})}]}
+        return {"content": str(json.loads(messages[3]["content"])["words"])}
+
+    asked = spark.createDataFrame([("r", "", "one"), ("r", "", "one two"), (None, "", "one two three"), ("q", "", "one")], "request_id string, system string, user string")
+    got = agent_rounds(asked, step, tools=["text_stats"])
+    assert sorted((r["user"], r["response"]) for r in got.collect()) == [("one", "1"), ("one", "1"), ("one two", "2"), ("one two three", "3")]
+
+
+def test_rows_without_a_key_spread_over_the_tasks(spark):
+    from reqweave.operators.enrich import enrich_lookup
+
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "false")
+        df = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).otherwise(" ").alias("k"))
+        table = spark.range(0, 20_000, 10).select(F.col("id").cast("string").alias("key"), F.lit("hit").alias("result"))
+        found = enrich_lookup(df, "k", table, "key", "result")
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 2 * sum(sizes) / len(sizes)
+        assert found.where("enriched_k = 'hit'").count() == 2000 and found.where("enriched_k is null").count() == 18_000
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def test_non_finite_numbers_are_defined(spark):
+    from reqweave.functions.jsonvals import cell_text, value_json
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (1.5,), (None,)], "x double")
+    got = df.select(value_json(F.col("x"), T.DoubleType()), cell_text(F.col("x"), T.DoubleType())).collect()
+    assert [tuple(r) for r in got] == [("null", "NaN"), ("null", "Infinity"), ("1.5", "1.5"), ("null", "")]
 
 
 def test_restart_sends_only_what_is_open(spark):
