@@ -10,24 +10,57 @@ from reqweave.storage import materialize
 ROW = "_row_idx"
 
 
+def _file_counts(files: DataFrame) -> DataFrame:
+    """``_file, _rows, _last``: rows and last row number of every file of a parquet scan."""
+    placed = files.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    return materialize(placed.groupBy("_file").agg(F.count("*").alias("_rows"), F.max("_at").alias("_last")), "file-counts")
+
+
+def _with_starts(files: DataFrame, counts: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Row number = rows of the files before, in ``order``, plus the place in the file."""
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    # short keys keep the joined table small enough to be sent to every task with very many files
+    starts = materialize(starts.select(F.xxhash64("_file").alias("_key"), "_file", "_start"), "file-starts")
+    columns, path = files.columns, F.col("_metadata.file_path")
+    placed = files.select("*", path.alias("_path"), F.xxhash64(path).alias("_key"), F.col("_metadata.row_index").alias("_at"))
+    total, distinct = starts.agg(F.count("*"), F.countDistinct("_key")).first()
+    joined = placed.join(starts.drop("_file"), "_key") if total == distinct else placed.join(starts, F.col("_path") == F.col("_file"))
+    return joined.select(*columns, (F.col("_start") + F.col("_at")).alias(name))
+
+
 def number_files(files: DataFrame, name: str = ROW) -> DataFrame:
-    """Number the rows of a parquet-backed frame in file order, without a shuffle.
+    """Number the rows of a parquet-backed frame in order of its parts, without a shuffle.
 
     Each row knows its place inside its file; adding the row counts of the files
     before it gives the number. Only the per-file counts are ordered globally, and
     they are written down so that Spark plans the join with their true size.
     """
     part = F.regexp_extract("_file", r"part-(\d+)", 1).cast("long")
-    per_file = (
-        files.select(F.col("_metadata.file_path").alias("_file"))
-        .groupBy("_file").agg(F.count("*").alias("_rows"))
-    )
-    before = Window.orderBy(part, "_file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_file.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    starts = materialize(starts, "file-starts")
-    columns = files.columns
-    placed = files.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-    return placed.join(starts, "_file").select(*columns, (F.col("_start") + F.col("_at")).alias(name))
+    return _with_starts(files, _file_counts(files), [part, F.col("_file")], name)
+
+
+def number_arrival(df: DataFrame, name: str = ROW) -> DataFrame:
+    """Number records in order of their files' names and their places there.
+
+    Whole parquet files are numbered where they lie. Rows of other files carry file, block
+    and place in the block, and are range-partitioned by them. Any other frame is written
+    and numbered in order of arrival.
+    """
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        pass
+    else:
+        counts = _file_counts(df)
+        if counts.where(F.col("_rows") != F.col("_last") + 1).isEmpty():
+            return _with_starts(df, counts, [F.col("_file")], name)
+        return number_files(materialize(df, "input"), name)
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_src"), F.col("_metadata.file_block_start").alias("_block"))
+    except AnalysisException:
+        return number_files(materialize(df, "input"), name)
+    return row_index(placed.withColumn("_place", F.monotonically_increasing_id()), ["_src", "_block", "_place"], name).drop("_src", "_block", "_place")
 
 
 def _placed(df: DataFrame) -> DataFrame:

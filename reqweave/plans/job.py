@@ -16,7 +16,7 @@ from reqweave.operators.batches import batch_user_text, keep_failed_rows, make_b
 from reqweave.operators.enrich import enrich_lookup
 from reqweave.operators.generate import audit_log, call_generator, call_pause, dry_run_generate, generate, route_errors
 from reqweave.operators.merge import carry_input, member_names, output_fields, store_response
-from reqweave.operators.ordering import ROW, exclude_columns, number_files, ordered_emit, row_index
+from reqweave.operators.ordering import ROW, exclude_columns, number_arrival, number_files, ordered_emit, row_index
 from reqweave.operators.prompts import record_body, request_id, user_text
 from reqweave.operators.spec import REPAIR_SYSTEM, OneJob, effective_schema, instructions_text, one_job, repair_text, spec_frame, system_text
 from reqweave.sinks import files as to_files
@@ -64,7 +64,7 @@ def number_input(df: DataFrame, cfg: JobConfig) -> DataFrame:
         return df
     if cfg.input.order_by:
         return row_index(df, cfg.input.order_by)
-    return number_files(materialize(df, "input"))
+    return number_arrival(df)
 
 
 def job_spec(spark: SparkSession, cfg: JobConfig) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from reqweave.config import job_config
+from reqweave.operators.ordering import ROW, number_arrival
 from reqweave.plans.job import run_job
 from reqweave.sinks import files as sinks
 from reqweave.sinks.workbooks import sink_xlsx as sink_books
@@ -32,6 +33,20 @@ def scan_csv(t):
     return src.scan_csv(t.spark, path, multi_line=False)
 
 
+@query(
+    "job_file_order",
+    """SELECT doc_id, row_number() OVER (ORDER BY CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 ELSE 4 END, doc_id) - 1 AS row_idx FROM documents""",
+)
+def job_file_order(t):
+    # files of unequal size, one folder per language, are numbered by name and line
+    top = new_folder(t.spark, "ordered")
+    for lang in ("fr", "de", "es", "en"):
+        own = t("documents").where(F.col("lang") == lang).select("doc_id", "lang").orderBy("doc_id").coalesce(1)
+        own.write.csv(f"{top}/{lang}", header=True)
+    read = src.scan_csv(t.spark, f"{top}/*", ",")
+    return number_arrival(read).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ROW).alias("row_idx"))
+
+
 @query("scan_csv_no_header", _CUSTOMERS.replace("AS c_custkey", "AS col_1").replace("c_name", "c_name AS col_2").replace("AS c_nationkey", "AS col_3").replace("c_mktsegment", "c_mktsegment AS col_4"))
 def scan_csv_no_header(t):
     path = new_folder(t.spark, "csv")
