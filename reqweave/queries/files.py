@@ -1,5 +1,7 @@
 """Sources, sinks and streams: the tables are written, read back and compared."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from reqweave.config import job_config
@@ -274,17 +276,16 @@ def watch_folder(t):
 
 @query("per_file_job", """SELECT event_id, concat('{"words":', length(event_type), '}') AS response FROM events""")
 def per_file_job(t):
-    from reqweave.operators.generate import generate
-
-    def job(batch):
-        asked = batch.withColumns({"system": F.lit(""), "user": F.col("event_type")})
-        return generate(asked, _count_letters).select("event_id", "response", "file_name")
-
-    return _streamed(t, job).select("event_id", "response")
+    cfg = job_config({
+        "prompt": {"system": "Count.", "input_template": "{{ .event_type }}"}, "input": {"order_by": ["event_id"]},
+        "processing": {"response_schema": {"words": "int"}, "include_input_in_output": True, "output_fields": ["event_id", "response", "file_name"]},
+    })
+    return _streamed(t, lambda batch: run_job(batch.sparkSession, cfg, _count_letters, records=batch).main).select("event_id", "response")
 
 
 def _count_letters(system: str, user: str) -> str:
-    return f'{{"words":{len(user)}}}'
+    kind = json.loads(user[user.index("{") : user.index("}") + 1])["input"]
+    return f'{{"words":{len(kind)}}}'
 
 
 @query("claim_and_archive", "SELECT event_id, user_id FROM events")

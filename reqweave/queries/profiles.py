@@ -68,15 +68,21 @@ def first_examples(t):
     return _shown(ops.column_profile(df, ["event_type", "user_id", "value", "props"]))
 
 
+_MIXED = """CASE event_id % 7 WHEN 0 THEN replace(props, ': ', ':') WHEN 1 THEN CAST(user_id AS string) WHEN 2 THEN event_type
+  WHEN 3 THEN concat('[', user_id, ',"', event_type, '"]') ELSE '1' END"""
+
+
 @query(
     "column_profile_mixed",
-    """SELECT 'value' AS column_name, 'number' AS type, count(*) FILTER (WHERE event_id % 7 IN (5, 6)) AS n_empty FROM events""",
+    f"""SELECT 'value' AS column_name, 'number' AS type, (SELECT count(*) FROM events WHERE event_id % 7 IN (5, 6)) AS n_empty,
+  (SELECT string_agg(v, '|' ORDER BY k) FROM (SELECT {_MIXED} AS v, min(event_id) AS k FROM events WHERE event_id % 7 < 5 GROUP BY 1 ORDER BY 2 LIMIT 6)) AS examples""",
 )
 def column_profile_mixed(t):
-    # values of every kind in one VARIANT column; numbers are as frequent as any other kind or more
-    number = F.when(F.col("event_id") % 7 == 4, F.lit("1")).otherwise(F.expr(VALUE))
+    # values of every kind in one VARIANT column, blank texts among them; numbers are as frequent as any other kind or more
+    k = F.col("event_id") % 7
+    number = F.when(k == 4, F.lit("1")).when(k == 6, F.lit('" \\t "')).otherwise(F.expr(VALUE))
     df = t("events").select(F.col("event_id").alias(ROW), framed_value(framed(number)).alias("value"))
-    return _shown(ops.column_profile(df)).drop("examples")
+    return _shown(ops.column_profile(df, examples=6))
 
 
 @query(
