@@ -72,6 +72,8 @@ class ProcessingConfig:
     strict_output: bool = True
     continue_on_error: bool = False
     first_portion: int = 1000
+    portion_rows: int = 0
+    answers_path: str = ""
     workers: int = 0
     rate_limit_rpm: int = 0
     max_retries: int = 3

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from reqweave.config import JobConfig
@@ -143,12 +144,29 @@ def _answered(requests: DataFrame, cfg: JobConfig, job: OneJob, fn, pages) -> Da
     return _generated(requests, cfg, fn).withColumnRenamed("error", "call_error")
 
 
-def _counted(df: DataFrame, name: str) -> tuple[DataFrame, dict[str, int]]:
-    """Write the frame and count on the way."""
+def _counted(df: DataFrame, name: str, path: str = "") -> tuple[DataFrame, dict[str, int]]:
+    """Write the frame, to ``path`` if given, and count on the way."""
     seen = Observation(name)
     counts = [F.count(F.lit(1)).alias("processed"), F.count_if(F.col("error").isNull()).alias("ok")]
-    stored = materialize(df.observe(seen, *counts), name)
-    return stored, seen.get
+    observed = df.observe(seen, *counts)
+    if path:
+        observed.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path), seen.get
+    return materialize(observed, name), seen.get
+
+
+def _kept(spark: SparkSession, folder: str, start: int) -> tuple[DataFrame, dict[str, int]] | None:
+    """Answers of a portion that an earlier run of the job has finished."""
+    try:
+        done = spark.read.parquet(f"{folder}/done-{start}").first()
+    except AnalysisException:
+        return None
+    return spark.read.parquet(f"{folder}/answers-{start}"), {"processed": done["processed"], "ok": done["ok"]}
+
+
+def _keep(spark: SparkSession, folder: str, start: int, counts: dict[str, int]) -> None:
+    """Mark a portion as finished; the mark is one small file, so it is there or not."""
+    spark.createDataFrame([(counts["processed"], counts["ok"])], "processed long, ok long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/done-{start}")
 
 
 def run_records(records: DataFrame, cfg: JobConfig, fn=None, repair_fn=None, pages: DataFrame | None = None, run: str = "run") -> JobResult:
@@ -159,32 +177,41 @@ def run_records(records: DataFrame, cfg: JobConfig, fn=None, repair_fn=None, pag
     inputs = [c for c in records.columns if c != ROW]
     job = one_job(job_spec(spark, cfg), JOB)
     fixer = repair_fn or (None if cfg.tools.enabled else fn)
-    parts, metrics = [], {"processed": 0, "ok": 0}
-    for portion in _portions(records, cfg):
-        done = checked(_answered(with_requests(portion, cfg, job, run), cfg, job, fn, pages), cfg, job)
-        if p.strict_output and not p.dry_run and fixer is not None:
-            done = repaired(done, cfg, job, fixer)
-        stored, counts = _counted(done, "answers")
-        if counts["ok"] < counts["processed"]:
-            _stop_at_first(route_errors(stored, ROW)[1], cfg)
-        parts.append(stored)
-        metrics = {k: metrics[k] + counts[k] for k in metrics}
+    parts, metrics, folder = [], {"processed": 0, "ok": 0}, p.answers_path.rstrip("/")
+    for start, portion in _portions(records, cfg):
+        found = _kept(spark, folder, start) if folder else None
+        if found is None:
+            done = checked(_answered(with_requests(portion, cfg, job, run), cfg, job, fn, pages), cfg, job)
+            if p.strict_output and not p.dry_run and fixer is not None:
+                done = repaired(done, cfg, job, fixer)
+            found = _counted(done, "answers", f"{folder}/answers-{start}" if folder else "")
+            if found[1]["ok"] < found[1]["processed"]:
+                _stop_at_first(route_errors(found[0], ROW)[1], cfg)
+            if folder:
+                _keep(spark, folder, start, found[1])
+        parts.append(found[0])
+        metrics = {k: metrics[k] + found[1][k] for k in metrics}
     stored = reduce(DataFrame.unionByName, parts)
     good, errors = route_errors(stored, ROW)
     audit = audit_log(stored) if "duration_ms" in stored.columns else None
     return JobResult(_output(good, cfg, job, inputs), errors, metrics, audit)
 
 
-def _portions(records: DataFrame, cfg: JobConfig) -> Iterator[DataFrame]:
-    """The records, in stop mode in portions of doubling size: after the first failed portion no more calls are made."""
+def _portions(records: DataFrame, cfg: JobConfig) -> Iterator[tuple[int, DataFrame]]:
+    """The records with the number of their first row.
+
+    Portions of ``portion_rows`` if given. Otherwise jobs that stop at an error, or keep their
+    answers for a restart, go in portions of doubling size: few jobs, and after a failed
+    portion no more calls are made.
+    """
     p = cfg.processing
-    if p.continue_on_error or p.dry_run:
-        yield records
+    if not p.portion_rows and (p.dry_run or p.continue_on_error and not p.answers_path):
+        yield 0, records
         return
-    last, start, size = records.agg(F.max(ROW)).first()[0], 0, max(1, p.first_portion)
+    last, start, size = records.agg(F.max(ROW)).first()[0], 0, max(1, p.portion_rows or p.first_portion)
     while start <= (last or 0):
-        yield records.where((F.col(ROW) >= start) & (F.col(ROW) < start + size))
-        start, size = start + size, 2 * size
+        yield start, records.where((F.col(ROW) >= start) & (F.col(ROW) < start + size))
+        start, size = start + size, size if p.portion_rows else 2 * size
 
 
 def _stop_at_first(errors: DataFrame, cfg: JobConfig) -> None:

@@ -222,6 +222,36 @@ def job_xlsx_round_trip(t):
     return _rating_job(t, {}, {"type": "xlsx", "path": path}).select("c_custkey", "c_name", "c_nationkey", F.col("rating").cast("int").alias("rating"))
 
 
+@query(
+    "restart_job",
+    """SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY c_custkey) <= 2 * ((SELECT count(*) FROM customer) // 5) THEN 1 ELSE 2 END AS rating FROM customer""",
+)
+def restart_job(t):
+    # the first run fails in its third portion; the second one asks for the rows that have no answer yet
+    records, portion = customers(t), t("customer").count() // 5
+    border = records.orderBy("c_custkey").limit(2 * portion).agg(F.max("c_custkey")).first()[0]
+    cfg = job_config({
+        "prompt": {"input_template": "{{ .c_custkey }}"}, "input": {"order_by": ["c_custkey"]},
+        "processing": {
+            "response_schema": {"rating": "int"}, "include_input_in_output": True, "output_fields": ["c_custkey", "rating"], "max_retries": 1,
+            "portion_rows": portion, "answers_path": new_folder(t.spark, "kept"),
+        },
+    })
+
+    def failing(system: str, user: str) -> str:
+        if json.loads(user[user.index("{") : user.index("}") + 1])["input"] > str(border).zfill(12):
+            raise RuntimeError("down")
+        return '{"rating":1}'
+
+    keyed = records.withColumn("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 12, "0"))
+    try:
+        run_job(t.spark, cfg, failing, records=keyed)
+    except RuntimeError:
+        pass
+    done = run_job(t.spark, cfg, lambda system, user: '{"rating":2}', records=keyed).main
+    return done.select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("rating").cast("int").alias("rating"))
+
+
 @query("sink_xml_equal_names", "SELECT CAST(n_nationkey AS string) AS a_b, n_name AS a_b_2, CAST(n_regionkey AS string) AS a_b_3 FROM nation")
 def sink_xml_equal_names(t):
     path = new_folder(t.spark, "xml")

@@ -246,6 +246,25 @@ def test_stop_mode_gives_all_records_in_order(spark):
     assert r.audit.count() == 40 and r.audit.where("duration_ms is null").count() == 0
 
 
+def test_a_restart_repeats_no_finished_portion(spark, tmp_path):
+    import uuid
+
+    (tmp_path / "calls").mkdir()
+
+    def failing(system, user):
+        (tmp_path / "calls" / uuid.uuid4().hex).write_text("")
+        if '"name7"' in user:
+            raise RuntimeError("down")
+        return '{"result":"first"}'
+
+    cfg = config(portion_rows=3, answers_path=str(tmp_path / "kept"), max_retries=1)
+    with pytest.raises(RuntimeError, match="record 7"):
+        run_job(spark, cfg, failing, people(spark))
+    assert len(list((tmp_path / "calls").iterdir())) == 9
+    r = run_job(spark, cfg, lambda s, u: '{"result":"second"}', people(spark))
+    assert [x["result"] for x in r.main.collect()] == ["first"] * 6 + ["second"] * 4 and r.metrics == {"processed": 10, "ok": 10}
+
+
 def test_enrichment_needs_its_table(spark):
     cfg = config()
     cfg.enrich.enabled, cfg.enrich.column = True, "name"
