@@ -9,7 +9,9 @@ sorting every suffix of the corpus:
   share one: a run is a stretch of starts with one anchor, and its text all that these strings cover.
 * Runs are hashed, and combined before they are shuffled: of the runs of a task with the same anchor and text
   the earliest alone travels, in packed arrays by buckets of anchors. In its bucket an anchor that
-  occurs once is dropped, and a run whose text is that of an earlier one is a copy throughout.
+  occurs once is dropped, and a run whose text is that of an earlier one is a copy throughout. Of an anchor
+  with many texts in one task a single marked run travels; the others are known to be edges. So a
+  bucket holds a bounded number of runs of an anchor from each task, however common it is.
 * The earliest runs of anchors with several texts are where copies begin and end. Their texts are laid out in
   corpus order, their suffixes sorted, and the longest previous factor of each start is the longer of its common
   prefixes with the nearest suffixes, before and behind in suffix order, that lie earlier in the corpus.
@@ -40,6 +42,8 @@ LENGTH = 100
 GRAM = 32
 #: Bytes of text whose runs one bucket holds, and bytes of text that a task combines before it sends.
 BUCKET_BYTES, TASK_BYTES = 48 << 20, 48 << 20
+#: Texts of one anchor above which a task sends a single run of it to the bucket; the others are edges anyway.
+TASK_TEXTS = 64
 #: Contexts of one anchor above which its strings are grouped by hash, and bytes of contexts sorted together.
 HOT_RUNS, SORTED_BYTES = 20_000, 2 << 20
 #: Starts looked at together in a long document.
@@ -106,22 +110,28 @@ def _part_runs(content: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return hashes[anchor], text, (first + at).astype(np.uint32), count.astype(np.uint8), (anchor - first).astype(np.uint8)
 
 
-_BLOB = struct.Struct("<III")
+_BLOB = struct.Struct("<IIII")
+#: Added to a run's place in its anchor's window (at most 68): the anchor has many texts in this task.
+_MANY = 128
+_EDGE = np.dtype([("doc", "<u4"), ("start", "<u4"), ("end", "<u4"), ("anchor", "<u8"), ("place", "u1")])
 _KINDS = [np.dtype(k) for k in ("<u8", "<u8", "<u4", "u1", "u1", "<u2")]
 
 
-def _blob(ids: np.ndarray, ties: np.ndarray, columns: list[np.ndarray], spans: np.ndarray) -> bytes:
-    """Runs (anchor, text, first, starts, place, document) and finished spans (document, start, end) of one task and bucket."""
-    used, index = np.unique(np.concatenate([columns[5], spans[:, 0]]), return_inverse=True)
-    columns = [*columns[:5], index[: len(columns[5])]]
-    spans = np.column_stack([index[len(columns[5]) :], spans[:, 1:]]).astype("<u4")
-    parts = [_BLOB.pack(len(used), len(columns[0]), len(spans)), ids[used].astype("<i8").tobytes(), ties[used].astype("<i8").tobytes()]
-    return b"".join([*parts, *(c.astype(k).tobytes() for c, k in zip(columns, _KINDS, strict=True)), spans.tobytes()])
+def _blob(ids: np.ndarray, ties: np.ndarray, columns: list[np.ndarray], spans: np.ndarray, edges: np.ndarray) -> bytes:
+    """Runs (anchor, text, first, starts, place, document), finished spans (document, start, end) and known edges of one task and bucket."""
+    used, index = np.unique(np.concatenate([columns[5], spans[:, 0], edges["doc"]]), return_inverse=True)
+    n, m = len(columns[0]), len(spans)
+    columns = [*columns[:5], index[:n]]
+    spans = np.column_stack([index[n : n + m], spans[:, 1:]]).astype("<u4")
+    edges = edges.copy()
+    edges["doc"] = index[n + m :]
+    parts = [_BLOB.pack(len(used), n, m, len(edges)), ids[used].astype("<i8").tobytes(), ties[used].astype("<i8").tobytes()]
+    return b"".join([*parts, *(c.astype(k).tobytes() for c, k in zip(columns, _KINDS, strict=True)), spans.tobytes(), edges.tobytes()])
 
 
-def _read_blob(content: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Runs as (anchor, text, first, starts, place, id, tie) and spans as (id, tie, start, end)."""
-    docs, n, spans = _BLOB.unpack_from(content)
+def _read_blob(content: bytes) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Runs as (anchor, text, first, starts, place, id, tie), spans as (id, tie, start, end), edges as (id, tie, start, end, anchor, place)."""
+    docs, n, m, more = _BLOB.unpack_from(content)
     at = _BLOB.size
     ids, ties = (np.frombuffer(content, "<i8", docs, at + k * 8 * docs) for k in (0, 1))
     at += 16 * docs
@@ -129,8 +139,10 @@ def _read_blob(content: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     for kind in _KINDS:
         columns.append(np.frombuffer(content, kind, n, at))
         at += kind.itemsize * n
-    found = np.frombuffer(content, "<u4", 3 * spans, at).reshape(-1, 3)
-    return [*columns[:5], ids[columns[5]], ties[columns[5]]], [ids[found[:, 0]], ties[found[:, 0]], found[:, 1], found[:, 2]]
+    found = np.frombuffer(content, "<u4", 3 * m, at).reshape(-1, 3)
+    edges = np.frombuffer(content, _EDGE, more, at + 12 * m)
+    known = [ids[edges["doc"]], ties[edges["doc"]], *(edges[c] for c in ("start", "end", "anchor", "place"))]
+    return [*columns[:5], ids[columns[5]], ties[columns[5]]], [ids[found[:, 0]], ties[found[:, 0]], found[:, 1], found[:, 2]], known
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +171,18 @@ def _task_blobs(docs: list[tuple[int, int, bytes]], buckets: int) -> Iterator[tu
     lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
     here, its = owner[order], owner[order[lead]]
     copy = again & ~((ids[here] == ids[its]) & (ties[here] == ties[its]) & (first[order] == first[order[lead]]))
-    keep, gone = np.sort(order[~again]), np.sort(order[copy])
+    gone = np.sort(order[copy])
+    texts = order[~again]  # one run per text, by anchor
+    lead_text = np.append(True, anchor[texts][1:] != anchor[texts][:-1])[: len(texts)]
+    group = np.cumsum(lead_text) - 1
+    many = np.bincount(group, minlength=1)[group] > TASK_TEXTS
+    place = place.copy()
+    place[texts[many & lead_text]] |= _MANY
+    keep, known = np.sort(texts[~many | lead_text]), texts[many & ~lead_text]
+    edges = np.zeros(len(known), _EDGE)
+    for name, values in (("doc", owner), ("start", first), ("end", first.astype(np.int64) + starts - 1 + LENGTH), ("anchor", anchor), ("place", place)):
+        edges[name] = values[known]
+    edge_bucket = (ties[edges["doc"]] % buckets).astype(np.int64)
     bucket = (anchor >> np.uint64(32)) % np.uint64(buckets)
     spans = []
     for doc in np.unique(owner[gone]):
@@ -169,9 +192,9 @@ def _task_blobs(docs: list[tuple[int, int, bytes]], buckets: int) -> Iterator[tu
     span = np.concatenate(spans) if spans else np.zeros((0, 3), np.int64)
     span_bucket = (ties[span[:, 0]] % buckets).astype(np.int64)
     keep = keep[np.argsort(bucket[keep], kind="stable")]
-    for b in np.union1d(bucket[keep].astype(np.int64), span_bucket):
+    for b in np.union1d(bucket[keep].astype(np.int64), np.union1d(span_bucket, edge_bucket)):
         mine = keep[np.searchsorted(bucket[keep], b) : np.searchsorted(bucket[keep], b, side="right")]
-        yield int(b), _blob(ids, ties, [anchor[mine], text[mine], first[mine], starts[mine], place[mine], owner[mine]], span[span_bucket == b])
+        yield int(b), _blob(ids, ties, [anchor[mine], text[mine], first[mine], starts[mine], place[mine], owner[mine]], span[span_bucket == b], edges[edge_bucket == b])
 
 
 def ordered_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,12 +239,15 @@ def copies_and_edges(blobs: DataFrame) -> DataFrame:
         read = [_read_blob(c.as_py()) for c in table.column("content")]
         anchor, text, first, starts, place, ids, ties = (np.concatenate(c) for c in zip(*(r[0] for r in read), strict=True))
         spans = [np.concatenate(c).astype(np.int64) for c in zip(*(r[1] for r in read), strict=True)]
+        known = [np.concatenate(c) for c in zip(*(r[2] for r in read), strict=True)]
+        marked = place >= _MANY
+        place = place & (_MANY - 1)
         order = np.argsort(anchor, kind="stable")
         a = anchor[order]
         alone = np.ones(len(a), bool)
         alone[1:] &= a[1:] != a[:-1]
         alone[:-1] &= a[:-1] != a[1:]
-        rest = order[~alone]
+        rest = order[~alone | marked[order]]
         rest = rest[np.lexsort((first[rest], ties[rest], ids[rest], text[rest], anchor[rest]))]
         a, t = anchor[rest], text[rest]
         new_a, new_t = np.ones(len(rest), bool), np.ones(len(rest), bool)
@@ -230,14 +256,14 @@ def copies_and_edges(blobs: DataFrame) -> DataFrame:
         lead = rest[np.maximum.accumulate(np.where(new_t, np.arange(len(rest)), 0))] if len(rest) else rest
         copy = ~((ids[rest] == ids[lead]) & (ties[rest] == ties[lead]) & (first[rest] == first[lead]))
         group = np.cumsum(new_a) - 1
-        several = np.bincount(group, new_t)[group] > 1 if len(rest) else np.zeros(0, bool)
+        several = (np.bincount(group, new_t)[group] > 1) | (np.bincount(group, marked[rest])[group] > 0) if len(rest) else np.zeros(0, bool)
         end = first.astype(np.int64) + starts - 1 + LENGTH
         c, e = rest[copy], rest[new_t & several]
         n = len(spans[0]) + len(c)
-        columns = [np.concatenate([spans[k], col[c], col[e]]).astype(np.int64) for k, col in enumerate((ids, ties, first, end))]
-        mask = np.arange(n + len(e)) < n
-        anchors = np.concatenate([np.zeros(n, np.int64), anchor[e].astype(np.int64)])
-        places = np.concatenate([np.zeros(n, np.int32), place[e].astype(np.int32)])
+        columns = [np.concatenate([spans[k], col[c], col[e], known[k]]).astype(np.int64) for k, col in enumerate((ids, ties, first, end))]
+        mask = np.arange(n + len(e) + len(known[0])) < n
+        anchors = np.concatenate([np.zeros(n, np.int64), anchor[e].astype(np.int64), known[4].astype(np.int64)])
+        places = np.concatenate([np.zeros(n, np.int32), place[e].astype(np.int32), known[5].astype(np.int32)])
         return pa.table([*map(pa.array, columns), pa.array(anchors, mask=mask), pa.array(places, pa.int32(), mask=mask)], schema=_FOUND)
 
     return blobs.groupBy("bucket").applyInArrow(judge, FOUND)

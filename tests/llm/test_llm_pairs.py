@@ -163,9 +163,10 @@ def byte_rows():
     return out
 
 
-@pytest.mark.parametrize("hot,part,task", [(20_000, 1 << 19, 48 << 20), (2, 1 << 19, 3000), (20_000, 150, 1000)])
-def test_bytes_against_every_string(spark, monkeypatch, hot, part, task):
+@pytest.mark.parametrize("hot,part,task,texts", [(20_000, 1 << 19, 48 << 20, 64), (2, 1 << 19, 3000, 1), (20_000, 150, 1000, 64), (20_000, 1 << 19, 6000, 2)])
+def test_bytes_against_every_string(spark, monkeypatch, hot, part, task, texts):
     monkeypatch.setattr(lpf, "HOT_RUNS", hot)
+    monkeypatch.setattr(lpf, "TASK_TEXTS", texts)
     monkeypatch.setattr(lpf, "PART", part)
     monkeypatch.setattr(lpf, "TASK_BYTES", task)
     monkeypatch.setattr(lpf, "BUCKET_BYTES", 4000)
