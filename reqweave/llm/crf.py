@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,10 @@ LEXICON = 2000
 DIMENSIONS = 1 << 16
 EPOCHS, SEQUENCES_A_STEP, RATE, DECAY = 3, 256, 0.5, 1e-5
 CHUNK = 256
+#: Steps after which running state probabilities are scaled anew.
+SCALED = 8
+#: Distinct words whose scores a worker remembers.
+MEMORY_WORDS = 250_000
 UNKNOWN = "und"
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -97,6 +102,28 @@ class Model:
     lexicon: dict[str, int]  # word -> label
     trust: np.ndarray  # label: weight of a lexicon entry
 
+    def __post_init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.known = np.zeros((0, len(self.labels)), np.float32)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"index": {}, "known": self.known[:0]}
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Emissions of running words; those of distinct words are remembered, ``MEMORY_WORDS`` and one call's at most."""
+        if len(self.index) > MEMORY_WORDS:
+            self.index, self.known = {}, self.known[:0]
+        index, before = self.index, len(self.index)
+        ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+        new = list(islice(reversed(index), len(index) - before))[::-1]
+        if new:
+            if len(index) > len(self.known):
+                room = np.zeros((max(len(index), 2 * len(self.known)), len(self.labels)), np.float32)
+                room[: len(self.known)] = self.known
+                self.known = room
+            self.known[before : len(index)] = self.emissions(new)
+        return self.known[ids]
+
     def emissions(self, words: list[str]) -> np.ndarray:
         """Score of each label for each word."""
         if not words:
@@ -119,7 +146,7 @@ def posteriors(scores: np.ndarray, moves: np.ndarray, lengths: list[int]) -> np.
     labels, total = scores.shape[1], len(scores)
     if not total:
         return np.zeros((0, labels))
-    emit = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64)
+    emit = np.maximum(np.exp((scores - scores.max(axis=1, keepdims=True)).astype(np.float64)), 1e-30)  # products of SCALED steps stay in range
     step = np.exp(moves - moves.max()).astype(np.float64)
     lengths_ = np.array([n for n in lengths if n], np.int64)
     rows_of = -(-lengths_ // CHUNK)
@@ -132,14 +159,25 @@ def posteriors(scores: np.ndarray, moves: np.ndarray, lengths: list[int]) -> np.
     open_at = np.searchsorted(-size, -np.arange(1, int(size.max()) + 1), side="right")
     n = len(size)
 
+    longest = int(size.max())
+    inside = np.arange(longest)[:, None] < size[None]
+    where_ = first[None] + np.arange(longest)[:, None]
+    laid = np.ones((longest, n, labels))  # step, row, label: every step reads one stretch of memory
+    laid[inside] = emit[where_[inside]]
+    scale = lambda t: t % SCALED == SCALED - 1
+
     transfer = np.tile(np.eye(labels), (n, 1, 1))
-    many = np.nonzero(rows_of[chain] > 1)[0]
-    if len(many):  # only texts of several rows need them
-        limit = size[many]
+    many = rows_of[chain] > 1
+    if many.any():  # only texts of several rows need them
+        back = np.nonzero(many)[0]
+        part, limit = laid[:, many], size[many]
+        product = np.tile(np.eye(labels), (len(back), 1, 1))
         for t in range(int(limit.max())):
-            k = many[: int(np.searchsorted(-limit, -(t + 1), side="right"))]
-            moved = (transfer[k] @ step) * emit[first[k] + t][:, None, :]
-            transfer[k] = moved / moved.max(axis=(1, 2), keepdims=True)
+            k = int(np.searchsorted(-limit, -(t + 1), side="right"))
+            product[:k] = (product[:k] @ step) * part[t, :k, None]
+            if scale(t):
+                product[:k] /= product[:k].max(axis=(1, 2), keepdims=True)
+        transfer[back] = product / product.max(axis=(1, 2), keepdims=True)
     into, out_of = np.full((n, labels), 1.0 / labels), np.ones((n, labels))
     where = np.empty(n, np.int64)
     where[np.lexsort((number, chain))] = np.arange(n)
@@ -156,20 +194,22 @@ def posteriors(scores: np.ndarray, moves: np.ndarray, lengths: list[int]) -> np.
         moved = np.einsum("nij,nj->ni", transfer[after], out_of[after])
         out_of[now] = moved / moved.max(axis=1, keepdims=True)
 
-    found = np.empty((total, labels))
-    state = into
-    for t in range(int(size.max())):
+    state, kept = into, np.empty_like(laid)
+    for t in range(longest):
         m = open_at[t]
-        moved = (state[:m] @ step) * emit[first[:m] + t]
-        state[:m] = moved / moved.sum(axis=1, keepdims=True)
-        found[first[:m] + t] = state[:m]
+        state[:m] = (state[:m] @ step) * laid[t, :m]
+        if scale(t):
+            state[:m] /= state[:m].sum(axis=1, keepdims=True)
+        kept[t, :m] = state[:m]
     state = out_of
-    for t in range(int(size.max()) - 1, -1, -1):
+    for t in range(longest - 1, -1, -1):
         m = open_at[t]
-        at = first[:m] + t
-        found[at] *= state[:m]
-        moved = (emit[at] * state[:m]) @ step.T
-        state[:m] = moved / moved.max(axis=1, keepdims=True)
+        kept[t, :m] *= state[:m]
+        state[:m] = (laid[t, :m] * state[:m]) @ step.T
+        if scale(t):
+            state[:m] /= state[:m].max(axis=1, keepdims=True)
+    found = np.empty((total, labels))
+    found[where_[inside]] = kept[inside]
     return found / found.sum(axis=1, keepdims=True)
 
 
@@ -265,13 +305,12 @@ def sample_texts(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col:
 
 def text_answers(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     """``(label, score)`` per text: the label with the highest mean probability over all words."""
-    index: dict[str, int] = {}
-    ids, lengths = [], []
+    words, lengths = [], []
     for text in texts:
-        words = words_of(text)
-        ids += [index.setdefault(w, len(index)) for w in words]
-        lengths.append(len(words))
-    found = posteriors(model.emissions(list(index))[np.array(ids, np.int64)], model.moves, lengths)
+        own = words_of(text)
+        words += own
+        lengths.append(len(own))
+    found = posteriors(model.scores(words), model.moves, lengths)
     starts = np.cumsum(lengths) - lengths
     out = []
     for start, n in zip(starts.tolist(), lengths, strict=True):
@@ -293,7 +332,7 @@ def word_labels(model: Model, text: str | None) -> list[tuple[str, str, float]]:
 
 ANSWER = "doc_id long, held_out boolean, lang_pred string, score double"
 #: Texts that forward-backward runs over together end when they hold this many characters.
-CHARS_TOGETHER = 2_000_000
+CHARS_TOGETHER = 500_000
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

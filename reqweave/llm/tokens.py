@@ -33,7 +33,7 @@ from reqweave.storage import materialize, new_folder
 #: Tokens after which a shard is closed.
 SHARD_TOKENS = 1 << 20
 #: Words whose ids a worker remembers at most, in two halves: when the younger is full it becomes the older.
-MEMORY_WORDS = 1_000_000
+MEMORY_WORDS = 800_000
 #: Longer words are not remembered.
 MEMORY_CHARS = 48
 #: Characters at which Python splits but the tokenizers' white space pattern does not (fixed values).
