@@ -1,5 +1,7 @@
 """Parsing and checking of answers."""
 
+# The prompt and error texts inside the comparison SQL are those that generators are asked with.
+
 from pyspark.sql import functions as F
 
 from reqweave.functions.jsonvals import array_items, framed, framed_value, value_kind

@@ -1,5 +1,7 @@
 """Field hints and the prompt texts made from them, over many jobs."""
 
+# The prompt and error texts inside the comparison SQL are those that generators are asked with.
+
 from pyspark.sql import functions as F
 
 from reqweave.functions import hints as fn

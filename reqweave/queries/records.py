@@ -1,5 +1,7 @@
 """Row numbers, projections, batches and cells."""
 
+# The prompt and error texts inside the comparison SQL are those that generators are asked with.
+
 from pyspark.sql import functions as F
 
 from reqweave.operators import batches as bat

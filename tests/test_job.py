@@ -265,6 +265,17 @@ def test_a_restart_repeats_no_finished_portion(spark, tmp_path):
     assert [x["result"] for x in r.main.collect()] == ["first"] * 6 + ["second"] * 4 and r.metrics == {"processed": 10, "ok": 10}
 
 
+def test_tables_of_a_run_are_removed(spark, tmp_path):
+    import os
+
+    from reqweave.storage import run_tables
+
+    with run_tables(spark) as folder:
+        run_job(spark, config(dry_run=True), None, people(spark, 3)).main.write.parquet(str(tmp_path / "out"))
+        assert os.listdir(folder)
+    assert not os.path.exists(folder) and spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
 def test_enrichment_needs_its_table(spark):
     cfg = config()
     cfg.enrich.enabled, cfg.enrich.column = True, "name"
