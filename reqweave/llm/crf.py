@@ -295,9 +295,15 @@ def sample_texts(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col:
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     usable = rows.where(train_rows & F.col("label").isNotNull() & F.col("text").isNotNull())
-    labels = [r[0] for r in usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()]
-    rank = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.where(F.col("label").isin(labels)).select("doc_id", "label").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SAMPLE_TEXTS)
+    counts = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()
+    if not counts:
+        return []
+    # four times as many rows as wanted are looked at, by their hashes, so that the ranking of a label is small however many rows it has
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, 4 * SAMPLE_TEXTS / r["count"]))])
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
+    near = usable.select("doc_id", "label", place.alias("place")).where(F.col("place") < shares[F.col("label")])
+    rank = Window.partitionBy("label").orderBy("place", "doc_id")
+    chosen = near.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SAMPLE_TEXTS)
     ids = {(r[0], r[1]) for r in chosen.select("doc_id", "label").collect()}
     picked = usable.where(F.col("doc_id").isin([i for i, _ in ids])).select("doc_id", "label", "text").limit(2 * MAX_LABELS * SAMPLE_TEXTS)
     return [(r[2], r[1]) for r in picked.collect() if (r[0], r[1]) in ids]
