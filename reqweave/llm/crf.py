@@ -377,7 +377,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 #: Least mean probability of the best language that a text needs to stay in a corpus.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def recognised(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE, text_col: str = "text", label_col: str = "lang") -> DataFrame:
