@@ -244,8 +244,15 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Model | None:
             part = words[start : start + min(LENGTH - at, 4 + int(rng.geometric(0.05)))]
             grid[row, at : at + len(part)], truth[row, at : at + len(part)] = part, lang
             at += len(part)
-    ids, starts = features(vocabulary)
+    used, grid = np.unique(grid, return_inverse=True)  # words that no sequence took are not needed any more
+    grid, vocabulary = grid.reshape(SEQUENCES, LENGTH), [vocabulary[u] for u in used]
+    del coded, index, texts
+    parts = [features(vocabulary[k : k + 20_000]) for k in range(0, len(vocabulary), 20_000)]
+    ids = np.concatenate([i.astype(np.int32) for i, _ in parts])
+    sizes = np.cumsum([0] + [len(i) for i, _ in parts])
+    starts = np.concatenate([s + at for (_, s), at in zip(parts, sizes[:-1], strict=True)])
     ends = np.append(starts[1:], len(ids))
+    del parts
     known = np.array([lexicon.get(w, -1) for w in vocabulary])
     squares = [np.full_like(x, 1e-6) for x in (model.weights, model.moves, model.trust)]
     for _ in range(EPOCHS):

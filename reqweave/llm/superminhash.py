@@ -44,6 +44,7 @@ SHINGLE = 5
 #: Links have 100 * shared >= PERCENT * joint.
 PERCENT = 75
 SLOTS, BANDS, ROWS = 384, 40, 5
+WORDS = -(-SLOTS // 7)
 #: Standard errors by which the estimate of a verified pair may fall short.
 SIGMAS = 4.0
 #: Representatives that are sent to every task instead of shuffling all texts; beyond it texts and ids are both shuffled.
@@ -147,9 +148,11 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def codes(signature: np.ndarray) -> np.ndarray:
-    """Eight bits per slot, eight slots a word."""
-    small = (mix(signature) & np.uint64(255)).reshape(len(signature), SLOTS // 8, 8)
-    return (small << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(axis=2, dtype=np.uint64).astype(np.int64)
+    """Eight bits per slot, seven slots a word; the highest byte stays empty, so sums of bytes fit."""
+    padded = np.zeros((len(signature), WORDS * 7), np.uint64)
+    padded[:, :SLOTS] = mix(signature) & np.uint64(255)
+    small = padded.reshape(len(signature), WORDS, 7)
+    return (small << (np.arange(7, dtype=np.uint64) * np.uint64(8))).sum(axis=2, dtype=np.uint64).astype(np.int64)
 
 
 SETS = "row bigint, doc_id bigint, n bigint, key1 bigint, key2 bigint, bands array<bigint>, codes array<bigint>"
@@ -193,12 +196,11 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def agreement(one: str, two: str) -> F.Column:
     """Estimated similarity from two arrays of codes."""
-    differing = F.lit(0)
-    for k in range(SLOTS // 8):
+    differing, low, high = F.lit(0), F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
+    for k in range(WORDS):
         x = F.col(one)[k].bitwiseXOR(F.col(two)[k])
-        for by in (4, 2, 1):  # any bit of a byte to its lowest
-            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
-        differing = differing + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+        # the top bit of each byte that is not zero
+        differing = differing + F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(high))
     return ((SLOTS - differing) / F.lit(float(SLOTS)) - 1 / 256) / (255 / 256)
 
 

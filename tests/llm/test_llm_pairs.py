@@ -143,6 +143,17 @@ def test_signatures_estimate_similarity():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
 
 
+def test_agreement_counts_equal_slots(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 1 << 60, (2, 40, superminhash.SLOTS), dtype=np.uint64)
+    for k in range(40):
+        b[k, : 9 * k] = a[k, : 9 * k]
+    df = spark.createDataFrame(list(zip(superminhash.codes(a).tolist(), superminhash.codes(b).tolist(), strict=True)), "codes_a array<long>, codes_b array<long>")
+    got = [r[0] for r in df.select(superminhash.agreement("codes_a", "codes_b")).collect()]
+    same = ((superminhash.mix(a) & np.uint64(255)) == (superminhash.mix(b) & np.uint64(255))).sum(axis=1)
+    assert np.allclose(got, (same / superminhash.SLOTS - 1 / 256) / (255 / 256))
+
+
 def test_a_long_set_has_the_signature_of_its_parts(monkeypatch):
     elements = np.unique(superminhash.mix(np.arange(5000, dtype=np.uint64)))
     whole = superminhash.signatures([elements])
