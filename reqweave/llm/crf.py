@@ -19,9 +19,10 @@ are not read. Equal scores go to the label that sorts first.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import islice
 
 import numpy as np
@@ -44,7 +45,7 @@ CHUNK = 256
 #: Steps after which running state probabilities are scaled anew.
 SCALED = 8
 #: Distinct words whose scores a worker remembers.
-MEMORY_WORDS = 250_000
+MEMORY_WORDS = 150_000
 UNKNOWN = "und"
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -101,28 +102,11 @@ class Model:
     moves: np.ndarray  # label x label
     lexicon: dict[str, int]  # word -> label
     trust: np.ndarray  # label: weight of a lexicon entry
-
-    def __post_init__(self) -> None:
-        self.index: dict[str, int] = {}
-        self.known = np.zeros((0, len(self.labels)), np.float32)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"index": {}, "known": self.known[:0]}
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """Emissions of running words; those of distinct words are remembered, ``MEMORY_WORDS`` and one call's at most."""
-        if len(self.index) > MEMORY_WORDS:
-            self.index, self.known = {}, self.known[:0]
-        index, before = self.index, len(self.index)
-        ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-        new = list(islice(reversed(index), len(index) - before))[::-1]
-        if new:
-            if len(index) > len(self.known):
-                room = np.zeros((max(len(index), 2 * len(self.known)), len(self.labels)), np.float32)
-                room[: len(self.known)] = self.known
-                self.known = room
-            self.known[before : len(index)] = self.emissions(new)
-        return self.known[ids]
+        """Emissions of running words, through the worker's memory of distinct words."""
+        return _MEMORY.scores(self, words)
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Score of each label for each word."""
@@ -136,6 +120,33 @@ class Model:
         return out
 
 
+class _Memory:
+    """Scores of the distinct words of one model: ``MEMORY_WORDS`` and those of one call at most.
+
+    It belongs to the worker and not to the model, so models of earlier runs hold nothing.
+    """
+
+    def __init__(self) -> None:
+        self.model, self.index, self.known = "", {}, np.zeros((0, 0), np.float32)
+
+    def scores(self, model: Model, words: list[str]) -> np.ndarray:
+        if self.model != model.name or len(self.index) > MEMORY_WORDS:
+            self.model, self.index, self.known = model.name, {}, np.zeros((0, len(model.labels)), np.float32)
+        index, before = self.index, len(self.index)
+        ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+        new = list(islice(reversed(index), len(index) - before))[::-1]
+        if new:
+            if len(index) > len(self.known):
+                room = np.zeros((max(len(index), 2 * len(self.known)), len(model.labels)), np.float32)
+                room[: len(self.known)] = self.known
+                self.known = room
+            self.known[before : len(index)] = model.emissions(new)
+        return self.known[ids]
+
+
+_MEMORY = _Memory()
+
+
 def posteriors(scores: np.ndarray, moves: np.ndarray, lengths: list[int]) -> np.ndarray:
     """Label probabilities of every word of chains laid end to end, by forward-backward.
 
@@ -399,6 +410,7 @@ def recognised(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE,
         found = [x for part in groups_by_size(values) for x in text_answers(fit, values[part])] if fit else [(UNKNOWN, 0.0)] * len(values)
         return pd.DataFrame(found, columns=["label", "score"])
 
-    judged = docs.withColumn("_crf_answer", answer(text_col))
+    # not deterministic, as Spark is told: else it would answer twice, for the filter and for the label
+    judged = docs.withColumn("_crf_answer", answer.asNondeterministic()(text_col))
     kept = judged.where((F.col("_crf_answer.label") != UNKNOWN) & (F.col("_crf_answer.score") >= least))
     return kept.withColumn(label_col, F.col("_crf_answer.label")).select(*docs.columns)
