@@ -196,11 +196,14 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def agreement(one: str, two: str) -> F.Column:
     """Estimated similarity from two arrays of codes."""
-    differing, low, high = F.lit(0), F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
-    for k in range(WORDS):
-        x = F.col(one)[k].bitwiseXOR(F.col(two)[k])
-        # the top bit of each byte that is not zero
-        differing = differing + F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(high))
+    low, high = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
+
+    def unequal(a: F.Column, b: F.Column) -> F.Column:
+        """Bytes that differ: the top bit of each byte of the difference that is not zero."""
+        x = a.bitwiseXOR(b)
+        return F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(high))
+
+    differing = F.aggregate(F.zip_with(one, two, unequal), F.lit(0), lambda total, n: total + n)
     return ((SLOTS - differing) / F.lit(float(SLOTS)) - 1 / 256) / (255 / 256)
 
 
@@ -274,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # two members outside the main component meet once, and a pair in the first bucket it shares
     once = (F.col("component_b") == F.col("main_b")) | (F.col("row_a") < F.col("row_b"))
     first_bucket = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == left["bucket"]
-    apart = (F.col("component_a") != F.col("component_b")) & once & likely() & first_bucket
+    apart = (F.col("component_a") != F.col("component_b")) & once & first_bucket & likely()
     cross = left.join(right, (left["bucket"] == right["bucket"]) & apart).select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
     cross = materialize(cross.join(stars, ["a", "b"], "left_anti"), "pairs")
     more = materialize(class_texts(docs, described, cross.select(F.explode(F.array("a", "b")).alias("row")).distinct(), id_col, text_col), "elements")
@@ -322,5 +325,8 @@ def class_texts(docs: DataFrame, described: DataFrame, wanted: DataFrame, id_col
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that stay: one document of each group of near copies."""
-    kept = materialize(near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+    judged = near_duplicates(docs, id_col, text_col).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.bool_or("kept").alias("kept"))
+    gone = materialize(judged.where("NOT kept").select("_gone_id"), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone_id"]), "left_anti")
