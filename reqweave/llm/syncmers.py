@@ -3,10 +3,11 @@
 A text's ``K`` code-point substrings are anchors when their least ``S``-substring (by hash)
 stands first or last in them; that depends on the substring alone, so an edit moves
 anchors only where it happens. The second, third, .. occurrence of an anchor is an anchor of
-its own, so that texts of repeated lines compare by how much they repeat. A fingerprint keeps the anchors with the ``ANCHORS`` smallest
-hashes, each with its place in the text, as base64 of 32-bit pairs in order of hash.
+its own, so that texts of repeated lines compare by how much they repeat. A fingerprint is every
+anchor of the text, a 64-bit hash and a 32-bit place each, as base64 in order of hash; it
+grows with the text, by about four characters per character.
 
-Likeness of two fingerprints: of the smallest anchors of both together, the share that is
+Likeness of two fingerprints: of the anchors of both together, the share that is
 in both and lies in the same order in both texts (longest common order), 0 to 1.
 
 Edge cases: a null text is an empty one; an empty text has the empty fingerprint, which is
@@ -34,7 +35,9 @@ from reqweave.storage import materialize
 
 K = 16
 S = 9
-ANCHORS = 64
+#: A batch of results is handed on when its fingerprints reach this many characters.
+BATCH_CHARS = 1 << 24
+_PAIR = np.dtype([("hash", "<u8"), ("place", "<u4")])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -78,35 +81,41 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
             np.minimum(low, small[j : j + len(low)], out=low)
         places = np.nonzero((small[: len(low)] == low) | (small[width - 1 :] == low))[0]
         if len(places):
-            return (_numbered(_hashes(points, K)[places]) >> np.uint64(32)).astype(np.uint32), places.astype(np.uint32)
+            return _numbered(_hashes(points, K)[places]), places.astype(np.uint32)
     if not len(points):
-        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-    whole = int.from_bytes(hashlib.sha256(text.encode()).digest()[:4], "little")
-    return np.array([whole], np.uint32), np.zeros(1, np.uint32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    whole = int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little")
+    return np.array([whole], np.uint64), np.zeros(1, np.uint32)
 
 
 def fingerprint(text: str) -> str:
     hashes, places = anchors(text)
-    kept, first = np.unique(hashes, return_index=True)
-    pairs = np.stack([kept[:ANCHORS], places[first[:ANCHORS]]], axis=1)
-    return base64.b64encode(pairs.astype("<u4").tobytes()).decode()
+    order = np.argsort(hashes, kind="stable")
+    pairs = np.empty(len(order), _PAIR)
+    pairs["hash"], pairs["place"] = hashes[order], places[order]
+    return base64.b64encode(pairs.tobytes()).decode()
 
 
 def likeness(one: str, two: str) -> float:
     if one == two:
         return 1.0
-    a, b = (np.frombuffer(base64.b64decode(x), "<u4").reshape(-1, 2) for x in (one, two))
+    a, b = (np.frombuffer(base64.b64decode(x), _PAIR) for x in (one, two))
     if not len(a) or not len(b):
         return 0.0
-    together = np.union1d(a[:, 0], b[:, 0])[:ANCHORS]
-    shared, in_a, in_b = np.intersect1d(a[:, 0], b[:, 0], assume_unique=True, return_indices=True)
-    inside = shared <= together[-1]
-    places = b[in_b[inside], 1][np.argsort(a[in_a[inside], 1], kind="stable")]
+    _, in_a, in_b = np.intersect1d(a["hash"], b["hash"], assume_unique=True, return_indices=True)
+    places = b["place"][in_b[np.argsort(a["place"][in_a], kind="stable")]]
+    return _longest_order(places) / (len(a) + len(b) - len(in_a))
+
+
+def _longest_order(places: np.ndarray) -> int:
+    """Length of the longest rising subsequence."""
+    if (places[1:] > places[:-1]).all():
+        return len(places)
     order: list[int] = []
     for place in places.tolist():
         at = bisect.bisect_right(order, place)
         order[at : at + 1] = [place]
-    return len(order) / len(together)
+    return len(order)
 
 
 def with_followers(rows: DataFrame, parts: int) -> DataFrame:
@@ -149,6 +158,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         last = None
         for batch in batches:
             out: dict[str, list] = {name: [] for name in schema.names}
+            size = 0
             for context, doc_id, text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 own = fingerprint(text)
                 if last is not None:
@@ -159,6 +169,10 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     digest = hashlib.sha256(edited.encode()).hexdigest()
                     for name, value in zip(schema.names, (before_id, len(before), digest, its, changed, likeness(its, changed), likeness(its, own)), strict=True):
                         out[name].append(value)
+                    size += len(its) + len(changed)
+                    if size >= BATCH_CHARS:
+                        yield batch_of(schema, out)
+                        out, size = {name: [] for name in schema.names}, 0
                 last = None if context else (doc_id, text, own)
             yield batch_of(schema, out)
 

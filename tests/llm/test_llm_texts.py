@@ -135,6 +135,36 @@ def test_anchors_are_syncmers_and_context_free():
     assert 0.5 < syncmers.likeness(syncmers.fingerprint(line), syncmers.fingerprint(line[: len(line) * 2 // 3])) < 0.8
 
 
+def test_fingerprint_sees_short_edits_and_passages_of_long_texts():
+    from collections import Counter
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+
+    def prose(size: int) -> str:
+        return " ".join(rng.choice(words) for _ in range(size // 5))[:size]
+
+    def brute(text: str) -> Counter:
+        """Substrings of K characters whose least S-substring stands first or last."""
+        least = syncmers._hashes(np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64), syncmers.S).tolist()
+        width = syncmers.K - syncmers.S
+        return Counter(text[i : i + syncmers.K] for i in range(len(text) - syncmers.K + 1) if min(least[i : i + width + 1]) in (least[i], least[i + width]))
+
+    def expected(one: str, two: str) -> float:
+        a, b = brute(one), brute(two)
+        return (a & b).total() / (a | b).total()  # what is shared lies in one order here
+
+    text = prose(120_000)
+    assert len(syncmers.fingerprint(text)) == 16 * brute(text).total()
+    edited = text[:70_000] + "one word differs here" + text[70_020:]
+    near = syncmers.likeness(syncmers.fingerprint(text), syncmers.fingerprint(edited))
+    assert 0.99 < near < 1 and near == expected(text, edited)
+    passage = prose(400)
+    one, two = (prose(60_000) + passage + prose(60_000) for _ in range(2))
+    shared = syncmers.likeness(syncmers.fingerprint(one), syncmers.fingerprint(two))
+    assert shared > 0.001 and abs(shared - expected(one, two)) < 0.0005
+
+
 def test_forward_backward_against_enumeration():
     from itertools import product
 
