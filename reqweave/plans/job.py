@@ -15,7 +15,7 @@ from reqweave.operators.agent import agent_rounds
 from reqweave.operators.answers import check_answers, parse_lenient, parse_strict, spread_fields
 from reqweave.operators.batches import batch_user_text, keep_failed_rows, make_batches, split_batch_lenient, split_batch_strict
 from reqweave.operators.enrich import enrich_lookup
-from reqweave.operators.generate import audit_log, call_generator, call_pause, dry_run_generate, generate, route_errors
+from reqweave.operators.generate import audit_log, call_generator, call_pause, dry_run_generate, generate, route_errors, unanswered
 from reqweave.operators.merge import carry_input, member_names, output_fields, store_response
 from reqweave.operators.ordering import ROW, exclude_columns, number_arrival, number_files, ordered_emit, row_index
 from reqweave.operators.prompts import record_body, request_id, user_text
@@ -29,6 +29,8 @@ from reqweave.sources.workbooks import workbook_records
 from reqweave.storage import materialize
 
 JOB = "job"
+# What a stored answer adds to its request.
+ANSWERED = ("response", "parsed", "call_error", "error", "attempts", "duration_ms")
 
 
 @dataclass
@@ -155,18 +157,32 @@ def _counted(df: DataFrame, name: str, path: str = "") -> tuple[DataFrame, dict[
     return materialize(observed, name), seen.get
 
 
-def _kept(spark: SparkSession, folder: str, start: int) -> tuple[DataFrame, dict[str, int]] | None:
-    """Answers of a portion that an earlier run of the job has finished."""
+def _finished(spark: SparkSession, folder: str) -> list[tuple[str, int, int | None]]:
+    """Name, first and last row number of each portion that earlier runs of the job have finished.
+
+    A mark without row numbers may stand for any rows.
+    """
     try:
-        done = spark.read.parquet(f"{folder}/done-{start}").first()
+        marks = spark.read.schema("first long, last long").parquet(f"{folder}/done-*")
     except AnalysisException:
+        return []
+    name = F.regexp_extract("_metadata.file_path", "/done-([^/]+)/[^/]*$", 1)
+    return [tuple(m) for m in marks.select(name, F.coalesce("first", F.lit(0)), "last").collect()]
+
+
+def _kept(spark: SparkSession, folder: str, names: list[str]) -> DataFrame | None:
+    """What was answered in the named portions, by request."""
+    if not names:
         return None
-    return spark.read.parquet(f"{folder}/answers-{start}"), {"processed": done["processed"], "ok": done["ok"]}
+    stored = [spark.read.parquet(f"{folder}/answers-{name}") for name in names]
+    answers = [s.select("request_id", *[c for c in ANSWERED if c in s.columns]) for s in stored]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), answers).dropDuplicates(["request_id"])
 
 
-def _keep(spark: SparkSession, folder: str, start: int, counts: dict[str, int]) -> None:
+def _keep(spark: SparkSession, folder: str, name: str, counts: dict[str, int], first: int, last: int | None) -> None:
     """Mark a portion as finished; the mark is one small file, so it is there or not."""
-    spark.createDataFrame([(counts["processed"], counts["ok"])], "processed long, ok long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/done-{start}")
+    mark = spark.createDataFrame([(counts["processed"], counts["ok"], first, last)], "processed long, ok long, first long, last long")
+    mark.coalesce(1).write.mode("overwrite").parquet(f"{folder}/done-{name}")
 
 
 def run_records(records: DataFrame, cfg: JobConfig, fn=None, repair_fn=None, pages: DataFrame | None = None, run: str = "run") -> JobResult:
@@ -178,27 +194,38 @@ def run_records(records: DataFrame, cfg: JobConfig, fn=None, repair_fn=None, pag
     job = one_job(job_spec(spark, cfg), JOB)
     fixer = repair_fn or (None if cfg.tools.enabled else fn)
     parts, metrics, folder = [], {"processed": 0, "ok": 0}, p.answers_path.rstrip("/")
-    for start, portion in _portions(records, cfg):
-        found = _kept(spark, folder, start) if folder else None
-        if found is None:
-            done = checked(_answered(with_requests(portion, cfg, job, run), cfg, job, fn, pages), cfg, job)
+    finished = _finished(spark, folder) if folder else []
+    names = {name for name, _, _ in finished}
+    for start, end, portion in _portions(records, cfg):
+        asked = with_requests(portion, cfg, job, run)
+        near = [name for name, first, last in finished if (end is None or first < end) and (last is None or last >= start)]
+        kept, found = _kept(spark, folder, near), []
+        if kept is not None:
+            # the rows as they are now, with the answers to the same requests
+            found.append(_counted(asked.join(kept, "request_id"), "kept-answers"))
+            asked = unanswered(asked, kept)
+        if kept is None or not asked.isEmpty():
+            done = checked(_answered(asked, cfg, job, fn, pages), cfg, job)
             if p.strict_output and not p.dry_run and fixer is not None:
                 done = repaired(done, cfg, job, fixer)
-            found = _counted(done, "answers", f"{folder}/answers-{start}" if folder else "")
-            if found[1]["ok"] < found[1]["processed"]:
-                _stop_at_first(route_errors(found[0], ROW)[1], cfg)
+            name = next(n for n in (str(start), *(f"{start}-{k}" for k in range(1, len(names) + 2))) if n not in names)
+            new = _counted(done, "answers", f"{folder}/answers-{name}" if folder else "")
+            if new[1]["ok"] < new[1]["processed"]:
+                _stop_at_first(route_errors(new[0], ROW)[1], cfg)
             if folder:
-                _keep(spark, folder, start, found[1])
-        parts.append(found[0])
-        metrics = {k: metrics[k] + found[1][k] for k in metrics}
+                _keep(spark, folder, name, new[1], start, None if end is None else end - 1)
+                names.add(name)
+            found.append(new)
+        parts += [f for f, _ in found]
+        metrics = {k: metrics[k] + sum(counts[k] for _, counts in found) for k in metrics}
     stored = reduce(DataFrame.unionByName, parts)
     good, errors = route_errors(stored, ROW)
     audit = audit_log(stored) if "duration_ms" in stored.columns else None
     return JobResult(_output(good, cfg, job, inputs), errors, metrics, audit)
 
 
-def _portions(records: DataFrame, cfg: JobConfig) -> Iterator[tuple[int, DataFrame]]:
-    """The records with the number of their first row.
+def _portions(records: DataFrame, cfg: JobConfig) -> Iterator[tuple[int, int | None, DataFrame]]:
+    """The records with the number of their first row and of the row behind their last one.
 
     Portions of ``portion_rows`` if given. Otherwise jobs that stop at an error, or keep their
     answers for a restart, go in portions of doubling size: few jobs, and after a failed
@@ -206,11 +233,11 @@ def _portions(records: DataFrame, cfg: JobConfig) -> Iterator[tuple[int, DataFra
     """
     p = cfg.processing
     if not p.portion_rows and (p.dry_run or p.continue_on_error and not p.answers_path):
-        yield 0, records
+        yield 0, None, records
         return
     last, start, size = records.agg(F.max(ROW)).first()[0], 0, max(1, p.portion_rows or p.first_portion)
     while start <= (last or 0):
-        yield start, records.where((F.col(ROW) >= start) & (F.col(ROW) < start + size))
+        yield start, start + size, records.where((F.col(ROW) >= start) & (F.col(ROW) < start + size))
         start, size = start + size, size if p.portion_rows else 2 * size
 
 

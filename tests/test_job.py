@@ -265,6 +265,27 @@ def test_a_restart_repeats_no_finished_portion(spark, tmp_path):
     assert [x["result"] for x in r.main.collect()] == ["first"] * 6 + ["second"] * 4 and r.metrics == {"processed": 10, "ok": 10}
 
 
+@pytest.mark.parametrize("sizes, n, changed", [((5, 10), 13, [2]), ((10, 5), 10, [])])
+def test_a_restart_asks_for_all_that_is_missing(spark, tmp_path, sizes, n, changed):
+    import uuid
+
+    (tmp_path / "calls").mkdir()
+
+    def second(system, user):
+        (tmp_path / "calls" / uuid.uuid4().hex).write_text("")
+        return '{"result":"second"}'
+
+    sized = lambda rows: config(portion_rows=rows, answers_path=str(tmp_path / "kept"))
+    run_job(spark, sized(sizes[0]), lambda s, u: '{"result":"first"}', people(spark))
+    now = people(spark, n).withColumn("name", F.when(F.col("id").isin(changed), "changed").otherwise(F.col("name")))
+    want = [(i, "second" if i >= 10 or i in changed else "first") for i in range(n)]
+    for _ in range(2):  # the third run has nothing left to ask
+        r = run_job(spark, sized(sizes[1]), second, now)
+        got = r.main.collect()
+        assert [(x["id"], x["result"]) for x in got] == want and [x["name"] for x in got] == [x["name"] for x in now.orderBy("id").collect()]
+        assert r.metrics == {"processed": n, "ok": n} and len(list((tmp_path / "calls").iterdir())) == n - 10 + len(changed)
+
+
 def test_tables_of_a_run_are_removed(spark, tmp_path):
     import os
 
