@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reqweave.llm.chat import formatted_digests, text_part
 from reqweave.llm.common import table
 from reqweave.llm.crf import fitted, identify
+from reqweave.llm.fptree import best_documents
 from reqweave.llm.lpf import without_copies
 from reqweave.llm.mixing import report_sql, sampling_report
 from reqweave.llm.packing import pack
@@ -18,6 +19,7 @@ from reqweave.llm.secrets import secret_spans
 from reqweave.llm.superminhash import near_duplicates
 from reqweave.llm.syncmers import compare_with_edits
 from reqweave.llm.tokens import token_files
+from reqweave.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,3 +129,26 @@ FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN m ON m.x = vec_id"""
 @query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_copies(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SQL["op12_lexical_search"] = f"""WITH asked AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark WHERE text IS NOT NULL) GROUP BY 1, 2),
+docs AS MATERIALIZED (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 0),
+sizes AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM docs),
+tf AS MATERIALIZED (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY 1, 2),
+weights AS MATERIALIZED (SELECT t, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, sizes GROUP BY t, nn),
+norms AS (SELECT doc_id, 75 + (25 * n * nn) // l AS m FROM docs, sizes),
+scores AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (t) JOIN tf USING (t) JOIN norms USING (doc_id) GROUP BY 1, 2),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20"""
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
