@@ -14,6 +14,8 @@ from reqweave.llm.fptree import best_documents
 from reqweave.llm.lpf import without_copies
 from reqweave.llm.mixing import report_sql, sampling_report
 from reqweave.llm.packing import pack
+from reqweave.llm.pagetext import extract
+from reqweave.llm.pagetext import fitted as page_model
 from reqweave.llm.rabitq import near_duplicate_vectors
 from reqweave.llm.secrets import secret_spans
 from reqweave.llm.superminhash import near_duplicates
@@ -131,6 +133,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_copies(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, page_model(pages))
+
+
 @query
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
