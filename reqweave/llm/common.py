@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +39,19 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 def batch_of(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.record_batch([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+
+
+#: What a Python worker remembers between batches, by operator: how to forget it.
+_MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    """Workers serve one stage after the other; each operator says how its memory is given back."""
+    _MEMORIES[name] = forget
+
+
+def only(name: str) -> None:
+    """Called at the start of a task: the memories of all other operators are given back."""
+    for other, forget in _MEMORIES.items():
+        if other != name:
+            forget()

@@ -19,6 +19,8 @@ are not read. Equal scores go to the label that sorts first.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -30,17 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reqweave.llm.common import arrow_schema, batch_of
+from reqweave.llm.common import arrow_schema, batch_of, only, remembers
+from reqweave.storage import materialize
 
-#: Labelled texts per language that the model is fitted on at most (smallest hashes of their id), and languages at most.
+#: Labelled texts per language that the model is fitted on at most (smallest hashes). Every language that occurs is
+#: learned; a table of more languages than ``MAX_LABELS``, whose weights would not fit a task, is an error.
 SAMPLE_TEXTS = 400
-MAX_LABELS = 64
+MAX_LABELS = 1024
 #: Training sequences and their length in words.
 SEQUENCES, LENGTH = 4096, 64
 #: Words of the sample that a language's lexicon holds at most.
 LEXICON = 2000
 DIMENSIONS = 1 << 16
 EPOCHS, SEQUENCES_A_STEP, RATE, DECAY = 3, 256, 0.5, 1e-5
+#: One text in so many is held back to see how many trigrams of an unseen text are known; a text is familiar from
+#: ``FAMILIAR`` times the share that all but ``FAMILIAR_SHARE`` of them reach.
+RESERVED, FAMILIAR, FAMILIAR_SHARE = 5, 0.7, 0.02
 CHUNK = 256
 #: Steps after which running state probabilities are scaled anew.
 SCALED = 8
@@ -48,7 +55,23 @@ SCALED = 8
 MEMORY_WORDS = 150_000
 UNKNOWN = "und"
 
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _ranges(kinds: str) -> str:
+    """The code points of some general categories, written as the inside of a character class."""
+    out, start = [], None
+    for point in range(sys.maxunicode + 2):
+        inside = point <= sys.maxunicode and unicodedata.category(chr(point))[0] in kinds
+        if inside and start is None:
+            start = point
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{point - 1:08x}")
+            start = None
+    return "".join(out)
+
+
+#: A letter, then letters and combining marks; numbers of any script are no letters.
+WORD = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,6 +118,18 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found)[order].astype(np.int64), np.searchsorted(of[order], np.arange(len(words)))
 
 
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the letter trigrams of all words, their ends marked, and where each word's begin."""
+    points = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    lengths = np.array([len(w) for w in words], np.int64)
+    codes = points[:-2] << np.uint64(42) | points[1:-1] << np.uint64(21) | points[2:]
+    starts = np.cumsum(lengths + 2) - (lengths + 2)
+    inside = np.ones(len(codes), bool)
+    ends = (starts + lengths)[:-1]
+    inside[ends] = inside[ends + 1] = False
+    return codes[inside], np.cumsum(lengths) - lengths
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -102,8 +137,23 @@ class Model:
     moves: np.ndarray  # label x label
     lexicon: dict[str, int]  # word -> label
     trust: np.ndarray  # label: weight of a lexicon entry
+    grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # codes of the letter trigrams of the sample, sorted
+    familiar: float = 0.0  # least share of known trigrams that a text needs to be recognised
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    def known_share(self, texts: list[str | None]) -> list[float]:
+        """Share of each text's letter trigrams (words with their ends) that the sample holds; 0 without a word."""
+        words = [words_of(t) for t in texts]
+        index: dict[str, int] = {}
+        places = [np.fromiter((index.setdefault(w, len(index)) for w in own), np.int64, len(own)) for own in words]
+        if not index:
+            return [0.0] * len(texts)
+        codes, starts = trigrams(list(index))
+        at = np.minimum(np.searchsorted(self.grams, codes), max(0, len(self.grams) - 1))
+        here = (self.grams[at] == codes).astype(np.int64) if len(self.grams) else np.zeros(len(codes), np.int64)
+        hits, sizes = np.add.reduceat(here, starts), np.diff(np.append(starts, len(codes)))
+        return [float(hits[p].sum() / sizes[p].sum()) if len(p) else 0.0 for p in places]
+
     def scores(self, words: list[str]) -> np.ndarray:
         """Emissions of running words, through the worker's memory of distinct words."""
         return _MEMORY.scores(self, words)
@@ -145,6 +195,7 @@ class _Memory:
 
 
 _MEMORY = _Memory()
+remembers("languages", _MEMORY.__init__)
 
 
 def posteriors(scores: np.ndarray, moves: np.ndarray, lengths: list[int]) -> np.ndarray:
@@ -225,7 +276,10 @@ def posteriors(scores: np.ndarray, moves: np.ndarray, lengths: list[int]) -> np.
 
 
 def train(sample: list[tuple[str, str]], seed: int = 7) -> Model | None:
-    """Fit the field on labelled texts; None without any labelled word."""
+    """Fit the field on labelled texts; None without any labelled word.
+
+    Every ``RESERVED``-th text is fitted on too, but its trigrams only set what is familiar: they are not in ``grams``.
+    """
     texts = [(words, lang) for words, lang in ((words_of(text), lang) for text, lang in sorted(sample)) if words]
     labels = sorted({lang for _, lang in texts})
     if not labels:
@@ -241,6 +295,11 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Model | None:
         lexicon |= dict.fromkeys(sorted(kept, key=lambda w: (-own[w], w))[:LEXICON], k)
     model = Model(labels, np.zeros((DIMENSIONS, len(labels)), np.float32), np.zeros((len(labels), len(labels))), lexicon, np.zeros(len(labels), np.float32))
 
+    fitted_on = sorted({w for k, (words, _) in enumerate(texts) if k % RESERVED for w in words})
+    reserved = [" ".join(words) for words, _ in texts[::RESERVED]]
+    if fitted_on:
+        model.grams = np.unique(trigrams(fitted_on)[0])
+        model.familiar = FAMILIAR * float(np.quantile(model.known_share(reserved), FAMILIAR_SHARE))
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
     coded = [(np.array([index.setdefault(w, len(index)) for w in words]), code[lang]) for words, lang in texts]
@@ -307,24 +366,25 @@ def _forward(emit: np.ndarray, step: np.ndarray) -> np.ndarray:
 
 
 def sample_texts(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[str, str]]:
-    """At most ``SAMPLE_TEXTS`` labelled texts of each language, those with the smallest hashes of their ids.
+    """At most ``SAMPLE_TEXTS`` different labelled texts of each language, those with the smallest hashes.
 
-    Ids and labels are ranked without texts; ``MAX_LABELS`` times ``SAMPLE_TEXTS`` rows at most come to the driver.
+    Hashes are ranked without texts, and only near the front; ``SAMPLE_TEXTS`` rows a language come to the driver.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    usable = rows.where(train_rows & F.col("label").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).collect()
+    usable = rows.where(train_rows & F.col("label").isNotNull() & F.col("text").isNotNull()).withColumn("hash", F.xxhash64("text"))
+    counts = usable.groupBy("label").agg(F.approx_count_distinct("hash").alias("count")).limit(MAX_LABELS + 1).collect()
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} languages")
     if not counts:
         return []
-    # four times as many rows as wanted are looked at, by their hashes, so that the ranking of a label is small however many rows it has
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, 4 * SAMPLE_TEXTS / r["count"]))])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
-    near = usable.select("doc_id", "label", place.alias("place")).where(F.col("place") < shares[F.col("label")])
-    rank = Window.partitionBy("label").orderBy("place", "doc_id")
-    chosen = near.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SAMPLE_TEXTS)
-    ids = {(r[0], r[1]) for r in chosen.select("doc_id", "label").collect()}
-    picked = usable.where(F.col("doc_id").isin([i for i, _ in ids])).select("doc_id", "label", "text").limit(2 * MAX_LABELS * SAMPLE_TEXTS)
-    return [(r[2], r[1]) for r in picked.collect() if (r[0], r[1]) in ids]
+    # about eight times as many texts as wanted are looked at, so that the ranking of a label is small however many rows it has
+    shares = docs.sparkSession.createDataFrame([(r["label"], min(1.0, 8 * SAMPLE_TEXTS / r["count"])) for r in counts], "label string, share double")
+    place = F.pmod(F.xxhash64("hash"), F.lit(1 << 32)) / float(1 << 32)
+    near = usable.select("label", "hash").join(F.broadcast(shares), "label").where(place < F.col("share")).select("label", "hash").distinct()
+    rank = Window.partitionBy("label").orderBy(place, "hash")
+    chosen = materialize(near.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SAMPLE_TEXTS).select("label", "hash"), "sampled")
+    picked = usable.join(F.broadcast(chosen), ["label", "hash"]).groupBy("label", "hash").agg(F.min("text").alias("text"))
+    return sorted((r["text"], r["label"]) for r in picked.collect())
 
 
 def text_answers(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -385,6 +445,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     schema, shared = arrow_schema(ANSWER), docs.sparkSession.sparkContext.broadcast(model)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("languages")
         fit = shared.value
         for batch in batches:
             texts = batch.column(2).to_pylist()
@@ -394,23 +455,25 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return rows.mapInArrow(answer, ANSWER)
 
 
-#: Least mean probability of the best language that a text needs to stay in a corpus.
-LEAST_SCORE = 0.3
-
+def recognised(docs: DataFrame, model: Model | None, text_col: str = "text", label_col: str = "lang") -> DataFrame:
+    """Rows of ``docs`` in a recognised language, with the predicted language as their label; ``und`` texts go.
 
-def recognised(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE, text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """Rows of ``docs`` in a recognised language, with the predicted language as their label; ``und`` texts go."""
+    Recognised is a text whose letter trigrams are as well known to the sample as those of labelled texts that the
+    model was not fitted on (``Model.familiar``); this does not depend on how many languages there are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("label string, score double")
+    @F.pandas_udf("label string, known double")
     def answer(texts):
         import pandas as pd
 
+        only("languages")
         values, fit = [t if isinstance(t, str) else None for t in texts], shared.value
         found = [x for part in groups_by_size(values) for x in text_answers(fit, values[part])] if fit else [(UNKNOWN, 0.0)] * len(values)
-        return pd.DataFrame(found, columns=["label", "score"])
+        known = [x for part in groups_by_size(values) for x in fit.known_share(values[part])] if fit else [0.0] * len(values)
+        return pd.DataFrame({"label": [label for label, _ in found], "known": known})
 
     # not deterministic, as Spark is told: else it would answer twice, for the filter and for the label
     judged = docs.withColumn("_crf_answer", answer.asNondeterministic()(text_col))
-    kept = judged.where((F.col("_crf_answer.label") != UNKNOWN) & (F.col("_crf_answer.score") >= least))
+    kept = judged.where((F.col("_crf_answer.label") != UNKNOWN) & (F.col("_crf_answer.known") >= (model.familiar if model else 0.0)))
     return kept.withColumn(label_col, F.col("_crf_answer.label")).select(*docs.columns)

@@ -18,7 +18,7 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-SILENT = frozenset("head template svg math object audio video canvas select datalist button map".split())
+SILENT = frozenset("head template svg math object audio video canvas select option optgroup datalist button map".split())
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split()
 )

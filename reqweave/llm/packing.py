@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqweave.llm.common import arrow_schema, batch_of, texts_of
+from reqweave.llm.common import arrow_schema, batch_of, only, texts_of
 from reqweave.llm.tokens import encoder
 from reqweave.storage import materialize
 
@@ -89,6 +89,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, id_col:
     schema, end = arrow_schema(PIECE), end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens")
         encode, row = encoder(tokenizer_path), TaskContext.get().partitionId() << 40
         for batch in batches:
             out: dict[str, list] = {name: [] for name in schema.names}

@@ -20,8 +20,8 @@ test, ``SIGMAS`` standard errors of the estimate wide, with 3e-5. Links are deci
 
 Edge cases: a text of fewer words than a shingle has its whole word sequence as its only
 element; null, empty and wordless texts have the empty set, link with nothing and are kept.
-Rows with equal ids are kept or dropped together; null ids take part, and a component with no other
-ids has a null id and keeps its rows. An empty table gives an empty table. Extra columns are not read.
+Rows with equal ids share ``kept`` in the report; null ids take part, and a component with no other
+ids has a null id and keeps its rows. ``first_of_groups`` decides by row and keeps one row of each group. An empty table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqweave.llm.common import texts_of
+from reqweave.llm.common import only, remembers, texts_of
 from reqweave.llm.components import components
 from reqweave.storage import materialize
 
@@ -50,8 +50,13 @@ SIGMAS = 4.0
 #: Representatives that are sent to every task instead of shuffling all texts; beyond it texts and ids are both shuffled.
 BROADCAST_ROWS = 500_000
 #: Elements that take their steps together: bounds the permutations held (2 bytes a slot each).
-TOGETHER = 40_000
+TOGETHER = 20_000
 
+#: Bytes of a text that are hashed at once.
+PART_BYTES = 1 << 18
+_SPACES = [bytes([c]) for c in (9, 10, 11, 12, 13, 32)]
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -71,31 +76,59 @@ def _bytes_table() -> tuple[np.ndarray, np.ndarray]:
     return mix((codes + np.uint64(1)) * _A), space
 
 
-@functools.cache
+@functools.lru_cache(maxsize=2)
+def _kept_powers(base: int) -> np.ndarray:
+    return _powers(PART_BYTES + 1, base)
+
+
+remembers("shingles", _kept_powers.cache_clear)
+
+
 def _powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
 
 
+def _word_parts(raw: bytes) -> Iterator[np.ndarray]:
+    """A text's bytes in parts of about ``PART_BYTES`` that end between words; a longer word stays whole."""
+    at = 0
+    while at < len(raw):
+        stop = at + PART_BYTES
+        if stop < len(raw):
+            cut = max(raw.rfind(c, at, stop) for c in _SPACES)
+            if cut <= at:
+                ends = [e for c in _SPACES if (e := raw.find(c, stop)) >= 0]
+                cut = min(ends, default=len(raw))
+            stop = cut
+        yield np.frombuffer(raw, np.uint8, min(stop, len(raw)) - at, at)
+        at = stop
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of all words in order; long texts are read part by part."""
+    table, space = _bytes_table()
+    found = []
+    for part in _word_parts(text.encode()):
+        inside = np.zeros(len(part) + 2, np.int8)
+        inside[1:-1] = ~space[part]
+        edges = np.diff(inside)
+        starts, ends = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
+        powers = _kept_powers if len(part) <= PART_BYTES else functools.partial(_powers, len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(table[part] * powers(_BASE)[: len(part)], out=sums[1:])
+        found.append(mix((sums[ends] - sums[starts]) * powers(_INVERSE)[starts] + (ends - starts).astype(np.uint64) * _A))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    table, space = _bytes_table()
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~space[raw]
-    edges = np.diff(inside)
-    starts, ends = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
-    if not len(starts):
+    words = word_hashes(text)
+    if not len(words):
         return np.zeros(0, np.uint64)
-    size = 1 << len(raw).bit_length()
-    base = 0xD1342543DE82EF95
-    up, down = _powers(size, base), _powers(size, pow(base, -1, 1 << 64))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(table[raw] * up[: len(raw)], out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _A)
     n = max(1, len(words) - SHINGLE + 1)
     out = np.full(n, np.uint64(min(len(words), SHINGLE)), np.uint64)
     for j in range(min(SHINGLE, len(words))):
-        out = out * np.uint64(base) + words[j : j + n]
+        out *= np.uint64(_BASE)
+        out += words[j : j + n]
     return np.unique(mix(out))
 
 
@@ -177,6 +210,7 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Size, class key, band keys and signature codes of every document's set."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("shingles")
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             sets = [shingles(text) for text in batch.column(1).to_pylist()]
@@ -324,9 +358,18 @@ def class_texts(docs: DataFrame, described: DataFrame, wanted: DataFrame, id_col
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stay: one document of each group of near copies."""
-    judged = near_duplicates(docs, id_col, text_col).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.bool_or("kept").alias("kept"))
-    gone = materialize(judged.where("NOT kept").select("_gone_id"), "gone")
+    """Rows of ``docs`` that stay: of each group of near copies the one with the smallest id (null last).
+
+    Rows are told apart by a key of their own, written with them, so that of rows with equal or null ids one stays too.
+    """
+    key = "_near_copy_row"
+    keyed = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    judged = near_duplicates(keyed, key, text_col).where("n_shingles > 0").select(F.col("doc_id").alias(key), "component_id")
+    grouped = judged.groupBy("component_id").agg(F.count("*").alias("rows")).where("rows > 1").select("component_id")
+    copies = materialize(judged.join(grouped, "component_id").join(keyed.select(key, F.col(id_col).cast("long").alias("doc_id")), key), "copies")
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key))
+    first = copies.groupBy("component_id").agg(F.min(place)[key].alias(key))
+    gone = materialize(copies.select(key).join(first.select(key), key, "left_anti"), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone_id"]), "left_anti")
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)

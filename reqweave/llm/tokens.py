@@ -17,7 +17,9 @@ import functools
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,57 +28,38 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reqweave.llm.common import arrow_schema, batch_of, texts_of
+from reqweave.llm.common import arrow_schema, batch_of, only, remembers, texts_of
 from reqweave.llm.simple8b import read_stream, stream_bytes
 from reqweave.storage import materialize, new_folder
 
 #: Tokens after which a shard is closed.
 SHARD_TOKENS = 1 << 20
-#: Words whose ids a worker remembers at most, in two halves: when the younger is full it becomes the older.
-MEMORY_WORDS = 800_000
-#: Longer words are not remembered.
+#: Pieces of text whose ids a worker remembers at most, in two halves: when the younger is full it becomes the older.
+MEMORY_PIECES = 600_000
+#: Longer pieces are not remembered.
 MEMORY_CHARS = 48
 #: Characters at which Python splits but the tokenizers' white space pattern does not (fixed values).
-_ODD = "\x1c\x1d\x1e\x1f"
-#: Letters that are their own composed form, and whose lower case is one letter.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+_ODD = re.compile("[\x1c-\x1f]")
+#: Fixed value: the tokenizer's own pattern for lower-case Latin-1 text, with that range's letters, numbers and white space written out.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
 
-class _Words(dict):
-    """Ids of a word as little-endian 32-bit integers, encoded at first sight."""
-
-    def __init__(self, tokenizer) -> None:
-        from tokenizers.pre_tokenizers import ByteLevel
+class _Memory(dict):
+    """Ids by piece as little-endian 32-bit integers, made at first sight by ``make``."""
 
+    def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.tokenizer, self.model, self.older = tokenizer, tokenizer.model, {}
-        bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.byte_letters = {c: bytes_of.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        # a word of plain letters is one piece of the tokenizer's pattern: worth a short way if this tokenizer does so
-        probe = "Straße"
-        self.short = [t.id for t in self.pieces(probe)] == tokenizer.encode(probe, add_special_tokens=False).ids
-        self.ends = {c: self.encode(c) for c in ("", ".", ",")}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def pieces(self, letters: str) -> list:
-        return self.model.tokenize(letters.lower().translate(self.byte_letters))
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
+        self.make, self.older = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
         if found is None:
-            plain = _PLAIN.fullmatch(word) if self.short else None
-            if plain:
-                ids = [t.id for t in self.pieces(plain[1])]
-                found = struct.pack(f"<{len(ids)}I", *ids) + self.ends[plain[2]]
-            else:
-                found = self.encode(word)
-        if len(word) <= MEMORY_CHARS:
-            if len(self) >= MEMORY_WORDS // 2:
+            found = self.make(piece)
+        if len(piece) <= MEMORY_CHARS:
+            if len(self) >= MEMORY_PIECES // 2:
                 self.older = dict(self)
                 self.clear()
-            self[word] = found
+            self[piece] = found
         return found
 
 
@@ -84,31 +67,50 @@ class _Words(dict):
 def encoder(path: str) -> Callable[[str], bytes]:
     """Whole text to ids, as little-endian 32-bit integers.
 
-    The word tokenizer normalises, matches and merges within stretches between white
-    space only, so a text's ids are those of its stretches one after the other; frequent
-    stretches are encoded once per worker. Stretches of plain letters go straight to the
-    library's merge model. Texts with one of the separators that Python and the
-    tokenizer see differently are encoded in one piece.
+    The word tokenizer lowers letters, cuts the text by a pattern and merges within the pieces only, so a text's ids are
+    those of its pieces one after the other; frequent pieces are merged once per worker. Latin-1 texts are cut here
+    and their new pieces go straight to the library's merge model. In other texts, stretches between white space are
+    handled one by one, by the library where they hold other letters. Texts with special tokens, or with one of the
+    separators that Python and the tokenizer see differently, are encoded in one piece. A tokenizer
+    that does not work like this, as a probe shows, encodes every stretch itself.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-
-    words = _Words(Tokenizer.from_file(path))
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    tokenizer = Tokenizer.from_file(path)
+    merge, bytes_of = tokenizer.model.tokenize, ByteLevel(add_prefix_space=False, use_regex=False)
+    byte_letters = {c: bytes_of.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
+    packed = lambda ids: np.array(ids, dtype="<u4").tobytes()
+    whole = lambda text: packed(tokenizer.encode(text, add_special_tokens=False).ids)
+    ids = lambda piece: array("I", [t.id for t in merge(piece if piece.isascii() else piece.translate(byte_letters))])
+    pieces = _Memory(lambda piece: ids(piece).tobytes())
+    latin = lambda text: b"".join(map(pieces.__getitem__, _PIECES.findall(text.lower())))
+    probe = "Straße, d'été 12½ it's “x”\x85$$$ l'a...\xa0ÀÉ".replace("“", "«").replace("”", "»")
+    known = sys.byteorder == "little" and array("I").itemsize == 4 and latin(probe) == whole(probe)
+    stretches = _Memory(lambda stretch: latin(stretch) if known and _is_latin(stretch) else whole(stretch))
 
     def encode(text: str) -> bytes:
-        if any(c in text for c in _ODD):
-            return words.encode(text)
-        if "<|" not in text:  # special tokens are matched before letters are lowered
-            try:
-                text.encode("latin-1")
-                text = text.lower()  # letter by letter in this range, as the tokenizer does; fewer words to remember
-            except UnicodeEncodeError:
-                pass
-        return b"".join(map(words.__getitem__, text.split()))
+        if "<|" in text or _ODD.search(text):
+            return whole(text)
+        return latin(text) if known and _is_latin(text) else b"".join(map(stretches.__getitem__, text.split()))
 
     return encode
 
 
+remembers("tokens", encoder.cache_clear)
+
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 SHARD = "part long, seq long, n_docs long, n_tokens long, content binary"
 _SHARD_HEAD = struct.Struct("<4sQ")
 
@@ -140,6 +142,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     schema, end = arrow_schema(SHARD), np.array([end_id], "<u4").tobytes()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens")
         encode, part, seq = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         doc_ids: list[int | None] = []

@@ -219,3 +219,43 @@ def test_previous_factors_against_search():
 def test_no_documents_have_no_copies(spark):
     start(spark)
     assert lpf.without_copies(empty(spark)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Ids may repeat or be null: rows are judged, not ids."""
+    start(spark)
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(60))
+    copied, other, third, fourth = text(), text(), text(), text()
+    data = [(5, copied), (7, copied + " tail"), (7, other), (None, copied), (None, third), (None, third), (9, fourth), (9, fourth), (12, None), (12, None), (13, ""), (None, None)]
+    kept = superminhash.first_of_groups(frame(spark, [(*r, "en", "s") for r in data]))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(5, copied), (7, other), (None, third), (9, fourth), (12, None), (12, None), (13, ""), (None, None)]))
+    assert kept.columns == frame(spark).columns
+    assert superminhash.first_of_groups(empty(spark)).count() == 0
+
+
+def plain_shingles(text):
+    words = [w for w in "".join(c.lower() if c.isascii() else c for c in text).replace("\n", " ").split(" ") if w]
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("part", [8, 64, 1 << 18])
+def test_long_texts_are_hashed_part_by_part(monkeypatch, part):
+    rng = random.Random(part)
+    superminhash._kept_powers.cache_clear()
+    monkeypatch.setattr(superminhash, "PART_BYTES", part)
+    for n in (0, 1, 3, 40, 700):
+        text = " ".join(rng.choice(["Ab", "ab", "é", "x" * 100, "cd\n", ""]) for _ in range(n))
+        assert len(superminhash.shingles(text)) == len(plain_shingles(text))
+    superminhash._kept_powers.cache_clear()
+
+
+def test_a_very_long_text_needs_little_memory():
+    import tracemalloc
+
+    text = "word and another %d " * 2_600_000  # 50 MB
+    tracemalloc.start()
+    superminhash.shingles(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 700e6

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -349,3 +350,52 @@ def test_queries_against_their_sql(spark, name):
 
     folder = "/root/testdata/sf0.001"
     assert oracle.compare(oracle.duck(folder), QUERIES[name](spark, folder), SQL[name]) is None
+
+
+def test_numbers_are_no_letters_and_marks_stay_in_words():
+    assert crf.words_of("½ ² Ⅷ 12 _ ٣") == []
+    assert crf.words_of("हिन्दी 2x É́tat") == ["हिन्दी", "x", "é́tat"]
+    rng = random.Random(3)
+    model = crf.train([(prose(rng, lang, 40), lang) for lang in ("de", "en") for _ in range(40)])
+    assert crf.text_answers(model, ["½ ² Ⅷ"]) == [("und", 0.0)]
+
+
+def language(rng, k):
+    """Words of an invented language with letters of its own."""
+    letters = "".join(chr(0x4E00 + 40 * k + j) for j in range(30))
+    return lambda n: " ".join("".join(rng.choice(letters) for _ in range(3)) for _ in range(n))
+
+
+def test_every_language_is_learned(spark):
+    start(spark)
+    rng = random.Random(6)
+    makers = [language(rng, k) for k in range(80)]
+    data = [(100 * k + j, makers[k](25), f"l{k:02d}", "s") for k in range(80) for j in range(4 if k else 40)]
+    data += [(-7, data[0][1], "l00", "s")] * 30 + [(-8, makers[0](9), "l00", "s") for _ in range(30)] + [(None, makers[1](9), "l01", "s")]
+    sample = crf.sample_texts(frame(spark, data), F.lit(True))
+    assert len({label for _, label in sample}) == 80
+    assert sorted(sample) == sorted({(r[1], r[2]) for r in data})
+    model = crf.train(sample)
+    assert len(model.labels) == 80
+    right = sum(crf.text_answers(model, [makers[k](20)])[0][0] == f"l{k:02d}" for k in range(80))
+    assert right >= 76
+
+
+def test_sampled_texts_are_bounded_for_every_language(spark, monkeypatch):
+    start(spark)
+    monkeypatch.setattr(crf, "SAMPLE_TEXTS", 7)
+    data = [(5 if k % 3 else None, f"text number {k}", "en" if k % 10 else "de", "s") for k in range(300)]
+    sample = crf.sample_texts(frame(spark, data), F.lit(True))
+    assert sorted(Counter(label for _, label in sample).items()) == [("de", 7), ("en", 7)]
+
+
+@pytest.mark.parametrize("labels", [("en",), ("de", "en")])
+def test_foreign_texts_are_rejected_whatever_the_number_of_languages(spark, labels):
+    start(spark)
+    rng = random.Random(3)
+    data = [(k, prose(rng, labels[k % len(labels)], rng.randint(8, 90)), labels[k % len(labels)], "s") for k in range(300)]
+    model = crf.fitted(frame(spark, data))
+    foreign = [(1001, "qqq zzz xxx", "en", "s"), (1002, "жизнь прекрасна и удивительна", None, "s"), (1003, "12 ½", "en", "s"), (1004, None, None, "s"), (1005, "bcdfg hjklm vwxyq zzkpt", "en", "s")]
+    kept = crf.recognised(frame(spark, data + foreign), model)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == list(range(300))
+    assert kept.columns == frame(spark, data).columns
