@@ -28,9 +28,9 @@ class InputConfig:
     url: str = ""
     delimiter: str = ""
     has_header: bool = True
-    multi_line: bool = False
     root_path: str = ""
     record_path: str = ""
+    schema: str = ""
     excluded_columns: list[str] = field(default_factory=list)
     order_by: list[str] = field(default_factory=list)
 

@@ -43,10 +43,13 @@ def number_files(files: DataFrame, name: str = ROW) -> DataFrame:
 def number_arrival(df: DataFrame, name: str = ROW) -> DataFrame:
     """Number records in order of their files' names and their places there.
 
+    Frames that carry ``_src, _block, _place`` (records of text files) are range-partitioned by them.
     Whole parquet files are numbered where they lie. Rows of other files carry file, block
     and place in the block, and are range-partitioned by them. Any other frame is written
     and numbered in order of arrival.
     """
+    if {"_src", "_block", "_place"} <= set(df.columns):
+        return row_index(df, ["_src", "_block", "_place"], name, unique=True).drop("_src", "_block", "_place")
     try:
         df.select("_metadata.row_index")
     except AnalysisException:
@@ -60,7 +63,7 @@ def number_arrival(df: DataFrame, name: str = ROW) -> DataFrame:
         placed = df.select("*", F.col("_metadata.file_path").alias("_src"), F.col("_metadata.file_block_start").alias("_block"))
     except AnalysisException:
         return number_files(materialize(df, "input"), name)
-    return row_index(placed.withColumn("_place", F.monotonically_increasing_id()), ["_src", "_block", "_place"], name).drop("_src", "_block", "_place")
+    return row_index(placed.withColumn("_place", F.monotonically_increasing_id()), ["_src", "_block", "_place"], name, unique=True).drop("_src", "_block", "_place")
 
 
 def _placed(df: DataFrame) -> DataFrame:
@@ -75,16 +78,17 @@ def _placed(df: DataFrame) -> DataFrame:
         return materialize(df, "unordered").select("*", *mark)
 
 
-def row_index(df: DataFrame, order_by: list[str | Column], name: str = ROW) -> DataFrame:
-    """0-based position of every row under ``order_by``, arrival order among equals.
+def row_index(df: DataFrame, order_by: list[str | Column], name: str = ROW, unique: bool = False) -> DataFrame:
+    """0-based position of every row under ``order_by``, arrival order among equals. ``unique`` keys need no arrival place.
 
     The rows are range-partitioned, sorted inside the partitions and written, so
     part files follow each other in order. The key ends with the arrival place, so
     rows with equal keys, copies included, spread over several partitions.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    keys = [*keys, F.col("_path"), F.col("_pos")]
-    ordered = _placed(df).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_path", "_pos")
+    if not unique:
+        df, keys = _placed(df), [*keys, F.col("_path"), F.col("_pos")]
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_path", "_pos")
     return number_files(materialize(ordered, "ordered"), name)
 
 

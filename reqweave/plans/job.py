@@ -44,15 +44,16 @@ class JobResult:
 
 
 def read_input(spark: SparkSession, cfg: JobConfig) -> DataFrame:
-    i, kind = cfg.input, cfg.input.type.lower()
+    """Records of the job's input; with ``input.schema`` nothing is looked at twice."""
+    i, kind, schema = cfg.input, cfg.input.type.lower(), cfg.input.schema or None
     if kind == "csv":
-        return from_files.scan_csv(spark, i.path, i.delimiter, i.has_header, i.multi_line)
+        return from_files.scan_csv(spark, i.path, i.delimiter, i.has_header, placed=not i.order_by)
     if kind == "json":
-        return from_files.scan_json(spark, i.path, i.root_path)
+        return from_files.scan_json(spark, i.path, i.root_path, schema, placed=not i.order_by)
     if kind == "jsonl":
-        return from_files.scan_jsonl(spark, i.path)
+        return from_files.scan_jsonl(spark, i.path, schema)
     if kind == "xml":
-        return from_files.scan_xml(spark, i.path, i.record_path)
+        return from_files.scan_xml(spark, i.path, i.record_path, schema)
     if kind == "xlsx":
         rows = workbook_records(spark, i.path, i.has_header)
         # workbooks in order of their names, rows as they stand

@@ -32,28 +32,24 @@ def _hashed(df):
 def scan_csv(t):
     path = new_folder(t.spark, "csv")
     sinks.sink_csv(customers(t), path, ";")
-    return src.scan_csv(t.spark, path, multi_line=False)
+    return src.scan_csv(t.spark, path)
 
 
-@query(
-    "job_file_order",
-    """SELECT doc_id, row_number() OVER (ORDER BY CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'es' THEN 3 ELSE 4 END, doc_id) - 1 AS row_idx FROM documents""",
-)
+@query("job_file_order", "SELECT doc_id, row_number() OVER (ORDER BY coalesce(lang, ''), doc_id) - 1 AS row_idx FROM documents")
 def job_file_order(t):
-    # files of unequal size, one folder per language, are numbered by name and line
+    # files of unequal size, several per language, are numbered by their names and the places of their records
     top = new_folder(t.spark, "ordered")
-    for lang in ("fr", "de", "es", "en"):
-        own = t("documents").where(F.col("lang") == lang).select("doc_id", "lang").orderBy("doc_id").coalesce(1)
-        own.write.csv(f"{top}/{lang}", header=True)
-    read = src.scan_csv(t.spark, f"{top}/*", ",")
-    return number_arrival(read).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ROW).alias("row_idx"))
+    rows = t("documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    rows = rows.repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id").withColumn("folder", F.concat(F.lit("of-"), F.col("lang")))
+    rows.write.partitionBy("folder").options(header=True, quote='"', escape='"').csv(top)
+    return number_arrival(src.scan_csv(t.spark, f"{top}/*", ",", placed=True)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ROW).alias("row_idx"))
 
 
 @query("scan_csv_no_header", _CUSTOMERS.replace("AS c_custkey", "AS col_1").replace("c_name", "c_name AS col_2").replace("AS c_nationkey", "AS col_3").replace("c_mktsegment", "c_mktsegment AS col_4"))
 def scan_csv_no_header(t):
     path = new_folder(t.spark, "csv")
     customers(t).write.csv(path, header=False)
-    return src.scan_csv(t.spark, path, ",", has_header=False, multi_line=False)
+    return src.scan_csv(t.spark, path, ",", has_header=False)
 
 
 @query("sink_csv", _TEXTS)
@@ -264,7 +260,7 @@ def export_convert(t):
     stored, target = new_folder(t.spark, "stored"), new_folder(t.spark, "export")
     sinks.sink_jsonl(t("events").select("event_id", "event_type", F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("user_id")), stored)
     sinks.export_convert(t.spark, stored, target, "tsv")
-    return src.scan_csv(t.spark, target, "\t", multi_line=False)
+    return src.scan_csv(t.spark, target, "\t")
 
 
 @query("tolerant_preview", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id % 7 = 0")

@@ -10,13 +10,15 @@ from pyspark.sql import types as T
 from reqweave.functions.binding import let
 from reqweave.functions.jsonvals import object_fields, strict_value
 from reqweave.functions.text import is_blank, trim_space
+from reqweave.sources.arrays import columns_of, json_objects
+from reqweave.sources.blocks import BLOCK, BOM, PLACE, SOURCE, with_folders
+from reqweave.sources.records import scan_csv_placed
 
 # Delimiter candidates in order of preference. What sniffing looks at is a parameter; a given separator avoids it.
 DELIMITERS = [",", ";", "\t", "|"]
 SNIFF_CHARS = 8192
 SNIFF_LINES = 10
 HEAD_CHARS = 512
-BOM = "\ufeff"
 
 
 def _count(text: Column, mark: str) -> Column:
@@ -109,53 +111,76 @@ def head_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def scan_csv(
-    spark: SparkSession, path: str, delimiter: str = "", has_header: bool = True,
-    multi_line: bool = False, columns: list[str] | None = None,
+    spark: SparkSession, path: str, delimiter: str = "", has_header: bool = True, columns: list[str] | None = None, placed: bool = False,
 ) -> DataFrame:
     """CSV with text columns; missing and empty cells are empty text.
 
-    Quoted line breaks need ``multi_line``, which keeps a file in one task; without
-    it big files are split.
+    Cells may hold line breaks in quotes, and big files are read by many tasks all the same (see ``records``). With
+    ``placed`` the columns ``_src, _block, _place`` tell where each record stands.
     """
-    reader = spark.read.options(
-        header=has_header, sep=delimiter or head_delimiter(spark, path), quote='"', escape='"',
-        multiLine=multi_line, inferSchema=False, mode="PERMISSIVE",
-    )
-    if columns:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    df = reader.csv(path)
-    if not has_header and not columns:
-        df = df.toDF(*[f"col_{i + 1}" for i in range(len(df.columns))])
-    return df.na.fill("")
+    found = scan_csv_placed(spark, path, delimiter or head_delimiter(spark, path), has_header, columns)
+    found = with_folders(spark, path, found)
+    return found if placed else found.drop(SOURCE, BLOCK, PLACE)
+
 
+def scan_json(spark: SparkSession, path: str, root_path: str = "", schema: T.StructType | str | None = None, placed: bool = False) -> DataFrame:
+    """A top-level array or object per file, or what lies at ``root_path``; big files are cut over many tasks.
 
-def scan_json(spark: SparkSession, path: str, root_path: str = "", schema: T.StructType | str | None = None) -> DataFrame:
-    """A top-level array or object per file, or what lies at ``root_path``."""
-    reader = spark.read.options(multiLine=True, mode="FAILFAST")
-    df = (reader.schema(schema) if schema is not None else reader).json(path)
-    return select_root(df, root_path)
+    ``schema`` is that of the top-level objects. Without one the common type of all records is taken from a copy of
+    their texts. With ``placed`` the columns ``_src, _block, _place`` tell where each record stands.
+    """
+    steps = path_steps(root_path)
+    texts, followed = json_objects(spark, path, steps)
+    known = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if followed and known is not None:
+        known = element_type(known, steps)
+    df = columns_of(texts, known)
+    if steps and not followed:
+        df = select_root(df, root_path, [SOURCE, BLOCK, PLACE])
+    if not steps:
+        df = with_folders(spark, path, df, known)
+    return df if placed else df.drop(SOURCE, BLOCK, PLACE)
 
 
-def select_root(df: DataFrame, root_path: str) -> DataFrame:
-    """Descend by object members; an array gives many rows, an object one."""
+def path_steps(root_path: str) -> list[str]:
     where = root_path.strip().removeprefix("$.").removeprefix(".").strip("/")
-    steps = [s for s in re.split("[./]", where) if s and s != "$"]
+    return [s for s in re.split("[./]", where) if s and s != "$"]
+
+
+def element_type(schema: T.StructType, steps: list[str]) -> T.StructType:
+    """Type of the elements of the array at ``steps``."""
+    now: T.DataType = schema
+    for step in steps:
+        now = now[step].dataType
+    if not isinstance(now, T.ArrayType) or not isinstance(now.elementType, T.StructType):
+        raise ValueError(f"the schema has no array of objects at {'.'.join(steps)}")
+    return now.elementType
+
+
+def select_root(df: DataFrame, root_path: str, keep: list[str] | None = None) -> DataFrame:
+    """Descend by object members; an array gives many rows, an object one. Columns of ``keep`` are repeated."""
+    steps, keep = path_steps(root_path), keep or []
     if not steps:
         return df
     target = F.col(".".join(f"`{s}`" for s in steps))
-    chosen = df.select(target.alias("_root"))
+    chosen = df.select(*keep, target.alias("_root"))
     kind = chosen.schema["_root"].dataType
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        return chosen.select(F.inline("_root"))
+        return chosen.select(*keep, F.inline("_root"))
     if isinstance(kind, T.StructType):
-        return chosen.select("_root.*")
+        return chosen.select(*keep, "_root.*")
     raise ValueError(f"json root_path {root_path!r} is not an object or array of objects")
 
 
 def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """One object per line; blank lines are skipped, a bad line fails the read."""
-    reader = spark.read.option("mode", "FAILFAST")
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    """One object per line; blank lines are skipped, a bad line fails the read.
+
+    Without a schema the lines are copied while they are read, and the common type of all records is taken from the copy.
+    """
+    if schema is not None:
+        return spark.read.option("mode", "FAILFAST").schema(schema).json(path)
+    lines = spark.read.text(path)
+    return columns_of(lines.where(~is_blank(F.col("value"))))
 
 
 def scan_xml(spark: SparkSession, path: str, record_path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -168,10 +193,13 @@ def scan_xml(spark: SparkSession, path: str, record_path: str, schema: T.StructT
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
-def tolerant_preview(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
-    """First ``n`` records of a JSONL or CSV file for looking at; bad JSON lines are skipped."""
-    if path.endswith(".csv"):
-        return scan_csv(spark, path, ",", multi_line=False).limit(n)
+def tolerant_preview(spark: SparkSession, path: str, n: int = 50, delimiter: str = "") -> DataFrame:
+    """First ``n`` records of a JSONL, CSV or TSV file for looking at; bad JSON lines are skipped.
+
+    Cells may hold quoted line breaks; a separator that is not given is guessed.
+    """
+    if path.endswith((".csv", ".tsv")):
+        return scan_csv(spark, path, delimiter, placed=True).orderBy(SOURCE, BLOCK, PLACE).drop(SOURCE, BLOCK, PLACE).limit(n)
     return readable_lines(spark.read.text(path)).limit(n)
 
 

@@ -30,67 +30,28 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
-# --- CSV ------------------------------------------------------------------------
-def test_csv_header_keeps_text(spark, tmp_path):
-    df = src.scan_csv(spark, put(tmp_path, "a.csv", "name,age\nInes,41\nTariq,19\n"))
-    assert df.dtypes == [("name", "string"), ("age", "string")] and rows(df) == [("Ines", "41"), ("Tariq", "19")]
-
-
-def test_csv_without_header(spark, tmp_path):
-    df = src.scan_csv(spark, put(tmp_path, "a.csv", "Ines,41\nTariq,19\n"), has_header=False)
-    assert df.columns == ["col_1", "col_2"] and df.count() == 2
-
-
-@pytest.mark.parametrize("delimiter", [";", "\t", "|", ","])
-def test_csv_delimiter_is_found(spark, tmp_path, delimiter):
-    path = put(tmp_path, "a.csv", f"name{delimiter}city\n\nInes{delimiter}Porto\n")
-    assert rows(src.scan_csv(spark, path)) == [("Ines", "Porto")]
-
-
-def test_csv_ragged_bom_quotes_and_line_breaks(spark, tmp_path):
-    text = '\ufeffname,age,city\nInes,41\nTariq,19,Porto,extra\n"x ""y""\nz",1,\n'
-    assert rows(src.scan_csv(spark, put(tmp_path, "a.csv", text), multi_line=True)) == [("Ines", "41", ""), ("Tariq", "19", "Porto"), ('x "y"\nz', "1", "")]
-
-
-def test_csv_empty_file(spark, tmp_path):
-    assert src.scan_csv(spark, put(tmp_path, "a.csv", ""), ",").count() == 0
-
-
-def test_csv_sink_keeps_blanks_and_nested_cells(spark, tmp_path):
-    df = spark.sql("SELECT ' x ' AS id, named_struct('ok', true) AS meta, cast(null as string) AS gap, '' AS empty")
+# --- text files (blocks of files: test_blocks.py) ---------------------------------
+def test_csv_sink_quotes_what_its_reader_needs(spark, tmp_path):
+    df = spark.sql("SELECT array(struct(7 AS depth)) AS layers, '  ' AS pad, cast(null as double) AS none, 'say \"no\"' AS said, 'two\nlines' AS note")
     out = str(tmp_path / "out")
-    sinks.sink_csv(df, out)
-    text = open(glob.glob(out + "/part-*")[0]).read()
-    assert text == 'id,meta,gap,empty\n x ,"{""ok"":true}",,\n'
+    sinks.sink_csv(df, out, "|")
+    assert open(glob.glob(out + "/part-*")[0]).read() == 'layers|pad|none|said|note\n"[{""depth"":7}]"|  ||"say ""no"""|"two\nlines"\n'
+    back = src.scan_csv(spark, out, "|")
+    assert rows(back) == [('[{"depth":7}]', "  ", "", 'say "no"', "two\nlines")]
 
 
-def test_late_column_joins_the_union(spark):
-    a, b = spark.sql("SELECT '1' AS id"), spark.sql("SELECT '2' AS id, 'yes' AS answer")
+def test_union_of_frames_with_other_columns(spark):
+    a, b = spark.sql("SELECT 3L AS sku, 0.5 AS share"), spark.sql("SELECT array('k') AS tags, 4L AS sku")
     df = merge.union_columns([a, b])
-    assert df.columns == ["answer", "id"] and rows(df.orderBy("id")) == [(None, "1"), ("yes", "2")]
-
-
-# --- JSON -----------------------------------------------------------------------
-def test_json_array_object_and_root_path(spark, tmp_path):
-    assert rows(src.scan_json(spark, put(tmp_path, "a.json", '[{"name":"Ines"},{"name":"Tariq"}]'))) == [("Ines",), ("Tariq",)]
-    assert rows(src.scan_json(spark, put(tmp_path, "b.json", '{"id":"1","val":"x"}'))) == [("1", "x")]
-    nested = put(tmp_path, "c.json", '{"data":{"items":[{"id":"1"},{"id":"2"}],"one":{"k":"v"}}}')
-    assert rows(src.scan_json(spark, nested, "data.items")) == [("1",), ("2",)]
-    assert rows(src.scan_json(spark, nested, "$.data/one")) == [("v",)]
-    with pytest.raises((PySparkException, ValueError)):
-        src.scan_json(spark, nested, "data.nope").collect()
-
-
-def test_jsonl_skips_blank_lines_and_refuses_bad_ones(spark, tmp_path):
-    assert rows(src.scan_jsonl(spark, put(tmp_path, "a.jsonl", '{"a":"1"}\n\n{"a":"2"}\n'))) == [("1",), ("2",)]
-    with pytest.raises(Exception, match="Malformed|FAILED_READ_FILE"):
-        src.scan_jsonl(spark, put(tmp_path, "b.jsonl", "not-json\n"), "a string").collect()
+    assert df.columns == ["share", "sku", "tags"] and [(r["sku"], r["tags"]) for r in df.orderBy("sku").collect()] == [(3, None), (4, ["k"])]
 
 
 def test_preview_tolerates_bad_lines(spark, tmp_path):
-    path = put(tmp_path, "a.jsonl", '{"a":1}\nbroken\n\n{"a":2}\n')
+    path = put(tmp_path, "log.jsonl", '[]\n{"at":"08:15","kind":{"p":[1]}}\n{"at":\n\n{}\n"x"\n')
     assert src.tolerant_preview(spark, path).count() == 2
-    assert src.tolerant_preview(spark, put(tmp_path, "a.csv", "a,b\n1,2\n3,4\n"), 1).count() == 1
+    sheet = put(tmp_path, "sheet.tsv", 'bin\tcontents\nB-7\t"nuts;\nbolts"\nB-8\tempty\n')
+    assert rows(src.tolerant_preview(spark, sheet, 1)) == [("B-7", "nuts;\nbolts")]
+    assert rows(src.tolerant_preview(spark, sheet)) == [("B-7", "nuts;\nbolts"), ("B-8", "empty")]
 
 
 def test_json_documents_per_group(spark):
@@ -110,9 +71,10 @@ def test_jsonl_sink_keeps_nulls_and_sorts_keys(spark, tmp_path):
 
 # --- XML, workbooks, tables -------------------------------------------------------
 def test_xml_records_at_any_depth(spark, tmp_path):
-    text = '<records><part><record source="s1"><name>Ines</name><tag>a</tag><tag>b</tag></record></part><record source="s2"><name>Tariq</name></record></records>'
-    df = src.scan_xml(spark, put(tmp_path, "a.xml", text), "record")
-    assert rows(df.select("`@source`", "name", "tag")) == [("s1", "Ines", ["a", "b"]), ("s2", "Tariq", None)]
+    text = """<log><day n="1"><event at="08:15"><sensor unit="C">21.5</sensor><flag/></event></day>
+    <event at="09:00"><flag>a</flag><flag>b &amp; c</flag></event></log>"""
+    df = src.scan_xml(spark, put(tmp_path, "log.xml", text), "event")
+    assert rows(df.select("`@at`", "sensor.`#text`", "sensor.`@unit`", "flag")) == [("08:15", "21.5", "C", [None]), ("09:00", None, None, ["a", "b & c"])]
     with pytest.raises(ValueError):
         src.scan_xml(spark, "x", "")
 
@@ -125,11 +87,11 @@ def test_xml_sink_leaves_nulls_out(spark, tmp_path):
 
 
 def test_workbook_rows_headers_and_gaps():
-    book = workbook_bytes(["name", "city"], [["Ines", ""], ["", ""], ["Tariq", "Ber<lin>", "wide"]])
+    book = workbook_bytes(["shelf", ""], [["", "3 < 4"], ["", ""], ["top", "", "beyond"]])
     assert named_rows(book, True) == [
-        (0, {"name": "Ines", "city": "", "col_3": ""}), (1, {"name": "Tariq", "city": "Ber<lin>", "col_3": "wide"}),
+        (0, {"shelf": "", "col_2": "3 < 4", "col_3": ""}), (1, {"shelf": "top", "col_2": "", "col_3": "beyond"}),
     ]
-    assert named_rows(book, False)[0][1] == {"col_1": "name", "col_2": "city", "col_3": ""}
+    assert named_rows(book, False)[0][1] == {"col_1": "shelf", "col_2": "", "col_3": ""}
 
 
 def test_workbook_cells_keep_every_character():
@@ -240,14 +202,13 @@ def test_tool_problems_become_text(spark):
 
 
 def test_sql_tool_is_read_only(spark):
-    spark.createDataFrame([("alpha",), ("beta",)], "name string").createOrReplaceTempView("items")
-    assert sql_answer(spark, " select name FROM items ORDER BY name").first()["answer"] == '[{"name":"alpha"},{"name":"beta"}]'
-    assert sql_answer(spark, "SELECT name FROM items WHERE name = 'x'").first()["answer"] == "null"
-    assert sql_answer(spark, "SELECT name FROM items ORDER BY name", 1).first()["answer"] == '[{"name":"alpha"}]'
-    assert sql_query(spark, "WITH q AS (SELECT name FROM items) SELECT 'InsertInto' AS a, count(*) AS n FROM q").first()["n"] == 2
-    with pytest.raises(ValueError):
-        sql_query(spark, "WITH q AS (SELECT 1 AS a) INSERT INTO items SELECT a FROM q")
-    for bad in ["", "DROP TABLE items", "insert into items values ('x')"]:
+    spark.createDataFrame([(4, "oak"), (2, "elm"), (4, "ash")], "age int, kind string").createOrReplaceTempView("trees")
+    grouped = "\n\tselect age, max(kind) AS last FROM trees GROUP BY age ORDER BY age DESC"
+    assert sql_answer(spark, grouped).first()["answer"] == '[{"age":4,"last":"oak"},{"age":2,"last":"elm"}]'
+    assert sql_answer(spark, "SELECT kind FROM trees WHERE age > 90").first()["answer"] == "null"
+    assert sql_answer(spark, grouped, 1).first()["answer"] == '[{"age":4,"last":"oak"}]'
+    assert sql_query(spark, "WITH old AS (SELECT kind FROM trees WHERE age = 4) SELECT 'InsertInto' AS a, count(*) AS n FROM old").first()["n"] == 2
+    for bad in ["", "TRUNCATE TABLE trees", "Update trees SET age = 1", "WITH q AS (SELECT 1 AS a, 'b' AS b) INSERT INTO trees SELECT a, b FROM q"]:
         with pytest.raises(ValueError):
             sql_query(spark, bad)
 
