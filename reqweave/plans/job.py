@@ -13,9 +13,10 @@ from reqweave.config import JobConfig
 from reqweave.session import prepare
 from reqweave.operators.agent import agent_rounds
 from reqweave.operators.answers import check_answers, parse_lenient, parse_strict, spread_fields
+from reqweave.operators.attempts import NOT_ASKED, earlier_tries, generate_in_rounds
 from reqweave.operators.batches import batch_user_text, keep_failed_rows, make_batches, split_batch_lenient, split_batch_strict
 from reqweave.operators.enrich import enrich_lookup
-from reqweave.operators.generate import audit_log, call_generator, call_pause, dry_run_generate, generate, route_errors, unanswered
+from reqweave.operators.generate import audit_log, call_generator, call_pause, dry_run_generate, route_errors, unanswered
 from reqweave.operators.merge import carry_input, member_names, output_fields, store_response
 from reqweave.operators.ordering import ROW, exclude_columns, number_arrival, number_files, ordered_emit, row_index
 from reqweave.operators.prompts import record_body, request_id, user_text
@@ -26,7 +27,7 @@ from reqweave.sinks.workbooks import sink_xlsx
 from reqweave.sources import files as from_files
 from reqweave.sources.tables import scan_sql
 from reqweave.sources.workbooks import workbook_records
-from reqweave.storage import materialize
+from reqweave.storage import materialize, new_folder
 
 JOB = "job"
 # What a stored answer adds to its request.
@@ -129,13 +130,16 @@ def repaired(df: DataFrame, cfg: JobConfig, job: OneJob, fn: Callable) -> DataFr
     )
 
 
-def _generated(requests: DataFrame, cfg: JobConfig, fn: Callable) -> DataFrame:
-    """Calls by ``workers`` tasks, or where the rows are."""
+def _generated(requests: DataFrame, cfg: JobConfig, fn: Callable, folder: str = "", prior: DataFrame | None = None) -> DataFrame:
+    """Calls by ``workers`` tasks, or where the rows are; failed ones wait in a table for their next round."""
     p = cfg.processing
-    return generate(requests, fn, max_attempts=p.max_retries, partitions=p.workers or None, per_minute=p.rate_limit_rpm)
+    return generate_in_rounds(
+        requests, fn, max_attempts=p.max_retries, partitions=p.workers or None, per_minute=p.rate_limit_rpm,
+        stop=not p.continue_on_error, folder=folder, prior=prior,
+    )
 
 
-def _answered(requests: DataFrame, cfg: JobConfig, job: OneJob, fn, pages) -> DataFrame:
+def _answered(requests: DataFrame, cfg: JobConfig, job: OneJob, fn, pages, prior: DataFrame | None = None) -> DataFrame:
     p = cfg.processing
     if p.dry_run:
         return dry_run_generate(requests, job, p.response_field).withColumn("call_error", F.lit(None).cast("string"))
@@ -144,7 +148,7 @@ def _answered(requests: DataFrame, cfg: JobConfig, job: OneJob, fn, pages) -> Da
         spread = requests.repartition(p.workers) if p.workers else requests
         asked = agent_rounds(spread, fn, pages, cfg.tools.names, cfg.tools.max_rounds, p.max_retries, pause=pause)
         return asked.drop("rounds").withColumnRenamed("error", "call_error")
-    return _generated(requests, cfg, fn).withColumnRenamed("error", "call_error")
+    return _generated(requests, cfg, fn, p.answers_path.rstrip("/"), prior).withColumnRenamed("error", "call_error")
 
 
 def _counted(df: DataFrame, name: str, path: str = "") -> tuple[DataFrame, dict[str, int]]:
@@ -172,11 +176,11 @@ def _finished(spark: SparkSession, folder: str) -> list[tuple[str, int, int | No
 
 
 def _kept(spark: SparkSession, folder: str, names: list[str]) -> DataFrame | None:
-    """What was answered in the named portions, by request."""
+    """What was answered in the named portions, by request; failed calls are left out and asked again."""
     if not names:
         return None
     stored = [spark.read.parquet(f"{folder}/answers-{name}") for name in names]
-    answers = [s.select("request_id", *[c for c in ANSWERED if c in s.columns]) for s in stored]
+    answers = [s.where("call_error IS NULL").select("request_id", *[c for c in ANSWERED if c in s.columns]) for s in stored]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), answers).dropDuplicates(["request_id"])
 
 
@@ -196,27 +200,27 @@ def run_records(records: DataFrame, cfg: JobConfig, fn=None, repair_fn=None, pag
     fixer = repair_fn or (None if cfg.tools.enabled else fn)
     parts, metrics, folder = [], {"processed": 0, "ok": 0}, p.answers_path.rstrip("/")
     finished = _finished(spark, folder) if folder else []
+    prior = earlier_tries(spark, folder, p.max_retries) if folder and not p.dry_run and not cfg.tools.enabled else None
     names = {name for name, _, _ in finished}
-    for start, end, portion in _portions(records, cfg):
-        asked = with_requests(portion, cfg, job, run)
+    for start, end, asked in _portions(with_requests(records, cfg, job, run), cfg):
         near = [name for name, first, last in finished if (end is None or first < end) and (last is None or last >= start)]
         kept, found = _kept(spark, folder, near), []
         if kept is not None:
             # the rows as they are now, with the answers to the same requests
             found.append(_counted(asked.join(kept, "request_id"), "kept-answers"))
             asked = unanswered(asked, kept)
-        if kept is None or not asked.isEmpty():
-            done = checked(_answered(asked, cfg, job, fn, pages), cfg, job)
-            if p.strict_output and not p.dry_run and fixer is not None:
-                done = repaired(done, cfg, job, fixer)
-            name = next(n for n in (str(start), *(f"{start}-{k}" for k in range(1, len(names) + 2))) if n not in names)
-            new = _counted(done, "answers", f"{folder}/answers-{name}" if folder else "")
-            if new[1]["ok"] < new[1]["processed"]:
-                _stop_at_first(route_errors(new[0], ROW)[1], cfg)
-            if folder:
-                _keep(spark, folder, name, new[1], start, None if end is None else end - 1)
-                names.add(name)
-            found.append(new)
+        done = checked(_answered(asked, cfg, job, fn, pages, prior), cfg, job)
+        if p.strict_output and not p.dry_run and fixer is not None:
+            done = repaired(done, cfg, job, fixer)
+        name = next(n for n in (str(start), *(f"{start}-{k}" for k in range(1, len(names) + 2))) if n not in names)
+        new = _counted(done, "answers", f"{folder}/answers-{name}" if folder else "")
+        if folder and new[1]["processed"]:
+            # marked before the job stops, so that the good answers of a broken portion are kept
+            _keep(spark, folder, name, new[1], start, None if end is None else end - 1)
+            names.add(name)
+        if new[1]["ok"] < new[1]["processed"]:
+            _stop_at_first(route_errors(new[0], ROW)[1], cfg)
+        found.append(new)
         parts += [f for f, _ in found]
         metrics = {k: metrics[k] + sum(counts[k] for _, counts in found) for k in metrics}
     stored = reduce(DataFrame.unionByName, parts)
@@ -225,26 +229,37 @@ def run_records(records: DataFrame, cfg: JobConfig, fn=None, repair_fn=None, pag
     return JobResult(_output(good, cfg, job, inputs), errors, metrics, audit)
 
 
-def _portions(records: DataFrame, cfg: JobConfig) -> Iterator[tuple[int, int | None, DataFrame]]:
-    """The records with the number of their first row and of the row behind their last one.
+def _portions(requests: DataFrame, cfg: JobConfig) -> Iterator[tuple[int, int | None, DataFrame]]:
+    """The requests with the number of their first row and of the row behind their last one.
 
     Portions of ``portion_rows`` if given. Otherwise jobs that stop at an error, or keep their
     answers for a restart, go in portions of doubling size: few jobs, and after a failed
-    portion no more calls are made.
+    portion no more calls are made. The requests are written once, by portion, so each portion reads its own files only.
     """
     p = cfg.processing
     if not p.portion_rows and (p.dry_run or p.continue_on_error and not p.answers_path):
-        yield 0, None, records
+        yield 0, None, requests
         return
-    last, start, size = records.agg(F.max(ROW)).first()[0], 0, max(1, p.portion_rows or p.first_portion)
-    while start <= (last or 0):
-        yield start, start + size, records.where((F.col(ROW) >= start) & (F.col(ROW) < start + size))
-        start, size = start + size, size if p.portion_rows else 2 * size
+    size = max(1, p.portion_rows or p.first_portion)
+    block = F.floor(F.col(ROW) / size)
+    number = block if p.portion_rows else F.length(F.bin(block + 1)) - 1  # the portions hold 1, 2, 4, .. blocks
+    folder = new_folder(requests.sparkSession, "requests")
+    requests.withColumn("_portion", number.cast("long")).write.partitionBy("_portion").parquet(folder)
+    written = requests.sparkSession.read.schema(f"{_ddl(requests)}, _portion long").parquet(folder)
+    last, k = written.agg(F.max("_portion")).first()[0], 0
+    while k <= (last or 0):
+        start, blocks = (k, 1) if p.portion_rows else (2**k - 1, 2**k)
+        yield start * size, (start + blocks) * size, written.where(F.col("_portion") == k).drop("_portion")
+        k += 1
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def _stop_at_first(errors: DataFrame, cfg: JobConfig) -> None:
     if not cfg.processing.continue_on_error:
-        first = errors.orderBy(ROW).limit(1).collect()
+        first = errors.where(F.col("error") != NOT_ASKED).orderBy(ROW).limit(1).collect()
         if first:
             raise RuntimeError(first[0]["report"])
 
