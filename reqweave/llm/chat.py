@@ -1,11 +1,12 @@
 """Conversations of typed content parts as one training string each, with attachments and a loss mask.
 
 A turn's content is an array of parts (``PART``): text, image, audio or document. The
-visitor turns each part into text: text parts are escaped, the others become a placeholder;
-their references are recorded in order with the number of tokens they expand to. A turn is
+visitor joins the texts of neighbouring parts, escapes them as one, so that no control string arises where parts
+meet, and makes the others placeholders; their references are recorded in order with the number of tokens they expand to. A turn is
 ``[INST]role\\ntext[/INST]``, or ``<s>assistant\\ntext</s>`` for the assistant; the mask
 covers the assistant's texts alone. Inside texts and roles ``%`` becomes ``%25`` and the first
-character of a control string ``%3C`` or ``%5B`` (a role's line break ``%0A``), which is undone exactly.
+character of a control string ``%3C`` or ``%5B`` (a role's line break ``%0A``), which is undone exactly. A text that reads
+like a placeholder is escaped, so it comes back as text and a placeholder as an attachment.
 
 Everything here is column expressions. Turns are formatted before they meet: the group
 of a conversation only joins finished pieces; one conversation is one string (Spark's limit for a value is 2 GB).
@@ -28,13 +29,19 @@ PART = "struct<kind:string,text:string,uri:string,width:int,height:int,seconds:d
 #: Side of an image patch in pixels, audio tokens a second, tokens a document page.
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 12.5, 256
 PLACEHOLDERS = {"image": "<image>", "audio": "<audio>", "document": "<document>"}
+#: What stands for a placeholder until texts are escaped; no text holds a ``%`` by then but in ``%25``.
+_MARKS = {kind: "%" + kind[0] for kind in PLACEHOLDERS}
 _ANGLE = r"<(?=/?s>|(?:image|audio|document)>)"
 _SQUARE = r"\[(?=/?INST\])"
 ASSISTANT = "assistant"
 
 
+def without_controls(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, _ANGLE, "%3C"), _SQUARE, "%5B")
+
+
 def escaped(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("%"), F.lit("%25")), _ANGLE, "%3C"), _SQUARE, "%5B")
+    return without_controls(F.replace(text, F.lit("%"), F.lit("%25")))
 
 
 def unescaped(text: Column) -> Column:
@@ -65,12 +72,16 @@ def flattened(parts: Column) -> Column:
     """The visitor: the parts' text in order."""
 
     def visit(part: Column) -> Column:
-        out = F.when(part["kind"] == "text", escaped(F.coalesce(part["text"], F.lit(""))))
-        for kind, mark in PLACEHOLDERS.items():
+        out = F.when(part["kind"] == "text", F.replace(F.coalesce(part["text"], F.lit("")), F.lit("%"), F.lit("%25")))
+        for kind, mark in _MARKS.items():
             out = out.when(part["kind"] == kind, F.lit(mark))
         return out.otherwise(F.lit(""))
 
-    return F.array_join(F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), visit), "")
+    joined = F.array_join(F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), visit), "")
+    text = without_controls(joined)
+    for kind, mark in _MARKS.items():
+        text = F.replace(text, F.lit(mark), F.lit(PLACEHOLDERS[kind]))
+    return text
 
 
 def attachments(parts: Column) -> Column:
@@ -104,8 +115,18 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
 
 def parsed(formatted: Column) -> Column:
-    """Turns of a formatted conversation as an array of ``role, text``."""
+    """Turns of a formatted conversation as an array of ``role, text, parts``.
+
+    ``parts`` holds ``kind`` and ``text`` of the content: attachments have no text, neighbouring texts are one part.
+    """
     pieces = F.filter(F.split(formatted, r"(?<=\[/INST\]|</s>)"), lambda p: p != "")
+    marks = "|".join(PLACEHOLDERS)
+
+    def part(piece: Column) -> Column:
+        kind = F.lit("text")
+        for name, mark in PLACEHOLDERS.items():
+            kind = F.when(piece == mark, name).otherwise(kind)
+        return F.struct(kind.alias("kind"), F.when(~piece.isin(list(PLACEHOLDERS.values())), unescaped(piece)).alias("text"))
 
     def turn(piece: Column) -> Column:
         opening = F.when(piece.startswith("<s>"), 3).otherwise(6)
@@ -113,7 +134,8 @@ def parsed(formatted: Column) -> Column:
         line = F.locate("\n", piece)
         role = F.substring(piece, opening + 1, line - opening - 1)
         text = F.substring(piece, line + 1, F.length(piece) - line - closing)
-        return F.struct(unescaped(role).alias("role"), unescaped(text).alias("text"))
+        found = F.filter(F.split(text, f"(?=<(?:{marks})>)|(?<=<(?:{marks})>)"), lambda p: p != "")
+        return F.struct(unescaped(role).alias("role"), unescaped(text).alias("text"), F.transform(found, part).alias("parts"))
 
     return F.transform(pieces, turn)
 

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from reqweave.session import prepare
 
-#: Rows of one Arrow batch. Batches of whole texts are kept this short so that a Python worker's memory stays bounded.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch: what a task and its Python worker hold of whole texts at a time (one row may be longer).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def start(spark: SparkSession) -> SparkSession:
     """Ship the package to the workers and bound the Arrow batches."""
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -4,8 +4,12 @@ Fixed patterns (``assign``, ``access``, ``hex``) give the base spans. Their valu
 labelled credentials: a bounded sample of each kind is turned into a prefix tree over
 character classes whose states are merged while their outgoing frequencies are
 statistically compatible (Hoeffding's bound), which leaves a small probabilistic
-automaton per kind. Every other long token of every text is then scored by the
-likelihood of its format under these automata against an automaton of ordinary tokens.
+automaton per kind; what all values of a kind begin with is taken letter by letter. Every other token of ``LEAST_CHARS`` characters or more is then scored by the
+likelihood of its format, its end included, under these automata against an automaton of ordinary tokens: what stops
+where the format does not, or goes on where it stops, is no credential. Of a token that touches a base
+span the parts outside it are scored.
+
+Texts are read twice: for the base spans and a bounded sample of tokens, and, with the automata, for all spans.
 
 Spans are ``kind:start:end`` in code points, end exclusive, by start and then kind.
 Edge cases: a null text is an empty one and has no spans; repeated rows are scanned
@@ -17,10 +21,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +43,13 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 KEYWORD = re.compile("password|passwd|secret|token|api_?key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Least characters of a scored token, as of a labelled value.
+LEAST_CHARS = 8
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+#: Probability of a step, or an end, that an automaton has not seen.
+UNSEEN = 1e-4
+#: Tokens up to this length are scored side by side, longer ones one by one.
+SIDE_BY_SIDE = 256
 
 #: Credentials of a kind, and ordinary tokens, that automata are fitted on at most (smallest hashes first).
 SAMPLE = 600
@@ -64,14 +78,20 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Long tokens that no base span touches."""
-    out, taken, k = [], sorted((s, e) for s, _, e, _ in base), 0
-    reach = 0
+    """Tokens, or their parts that no base span covers, of ``LEAST_CHARS`` characters or more."""
+    if not base:
+        return [m.span() for m in TOKEN.finditer(text)]
+    out, taken, k, reach = [], sorted((s, e) for s, _, e, _ in base), 0, 0
     for m in TOKEN.finditer(text):
-        while k < len(taken) and taken[k][0] < m.end():
+        at, end = m.span()
+        at = max(at, reach)
+        while k < len(taken) and taken[k][0] < end:
+            if taken[k][0] - at >= LEAST_CHARS:
+                out.append((at, taken[k][0]))
             reach, k = max(reach, taken[k][1]), k + 1
-        if reach <= m.start():
-            out.append(m.span())
+            at = max(at, reach)
+        if end - at >= LEAST_CHARS:
+            out.append((at, end))
     return out
 
 
@@ -87,6 +107,8 @@ class Automaton:
     totals: list[int] = field(default_factory=lambda: [0])
     arcs: list[dict[str, list[int]]] = field(default_factory=lambda: [{}])  # symbol -> [count, target]
     least: float = -math.inf
+    literal: str = ""  # what every value begins with; the states describe the rest
+    _tables: tuple | None = None
 
     def add(self, word: str) -> None:
         state = 0
@@ -104,21 +126,45 @@ class Automaton:
         self.ends[state] += 1
 
     def likelihood(self, text: str) -> float:
-        """Log-likelihood per character; steps the automaton has not seen cost a fixed small probability."""
-        state, total = 0, 0.0
-        for char in text:
+        """Log-likelihood per character. The end counts against the automaton's likeliest end, so formats of any length compare.
+
+        Behind a step that the automaton has not seen nothing is known any more.
+        """
+        state, total = (0, 0.0) if text.startswith(self.literal) else (-1, len(self.literal) * math.log(UNSEEN))
+        for char in text[len(self.literal) :]:
             symbol = _CLASSES.get(char, char)
             arc = self.arcs[state].get(symbol) if state >= 0 else None
-            if arc is None:
-                total += math.log(1e-4)
-                # go on from the start state, as if a new field began
-                arc = self.arcs[0].get(symbol)
-                state = arc[1] if arc else 0
-            else:
-                total += math.log(arc[0] / self.totals[state])
-                state = arc[1]
-            total -= math.log(_SIZES.get(symbol, 1))
-        return total / max(1, len(text))
+            total += math.log(UNSEEN if arc is None else arc[0] / self.totals[state]) - math.log(_SIZES.get(symbol, 1))
+            state = -1 if arc is None else arc[1]
+        return (total + self.tables()[2][state]) / max(1, len(text))
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Target and log probability of each state and byte, and the end's against the likeliest end; the last state knows nothing."""
+        if self._tables is None:
+            n = len(self.arcs)
+            target, gain = np.full((n + 1, 128), n, np.int32), np.full((n + 1, 128), math.log(UNSEEN))
+            for byte in range(128):
+                symbol = _CLASSES.get(chr(byte), chr(byte))
+                for state, arcs in enumerate(self.arcs):
+                    if symbol in arcs:
+                        target[state, byte], gain[state, byte] = arcs[symbol][1], math.log(arcs[symbol][0] / self.totals[state])
+                gain[:, byte] -= math.log(_SIZES.get(symbol, 1))
+            stops = [e / t if t else 0.0 for e, t in zip(self.ends, self.totals, strict=True)] + [0.0]
+            self._tables = target, gain, np.log(np.maximum(np.array(stops) / max(max(stops), UNSEEN), UNSEEN))
+        return self._tables
+
+    def likelihoods(self, grid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """``likelihood`` of many tokens: bytes by place and token, the longest tokens first."""
+        target, gain, stop = self.tables()
+        fixed = len(self.literal)
+        same = (grid[:fixed] == np.frombuffer(self.literal.encode(), np.uint8)[:, None][: len(grid)]).all(axis=0) & (lengths >= fixed)
+        state, total = np.where(same, 0, len(target) - 1).astype(np.int32), np.where(same, 0.0, fixed * math.log(UNSEEN))
+        grid, going = grid[fixed:], np.searchsorted(-lengths, -np.arange(fixed + 1, len(grid) + 1), side="right")
+        for bytes_, n in zip(grid, going.tolist(), strict=True):
+            now = state[:n]
+            total[:n] += gain[now, bytes_[:n]]
+            state[:n] = target[now, bytes_[:n]]
+        return (total + stop[state]) / np.maximum(lengths, 1)
 
 
 def _differ(f1: int, n1: int, f2: int, n2: int) -> bool:
@@ -206,6 +252,26 @@ class Grammar:
                 return True
         return False
 
+    def secrets(self, tokens: Iterable[str]) -> set[str]:
+        """Those of ``tokens`` that are secrets; equal tokens are scored once."""
+        if not self.kinds:
+            return set()
+        distinct = sorted(set(tokens), key=len, reverse=True)
+        long = sum(len(t) > SIDE_BY_SIDE for t in distinct)
+        out, short = {t for t in distinct[:long] if self.is_secret(t)}, distinct[long:]
+        for at in range(0, len(short), 50_000):
+            part = short[at : at + 50_000]
+            lengths = np.array([len(t) for t in part])
+            cells = "".join(t.ljust(int(lengths[0]), "\0") for t in part).encode()
+            grid = np.ascontiguousarray(np.frombuffer(cells, np.uint8).reshape(len(part), -1).T)
+            plain = self.ordinary.likelihoods(grid, lengths) if self.ordinary else np.full(len(part), -np.inf)
+            good = np.zeros(len(part), bool)
+            for automaton in self.kinds:
+                found = automaton.likelihoods(grid, lengths)
+                good |= (found >= automaton.least) & (found - plain >= MARGIN)
+            out.update(part[k] for k in np.nonzero(good)[0])
+        return out
+
 
 def fit(labelled: dict[str, list[str]], ordinary: list[str]) -> Grammar:
     """One automaton per kind; every fifth credential is held back to set the least likelihood."""
@@ -214,43 +280,57 @@ def fit(labelled: dict[str, list[str]], ordinary: list[str]) -> Grammar:
         if len(values) < MIN_LABELLED:
             continue
         values = sorted(values, key=lambda v: hashlib.md5(v.encode()).digest())
-        automaton = infer([v for i, v in enumerate(values) if i % 5])
+        literal = os.path.commonprefix(values)
+        automaton = infer([v[len(literal) :] for i, v in enumerate(values) if i % 5])
+        automaton.literal = literal
         scores = sorted(automaton.likelihood(v) for v in values[::5])
         automaton.least = scores[int(FLOOR_SHARE * len(scores))]
         kinds.append(automaton)
     return Grammar(kinds, infer(ordinary) if ordinary else None)
 
 
-_SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
-FOUND = f"doc_id bigint, base {_SPAN}, tokens {_SPAN}"
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base spans and other long tokens of every text, with their strings."""
-    span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("base", span), ("tokens", span)])
+def labelled_values(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``kind, value``: values of the base spans, and of ordinary tokens those of each task with the smallest hashes."""
+    schema = pa.schema([("kind", pa.int32()), ("value", pa.string())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, int] = {}
         for batch in batches:
-            bases, tokens = [], []
-            for text in batch.column(1).to_pylist():
+            kinds, values, tokens = [], [], set()
+            for text in batch.column(0).to_pylist():
                 base = base_spans(text)
-                bases.append([{"start": s, "kind": k, "end": e, "value": text[v:e]} for s, k, e, v in base])
-                tokens.append([{"start": s, "kind": 3, "end": e, "value": text[s:e]} for s, e in candidates(text, base)])
-            yield pa.record_batch([batch.column(0), pa.array(bases, span), pa.array(tokens, span)], schema=schema)
+                kinds += [k for _, k, _, _ in base]
+                values += [text[v:e] for _, _, e, v in base]
+                tokens.update(text[s:e] for s, e in candidates(text, base) if e - s <= SAMPLE_CHARS)
+            bound = max(least.values()) if len(least) >= SAMPLE else 1 << 32
+            least.update((t, h) for t in tokens if (h := zlib.crc32(t.encode())) < bound)
+            least = dict(sorted(least.items(), key=lambda x: (x[1], x[0]))[:SAMPLE])
+            yield pa.record_batch([pa.array(kinds, pa.int32()), pa.array(values, pa.string())], schema=schema)
+        yield pa.record_batch([pa.array([3] * len(least), pa.int32()), pa.array(list(least), pa.string())], schema=schema)
 
-    return texts_of(docs, id_col, text_col).mapInArrow(find, FOUND)
+    return docs.select(F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(find, "kind int, value string")
 
 
-def learn(found: DataFrame) -> Grammar:
+def learn(docs: DataFrame, text_col: str = "text") -> Grammar:
     """Automata from a bounded sample: the ``SAMPLE`` distinct values of each kind with the smallest hashes."""
+    found = materialize(labelled_values(docs, text_col), "credentials").where(F.length("value") <= SAMPLE_CHARS).distinct()
 
-    def sample(column: str, kind: int) -> list[str]:
-        values = found.select(F.explode(column).alias("s")).where(F.col("s.kind") == kind).select("s.value")
-        values = values.where(F.length("value") <= SAMPLE_CHARS).distinct()
-        return [r[0] for r in values.orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()]
+    def sample(kind: int) -> list[str]:
+        order = F.crc32(F.col("value").cast("binary")) if kind == 3 else F.xxhash64("value")
+        return [r[0] for r in found.where(F.col("kind") == kind).select("value").orderBy(order, "value").limit(SAMPLE).collect()]
 
-    return fit({KINDS[k]: sample("base", k) for k in range(3)}, sample("tokens", 3))
+    return fit({KINDS[k]: sample(k) for k in range(3)}, sample(3))
+
+
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def all_spans(texts: list[str], grammar: Grammar) -> list[tuple[list, list]]:
+    """Base spans and learned spans of each text."""
+    bases = [base_spans(t) for t in texts]
+    spans = [candidates(t, b) for t, b in zip(texts, bases, strict=True)]
+    good = grammar.secrets(t[s:e] for t, own in zip(texts, spans, strict=True) for s, e in own)
+    return [(b, [(s, e) for s, e in own if t[s:e] in good] if good else []) for t, b, own in zip(texts, bases, spans, strict=True)]
 
 
 def _joined(spans: str) -> F.Column:
@@ -259,41 +339,42 @@ def _joined(spans: str) -> F.Column:
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: base counts and digest, and all spans. Texts are scanned once; the scan's table holds spans only."""
-    found = materialize(scan(docs, id_col, text_col), "secrets")
-    grammar = learn(found)
+    """Per document: base counts and digest, and all spans."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, text_col))
+    span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("base", span), ("learned", span)])
 
-    @F.pandas_udf("array<boolean>")
-    def secret(values):
-        return values.map(lambda row: [grammar.is_secret(v) for v in row])
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = shared.value
+        for batch in batches:
+            found = all_spans(batch.column(1).to_pylist(), grammar)
+            bases = [[{"start": s, "kind": k, "end": e} for s, k, e, _ in base] for base, _ in found]
+            learned = [[{"start": s, "kind": 3, "end": e} for s, e in own] for _, own in found]
+            yield pa.record_batch([batch.column(0), pa.array(bases, span), pa.array(learned, span)], schema=schema)
 
-    marked = found.withColumn("marks", F.when(F.size("tokens") > 0, secret(F.transform("tokens", lambda s: s["value"]))))
-    learned = F.filter(F.transform(F.arrays_zip("tokens", "marks"), lambda z: F.when(z["marks"], z["tokens"])), lambda s: s.isNotNull())
-    both = marked.withColumn("every", F.array_sort(F.concat("base", F.coalesce(learned, F.array().cast(_SPAN)))))
+    both = texts_of(docs, id_col, text_col).mapInArrow(find, f"doc_id bigint, base {_SPANS}, learned {_SPANS}")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return both.select(
+    return both.withColumn("every", F.array_sort(F.concat("base", "learned"))).select(
         "doc_id", *[count(k) for k in range(3)], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("every").alias("spans")
     )
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """``docs`` with the value of every span replaced by ``mark``; other columns and null texts stay as they are."""
-    grammar = learn(materialize(scan(docs, id_col, text_col), "secrets"))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, text_col))
+
+    def clean(text: str, base: list, learned: list) -> str:
+        out, at = [], 0
+        for s, e in sorted([(v, e) for _, _, e, v in base] + learned):
+            if s >= at:
+                out += [text[at:s], mark]
+            at = max(at, e)
+        return "".join([*out, text[at:]])
 
     @F.pandas_udf("string")
     def cleaned(texts):
-        def clean(text):
-            if text is None:
-                return None
-            base = base_spans(text)
-            spans = sorted([(v, e) for _, _, e, v in base] + [(s, e) for s, e in candidates(text, base) if grammar.is_secret(text[s:e])])
-            out, at = [], 0
-            for s, e in spans:
-                if s >= at:
-                    out += [text[at:s], mark]
-                at = max(at, e)
-            return "".join([*out, text[at:]])
-
-        return texts.map(clean)
+        given = [t if isinstance(t, str) else None for t in texts]
+        found = all_spans([t or "" for t in given], shared.value)
+        return pd.Series([None if t is None else clean(t, *spans) for t, spans in zip(given, found, strict=True)], dtype=object)
 
     return docs.withColumn(text_col, cleaned(text_col))

@@ -110,3 +110,18 @@ def test_packing_places_every_id_once(spark, tokenizer, group):
             want[key] = want.get(key, 0) + 1
     found = got.fillna({"doc_id": -1}).groupby(["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).size().to_dict()
     assert found == want
+
+
+def test_batches_of_long_texts_are_short(spark):
+    import pyarrow as pa
+
+    from reqweave.llm.common import BATCH_BYTES
+
+    start(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    long = spark.range(400).selectExpr("repeat('x', 100000) AS t").coalesce(1).mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in long) == 400 and max(r["bytes"] for r in long) <= BATCH_BYTES + 200_000
