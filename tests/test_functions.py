@@ -196,3 +196,38 @@ def test_first_object_skips_braces_in_strings():
 
 def test_control_characters_inside_strings_only():
     assert salvage.escape_controls('{"a":"x\r\ny\tz\x01\\\\",\n"b":1}') == '{"a":"x\\ny\\tz\\u0001\\\\",\n"b":1}'
+
+
+def test_profile_takes_one_pass_for_any_number_of_examples(spark, tmp_path):
+    """Rows in any order over many tasks; the source is gone when the sketches are merged."""
+    import decimal
+    import datetime
+    import random
+    import shutil
+
+    from reqweave.operators.ordering import ROW
+    from reqweave.operators.profile import column_profile
+
+    rng = random.Random(4)
+    data = [(k, rng.choice(["a", "b", " ", None, f"v{k % 23}"]), k % 7 if k % 3 else None, [k % 4], rng.choice(['{"x":1}', "[2]", "3", "null", '"t"', "true"]), datetime.date(2024, 1, 1 + k % 9), decimal.Decimal(k % 5) / 4) for k in range(600)]
+    rng.shuffle(data)
+    made = spark.createDataFrame(data, f"{ROW} long, t string, n int, a array<int>, v string, d date, m decimal(6,2)").repartition(9)
+    made.withColumn("v", F.parse_json("v")).write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    data.sort()
+
+    def first(values, most):
+        return list(dict.fromkeys(values))[:most]
+
+    for most in (0, 1, 5, 100):
+        got = {r["column"]: r for r in column_profile(df, examples=most).collect()}
+        texts = [r[1] for r in data if r[1] and r[1].strip()]
+        assert got["t"]["examples"] == first(texts, most) and got["t"]["empty"] == 600 - len(texts) and got["t"]["type"] == "string"
+        assert got["n"]["examples"] == first([str(r[2]) for r in data if r[2] is not None], most) and got["n"]["type"] == "number"
+        assert got["a"]["examples"] == first([f"[{r[0] % 4}]" for r in data], most) and got["a"]["type"] == "array"
+        assert len(got["v"]["examples"]) == min(most, 5) and got["v"]["empty"] == sum(r[4] == "null" for r in data)
+        assert got["d"]["examples"] == first([str(r[5]) for r in data], most) and got["m"]["type"] == "number"
+    profile = column_profile(df)
+    shutil.rmtree(tmp_path / "in")
+    assert profile.count() == 6
+    assert [tuple(r) for r in column_profile(spark.createDataFrame([], f"{ROW} long, x string")).collect()] == [("x", "empty", 0, [])]
