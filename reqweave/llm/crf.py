@@ -18,6 +18,7 @@ are not read. Equal scores go to the label that sorts first.
 
 from __future__ import annotations
 
+import functools
 import re
 import sys
 import unicodedata
@@ -57,26 +58,40 @@ UNKNOWN = "und"
 
 
 
-def _ranges(kinds: str) -> str:
-    """The code points of some general categories, written as the inside of a character class."""
-    out, start = [], None
-    for point in range(sys.maxunicode + 2):
-        inside = point <= sys.maxunicode and unicodedata.category(chr(point))[0] in kinds
-        if inside and start is None:
-            start = point
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{point - 1:08x}")
-            start = None
-    return "".join(out)
+def _word(last: int) -> re.Pattern:
+    """A letter, then letters and combining marks, of code points up to ``last``; numbers of any script are no letters."""
+
+    def ranges(kinds: str) -> str:
+        out, start = [], None
+        for point in range(last + 2):
+            inside = point <= last and unicodedata.category(chr(point))[0] in kinds
+            if inside and start is None:
+                start = point
+            elif not inside and start is not None:
+                out.append(f"\\U{start:08x}-\\U{point - 1:08x}")
+                start = None
+        return "".join(out)
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
+
+
+#: Words of texts within the first plane, where a class of letters is one table look-up, and of all others.
+WORD = _word(0xFFFF)
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+@functools.cache
+def _word_of_all_planes() -> re.Pattern:
+    return _word(sys.maxunicode)
 
 
-#: A letter, then letters and combining marks; numbers of any script are no letters.
-WORD = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    return (_word_of_all_planes() if BEYOND.search(text) else WORD).findall(text.lower())
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,21 +156,17 @@ class Model:
     familiar: float = 0.0  # least share of known trigrams that a text needs to be recognised
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def known_share(self, texts: list[str | None]) -> list[float]:
-        """Share of each text's letter trigrams (words with their ends) that the sample holds; 0 without a word."""
-        words = [words_of(t) for t in texts]
-        index: dict[str, int] = {}
-        places = [np.fromiter((index.setdefault(w, len(index)) for w in own), np.int64, len(own)) for own in words]
-        if not index:
-            return [0.0] * len(texts)
-        codes, starts = trigrams(list(index))
+    def known_trigrams(self, words: list[str]) -> np.ndarray:
+        """Per word: how many of its letter trigrams (with its ends) the sample holds, and how many it has."""
+        if not words:
+            return np.zeros((0, 2), np.int32)
+        codes, starts = trigrams(words)
         at = np.minimum(np.searchsorted(self.grams, codes), max(0, len(self.grams) - 1))
-        here = (self.grams[at] == codes).astype(np.int64) if len(self.grams) else np.zeros(len(codes), np.int64)
-        hits, sizes = np.add.reduceat(here, starts), np.diff(np.append(starts, len(codes)))
-        return [float(hits[p].sum() / sizes[p].sum()) if len(p) else 0.0 for p in places]
+        here = (self.grams[at] == codes).astype(np.int32) if len(self.grams) else np.zeros(len(codes), np.int32)
+        return np.stack([np.add.reduceat(here, starts), np.diff(np.append(starts, len(codes)))], axis=1).astype(np.int32)
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Emissions of running words, through the worker's memory of distinct words."""
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions and known trigrams of running words, through the worker's memory of distinct words."""
         return _MEMORY.scores(self, words)
 
     def emissions(self, words: list[str]) -> np.ndarray:
@@ -177,21 +188,23 @@ class _Memory:
     """
 
     def __init__(self) -> None:
-        self.model, self.index, self.known = "", {}, np.zeros((0, 0), np.float32)
+        self.model, self.index, self.known, self.seen = "", {}, np.zeros((0, 0), np.float32), np.zeros((0, 2), np.int32)
 
-    def scores(self, model: Model, words: list[str]) -> np.ndarray:
+    def scores(self, model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.model != model.name or len(self.index) > MEMORY_WORDS:
-            self.model, self.index, self.known = model.name, {}, np.zeros((0, len(model.labels)), np.float32)
+            self.model, self.index, self.known, self.seen = model.name, {}, np.zeros((0, len(model.labels)), np.float32), np.zeros((0, 2), np.int32)
         index, before = self.index, len(self.index)
         ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
         new = list(islice(reversed(index), len(index) - before))[::-1]
         if new:
             if len(index) > len(self.known):
-                room = np.zeros((max(len(index), 2 * len(self.known)), len(model.labels)), np.float32)
-                room[: len(self.known)] = self.known
-                self.known = room
+                rows = max(len(index), 2 * len(self.known))
+                known, seen = np.zeros((rows, len(model.labels)), np.float32), np.zeros((rows, 2), np.int32)
+                known[: len(self.known)], seen[: len(self.seen)] = self.known, self.seen
+                self.known, self.seen = known, seen
             self.known[before : len(index)] = model.emissions(new)
-        return self.known[ids]
+            self.seen[before : len(index)] = model.known_trigrams(new)
+        return self.known[ids], self.seen[ids]
 
 
 _MEMORY = _Memory()
@@ -299,7 +312,8 @@ def train(sample: list[tuple[str, str]], seed: int = 7) -> Model | None:
     reserved = [" ".join(words) for words, _ in texts[::RESERVED]]
     if fitted_on:
         model.grams = np.unique(trigrams(fitted_on)[0])
-        model.familiar = FAMILIAR * float(np.quantile(model.known_share(reserved), FAMILIAR_SHARE))
+        found = [model.known_trigrams(words_of(t)).sum(axis=0) for t in reserved]
+        model.familiar = FAMILIAR * float(np.quantile([hits / size for hits, size in found], FAMILIAR_SHARE))
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
     coded = [(np.array([index.setdefault(w, len(index)) for w in words]), code[lang]) for words, lang in texts]
@@ -387,26 +401,33 @@ def sample_texts(docs: DataFrame, train_rows, id_col: str = "doc_id", text_col:
     return sorted((r["text"], r["label"]) for r in picked.collect())
 
 
-def text_answers(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
-    """``(label, score)`` per text: the label with the highest mean probability over all words."""
+def judged_texts(model: Model, texts: list[str | None]) -> list[tuple[str, float, float]]:
+    """``(label, score, known)`` per text: the label with the highest mean probability over all words, and the share of known trigrams."""
     words, lengths = [], []
     for text in texts:
         own = words_of(text)
         words += own
         lengths.append(len(own))
-    found = posteriors(model.scores(words), model.moves, lengths)
+    scores, seen = model.scores(words)
+    found = posteriors(scores, model.moves, lengths)
     starts = np.cumsum(lengths) - lengths
     out = []
     for start, n in zip(starts.tolist(), lengths, strict=True):
         if not n:
-            out.append((UNKNOWN, 0.0))
+            out.append((UNKNOWN, 0.0, 0.0))
             continue
         mean = found[start : start + n].mean(axis=0)
+        hits, size = seen[start : start + n].sum(axis=0).tolist()
         best = int(np.argmax(mean))
-        out.append((model.labels[best], float(min(1.0, mean[best]))))
+        out.append((model.labels[best], float(min(1.0, mean[best])), hits / size))
     return out
 
 
+def text_answers(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
+    """``(label, score)`` per text."""
+    return [(label, score) for label, score, _ in judged_texts(model, texts)]
+
+
 def word_labels(model: Model, text: str | None) -> list[tuple[str, str, float]]:
     """``(word, label, probability)`` of each word: the code-switched view of a text."""
     words = words_of(text)
@@ -469,9 +490,8 @@ def recognised(docs: DataFrame, model: Model | None, text_col: str = "text", lab
 
         only("languages")
         values, fit = [t if isinstance(t, str) else None for t in texts], shared.value
-        found = [x for part in groups_by_size(values) for x in text_answers(fit, values[part])] if fit else [(UNKNOWN, 0.0)] * len(values)
-        known = [x for part in groups_by_size(values) for x in fit.known_share(values[part])] if fit else [0.0] * len(values)
-        return pd.DataFrame({"label": [label for label, _ in found], "known": known})
+        found = [x for part in groups_by_size(values) for x in judged_texts(fit, values[part])] if fit else [(UNKNOWN, 0.0, 0.0)] * len(values)
+        return pd.DataFrame({"label": [label for label, _, _ in found], "known": [known for _, _, known in found]})
 
     # not deterministic, as Spark is told: else it would answer twice, for the filter and for the label
     judged = docs.withColumn("_crf_answer", answer.asNondeterministic()(text_col))

@@ -424,6 +424,7 @@ def test_queries_against_their_sql(spark, name):
 def test_numbers_are_no_letters_and_marks_stay_in_words():
     assert crf.words_of("½ ² Ⅷ 12 _ ٣") == []
     assert crf.words_of("हिन्दी 2x É́tat") == ["हिन्दी", "x", "é́tat"]
+    assert crf.words_of("\U00010330\U00010331 ab\U0001f600cd \U000103d1x") == ["\U00010330\U00010331", "ab", "cd", "x"]
     rng = random.Random(3)
     model = crf.train([(prose(rng, lang, 40), lang) for lang in ("de", "en") for _ in range(40)])
     assert crf.text_answers(model, ["½ ² Ⅷ"]) == [("und", 0.0)]
