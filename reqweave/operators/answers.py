@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reqweave.functions.jsonvals import array_items, framed, framed_value, member_map, object_fields
 from reqweave.functions.salvage import extract_first_json, extract_last_json, escape_control_chars
 from reqweave.functions.text import CLOSE_THINKING, trim_space
+from reqweave.operators.hotkeys import spread_join
 from reqweave.operators.spec import OneJob
 
 # Tags and error texts.
@@ -191,11 +192,11 @@ def check_answers(df: DataFrame, spec: DataFrame | OneJob) -> DataFrame:
 
     One known job needs no join. A compiled table of many jobs is joined on job_id:
     the fields of a job travel as one array, so an answer is checked inside its row
-    and nothing is exploded.
+    and nothing is exploded; a job of very many answers is dealt over the tasks.
     """
     if isinstance(spec, OneJob):
         return df.withColumn("error", F.coalesce("error", F.when(F.col("parsed").isNotNull(), job_error(F.col("parsed"), spec))))
-    with_fields = df.join(spec.select("job_id", "fields"), "job_id", "left")
+    with_fields = spread_join(df, spec.select(F.col("job_id").alias("_spec_job"), "fields"), "job_id", "_spec_job").drop("_spec_job")
     checked = F.when(F.col("parsed").isNotNull() & F.col("fields").isNotNull(), schema_error(F.col("parsed"), F.col("fields")))
     return with_fields.withColumn("error", F.coalesce("error", checked)).drop("fields")
 

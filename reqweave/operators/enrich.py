@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reqweave.functions.text import strip_tags, trim_space, truncate_text
+from reqweave.operators.hotkeys import spread_join
 
 
 # Key of rows that must not match: no stored key starts so, for keys are trimmed texts of records and addresses.
@@ -24,8 +25,8 @@ def enrich_lookup(
 
     A blank key leaves the field null, a key without a hit gives empty text. The
     lookup side is reduced to one row per key before it is joined; whether it is
-    broadcast is left to Spark, which knows its size. Blank keys never match and are
-    spread over the tasks of a shuffled join. ``max_chars`` 0 keeps whole texts.
+    broadcast is left to Spark, which knows its size. In a shuffled join popular keys are dealt over the
+    tasks, and blank keys, which never match, are spread. ``max_chars`` 0 keeps whole texts.
     """
     out = output_field or f"enriched_{column}"
     source = F.col(f"`{column}`")
@@ -35,7 +36,7 @@ def enrich_lookup(
         .groupBy("_key").agg(F.min("_hit").alias("_hit"))
     )
     keyed = df.withColumn("_asked", asked).withColumn("_asked_key", spread_key(F.col("_asked")))
-    found = keyed.join(answers, F.col("_asked_key") == F.col("_key"), "left")
+    found = spread_join(keyed, answers, "_asked_key", "_key", "_asked")
     value = F.when(F.col("_asked").isNotNull(), truncate_text(F.coalesce("_hit", F.lit("")), max_chars))
     return found.withColumn(out, value).drop("_asked", "_asked_key", "_key", "_hit")
 
@@ -72,5 +73,5 @@ def answer_precedence(answers: DataFrame, pages: DataFrame) -> DataFrame:
         "_link", F.when(F.col("_direct").isNull(), first_link(F.col("topics")))
     )
     texts = wanted_pages(pages, wanted.select(F.col("_link").alias("link")))
-    found = wanted.withColumn("_link_key", spread_key(F.col("_link"))).join(texts, F.col("_link_key") == F.col("_page"), "left")
+    found = spread_join(wanted.withColumn("_link_key", spread_key(F.col("_link"))), texts, "_link_key", "_page", "_link")
     return found.select("query", F.coalesce("_direct", strip_tags(F.col("_html")), F.lit("")).alias("result"))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from reqweave.operators.hotkeys import spread_join
 from reqweave.operators.retry import MAX_ATTEMPTS, MAX_STEP, MIN_LIMITED_WAIT
 from reqweave.operators.spec import DEFAULT_FIELD, OneJob
 from reqweave.functions.hints import DRY_TEXT
@@ -116,8 +117,8 @@ def dry_run_generate(requests: DataFrame, spec: DataFrame | OneJob, response_fie
     plain = F.concat(F.lit("{"), quoted(F.lit(key)), F.lit(f':"{DRY_TEXT}"}}'))
     if isinstance(spec, OneJob):
         return requests.withColumn("response", F.coalesce(spec.text("dry_answer"), plain))
-    answers = spec.select("job_id", F.col("dry_answer").alias("_dry"))
-    return requests.join(answers, "job_id", "left").withColumn("response", F.coalesce("_dry", plain)).drop("_dry")
+    answers = spec.select(F.col("job_id").alias("_spec_job"), F.col("dry_answer").alias("_dry"))
+    return spread_join(requests, answers, "job_id", "_spec_job").withColumn("response", F.coalesce("_dry", plain)).drop("_dry", "_spec_job")
 
 
 def audit_log(answered: DataFrame) -> DataFrame:

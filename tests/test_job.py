@@ -450,6 +450,57 @@ def test_rows_without_a_key_spread_over_the_tasks(spark):
             spark.conf.set(n, v)
 
 
+@pytest.fixture
+def shuffled_joins(spark):
+    """Neither broadcasts nor adaptive execution."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "-1")
+    spark.conf.set(names[1], "false")
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def partition_sizes(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_a_popular_key_is_dealt_over_the_tasks(spark, shuffled_joins):
+    from reqweave.operators.enrich import answer_precedence, enrich_lookup
+
+    n = 40_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 5 == 0, "warm").otherwise(F.col("id").cast("string")).alias("k"))
+    table = spark.createDataFrame([("hot", "h"), ("hot", "g"), ("7", "s"), ("cold", "c")], "key string, result string")
+    found = enrich_lookup(df, "k", table, "key", "result")
+    sizes = partition_sizes(found)
+    assert sum(sizes) == n and len(sizes) == 8 and max(sizes) < 2 * n / 8
+    assert {(r["enriched_k"], r["count"]) for r in found.groupBy("enriched_k").count().collect()} == {("g", n // 2), ("s", 1), ("", n // 2 - 1)}
+    asked = df.select(F.col("k").alias("query"), F.lit(None).cast("string").alias("abstract"), F.lit(None).cast("string").alias("answer"), F.array(F.struct(F.lit("t").alias("text"), F.concat(F.lit("http://x/"), "k").alias("url"))).alias("topics"))
+    pages = spark.createDataFrame([("http://x/hot", "<p>page</p>"), ("http://x/other", "<p>no</p>")], "url string, html string")
+    told = answer_precedence(asked, pages)
+    sizes = partition_sizes(told)
+    assert sum(sizes) == n and max(sizes) < 2 * n / 8 and told.where("result = 'page'").count() == n // 2
+
+
+def test_a_job_of_many_answers_is_dealt_over_the_tasks(spark, shuffled_joins):
+    from reqweave.operators.answers import check_answers, parse_strict
+    from reqweave.operators.generate import dry_run_generate
+    from reqweave.operators.spec import compile_spec, spec_frame
+
+    n = 8000
+    spec = compile_spec(spec_frame(spark, {"a": "int"}, "big").unionByName(spec_frame(spark, {"b": "string"}, "small")))
+    asked = spark.range(n).select(F.col("id").alias(ROW), F.when(F.col("id") % 4 > 0, "big").otherwise("small").alias("job_id"))
+    dry = dry_run_generate(asked, spec)
+    sizes = partition_sizes(dry)
+    assert sum(sizes) == n and max(sizes) < 2 * n / 8 and dry.where("response = '{\"a\":0}'").count() == n * 3 // 4
+    answers = asked.withColumn("response", F.lit('{"a":1}'))
+    checked = check_answers(parse_strict(answers, "response", F.lit(False)), spec)
+    sizes = partition_sizes(checked)
+    assert sum(sizes) == n and max(sizes) < 2 * n / 8
+    assert checked.where("error is null").select("job_id").distinct().collect() == [("big",)]
+
+
 def test_non_finite_numbers_are_defined(spark):
     from reqweave.functions.jsonvals import cell_text, value_json
     from pyspark.sql import types as T
