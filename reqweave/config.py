@@ -58,6 +58,7 @@ class ToolsConfig:
     enabled: bool = False
     names: list[str] = field(default_factory=list)
     max_rounds: int = 5
+    most_statements: int = 0
 
 
 @dataclass

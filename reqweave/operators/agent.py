@@ -50,13 +50,14 @@ def _one_step(fn: Step, messages: str, tools: list[str], max_attempts: int, slee
 
 def agent_rounds(
     requests: DataFrame, step: Step, pages: DataFrame | None = None, tools: list[str] = TOOLS,
-    max_rounds: int = MAX_ROUNDS, max_attempts: int = MAX_ATTEMPTS, sleep=time.sleep, pause: float = 0.0,
+    max_rounds: int = MAX_ROUNDS, max_attempts: int = MAX_ATTEMPTS, sleep=time.sleep, pause: float = 0.0, **stored,
 ) -> DataFrame:
     """``requests(request_id, system, user, ..)`` plus response, error and rounds.
 
-    Each round is written before it is read, so the generator is called once per
+    Records are written once under a key of their own; only keys and messages go through the rounds, and the answers
+    meet their records at the end. Each round is written before it is read, so the generator is called once per
     open record and round, and the plan does not grow with the rounds. ``pause`` is the
-    time between two calls of one task.
+    time between two calls of one task; ``stored`` goes to ``dispatch_tools``.
     """
     columns = requests.columns
     max_rounds = max_rounds if max_rounds > 0 else MAX_ROUNDS
@@ -75,41 +76,37 @@ def agent_rounds(
 
     ask = ask.asNondeterministic()
     start = F.array(_message("system", F.col("system")), _message("user", F.col("user"))).cast(f"array<{MESSAGE}>")
-    open_rows, finished = requests.withColumn("_messages", start), []
+    keyed = materialize(requests.withColumn("_key", F.monotonically_increasing_id()), "records")
+    open_rows, finished = keyed.select("_key", start.alias("_messages")), []
+    answer = lambda rows, response, error, n: rows.select("_key", response.alias("response"), error.alias("error"), F.lit(n).alias("rounds"))
     for round_no in range(1, max_rounds + 1):
         stepped = materialize(open_rows.withColumn("_step", ask(F.to_json("_messages"))), f"round-{round_no}")
         asks = F.col("_step.error").isNull() & (F.size("_step.calls") > 0)
-        finished.append(
-            stepped.where(~asks).select(
-                *columns, F.when(F.col("_step.error").isNull(), F.col("_step.content")).alias("response"),
-                F.col("_step.error").alias("error"), F.lit(round_no).alias("rounds"),
-            )
-        )
+        finished.append(answer(stepped.where(~asks), F.when(F.col("_step.error").isNull(), F.col("_step.content")), F.col("_step.error"), round_no))
         asked = stepped.where(asks)
         if asked.isEmpty():
             break
         if round_no == max_rounds:
             late = F.lit(f"exceeded maximum tool-calling rounds ({max_rounds})")
-            finished.append(asked.select(*columns, F.lit(None).cast("string").alias("response"), late.alias("error"), F.lit(round_no).alias("rounds")))
+            finished.append(answer(asked, F.lit(None).cast("string"), late, round_no))
             break
-        open_rows = _answer_calls(asked, columns, pages, tools)
-    return reduce(DataFrame.unionByName, finished)
+        open_rows = _answer_calls(asked, pages, tools, stored)
+    answers = reduce(DataFrame.unionByName, finished)
+    return keyed.join(answers, "_key").select(*[F.col(f"`{c}`") for c in columns], "response", "error", "rounds")
 
 
-def _answer_calls(asked: DataFrame, columns: list[str], pages: DataFrame | None, tools: list[str]) -> DataFrame:
+def _answer_calls(asked: DataFrame, pages: DataFrame | None, tools: list[str], stored: dict) -> DataFrame:
     """Run the calls of a round; one shuffle brings the results of a record together."""
     said = _message("assistant", F.col("_step.content"), F.col("_step.calls"))
-    # ids of requests may repeat, so the calls of a record meet under a key of their own
-    asked = asked.withColumn("_key", F.monotonically_increasing_id())
-    record = F.struct(*columns, F.concat("_messages", F.array(said)).alias("_messages"))
-    calls = asked.select("_key", record.alias("_all"), F.posexplode("_step.calls").alias("_no", "_call"))
-    # the record itself travels with its first call only
+    history = F.concat("_messages", F.array(said))
+    calls = asked.select("_key", history.alias("_all"), F.posexplode("_step.calls").alias("_no", "_call"))
+    # the messages so far travel with the first call only
     calls = calls.select(
-        "_key", F.when(F.col("_no") == 0, F.col("_all")).alias("_record"), "_no",
+        "_key", F.when(F.col("_no") == 0, F.col("_all")).alias("_history"), "_no",
         F.col("_call.id").alias("_id"), F.col("_call.name").alias("name"), F.col("_call.args").alias("args"),
     )
-    done = dispatch_tools(calls, pages, tools)
+    done = dispatch_tools(calls, pages, tools, **stored)
     reply = F.struct("_no", _message("tool", F.col("result"), call_id=F.col("_id"), tool=F.col("name")).alias("m"))
-    back = done.groupBy("_key").agg(F.any_value("_record", ignoreNulls=True).alias("_record"), F.array_sort(F.collect_list(reply)).alias("_replies"))
-    messages = F.concat("_record._messages", F.transform("_replies", lambda r: r["m"]))
-    return back.select(*[F.col("_record")[c].alias(c) for c in columns], messages.cast(f"array<{MESSAGE}>").alias("_messages"))
+    back = done.groupBy("_key").agg(F.any_value("_history", ignoreNulls=True).alias("_history"), F.array_sort(F.collect_list(reply)).alias("_replies"))
+    messages = F.concat("_history", F.transform("_replies", lambda r: r["m"]))
+    return back.select("_key", messages.cast(f"array<{MESSAGE}>").alias("_messages"))

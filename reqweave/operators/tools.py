@@ -6,18 +6,21 @@ import json
 import re
 
 import pandas as pd
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from reqweave.functions.binding import let
 from reqweave.functions.jsonvals import escape_markup, framed, framed_value, object_fields, value_kind, value_path
 from reqweave.functions.links import extract_links
 from reqweave.functions.patterns import PatternError, compiled
-from reqweave.functions.text import html_to_text, is_blank, text_stats, trim_space
+from reqweave.functions.text import html_to_text, is_blank, render_search_result, text_stats, trim_space
 from reqweave.operators.enrich import spread_key, wanted_pages
+from reqweave.operators.hotkeys import spread_join
+from reqweave.storage import new_folder
 
 # Tool names and messages.
-TOOLS = ["text_stats", "regex_extract", "json_extract", "web_fetch", "web_extract_links"]
+TOOLS = ["text_stats", "regex_extract", "json_extract", "web_fetch", "web_extract_links", "web_search", "sql_query"]
 PAGE_TOOLS = ["web_fetch", "web_extract_links"]
 READ_ONLY = "only SELECT or WITH … SELECT queries are allowed"
 
@@ -99,6 +102,8 @@ ARGUMENTS = {
     "json_extract": [("json", "string", "string", ""), ("path", "string", "string", "")],
     "web_fetch": [("url", "string", "string", "")],
     "web_extract_links": [("url", "string", "string", ""), ("max_links", "number", "int", 0)],
+    "web_search": [("query", "string", "string", "")],
+    "sql_query": [("query", "string", "string", "")],
 }
 
 
@@ -125,15 +130,52 @@ def _asked_links(calls: DataFrame) -> DataFrame:
     return calls.select(F.try_variant_get(args, "$.url", "string").alias("link"))
 
 
-def dispatch_tools(calls: DataFrame, pages: DataFrame | None = None, enabled: list[str] = TOOLS, page_chars: int = 0) -> DataFrame:
+def stored_searches(searches: DataFrame, asked: DataFrame) -> DataFrame:
+    """``_searched, _found``: the stored answer to each asked query as text; answers nobody asked for are dropped first."""
+    wanted = asked.where(F.col("_query") != "").select(F.col("_query").alias("_searched")).distinct()
+    kept = searches.join(wanted, searches["query"] == wanted["_searched"])
+    text = render_search_result(F.col("_searched"), F.col("answer"), F.col("abstract"), F.col("source"), F.col("topics"))
+    return kept.select("_searched", text.alias("_found")).groupBy("_searched").agg(F.min("_found").alias("_found"))
+
+
+def statement_answers(asked: DataFrame, most: int, rows: int = 0) -> DataFrame:
+    """``_statement, _answer, _refused`` per distinct statement, each planned and run once.
+
+    More than ``most`` different statements are an error, because each is a query of its own. An answer holds all
+    rows or the first ``rows``; answers are written where they are made, and what went wrong with a statement becomes its text.
+    """
+    spark = asked.sparkSession
+    found = asked.where(F.col("_query") != "").select(trim_space(F.col("_query")).alias("s")).where("s <> ''").distinct().orderBy("s").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} different statements; raise most_statements or run them as queries of their own")
+    folder, refused = new_folder(spark, "statements"), []
+    spark.createDataFrame([], "_statement string, _answer string").write.parquet(folder)
+    for r in found:
+        try:
+            sql_answer(spark, r["s"], rows).select(F.lit(r["s"]).alias("_statement"), F.col("answer").alias("_answer")).write.mode("append").parquet(folder)
+        except ValueError as e:
+            refused.append((r["s"], str(e)))
+        except (PySparkException, Py4JJavaError) as e:
+            refused.append((r["s"], "execute query: " + str(e).strip().split("\n")[0]))
+    done = spark.read.parquet(folder).withColumn("_refused", F.lit(None).cast("string"))
+    return done.unionByName(spark.createDataFrame(refused, "_statement string, _refused string"), allowMissingColumns=True)
+
+
+def dispatch_tools(
+    calls: DataFrame, pages: DataFrame | None = None, enabled: list[str] = TOOLS, page_chars: int = 0,
+    searches: DataFrame | None = None, most_statements: int = 0, statement_rows: int = 0,
+) -> DataFrame:
     """``calls(.., name, args)`` plus ``result``; problems become result text.
 
     Page texts are whole, or cut after ``page_chars``.
 
-    Page tools read the stored ``pages(url, html)``. Only calls of the regex tool
+    Page tools read the stored ``pages(url, html)``, ``web_search`` the stored ``searches(query, answer, abstract,
+    source, topics)``. ``sql_query`` answers at most ``most_statements`` different statements (none if 0) over the session's
+    views; read all columns of ``calls`` from a written table then. Only calls of the regex tool
     hand their texts to Python, because each row brings its own pattern.
     """
-    active = [t for t in enabled if t in TOOLS and (pages is not None or t not in PAGE_TOOLS)]
+    there = {**dict.fromkeys(PAGE_TOOLS, pages is not None), "web_search": searches is not None, "sql_query": most_statements > 0}
+    active = [t for t in enabled if t in TOOLS and there.get(t, True)]
     name, known = F.col("name"), F.col("name").isin(active)
     is_tool = lambda tool: (name == tool) & F.col("_problem").isNull()
     out, problem, result = _with_arguments(calls, active), F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -162,7 +204,7 @@ def dispatch_tools(calls: DataFrame, pages: DataFrame | None = None, enabled: li
         url, is_web = F.col("_url"), name.isin(web) & F.col("_problem").isNull()
         stored = wanted_pages(pages, _asked_links(calls))
         out = out.withColumn("_asked_url", spread_key(F.when(is_web, F.nullif(url, F.lit("")))))
-        out = out.join(stored, F.col("_asked_url") == F.col("_page"), "left")
+        out = spread_join(out.withColumn("_linked", F.when(is_web, F.nullif(url, F.lit("")))), stored, "_asked_url", "_page", "_linked")
         problem = F.coalesce(
             problem,
             F.when(is_web & (url == ""), "url is required")
@@ -174,6 +216,20 @@ def dispatch_tools(calls: DataFrame, pages: DataFrame | None = None, enabled: li
             every = extract_links(F.col("_page"), F.col("_html"))
             links = let(every, lambda x: F.when(F.col("_max_links") > 0, F.slice(x, F.lit(1), F.greatest("_max_links", F.lit(1)))).otherwise(x))
             result = F.when(is_tool("web_extract_links"), escape_markup(F.to_json(links))).otherwise(result)
+    if "web_search" in active:
+        query = F.when(is_tool("web_search"), F.nullif(F.col("_query"), F.lit("")))
+        found = stored_searches(searches, out.where(is_tool("web_search")).select("_query"))
+        out = spread_join(out.withColumn("_asked_query", query).withColumn("_search_key", spread_key(query)), found, "_search_key", "_searched", "_asked_query")
+        refused = F.when(F.col("_query") == "", "query is required").when(F.col("_found").isNull(), "answer not stored")
+        problem = F.when(is_tool("web_search"), refused).otherwise(problem)
+        result = F.when(is_tool("web_search"), F.col("_found")).otherwise(result)
+    if "sql_query" in active:
+        text = trim_space(F.col("_query"))
+        found = statement_answers(out.where(is_tool("sql_query")).select("_query"), most_statements, statement_rows)
+        statement = F.when(is_tool("sql_query"), F.nullif(text, F.lit("")))
+        out = spread_join(out.withColumn("_asked_statement", statement).withColumn("_statement_key", spread_key(statement)), found, "_statement_key", "_statement", "_asked_statement")
+        problem = F.when(is_tool("sql_query"), F.when(text == "", "query is required").otherwise(F.col("_refused"))).otherwise(problem)
+        result = F.when(is_tool("sql_query"), F.col("_answer")).otherwise(result)
     problem = F.coalesce("_problem", F.when(known, problem))
     shown = (
         F.when(~known, F.concat(F.lit("unknown tool: "), name))

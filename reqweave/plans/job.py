@@ -139,14 +139,14 @@ def _generated(requests: DataFrame, cfg: JobConfig, fn: Callable, folder: str =
     )
 
 
-def _answered(requests: DataFrame, cfg: JobConfig, job: OneJob, fn, pages, prior: DataFrame | None = None) -> DataFrame:
+def _answered(requests: DataFrame, cfg: JobConfig, job: OneJob, fn, pages, prior: DataFrame | None = None, searches: DataFrame | None = None) -> DataFrame:
     p = cfg.processing
     if p.dry_run:
         return dry_run_generate(requests, job, p.response_field).withColumn("call_error", F.lit(None).cast("string"))
     if cfg.tools.enabled:
         pause = call_pause(requests, p.rate_limit_rpm, p.workers or None)
         spread = requests.repartition(p.workers) if p.workers else requests
-        asked = agent_rounds(spread, fn, pages, cfg.tools.names, cfg.tools.max_rounds, p.max_retries, pause=pause)
+        asked = agent_rounds(spread, fn, pages, cfg.tools.names, cfg.tools.max_rounds, p.max_retries, pause=pause, searches=searches, most_statements=cfg.tools.most_statements)
         return asked.drop("rounds").withColumnRenamed("error", "call_error")
     return _generated(requests, cfg, fn, p.answers_path.rstrip("/"), prior).withColumnRenamed("error", "call_error")
 
@@ -190,9 +190,12 @@ def _keep(spark: SparkSession, folder: str, name: str, counts: dict[str, int], f
     mark.coalesce(1).write.mode("overwrite").parquet(f"{folder}/done-{name}")
 
 
-def run_records(records: DataFrame, cfg: JobConfig, fn=None, repair_fn=None, pages: DataFrame | None = None, run: str = "run") -> JobResult:
+def run_records(
+    records: DataFrame, cfg: JobConfig, fn=None, repair_fn=None, pages: DataFrame | None = None, run: str = "run", searches: DataFrame | None = None
+) -> JobResult:
     """One request per record. ``fn(system, user)`` answers; with tools enabled
-    ``fn(messages, tools)`` takes one step and ``repair_fn`` answers repairs."""
+    ``fn(messages, tools)`` takes one step and ``repair_fn`` answers repairs. The tools read the stored ``pages`` and
+    ``searches``, and the session's views for ``tools.most_statements`` different statements a round."""
     p, spark = cfg.processing, records.sparkSession
     prepare(spark)
     inputs = [c for c in records.columns if c != ROW]
@@ -209,7 +212,7 @@ def run_records(records: DataFrame, cfg: JobConfig, fn=None, repair_fn=None, pag
             # the rows as they are now, with the answers to the same requests
             found.append(_counted(asked.join(kept, "request_id"), "kept-answers"))
             asked = unanswered(asked, kept)
-        done = checked(_answered(asked, cfg, job, fn, pages, prior), cfg, job)
+        done = checked(_answered(asked, cfg, job, fn, pages, prior, searches), cfg, job)
         if p.strict_output and not p.dry_run and fixer is not None:
             done = repaired(done, cfg, job, fixer)
         name = next(n for n in (str(start), *(f"{start}-{k}" for k in range(1, len(names) + 2))) if n not in names)

@@ -55,6 +55,28 @@ def dispatch_page_tools(t):
     return ops.dispatch_tools(calls, t("pages").select("url", "html")).select("page_id", F.md5("result").alias("result_md5"))
 
 
+@query(
+    "dispatch_search_and_sql",
+    r"""SELECT c_custkey, CASE c_custkey % 4
+  WHEN 0 THEN CASE WHEN c_custkey % 8 = 0 THEN concat('Answer: ', c_mktsegment, chr(10), chr(10), '- topic ', c_nationkey, chr(10), '  http://example.org/', c_nationkey) ELSE 'tool web_search error: answer not stored' END
+  WHEN 1 THEN (SELECT concat('[{"n":', count(*), ',"region":"', r_name, '"}]') FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = c_custkey % 5 GROUP BY r_name)
+  WHEN 2 THEN 'tool sql_query error: only SELECT or WITH … SELECT queries are allowed'
+  ELSE 'tool web_search error: query is required' END AS result FROM customer""",
+)
+def dispatch_search_and_sql(t):
+    for name in ("nation", "region"):
+        t(name).createOrReplaceTempView(f"tool_{name}")
+    k, customer = F.col("c_custkey"), t("customer")
+    counted = "SELECT r_name AS region, count(*) AS n FROM tool_nation JOIN tool_region ON n_regionkey = r_regionkey WHERE r_regionkey = "
+    statement = F.concat(F.lit(counted), (k % 5).cast("string"), F.lit(" GROUP BY r_name "))
+    asked = F.when(k % 4 == 0, F.col("c_name")).when(k % 4 == 1, statement).when(k % 4 == 2, F.concat(F.lit("DROP TABLE t"), (k % 3).cast("string"))).otherwise("")
+    calls = customer.select("c_custkey", F.when(k % 4 % 3 == 0, "web_search").otherwise("sql_query").alias("name"), _args(query=asked).alias("args"))
+    topic = F.array(F.struct(F.concat(F.lit("topic "), "c_nationkey").alias("text"), F.concat(F.lit("http://example.org/"), "c_nationkey").alias("url")))
+    none = F.lit(None).cast("string")
+    searches = customer.where(k % 8 == 0).select(F.col("c_name").alias("query"), F.col("c_mktsegment").alias("answer"), none.alias("abstract"), none.alias("source"), topic.alias("topics"))
+    return ops.dispatch_tools(calls, searches=searches, most_statements=10).select("c_custkey", "result")
+
+
 def _step(messages: list[dict], tools: list[str]) -> dict:
     """Ask for statistics first; records of more than 100 words ask once more."""
     last = messages[-1]

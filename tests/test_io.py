@@ -201,6 +201,28 @@ def test_tool_problems_become_text(spark):
     assert got[5] == "tool text_stats error: invalid arguments" and got[6] == "unknown tool: web_fetch" and got[7] == "tool text_stats error: text is required"
 
 
+def test_searches_and_statements_as_tools(spark):
+    spark.createDataFrame([(4, "oak"), (2, "elm")], "age int, kind string").createOrReplaceTempView("trees")
+    said = lambda q: json.dumps({"query": q})
+    calls = [
+        (1, "sql_query", said("SELECT kind FROM trees ORDER BY kind")), (2, "sql_query", said(" SELECT kind FROM trees ORDER BY kind ")), (3, "sql_query", said("DELETE FROM trees")),
+        (4, "sql_query", said("SELECT nothing FROM trees")), (5, "sql_query", said(" ")), (6, "sql_query", "{"), (7, "sql_query", said("SELECT raise_error('late') AS x")),
+        (8, "web_search", said("elm")), (9, "web_search", said("ash")), (10, "web_search", said("")), (11, "text_stats", '{"text":"x"}'), (12, "sql_query", said("SELECT 1 AS a WHERE false")),
+    ]
+    df = spark.createDataFrame(calls, "id long, name string, args string")
+    searches = spark.sql("SELECT 'elm' AS query, 'a tree' AS answer, '' AS abstract, '' AS source, array(named_struct('text', 'bark', 'url', 'http://b')) AS topics")
+    got = {r["id"]: r["result"] for r in dispatch_tools(df, searches=searches, most_statements=5).collect()}
+    assert got[1] == got[2] == '[{"kind":"elm"},{"kind":"oak"}]' and got[12] == "null"
+    assert got[3] == "tool sql_query error: only SELECT or WITH … SELECT queries are allowed" and got[5] == "tool sql_query error: query is required"
+    assert got[4].startswith("tool sql_query error: execute query: [UNRESOLVED_COLUMN") and got[6] == "tool sql_query error: invalid arguments"
+    assert got[7].startswith("tool sql_query error: execute query:") and got[8] == "Answer: a tree\n\n- bark\n  http://b"
+    assert got[9] == "tool web_search error: answer not stored" and got[10] == "tool web_search error: query is required" and '"words":1' in got[11]
+    off = {r["id"]: r["result"] for r in dispatch_tools(df).collect()}
+    assert off[1] == "unknown tool: sql_query" and off[8] == "unknown tool: web_search"
+    with pytest.raises(ValueError, match="more than 2"):
+        dispatch_tools(df, most_statements=2)
+
+
 def test_sql_tool_is_read_only(spark):
     spark.createDataFrame([(4, "oak"), (2, "elm"), (4, "ash")], "age int, kind string").createOrReplaceTempView("trees")
     grouped = "\n\tselect age, max(kind) AS last FROM trees GROUP BY age ORDER BY age DESC"
