@@ -100,6 +100,40 @@ def number_in_group(df: DataFrame, group: str, order_by: list[str], name: str =
     return joined.withColumn(name, F.col("_all_idx") - F.col("_first")).drop("_all_idx", "_first")
 
 
+#: Rows whose running sum is made together when parts are bounded by bytes.
+RUN_ROWS = 4096
+
+
+def parts_in_group(
+    df: DataFrame, group: str, order_by: list[str], size: Column, most_bytes: int, most_rows: int, name: str = "_part"
+) -> DataFrame:
+    """Position inside the group (``_group_idx``) and a part of rows that follow each other.
+
+    A part has ``most_rows`` rows at most, and fewer bytes (``size``) than ``most_bytes`` and its first row together. The
+    running sum is a prefix over runs of rows and a sum inside each, over row numbers and sizes only.
+    """
+    numbered = number_in_group(df.withColumn("_size", size), group, order_by)
+    # of the two bounds the one that a row uses up more of counts
+    weight = F.greatest(F.col("_size") * most_rows, F.lit(most_bytes)).cast("decimal(20,0)")
+    narrow = numbered.select(F.col(group).alias("_g"), "_group_idx", F.floor(F.col("_group_idx") / RUN_ROWS).alias("_run"), weight.alias("_w"))
+    narrow = materialize(narrow, "sizes")
+    runs = narrow.groupBy("_g", "_run").agg(F.sum("_w").alias("_sum"))
+    before = Window.partitionBy("_g").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = materialize(runs.select("_g", "_run", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")), "runs")
+    inside = Window.partitionBy("_g", "_run").orderBy("_group_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = narrow.withColumn("_upto", F.sum("_w").over(inside)).withColumnsRenamed({"_g": "_h", "_run": "_r"})
+    placed = summed.join(runs, summed["_h"].eqNullSafe(runs["_g"]) & (summed["_r"] == runs["_run"]))
+    part = F.expr(f"CAST((_before + _upto - 1) DIV CAST({most_bytes * most_rows} AS DECIMAL(20,0)) AS BIGINT)")
+    # a run has few parts: where each begins is all that the rows themselves need to know
+    starts = placed.groupBy("_h", "_r", part.alias("_p")).agg(F.min("_group_idx").alias("_from"))
+    starts = starts.groupBy("_h", "_r").agg(F.collect_list(F.struct("_from", "_p")).alias("_starts"))
+    starts = materialize(starts, "part-starts")
+    rows = numbered.withColumn("_run", F.floor(F.col("_group_idx") / RUN_ROWS))
+    joined = rows.join(starts, rows[group].eqNullSafe(starts["_h"]) & (rows["_run"] == starts["_r"]))
+    own = F.array_max(F.filter("_starts", lambda s: s["_from"] <= F.col("_group_idx")))["_p"]
+    return joined.withColumn(name, own).drop("_size", "_run", "_h", "_r", "_starts")
+
+
 def ordered_emit(df: DataFrame, name: str = ROW) -> DataFrame:
     """Input order again: range partitions, each sorted."""
     return df.orderBy(name)

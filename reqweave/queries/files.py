@@ -2,7 +2,7 @@
 
 import json
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from reqweave.config import job_config
 from reqweave.operators.ordering import ROW, number_arrival
@@ -122,6 +122,23 @@ def sink_json(t):
     return back.select("doc_id", "lang", F.md5("text").alias("text_md5"), "part")
 
 
+#: Bytes of a document of the query below; one text may be longer.
+_DOCUMENT = 200_000
+
+
+@query("sink_json_bytes", "SELECT doc_id, coalesce(lang, '') AS lang, md5(text) AS text_md5, true AS fits, row_number() OVER (PARTITION BY coalesce(lang, '') ORDER BY doc_id) - 1 AS place FROM documents")
+def sink_json_bytes(t):
+    # texts of very different length: documents are bounded by bytes, nothing is lost and the order stays
+    df = t("documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    made = materialize(sinks.json_documents(df, "lang", ["doc_id"], bytes_per_document=_DOCUMENT), "documents")
+    longest = F.array_max(F.transform(F.split("document", ",\n  [{]"), lambda x: F.octet_length(x)))
+    fits = F.octet_length("document") <= _DOCUMENT + longest + 100
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = made.select("lang", fits.alias("fits"), before.alias("first"), F.from_json("document", "array<struct<doc_id:bigint,text:string>>").alias("items"))
+    rows = told.select("lang", "fits", "first", F.posexplode("items").alias("at", "item"))
+    return rows.select("item.doc_id", "lang", F.md5("item.text").alias("text_md5"), "fits", (F.col("first") + F.col("at")).alias("place"))
+
+
 @query("scan_json_array", "SELECT c_custkey, c_mktsegment, c_name, c_nationkey FROM customer")
 def scan_json_array(t):
     path = new_folder(t.spark, "json")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from reqweave.functions.jsonvals import escape_markup, pretty_record
 from reqweave.operators.merge import stringify
-from reqweave.operators.ordering import number_in_group
+from reqweave.operators.ordering import parts_in_group
 
-DOCUMENT_ROWS = 10_000
+#: A document has so many rows at most, and about so many bytes (a longer row stays whole).
+DOCUMENT_ROWS, DOCUMENT_BYTES = 10_000, 64 << 20
 
 
 def sink_csv(df: DataFrame, path: str, delimiter: str = ",", mode: str = "errorifexists") -> None:
@@ -63,19 +64,19 @@ def sink_xml(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def json_documents(
-    df: DataFrame, group: str, order_by: list[str], rows_per_document: int = DOCUMENT_ROWS, columns: list[str] | None = None
+    df: DataFrame, group: str, order_by: list[str], rows_per_document: int = DOCUMENT_ROWS, columns: list[str] | None = None,
+    bytes_per_document: int = DOCUMENT_BYTES,
 ) -> DataFrame:
     """Indented JSON arrays ``(group, part, rows, document)`` of the ``columns`` (all by default).
 
     A group becomes as many documents as its size asks for, so a group that holds a
-    third of the table is still written by many tasks, whole and in order.
+    third of the table is still written by many tasks, whole and in order, and a document of long rows has fewer of them.
     """
     columns = columns or df.columns
-    placed = number_in_group(df, group, order_by)
-    item = F.concat(F.lit("  "), F.replace(pretty_record(placed, columns), F.lit("\n"), F.lit("\n  ")))
-    parts = placed.select(
-        F.col(group), F.floor(F.col("_group_idx") / rows_per_document).alias("part"), "_group_idx", item.alias("_item")
-    )
+    item = F.concat(F.lit("  "), F.replace(pretty_record(df, columns), F.lit("\n"), F.lit("\n  ")))
+    shown = df.withColumn("_item", item)
+    placed = parts_in_group(shown, group, order_by, F.octet_length("_item") + 2, bytes_per_document, rows_per_document)
+    parts = placed.select(F.col(group), F.col("_part").alias("part"), "_group_idx", "_item")
     listed = F.array_sort(F.collect_list(F.struct("_group_idx", "_item")))
     text = F.array_join(F.transform(listed, lambda r: r["_item"]), ",\n")
     return parts.groupBy(group, "part").agg(
@@ -85,10 +86,10 @@ def json_documents(
 
 def sink_json(
     df: DataFrame, path: str, group: str, order_by: list[str], rows_per_document: int = DOCUMENT_ROWS, mode: str = "errorifexists",
-    columns: list[str] | None = None,
+    columns: list[str] | None = None, bytes_per_document: int = DOCUMENT_BYTES,
 ) -> None:
     """One file per document, in folders named after group and part."""
-    documents = json_documents(df, group, order_by, rows_per_document, columns)
+    documents = json_documents(df, group, order_by, rows_per_document, columns, bytes_per_document)
     documents.select(group, "part", "document").write.mode(mode).partitionBy(group, "part").option("lineSep", "\n").text(path)
 
 

@@ -11,12 +11,15 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reqweave.operators.merge import stringify
-from reqweave.operators.ordering import number_in_group
+from reqweave.operators.ordering import parts_in_group
 
-BOOK_ROWS = 100_000
+#: A workbook has so many rows at most, and about so many bytes before it is packed (a longer row stays whole).
+BOOK_ROWS, BOOK_BYTES = 100_000, 64 << 20
+#: Markup around a cell.
+CELL_BYTES = 60
 BOOKS = "group string, part long, rows long, content binary"
 # The parts every workbook consists of.
 SHEET_NAME = "Output"
@@ -78,16 +81,26 @@ def workbook_bytes(header: list[str], rows: list[list[str]]) -> bytes:
     return out.getvalue()
 
 
+def _row_bytes(df: DataFrame, names: list[str]) -> Column:
+    """About what a row takes in its sheet before it is packed."""
+    texts = [F.to_json(F.struct(F.col(f"`{c}`"))) for c in names]
+    return F.lit(0) + sum((F.octet_length(t) + CELL_BYTES for t in texts), F.lit(0))
+
+
 def build_workbooks(
-    df: DataFrame, group: str, order_by: list[str], rows_per_book: int = BOOK_ROWS, columns: list[str] | None = None
+    df: DataFrame, group: str, order_by: list[str], rows_per_book: int = BOOK_ROWS, columns: list[str] | None = None,
+    bytes_per_book: int = BOOK_BYTES,
 ) -> DataFrame:
-    """``(group, part, rows, content)`` of the ``columns`` (all by default); a big group becomes several bounded workbooks."""
+    """``(group, part, rows, content)`` of the ``columns`` (all by default); a big group becomes several bounded workbooks.
+
+    A task holds one book at a time: its rows as text, and its content.
+    """
     names = columns or df.columns
-    placed = number_in_group(df, group, order_by)
+    placed = parts_in_group(df, group, order_by, _row_bytes(df, names), bytes_per_book, rows_per_book)
     cells = stringify(placed.select(*names)).columns
     keyed = placed.select(
         F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_g"),
-        F.floor(F.col("_group_idx") / rows_per_book).alias("_part"), "_group_idx", *names,
+        "_part", "_group_idx", *names,
     )
     texts = stringify(keyed).withColumn("_part", F.col("_part").cast("long")).withColumn("_group_idx", F.col("_group_idx").cast("long"))
 
@@ -106,15 +119,27 @@ def file_store(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder))
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A path without a scheme as an address on the session's file system."""
+    if "://" in folder:
+        return folder
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    address = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + address.removeprefix("file:") if address.startswith("file:/") else address
+
+
 def sink_xlsx(
-    df: DataFrame, folder: str, group: str, order_by: list[str], rows_per_book: int = BOOK_ROWS, columns: list[str] | None = None
+    df: DataFrame, folder: str, group: str, order_by: list[str], rows_per_book: int = BOOK_ROWS, columns: list[str] | None = None,
+    bytes_per_book: int = BOOK_BYTES,
 ) -> None:
-    """Save the workbooks in a folder every executor can reach, local or remote.
+    """Save the workbooks in a folder every executor can reach, on the file system that Spark takes the path for.
 
     Names depend on group and part only and files appear by renaming, so a task
     that runs twice replaces its own file by an equal one.
     """
 
+    folder = qualified(df.sparkSession, folder)
+
     def save(books) -> None:
         store, top = file_store(folder)
         store.create_dir(top, recursive=True)
@@ -126,4 +151,4 @@ def sink_xlsx(
                 out.write(b["content"])
             store.move(partial, target)
 
-    build_workbooks(df, group, order_by, rows_per_book, columns).foreachPartition(save)
+    build_workbooks(df, group, order_by, rows_per_book, columns, bytes_per_book).foreachPartition(save)

@@ -13,7 +13,7 @@ from reqweave.operators.retry import retry_after_seconds, retry_delay
 from reqweave.operators.tools import dispatch_tools, distinct_in_order, sql_answer, sql_query
 from reqweave.sinks import files as sinks
 from reqweave.sinks.tables import sink_sql
-from reqweave.sinks.workbooks import sink_xlsx, workbook_bytes
+from reqweave.sinks.workbooks import build_workbooks, sink_xlsx, workbook_bytes
 from reqweave.sources import files as src
 from reqweave.sources.tables import jdbc_options
 from reqweave.sources.workbooks import named_rows, scan_xlsx, workbook_columns
@@ -63,6 +63,33 @@ def test_json_documents_per_group(spark):
     }
 
 
+def test_parts_are_bounded_by_bytes(spark):
+    import random
+
+    from reqweave.operators import ordering
+
+    rng = random.Random(3)
+    sizes = {g: [rng.choice([10, 200, 3000, 100_000]) for _ in range(n)] for g, n in (("a", 700), ("b", 3), (None, 40))}
+    df = spark.createDataFrame([(g, k, "x" * s) for g, own in sizes.items() for k, s in enumerate(own)], "g string, k int, t string").repartition(5)
+    before, ordering.RUN_ROWS = ordering.RUN_ROWS, 16
+    try:
+        got = ordering.parts_in_group(df, "g", ["k"], F.octet_length("t"), 120_000, 50).select("g", "k", "_group_idx", "_part", F.length("t").alias("n")).collect()
+    finally:
+        ordering.RUN_ROWS = before
+    assert len(got) == 743 and all(r["k"] == r["_group_idx"] for r in got)
+    for g in sizes:
+        own = sorted((r for r in got if r["g"] == g), key=lambda r: r["k"])
+        assert [r["n"] for r in own] == sizes[g] and [r["_part"] for r in own] == sorted(r["_part"] for r in own)
+        for part in {r["_part"] for r in own}:
+            rows_ = [r["n"] for r in own if r["_part"] == part]
+            assert sum(rows_) < 120_000 + rows_[0] and len(rows_) <= 50
+    assert len({r["_part"] for r in got if r["g"] == "a"}) > 50
+    short = ordering.parts_in_group(df, "g", ["k"], F.lit(1), 10**9, 7).collect()
+    assert all(r["_part"] == r["_group_idx"] // 7 for r in short)
+    books = sorted(r["rows"] for r in build_workbooks(df.where("g = 'b'"), "g", ["k"], bytes_per_book=500).collect())
+    assert sum(books) == 3
+
+
 def test_jsonl_sink_keeps_nulls_and_sorts_keys(spark, tmp_path):
     out = str(tmp_path / "out")
     sinks.sink_jsonl(spark.sql("SELECT 'x<' AS b, cast(null as string) AS a"), out)
