@@ -7,8 +7,8 @@ step can lower a slot. All elements of many documents take a step together.
 
 Documents with equal sets form one class; everything after works on classes. Candidates:
 
-1. In each bucket of a band every member is paired with the bucket's smallest class only.
-   Pairs whose signatures and sizes allow the similarity are verified on the full sets, and
+1. Every class is paired with the smallest classes of its buckets, ``FIRST_PIVOTS`` of them at most. Pairs
+   whose signatures and sizes allow the similarity are verified on the full sets, and
    the links joined into components.
 2. Buckets whose members fell into one component are done. In the others, members outside the
    bucket's largest component are paired with every member of another component, if the
@@ -47,6 +47,8 @@ SLOTS, BANDS, ROWS = 384, 40, 5
 WORDS = -(-SLOTS // 7)
 #: Standard errors by which the estimate of a verified pair may fall short.
 SIGMAS = 4.0
+#: Smallest classes that a class is paired with at first; what that leaves apart in a bucket is paired in the second step.
+FIRST_PIVOTS = 6
 #: Representatives that are sent to every task instead of shuffling all texts; beyond it texts and ids are both shuffled.
 BROADCAST_ROWS = 500_000
 #: Elements that take their steps together: bounds the permutations held (2 bytes a slot each).
@@ -295,7 +297,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = materialize(members.join(pivots.select("bucket", "a"), "bucket").select("bucket", "row", "a"), "buckets")
 
     side = lambda name: reps.select(F.col("row").alias(name), F.col("n").alias(f"n_{name}"), F.col("codes").alias(f"codes_{name}"))
-    stars = shared.where("row <> a").select("a", F.col("row").alias("b")).distinct()
+    pivots = F.slice(F.sort_array(F.collect_set("a")), 1, FIRST_PIVOTS)
+    stars = shared.where("row <> a").groupBy(F.col("row").alias("b")).agg(pivots.alias("pivots"))
+    stars = stars.select(F.explode("pivots").alias("a"), "b")
     stars = materialize(stars.join(side("a"), "a").join(side("b"), "b").where(likely()).select("a", "b"), "pairs")
     texts = materialize(class_texts(docs, described, stars.select(F.explode(F.array("a", "b")).alias("row")).distinct(), id_col, text_col), "elements")
     first = materialize(verified(stars, texts), "verified")
