@@ -7,7 +7,6 @@ import os
 import re
 import uuid
 import zipfile
-from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
