@@ -34,6 +34,24 @@ def test_regex_extract(spark):
     assert (r["matches"], r["count"], r["truncated"]) == (["A12", "B34"], 2, False)
 
 
+def test_general_categories_are_searched_as_a_tree(spark):
+    import re
+
+    from reqweave.functions.patterns import compiled, translated
+
+    codes = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(map(chr, codes[i : i + 4096])) for i in range(0, len(codes), 4096)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
+    for pattern in [r"\p{Lu}", r"\PL", r"[^\pL\d]", r"[\pN[:punct:]]+", r"[^\w\s]{2,}"]:
+        java = translated(pattern, True)[0]
+        # a class never has many parts beyond ASCII in a row, which would all be tried for every character
+        assert not re.search(r"(?:\\x\{[0-9a-f]{3,}\}(?:-\\x\{[0-9a-f]+\})?){10}", java)
+        got = rows.select("i", text.regex_extract(F.col("v"), pattern)["matches"].alias("m")).collect()
+        assert {r["i"]: r["m"] or [] for r in got} == {i: compiled(pattern).findall(v) for i, v in enumerate(texts)}
+    # under a folded case Java's own rules decide, as before
+    assert translated(r"(?i)\p{Lu}", True)[0].count("&&") == 0
+
+
 def test_regex_extract_group_out_of_range_gives_nothing(spark):
     r = one(spark, "A12", lambda c: text.regex_extract(c, "([A-Z])", group=3))
     assert r["matches"] == [] and r["count"] == 0
