@@ -10,9 +10,10 @@ Documents with equal sets form one class; everything after works on classes. Can
 1. Every class is paired with the smallest classes of its buckets, ``FIRST_PIVOTS`` of them at most. Pairs
    whose signatures and sizes allow the similarity are verified on the full sets, and
    the links joined into components.
-2. Buckets whose members fell into one component are done. In the others, members outside the
-   bucket's largest component are paired with every member of another component, if the
-   signatures allow it, and verified. So a group of n near copies costs n pairs and not n*n,
+2. Buckets whose members fell into one component are done. While the others are large, members outside a
+   bucket's largest component are verified with drawn members of it, turn by turn, and components join.
+3. In the buckets that are left, members outside the largest component are paired with every member of another
+   component, if the signatures allow it, and verified. So a group of n near copies costs n pairs a turn and not n*n,
    and no link between two components is left out.
 
 At similarity 0.75 a pair shares none of the ``BANDS`` buckets with probability 2e-5, and misses the signature
@@ -49,6 +50,8 @@ WORDS = -(-SLOTS // 7)
 SIGMAS = 4.0
 #: Smallest classes that a class is paired with at first; what that leaves apart in a bucket is paired in the second step.
 FIRST_PIVOTS = 6
+#: Turns of drawn pairs at most, and the others per member of a bucket from which a turn is worth it.
+MOST_TURNS, FEW_OTHERS = 8, 8
 #: Representatives that are sent to every task instead of shuffling all texts; beyond it texts and ids are both shuffled.
 BROADCAST_ROWS = 500_000
 #: Elements that take their steps together: bounds the permutations held (2 bytes a slot each).
@@ -304,11 +307,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = materialize(class_texts(docs, described, stars.select(F.explode(F.array("a", "b")).alias("row")).distinct(), id_col, text_col), "elements")
     first = materialize(verified(stars, texts), "verified")
 
-    found = components(first)
-    placed = materialize(with_component(shared.select("bucket", "row"), found), "placed")
-    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("bucket").agg(F.max_by("component", "c").alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    inside = placed.join(mixed.select("bucket", "main"), "bucket").join(reps.select("row", "n", "codes", "bands"), "row")
+    tried, links, found = stars, first, components(first)
+    inside, held, pairs_before = mixed_buckets(shared.select("bucket", "row"), found), None, math.inf
+    for turn in range(1, MOST_TURNS + 1):
+        # what the rest would cost: a turn is worth it if members have many others to be compared with, and while turns help
+        members, pairs = inside.select(F.count("*"), F.coalesce(F.sum("others"), F.lit(0))).first()
+        if pairs <= FEW_OTHERS * members or pairs > 0.9 * pairs_before:
+            break
+        pairs_before = pairs
+        if held is None:
+            held = materialize(class_texts(docs, described, inside.select("row").distinct(), id_col, text_col), "elements")
+        drawn = drawn_pairs(inside, turn).join(side("a"), "a").join(side("b"), "b").where(likely()).select("a", "b")
+        drawn = materialize(drawn.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(verified(drawn, held), "verified")
+        tried, links = tried.unionByName(drawn), links.unionByName(more)
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        inside = mixed_buckets(inside.select("bucket", "row"), found)
+
+    inside = inside.join(reps.select("row", "n", "codes", "bands"), "row")
     inside = materialize(inside.select("bucket", "row", "component", "main", "n", "codes", "bands"), "mixed")
     rename = lambda df, s: df.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "component", "main", "n", "codes", "bands")])
     left, right = rename(inside.where("component <> main"), "a"), rename(inside, "b")
@@ -317,10 +333,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first_bucket = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == left["bucket"]
     apart = (F.col("component_a") != F.col("component_b")) & once & first_bucket & likely()
     cross = left.join(right, (left["bucket"] == right["bucket"]) & apart).select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
-    cross = materialize(cross.join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(class_texts(docs, described, cross.select(F.explode(F.array("a", "b")).alias("row")).distinct(), id_col, text_col), "elements")
-    second = materialize(verified(cross, more), "verified")
-    final = components(first.unionByName(second))
+    cross = materialize(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
+    if held is None:
+        held = materialize(class_texts(docs, described, cross.select(F.explode(F.array("a", "b")).alias("row")).distinct(), id_col, text_col), "elements")
+    second = materialize(verified(cross, held), "verified")
+    final = components(links.unionByName(second))
 
     named = with_component(classes.select(*key, "first_id", F.col("rep").alias("row")), final)
     least = named.where("n > 0").groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -330,6 +347,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def mixed_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``bucket, row, component, main, others`` of the buckets whose members are in several components.
+
+    ``main`` is the component with most members there, ``others`` how many a member outside it may have to be compared with.
+    """
+    placed = materialize(with_component(members, found), "placed")
+    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("bucket").agg(F.max_by("component", "c").alias("main"), F.sum("c").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
+    inside = placed.join(mixed.drop("kinds"), "bucket")
+    others = F.when(F.col("component") == F.col("main"), 0).otherwise(F.col("size"))
+    return materialize(inside.select("bucket", "row", "component", "main", others.alias("others")), "inside")
+
+
+def drawn_pairs(inside: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: each row outside the main component with one drawn member of it per bucket, ``FIRST_PIVOTS`` of them at most."""
+    drawn = inside.where("component = main").groupBy("bucket").agg(F.min_by("row", F.xxhash64("row", F.lit(turn))).alias("pivot"))
+    met = inside.where("component <> main").join(drawn, "bucket")
+    # by a hash of both, so that a row's pivots are not the smallest ones of all its buckets
+    pivots = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("row", "pivot").alias("h"), "pivot"))), 1, FIRST_PIVOTS)
+    chosen = met.groupBy("row").agg(pivots.alias("p")).select("row", F.explode("p.pivot").alias("pivot"))
+    return chosen.select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b")).distinct()
+
+
 def with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` with their component; a row without links is its own."""
     return rows.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
