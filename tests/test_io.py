@@ -292,3 +292,14 @@ def test_every_file_is_one_job_and_read_once(spark, tmp_path):
     run()
     got = spark.read.parquet(out).orderBy("id").select("id", "twice", "file_name")
     assert rows(got) == [(1, 2, "a.csv"), (2, 4, "a.csv"), (3, 6, "b.csv")]
+
+
+def test_places_of_documents_are_summed_without_the_documents(spark):
+    from reqweave.queries import QUERIES
+
+    found = QUERIES["sink_json_bytes"](spark, "/root/testdata/sf0.001")
+    # a window over the documents themselves would bring all those of a language to one task
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    places = {(r["lang"], r["place"]) for r in found.select("lang", "place").collect()}
+    sizes = {r["lang"]: r["count"] for r in found.groupBy("lang").count().collect()}
+    assert places == {(lang, k) for lang, n in sizes.items() for k in range(n)}
