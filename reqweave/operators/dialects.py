@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from reqweave.functions.binding import let
 from reqweave.functions.jsonvals import escape_markup
 from reqweave.functions.text import trim_space
 
@@ -90,7 +91,12 @@ def _reported(dialect: str, e: Column) -> Column:
 def extract_response_text(dialect: str, body: Column) -> Column:
     """struct(text, error) from a provider envelope."""
     dialect = "chat" if dialect == "azure" else dialect
-    e = F.from_json(body, ENVELOPES[dialect])
+    # the two readings are bound, because everything below looks at them many times
+    read = lambda b: F.struct(F.from_json(b, ENVELOPES[dialect]).alias("e"), F.try_parse_json(b).isNotNull().alias("readable"))
+    return let(body, lambda b: let(read(b), lambda r: _said(dialect, r["e"], r["readable"])))
+
+
+def _said(dialect: str, e: Column, readable: Column) -> Column:
     empty = F.lit(None).cast("string")
     if dialect == "chat":
         text = F.get(e["choices"], F.lit(0))["message"]["content"]
@@ -103,7 +109,6 @@ def extract_response_text(dialect: str, body: Column) -> Column:
         text = F.coalesce(e["response"], F.lit(""))
     else:
         text = F.coalesce(e["output_text"], F.lit(""))
-    readable = F.try_parse_json(body).isNotNull()
     missing = F.when(text.isNull(), F.lit(NO_TEXT.get(dialect)))
     error = F.when(~readable, UNREADABLE).otherwise(F.coalesce(_reported(dialect, e), empty, missing))
     return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"))
@@ -111,7 +116,10 @@ def extract_response_text(dialect: str, body: Column) -> Column:
 
 def extract_tool_calls(dialect: str, body: Column) -> Column:
     """struct(content, calls) of an envelope that may ask for tools."""
-    e = F.from_json(body, ENVELOPES["chat" if dialect == "azure" else dialect])
+    return let(F.from_json(body, ENVELOPES["chat" if dialect == "azure" else dialect]), lambda e: _asked(dialect, e))
+
+
+def _asked(dialect: str, e: Column) -> Column:
     if dialect == "messages":
         asked = F.filter(e["content"], lambda b: b["type"] == "tool_use")
         calls = F.transform(asked, lambda b: F.struct(b["id"].alias("id"), b["name"].alias("name"), b["input"].alias("args")))

@@ -82,7 +82,9 @@ FROM events, d""",
 )
 def extract_response_text(t):
     parts = [F.struct(F.lit(d).alias("dialect"), response_text(d, F.expr(e)).alias("r")) for d, e in _ENVELOPES.items()]
-    return t("events").select("event_id", F.inline(F.array(*parts))).select("dialect", "event_id", "r.text", "r.error")
+    # a table of few row groups is read by few tasks, but reading envelopes is work for all of them
+    events = t("events").select("event_id", "user_id", "event_type").repartition(4 * t.spark.sparkContext.defaultParallelism)
+    return events.select("event_id", F.inline(F.array(*parts))).select("dialect", "event_id", "r.text", "r.error")
 
 
 _CHAT_CALLS = f"""CASE event_id % 3 WHEN 0 THEN concat('{{"choices":[{{"message":{{"content":"', {_TEXT}, '"}}}}]}}')

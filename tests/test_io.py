@@ -303,3 +303,15 @@ def test_places_of_documents_are_summed_without_the_documents(spark):
     places = {(r["lang"], r["place"]) for r in found.select("lang", "place").collect()}
     sizes = {r["lang"]: r["count"] for r in found.groupBy("lang").count().collect()}
     assert places == {(lang, k) for lang, n in sizes.items() for k in range(n)}
+
+
+def test_an_envelope_is_read_once_for_all_that_is_looked_up_in_it(spark):
+    from reqweave.operators.dialects import DIALECTS, extract_tool_calls
+
+    rows = spark.range(1).select(F.concat(F.lit("{}"), F.lit(" ")).alias("body"))
+    for dialect in DIALECTS:
+        plan = rows.select(extract_response_text(dialect, F.col("body")).alias("r"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("from_json(") == 1
+    for dialect in ("chat", "messages"):
+        plan = rows.select(extract_tool_calls(dialect, F.col("body")).alias("r"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("from_json(") == 1
