@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from reqweave.operators.generate import _wait
 from reqweave.operators.retry import MAX_ATTEMPTS
-from reqweave.operators.tools import TOOLS, dispatch_tools
+from reqweave.operators.tools import PAGE_TOOLS, TOOLS, dispatch_tools
 from reqweave.storage import materialize
 
 CALL = "struct<id:string,name:string,args:string>"
@@ -20,6 +20,8 @@ MESSAGE = f"struct<role:string,content:string,tool_calls:array<{CALL}>,tool_call
 STEP = f"content string, calls array<{CALL}>, error string"
 # Fixed value: how many rounds a record may take.
 MAX_ROUNDS = 5
+#: Calls of a record that are answered inside its row.
+CALLS_IN_ROW = 4
 
 Step = Callable[[list[dict], list[str]], dict]
 
@@ -80,8 +82,11 @@ def agent_rounds(
     open_rows, finished = keyed.select("_key", start.alias("_messages")), []
     answer = lambda rows, response, error, n: rows.select("_key", response.alias("response"), error.alias("error"), F.lit(n).alias("rounds"))
     for round_no in range(1, max_rounds + 1):
-        stepped = materialize(open_rows.withColumn("_step", ask(F.to_json("_messages"))), f"round-{round_no}")
         asks = F.col("_step.error").isNull() & (F.size("_step.calls") > 0)
+        stepped = open_rows.withColumn("_step", ask(F.to_json("_messages")))
+        # messages are needed again only where tools are asked for
+        going = asks if round_no < max_rounds else F.lit(False)
+        stepped = materialize(stepped.select("_key", F.when(going, F.col("_messages")).alias("_messages"), "_step"), f"round-{round_no}")
         finished.append(answer(stepped.where(~asks), F.when(F.col("_step.error").isNull(), F.col("_step.content")), F.col("_step.error"), round_no))
         asked = stepped.where(asks)
         if asked.isEmpty():
@@ -96,10 +101,36 @@ def agent_rounds(
 
 
 def _answer_calls(asked: DataFrame, pages: DataFrame | None, tools: list[str], stored: dict) -> DataFrame:
-    """Run the calls of a round; one shuffle brings the results of a record together."""
-    said = _message("assistant", F.col("_step.content"), F.col("_step.calls"))
-    history = F.concat("_messages", F.array(said))
-    calls = asked.select("_key", history.alias("_all"), F.posexplode("_step.calls").alias("_no", "_call"))
+    """Run the calls of a round and put their results behind the messages.
+
+    Tools that need nothing but the call answer the first ``CALLS_IN_ROW`` calls of a record inside its row, so that no
+    message travels. Records with more calls, and calls that are joined with stored pages or answers, go by ``_gathered``.
+    """
+    joined = (pages is not None and set(PAGE_TOOLS) & set(tools)) or stored.get("searches") is not None or stored.get("most_statements", 0) > 0
+    most = 0 if joined else min(asked.agg(F.max(F.size("_step.calls"))).first()[0], CALLS_IN_ROW)
+    many = asked.where(F.size("_step.calls") > most)
+    rows = asked.where(F.size("_step.calls") <= most).select(
+        "_key", _with_request().alias("_messages"), F.col("_step.calls").alias("_calls"),
+    )
+    for k in range(most):
+        call = F.get("_calls", F.lit(k))
+        one = rows.withColumns({"_id": call["id"], "name": call["name"], "args": call["args"]})
+        done = dispatch_tools(one, enabled=tools)
+        reply = F.array(_message("tool", F.col("result"), call_id=F.col("_id"), tool=F.col("name"))).cast(f"array<{MESSAGE}>")
+        grown = F.when(F.size("_calls") > k, F.concat("_messages", reply)).otherwise(F.col("_messages"))
+        rows = done.select("_key", grown.alias("_messages"), "_calls")
+    rows = rows.select("_key", "_messages")
+    return rows if most and many.isEmpty() else rows.unionByName(_gathered(many, pages, tools, stored))
+
+
+def _with_request():
+    said = F.array(_message("assistant", F.col("_step.content"), F.col("_step.calls"))).cast(f"array<{MESSAGE}>")
+    return F.concat("_messages", said)
+
+
+def _gathered(asked: DataFrame, pages: DataFrame | None, tools: list[str], stored: dict) -> DataFrame:
+    """One row per call; one shuffle brings the results of a record together."""
+    calls = asked.select("_key", _with_request().alias("_all"), F.posexplode("_step.calls").alias("_no", "_call"))
     # the messages so far travel with the first call only
     calls = calls.select(
         "_key", F.when(F.col("_no") == 0, F.col("_all")).alias("_history"), "_no",

@@ -431,6 +431,59 @@ def test_records_with_equal_request_ids_stay_apart(spark):
     assert sorted((r["user"], r["response"]) for r in got.collect()) == [("one", "1"), ("one", "1"), ("one two", "2"), ("one two three", "3")]
 
 
+def test_calls_are_answered_in_their_order_inside_the_row_or_by_key(spark, monkeypatch):
+    from reqweave.operators import agent
+
+    def step(messages, tools):
+        n = int(messages[1]["content"])
+        if len(messages) == 2 and n:
+            return {"tool_calls": [{"id": f"c{k}", "name": None if k == 2 else "text_stats" if k % 2 else "guess", "args": json.dumps({"text": "a " * k})} for k in range(n)]}
+        return {"content": json.dumps([[m.get("tool_call_id"), m.get("content")] for m in messages[3:]])}
+
+    asked = spark.range(9).select(F.lit("r").alias("request_id"), F.lit("").alias("system"), F.col("id").cast("string").alias("user"))
+    found = {}
+    for most in (0, 2, 4, 100):
+        monkeypatch.setattr(agent, "CALLS_IN_ROW", most)
+        got = agent.agent_rounds(asked, step, tools=["text_stats", "regex_extract"]).collect()
+        found[most] = sorted((r["user"], r["response"], r["error"], r["rounds"]) for r in got)
+    assert found[0] == found[2] == found[4] == found[100] and len(found[0]) == 9
+    assert [c[0] for c in json.loads(found[0][8][1])] == [f"c{k}" for k in range(8)]
+    assert json.loads(found[0][8][1])[0][1] == "unknown tool: guess"
+
+
+def test_messages_do_not_travel_for_a_few_calls(spark):
+    from reqweave.operators import agent
+
+    asked = spark.range(5).select(
+        F.hash("id").alias("_key"), F.array().cast(f"array<{agent.MESSAGE}>").alias("_messages"),
+        F.expr("named_struct('content', '', 'calls', array(named_struct('id', 'a', 'name', 'text_stats', 'args', '{\"text\":\"x\"}')), 'error', string(null))").alias("_step"),
+    )
+    answered = agent._answer_calls(asked, None, ["text_stats"], {})
+    assert "Exchange" not in answered._jdf.queryExecution().executedPlan().toString()
+    assert [len(r["_messages"]) for r in answered.collect()] == [2] * 5
+
+
+def test_python_gets_long_texts_in_small_batches(spark):
+    import pandas as pd
+
+    from reqweave.session import prepare
+
+    @F.pandas_udf("long")
+    def together(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    names = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"]
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.unset(n)
+        texts = prepare(spark).range(400, numPartitions=1).select(F.repeat(F.substring(F.col("id").cast("string"), 1, 1), 100_000).alias("t"))
+        assert texts.select(together("t").alias("n")).agg(F.max("n")).first()[0] < 8 << 20
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 def test_rows_without_a_key_spread_over_the_tasks(spark):
     from reqweave.operators.enrich import enrich_lookup
 
