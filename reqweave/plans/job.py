@@ -205,7 +205,9 @@ def run_records(
     finished = _finished(spark, folder) if folder else []
     prior = earlier_tries(spark, folder, p.max_retries) if folder and not p.dry_run and not cfg.tools.enabled else None
     names = {name for name, _, _ in finished}
-    for start, end, asked in _portions(with_requests(records, cfg, job, run), cfg):
+    # in their order the rows of a portion would lie in the files of few tasks, which alone could read them
+    dealt = records.repartition(F.col(ROW)) if _has_portions(cfg) else records
+    for start, end, asked in _portions(with_requests(dealt, cfg, job, run), cfg):
         near = [name for name, first, last in finished if (end is None or first < end) and (last is None or last >= start)]
         kept, found = _kept(spark, folder, near), []
         if kept is not None:
@@ -232,6 +234,11 @@ def run_records(
     return JobResult(_output(good, cfg, job, inputs), errors, metrics, audit)
 
 
+def _has_portions(cfg: JobConfig) -> bool:
+    p = cfg.processing
+    return bool(p.portion_rows) or not (p.dry_run or p.continue_on_error and not p.answers_path)
+
+
 def _portions(requests: DataFrame, cfg: JobConfig) -> Iterator[tuple[int, int | None, DataFrame]]:
     """The requests with the number of their first row and of the row behind their last one.
 
@@ -240,7 +247,7 @@ def _portions(requests: DataFrame, cfg: JobConfig) -> Iterator[tuple[int, int |
     portion no more calls are made. The requests are written once, by portion, so each portion reads its own files only.
     """
     p = cfg.processing
-    if not p.portion_rows and (p.dry_run or p.continue_on_error and not p.answers_path):
+    if not _has_portions(cfg):
         yield 0, None, requests
         return
     size = max(1, p.portion_rows or p.first_portion)

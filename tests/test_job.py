@@ -606,3 +606,23 @@ def test_config_from_files(tmp_path):
     assert isinstance(cfg, JobConfig) and cfg.processing.max_retries == 5 and cfg.processing.response_field == "response"
     with pytest.raises(ValueError):
         load_config(str(tmp_path / "job.txt"))
+
+
+def test_a_portion_is_read_by_many_tasks(spark, shuffled_joins, monkeypatch):
+    from reqweave.operators.ordering import ROW
+    from reqweave.plans import job
+
+    files, asked = [], job._generated
+
+    def counted(requests, *args):
+        files.append(requests.select(F.input_file_name()).distinct().count())
+        return asked(requests, *args)
+
+    monkeypatch.setattr(job, "_generated", counted)
+    cfg = config()
+    cfg.processing.first_portion = 20
+    records = spark.range(0, 160, numPartitions=8).select(F.col("id").alias(ROW), F.lit("Ann").alias("name"), F.col("id").alias("age"))
+    got = job.run_records(records, cfg, always_ok).main
+    assert got.count() == 160
+    # the portion of 80 rows lies in 4 of the 8 tasks' rows
+    assert len(files) == 4 and max(files) > 5
