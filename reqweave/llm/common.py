@@ -26,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return start(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def write_dense(spark: SparkSession) -> SparkSession:
+    """Parquet is written with zstd from here on, unless the session was given a codec: Snappy leaves digits of random words as long as they are."""
+    if (codec := "spark.sql.parquet.compression.codec") not in spark.conf.getAll:
+        spark.conf.set(codec, "zstd")
+    return spark
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text`` of a table whatever its other columns are called; a null text becomes empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqweave.llm.chat import formatted_digests, text_part
-from reqweave.llm.common import table
+from reqweave.llm.common import table, write_dense
 from reqweave.llm.crf import fitted, identify
 from reqweave.llm.fptree import best_documents
 from reqweave.llm.lpf import without_copies
@@ -58,7 +58,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_with_edits(table(spark, sf_dir, "documents"))
+    return compare_with_edits(table(write_dense(spark), sf_dir, "documents"), pack=True)
 
 
 @query

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reqweave.llm import chat, crf, mixing, secrets, syncmers
 from reqweave.llm.common import start
+from reqweave.llm.queries import op5_fingerprints
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -201,6 +202,51 @@ def test_fingerprint_sees_short_edits_and_passages_of_long_texts():
     assert shared > 0.001 and abs(shared - expected(one, two)) < 0.0005
 
 
+def test_packed_fingerprints_hold_the_same_in_two_thirds():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 90))) for letters in ("a", "ab ", "abcdefgh é😀\0") for _ in range(300)]
+    texts += ["", "x", "and the same line comes again\n" * 60, prose(rng, "en", 3000)]
+    for text in texts:
+        assert syncmers.unpacked(syncmers.packed(text)) == syncmers.fingerprint(text)
+    assert len(syncmers.packed(texts[-1])) < 0.66 * len(syncmers.fingerprint(texts[-1]))
+
+
+def test_packed_rows_equal_plain_rows(spark):
+    start(spark)
+    data = [r for r in rows() if r[0] not in (90, 91)]
+    plain, dense = (sorted(tuple(r) for r in syncmers.compare_with_edits(frame(spark, data), pack=pack).fillna(-1).collect()) for pack in (False, True))
+    assert [(*r[:3], *map(syncmers.unpacked, r[3:5]), *r[5:]) for r in dense] == plain
+
+
+def test_parts_lie_in_tasks_of_their_own(spark):
+    start(spark)
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    found = syncmers.with_followers(docs, 8).withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.countDistinct("part").alias("parts")).collect()
+    assert [r["parts"] for r in found] == [1] * 8
+
+
+def test_fingerprints_are_written_small(spark, tmp_path):
+    codec = "spark.sql.parquet.compression.codec"
+    had = spark.conf.getAll.get(codec)
+    rng = random.Random(8)
+    spark.createDataFrame([(k, prose(rng, "en", 2000)) for k in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    chars = spark.read.parquet(f"{tmp_path}/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
+
+    def written(at: str) -> float:
+        op5_fingerprints(spark, str(tmp_path)).write.parquet(f"{tmp_path}/{at}")
+        return sum(p.stat().st_size for p in (tmp_path / at).glob("*.parquet")) / chars
+
+    try:
+        spark.conf.unset(codec)
+        assert written("dense") < 4.5  # plain ones with Snappy take about 7
+        spark.conf.set(codec, "snappy")  # a codec that the session names is kept
+        assert written("snappy") < 5.5 and list((tmp_path / "snappy").glob("*.snappy.parquet"))
+    finally:
+        spark.conf.unset(codec)
+        if had:
+            spark.conf.set(codec, had)
+
+
 def test_forward_backward_against_enumeration():
     from itertools import product
 
